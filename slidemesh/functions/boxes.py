@@ -256,35 +256,48 @@ def crop_edge_strips(b: Box, text_boxes: Column, max_frac: float = 0.30, min_lef
     return F.when(bad, d.struct()).otherwise(out)
 
 
+def let(value: Column, body) -> Column:
+    """Bind a (struct) value once and use it many times in `body`, which keeps the expression tree small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def subtract_box(a: Box, b: Box) -> Column:
     """A minus B for rectangles, as struct(kind, x0..y1, vertices).
 
     kind: 'none' no overlap; 'empty' nothing left; 'hole' B strictly inside A; 'split' A falls apart, the larger part is
     returned; 'rect' a side is cut off; 'poly' a corner or a notch is cut out (hull = A, vertices listed)."""
-    i = intersection(a, b)
-    hit = (i.x1 > i.x0) & (i.y1 > i.y0)
-    l, r = i.x0 <= a.x0, i.x1 >= a.x1
-    t, m = i.y0 <= a.y0, i.y1 >= a.y1
+    names = ("x0", "y0", "x1", "y1")
+    bound = F.struct(*[c.cast("double").alias(f"a{n}") for n, c in zip(names, a)], *[c.cast("double").alias(f"i{n}") for n, c in zip(names, intersection(a, b))])
+    return let(bound, lambda s: let(_cut_sides(s, names), lambda f: _cut_shape(f, names)))
+
+
+def _cut_sides(s: Column, names) -> Column:
+    a, i = Box(*[s[f"a{n}"] for n in names]), Box(*[s[f"i{n}"] for n in names])
+    return F.struct(s.alias("s"), ((i.x1 > i.x0) & (i.y1 > i.y0)).alias("hit"), (i.x0 <= a.x0).alias("l"), (i.y0 <= a.y0).alias("t"),
+                    (i.x1 >= a.x1).alias("r"), (i.y1 >= a.y1).alias("m"))
+
+
+def _cut_shape(f: Column, names) -> Column:
+    a, i = Box(*[f["s"][f"a{n}"] for n in names]), Box(*[f["s"][f"i{n}"] for n in names])
+    l, t, r, m, hit = (f[k] for k in ("l", "t", "r", "m", "hit"))
     n = sum(c.cast("int") for c in (l, t, r, m))
     tall, flat = t & m, l & r
-    keep_left = (i.x0 - a.x0) >= (a.x1 - i.x1)
-    keep_top = (i.y0 - a.y0) >= (a.y1 - i.y1)
     kind = (F.when(~hit, "none").when(n == 4, "empty").when(n == 0, "hole").when(n == 3, "rect")
             .when((n == 2) & (tall | flat), "split").otherwise("poly"))
-    left_part = tall & F.when(l, F.lit(False)).when(r, F.lit(True)).otherwise(keep_left)
-    right_part = tall & ~left_part
-    top_part = flat & ~tall & F.when(t, F.lit(False)).when(m, F.lit(True)).otherwise(keep_top)
-    bottom_part = flat & ~tall & ~top_part
-    part = kind.isin("rect", "split")
-    out = Box(F.when(part & right_part, i.x1).otherwise(a.x0), F.when(part & bottom_part, i.y1).otherwise(a.y0),
-              F.when(part & left_part, i.x0).otherwise(a.x1), F.when(part & top_part, i.y0).otherwise(a.y1))
+    part = hit & ((n == 3) | ((n == 2) & (tall | flat)))
+    keep_left = part & tall & ~l & (r | ((i.x0 - a.x0) >= (a.x1 - i.x1)))
+    keep_right = part & tall & ~keep_left
+    keep_top = part & flat & ~tall & ~t & (m | ((i.y0 - a.y0) >= (a.y1 - i.y1)))
+    keep_bottom = part & flat & ~tall & ~keep_top
+    out = Box(F.when(keep_right, i.x1).otherwise(a.x0), F.when(keep_bottom, i.y1).otherwise(a.y0),
+              F.when(keep_left, i.x0).otherwise(a.x1), F.when(keep_top, i.y0).otherwise(a.y1))
 
     def ring(*pts):
-        return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in pts])
+        return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in pts])
 
     nw, ne, se, sw = (a.x0, a.y0), (a.x1, a.y0), (a.x1, a.y1), (a.x0, a.y1)
-    ring_out = (
-        F.when(kind != "poly", F.lit(None))
+    outline = (
+        F.when(~hit | (n == 0) | (n > 2) | ((n == 2) & (tall | flat)), F.lit(None))
         .when(l & t, ring((i.x1, a.y0), ne, se, sw, (a.x0, i.y1), (i.x1, i.y1)))
         .when(r & t, ring(nw, (i.x0, a.y0), (i.x0, i.y1), (a.x1, i.y1), se, sw))
         .when(r & m, ring(nw, ne, (a.x1, i.y0), (i.x0, i.y0), (i.x0, a.y1), sw))
@@ -293,7 +306,7 @@ def subtract_box(a: Box, b: Box) -> Column:
         .when(m, ring(nw, ne, se, (i.x1, a.y1), (i.x1, i.y0), (i.x0, i.y0), (i.x0, a.y1), sw))
         .when(l, ring(nw, ne, se, sw, (a.x0, i.y1), (i.x1, i.y1), (i.x1, i.y0), (a.x0, i.y0)))
         .otherwise(ring(nw, ne, (a.x1, i.y0), (i.x0, i.y0), (i.x0, i.y1), (a.x1, i.y1), se, sw)))
-    return F.struct(kind.alias("kind"), *[c.alias(k) for c, k in zip(out, ("x0", "y0", "x1", "y1"))], ring_out.alias("vertices"))
+    return F.struct(kind.alias("kind"), *[c.alias(k) for c, k in zip(out, names)], outline.alias("vertices"))
 
 
 def polygon_area(points: Column) -> Column:

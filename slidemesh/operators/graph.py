@@ -12,7 +12,10 @@ from slidemesh.operators.scan import next_row
 CONTAIN_FRAC = 0.9  # fixed value
 BIND_IOU = 0.5      # fixed value
 EDGE_KINDS = ["contains", "reads_before", "above", "merged_with", "binds"]
-_W = F.lit(None).cast("double")
+
+
+def _no_weight():
+    return F.lit(None).cast("double").alias("weight")
 
 
 def overlap_edges(comps: DataFrame) -> DataFrame:
@@ -24,14 +27,14 @@ def overlap_edges(comps: DataFrame) -> DataFrame:
     above = F.coalesce(F.col("a.z_index") > F.col("b.z_index"), F.lit(False))
     pairs = box_pairs(slim, ["slide_id"], lambda x, y: (x("pos") != y("pos")) & (contains | above))
     kinds = F.array_compact(F.array(F.when(contains, "contains"), F.when(above, "above")))
-    return pairs.select("slide_id", F.col("a.node_id").alias("src"), F.col("b.node_id").alias("dst"), F.explode(kinds).alias("kind"), _W.alias("weight"))
+    return pairs.select("slide_id", F.col("a.node_id").alias("src"), F.col("b.node_id").alias("dst"), F.explode(kinds).alias("kind"), _no_weight())
 
 
 def reading_order(comps: DataFrame) -> DataFrame:
     """Each component to the next one, top to bottom then left to right."""
     nxt = next_row(comps.select("slide_id", "node_id", "y0", "x0", "pos"), ["slide_id"], ["y0", "x0", "pos"], ["node_id"])
     return nxt.where("next_node_id IS NOT NULL").select("slide_id", F.col("node_id").alias("src"), F.col("next_node_id").alias("dst"),
-                                                        F.lit("reads_before").alias("kind"), _W.alias("weight"))
+                                                        F.lit("reads_before").alias("kind"), _no_weight())
 
 
 def bind_objects(comps: DataFrame, objects: DataFrame, min_iou: float = BIND_IOU) -> DataFrame:
@@ -48,7 +51,7 @@ def merged_edges(comps: DataFrame) -> DataFrame:
     Needs filename and merged_from (array of filenames)."""
     m = comps.where(F.size("merged_from") > 0).select("slide_id", F.col("node_id").alias("src"), F.explode("merged_from").alias("filename"))
     to = comps.select("slide_id", "filename", F.col("node_id").alias("dst"))
-    return m.join(to, ["slide_id", "filename"]).select("slide_id", "src", "dst", F.lit("merged_with").alias("kind"), _W.alias("weight"))
+    return m.join(to, ["slide_id", "filename"]).select("slide_id", "src", "dst", F.lit("merged_with").alias("kind"), _no_weight())
 
 
 def derive_edges(comps: DataFrame, objects: DataFrame | None = None) -> DataFrame:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidemesh.functions import boxes as B
+from slidemesh.functions.text import safe_name
+from slidemesh.operators.assign import per_key
 from slidemesh.operators.pairs import box_pairs
 from slidemesh.operators.scan import positions
-from slidemesh.runtime import cut
+from slidemesh.runtime import cut, split_hot
+
+FOLD_EDGES = 2_000
 
 # fixed values: classes whose boxes tend to be loose text
 TEXT_PRONE = [
@@ -104,7 +109,7 @@ def chart_exempt(cls: Column) -> Column:
     return c.rlike("chart|plot|graph|table") & ~c.rlike("flow|architecture|diagram")
 
 
-def merge_caps(groups: DataFrame, max_area_frac: float = 1.0, area_min_members: int = 3, max_members: int = 0, after_refine: bool = False) -> DataFrame:
+def merge_caps(groups: DataFrame, max_area_frac: float = 1.0, area_min_members: int = 1, max_members: int = 0, after_refine: bool = False) -> DataFrame:
     """Adds `kept` and `rejected_reason`. Needs merged_class, x0..y1, n_members, slide_w, slide_h.
 
     After refinement only the area cap counts."""
@@ -114,7 +119,7 @@ def merge_caps(groups: DataFrame, max_area_frac: float = 1.0, area_min_members:
     bad = ~chart_exempt(F.col("merged_class")) & (too_big | too_many)
     head = "post-refine area_frac=" if after_refine else "area_frac="
     why = F.concat(F.lit(head), F.format_string("%.3f", frac), F.lit(" members="), F.col("n_members").cast("string"))
-    return groups.withColumns({"kept": ~bad, "rejected_reason": F.when(bad, why)})
+    return groups.withColumns({"area_frac": frac, "kept": ~bad, "rejected_reason": F.when(bad, why)})
 
 
 def drop_group_erases(erases: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,20 +194,57 @@ def overlap_to_arbitrate(comps: DataFrame, min_px: float = 100.0) -> DataFrame:
     return p.select("slide_id", F.col("a.filename").alias("first"), F.col("b.filename").alias("second"), inter.alias("overlap_px"))
 
 
-def carve_overlaps(comps: DataFrame, decisions: DataFrame, min_px: float = 100.0) -> DataFrame:
-    """Cut the side that does not own an overlap and whose peer does, at most one cut per component.
-
-    `comps`: slide_id, pos, filename, x0..y1. `decisions`: slide_id, first, second, first_owns, second_owns (one row per
-    unordered pair). A component's cut sees the cut boxes of the components before it and the original boxes of those after
-    it. Components are settled in rounds, one when all earlier partners are settled. Adds carved_by, vertices."""
-    d = decisions.dropDuplicates(["slide_id", "first", "second"])
-    lose = (d.where("NOT first_owns AND second_owns").selectExpr("slide_id", "first AS fa", "second AS fb")
-            .unionByName(d.where("NOT second_owns AND first_owns").selectExpr("slide_id", "second AS fa", "first AS fb")))
-    num = comps.select("slide_id", "filename", "pos", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    who = num.select("slide_id", "filename", "pos")
-    edges = cut(lose.join(who.withColumnsRenamed({"filename": "fa", "pos": "i"}), ["slide_id", "fa"])
-                .join(who.withColumnsRenamed({"filename": "fb", "pos": "j"}), ["slide_id", "fb"]).select("slide_id", "i", "j"))
-    geo = num.select("slide_id", "pos", "x0", "y0", "x1", "y1")
+def _carve_walk(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
+    """Slides of bounded size: pairs with both boxes, sorted by (i, j), walked once per slide."""
+    a = geo.select("slide_id", F.col("pos").alias("i"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
+    b = geo.select("slide_id", F.col("pos").alias("j"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    full = edges.join(a, ["slide_id", "i"]).join(b, ["slide_id", "j"])
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        moved: dict[int, tuple] = {}
+        for r in g.itertuples(index=False):
+            if r.i in moved:
+                continue
+            bx = moved.get(r.j, (r.bx0, r.by0, r.bx1, r.by1))[:4]
+            left = _carve_one((r.ax0, r.ay0, r.ax1, r.ay1), bx, min_px)
+            if left is not None:
+                moved[r.i] = (*left, r.j)
+        return pd.DataFrame([(g["slide_id"].iloc[0], i, *m) for i, m in moved.items()], columns=["slide_id", "pos", "x0", "y0", "x1", "y1", "carved_by"])
+
+    cuts = cut(per_key(full, ["slide_id"], ["i", "j"], walk, "slide_id long, pos long, x0 double, y0 double, x1 double, y1 double, carved_by long"))
+    # outlines come from the box the winner had at that moment: its own cut when it is earlier, else the original
+    w = cuts.select("slide_id", F.col("pos").alias("carved_by"), F.col("pos").alias("_w"), *[F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")])
+    o = geo.select("slide_id", F.col("pos").alias("carved_by"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
+    s = geo.select("slide_id", "pos", *[F.col(c).alias(f"s{c}") for c in ("x0", "y0", "x1", "y1")])
+    j = cuts.join(w, ["slide_id", "carved_by"], "left").join(o, ["slide_id", "carved_by"]).join(s, ["slide_id", "pos"])
+    early = F.col("_w").isNotNull() & (F.col("carved_by") < F.col("pos"))
+    winner = B.Box(*[F.when(early, F.col(f"w{c}")).otherwise(F.col(f"o{c}")) for c in ("x0", "y0", "x1", "y1")])
+    return j.select("slide_id", "pos", "carved_by", "x0", "y0", "x1", "y1", B.subtract_box(B.box("s"), winner)["vertices"].alias("vertices"))
+
+
+def _carve_one(a: tuple, b: tuple, min_px: float) -> tuple | None:
+    """Bounds of A without B, or None when nothing is cut (small overlap, hole, nothing left, a side under 1 px)."""
+    ox0, oy0, ox1, oy1 = max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])
+    if ox1 <= ox0 or oy1 <= oy0 or (ox1 - ox0) * (oy1 - oy0) < min_px:
+        return None
+    open_sides = [ox0 > a[0], oy0 > a[1], ox1 < a[2], oy1 < a[3]]
+    if not any(open_sides) or all(open_sides):
+        return None
+    x0, y0, x1, y1 = a
+    if not open_sides[1] and not open_sides[3]:
+        if open_sides[0] and (not open_sides[2] or ox0 - x0 >= x1 - ox1):
+            x1 = ox0
+        else:
+            x0 = ox1
+    elif not open_sides[0] and not open_sides[2]:
+        if open_sides[1] and (not open_sides[3] or oy0 - y0 >= y1 - oy1):
+            y1 = oy0
+        else:
+            y0 = oy1
+    return (x0, y0, x1, y1) if x1 - x0 >= 1 and y1 - y0 >= 1 else None
+
+
+def _carve_rounds(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
     done, pending = None, cut(edges.select("slide_id", "i").distinct())
     while not pending.isEmpty():
         waiting = edges.where("j < i").join(pending.withColumnRenamed("i", "j"), ["slide_id", "j"], "left_semi").select("slide_id", "i")
@@ -221,8 +263,28 @@ def carve_overlaps(comps: DataFrame, decisions: DataFrame, min_px: float = 100.0
             "slide_id", F.col("i").alias("pos"), "carved_by", "cut.x0", "cut.y0", "cut.x1", "cut.y1", "cut.vertices")
         done = cut(step if done is None else step.unionByName(done))
         pending = cut(pending.join(done.select("slide_id", F.col("pos").alias("i")), ["slide_id", "i"], "left_anti"))
-    if done is None:
-        return comps.withColumns({"carved_by": F.lit(None).cast("long"), "vertices": F.lit(None).cast("array<struct<x:double,y:double>>")})
+    return done
+
+
+def carve_overlaps(comps: DataFrame, decisions: DataFrame, min_px: float = 100.0) -> DataFrame:
+    """Cut the side that does not own an overlap and whose peer does, at most one cut per component.
+
+    `comps`: slide_id, pos, filename, x0..y1. `decisions`: slide_id, first, second, first_owns, second_owns (one row per
+    unordered pair). A component's cut sees the cut boxes of the components before it and the original boxes of those after
+    it. Slides with few such pairs are walked in sorted batches; larger ones are settled in rounds, a component when all its
+    earlier partners are. Adds carved_by, vertices."""
+    d = decisions.dropDuplicates(["slide_id", "first", "second"])
+    lose = (d.where("NOT first_owns AND second_owns").selectExpr("slide_id", "first AS fa", "second AS fb")
+            .unionByName(d.where("NOT second_owns AND first_owns").selectExpr("slide_id", "second AS fa", "first AS fb")))
+    num = cut(comps.select("slide_id", "filename", "pos", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    who = num.select("slide_id", "filename", "pos")
+    edges = cut(lose.join(who.withColumnsRenamed({"filename": "fa", "pos": "i"}), ["slide_id", "fa"])
+                .join(who.withColumnsRenamed({"filename": "fb", "pos": "j"}), ["slide_id", "fb"]).select("slide_id", "i", "j"))
+    geo = num.select("slide_id", "pos", "x0", "y0", "x1", "y1")
+    cold, hot = split_hot(edges, ["slide_id"], FOLD_EDGES)
+    done = _carve_walk(cold, geo, min_px)
+    if hot is not None:
+        done = done.unionByName(_carve_rounds(cut(hot), geo, min_px))
     c = done.where("carved_by IS NOT NULL").select("slide_id", "pos", "carved_by", "vertices", *[F.col(k).alias(f"n{k}") for k in ("x0", "y0", "x1", "y1")])
     rest = [k for k in comps.columns if k not in ("x0", "y0", "x1", "y1")]
     return comps.join(c, ["slide_id", "pos"], "left").select(
@@ -262,7 +324,7 @@ def unite_layers(layers: DataFrame, counters: DataFrame) -> tuple[DataFrame, Dat
     """Layer outputs with new running file numbers per slide, and counters summed over layers."""
     numbered = positions(layers, ["slide_id"], ["seg_layer", "pos"], "n", start=1)
     out = numbered.withColumn("component_file", F.concat(F.lit("components/component_"), F.lpad(F.col("n").cast("string"), 4, "0"), F.lit("_"),
-                                                         F.regexp_replace(F.trim("label"), r"[^a-zA-Z0-9._-]+", "_"), F.lit(".png")))
+                                                         safe_name(F.col("label"), "unknown"), F.lit(".png")))
     sums = [c for c, t in counters.dtypes if c not in ("slide_id", "seg_layer")]
     return out, counters.groupBy("slide_id").agg(*[F.sum(c).alias(c) for c in sums])
 

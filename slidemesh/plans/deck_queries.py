@@ -307,11 +307,11 @@ _GROUPS = """grp AS (SELECT slide_id, count(*) AS n, min(x0) AS x0, min(y0) AS y
  (['line chart', 'flow chart', 'photo', 'table', 'diagram'])[slide_id % 5 + 1] AS cls FROM components WHERE pos < 5 GROUP BY slide_id HAVING count(*) >= 2)"""
 
 
-@query("merge_caps", sql("""SELECT slide_id, n_members, kept, CASE WHEN kept THEN NULL ELSE concat('area_frac=', printf('%.3f', frac), ' members=', n_members) END AS rejected_reason FROM (
-SELECT slide_id, CAST(n AS INTEGER) AS n_members, (x1 - x0) * (y1 - y0) / CAST(600000 AS DOUBLE) AS frac,
- cls IN ('line chart', 'table') OR NOT (((x1 - x0) * (y1 - y0) / CAST(600000 AS DOUBLE) > CAST(0.5 AS DOUBLE) AND n >= 3) OR n > 4) AS kept FROM grp) t""", "components", extra=_GROUPS))
+@query("merge_caps", sql("""SELECT slide_id, CAST(n AS INTEGER) AS n_members, round((x1 - x0) * (y1 - y0) / CAST(600000 AS DOUBLE), 9) AS area_frac,
+ cls IN ('line chart', 'table') OR NOT (((x1 - x0) * (y1 - y0) / CAST(600000 AS DOUBLE) > CAST(0.5 AS DOUBLE) AND n >= 3) OR n > 4) AS kept FROM grp""", "components", extra=_GROUPS))
 def merge_caps(spark, sf):
-    return L.merge_caps(_groups(V.components(spark, sf)), 0.5, 3, 4).select("slide_id", "n_members", "kept", "rejected_reason")
+    g = L.merge_caps(_groups(V.components(spark, sf)), 0.5, 3, 4)
+    return g.select("slide_id", "n_members", F.round("area_frac", 9).alias("area_frac"), "kept")
 
 
 @query("merge_caps_refined", sql("""SELECT slide_id, cls IN ('line chart', 'table') OR NOT ((x1 - x0) * (y1 - y0) / CAST(600000 AS DOUBLE) > CAST(0.5 AS DOUBLE) AND n >= 3) AS kept FROM grp""", "components", extra=_GROUPS))

@@ -1,4 +1,4 @@
-"""Compare registered queries with their DuckDB statements: python tests/check_oracles.py [sf_dir] [name ...]."""
+"""Compare registered queries with their DuckDB statements: python tests/check_oracles.py [sf_dir] [query or module name ...]."""
 
 from __future__ import annotations
 
@@ -70,7 +70,7 @@ def main():
     con, bad = duck(sf), []
     oracles = entry.oracle_sql()
     for name, fn in entry.queries().items():
-        if len(sys.argv) > 2 and name not in sys.argv[2:]:
+        if len(sys.argv) > 2 and name not in sys.argv[2:] and fn.__module__.rsplit(".", 1)[-1] not in sys.argv[2:]:
             continue
         try:
             ok, note = compare(spark, con, sf, name, fn, oracles.get(name))
