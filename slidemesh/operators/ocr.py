@@ -107,7 +107,9 @@ def _similar(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
     pa, pb = _profile(la, "a", ratio), _profile(rb, "b", ratio)
     # at most 36 * 36 bigrams exist, so this table is small whatever the data
     freq = pa.select(F.explode("grams").alias("g")).unionByName(pb.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
-    cand = (_probes(pa, "a", freq).join(_probes(pb, "b", freq), "key").where(T.length_bound(F.col("a"), F.col("b"), ratio)).select("a", "b").distinct())
+    ka, kb = la.join(_probes(pa, "a", freq), "a"), rb.join(_probes(pb, "b", freq), "b")
+    near = ka.join(kb, ["page", "key"]).where(T.length_bound(F.col("a"), F.col("b"), ratio))
+    cand = near.select("a", "b").distinct()
     common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
     tight = (cand.join(pa.select("a", F.col("cnt").alias("ca")), "a").join(pb.select("b", F.col("cnt").alias("cb")), "b")
              .where(2.0 * common >= ratio * (F.length("a") + F.length("b"))).select("a", "b"))

@@ -142,17 +142,20 @@ def missing_texts(spark, sf):
 
 @query("missing_lines")
 def missing_lines(spark, sf):
-    """Lines lost in the render, minus those similar to a kept line of the page (difflib, no SQL form)."""
-    l = _lines(spark, sf)
-    return ocr.missing_lines(l, l.where("pos % 3 <> 2"), _hay(spark, sf), ["page"]).select("page", "pos")
+    """Odd turns of a conversation are the lines, even ones the rendered texts: lines neither contained nor similar (difflib)."""
+    c = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("pos"), "text")
+    got = c.where("pos % 2 = 0")
+    hay = got.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: T.norm(s["text"])), "").alias("hay"))
+    return ocr.missing_lines(c, got, hay, ["page"]).select("page", "pos")
 
 
 @query("fuzzy_folded_words")
 def fuzzy_folded_words(spark, sf):
-    """Misread render words (last letter doubled for words of length six) folded onto the page vocabulary."""
-    w = V.page_words(spark, sf)
-    w = w.withColumn("word", F.when((F.col("side") == "render") & (F.length("word") == 6), F.concat("word", F.substring("word", 6, 1))).otherwise(F.col("word")))
-    return ocr.duplicate_excess(w, fuzzy=True)
+    """Words of conversations; the render doubles the last letter of words of length six, folded back by similarity."""
+    w = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("page"), F.explode(T.words(F.col("text"))).alias("word"))
+    misread = F.when(F.length("word") == 6, F.concat("word", F.substring("word", 6, 1))).otherwise(F.col("word"))
+    both = w.withColumn("side", F.lit("orig")).unionByName(w.select("page", misread.alias("word"), F.lit("render").alias("side")))
+    return ocr.duplicate_excess(both, fuzzy=True)
 
 
 def _ocr_boxes(spark, sf):
