@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slidemesh.functions import boxes as B
 from slidemesh.operators.pairs import box_pairs
 from slidemesh.operators.scan import positions, running, top_n
+from slidemesh.runtime import cut
 
 
 def associate(dets: DataFrame, tracks: DataFrame, keys: list[str], new_score: float = 0.5, match_iou: float = 0.5, track_iou: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,18 +54,56 @@ def unmatched_runs(frames: DataFrame, keys: list[str]) -> DataFrame:
     return running(frames, keys, ["frame_idx"], sums={"unmatched": (~F.col("matched")).cast("long")}).join(first, keys)
 
 
-def keep_alive(frames: DataFrame, keys: list[str], start: int = 0, lo: int = -4, hi: int = 8) -> DataFrame:
+def keep_alive(frames: DataFrame, keys: list[str], start: int = 0, lo: int = -4, hi: int = 8, block: int = 4096) -> DataFrame:
     """Clamped walk +1/-1 over a track's frames; adds keep_alive.
 
-    A step x -> min(hi, max(lo, x + d)) is a clamp function; chains of them compose to clamps, so the walk is
-    clamp(prefix sum) with the running bounds of the composition. With S the running sum, the value after frame t is
-    min over the caps and max over the floors applied since: it equals S_t + max(start, max_{s<=t} (lo - S_s)) unless a cap
-    came later, hence the exact fold is done per track in order inside one row (a track's frames, not a key's)."""
-    rows = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "matched"))).alias("_f"))
-    step = F.aggregate("_f", F.struct(F.lit(start).alias("v"), F.array().cast("array<int>").alias("all")),
-                       lambda acc, f: F.struct(F.least(F.lit(hi), F.greatest(F.lit(lo), acc["v"] + F.when(f["matched"], 1).otherwise(-1))).alias("v"),
-                                               F.concat(acc["all"], F.array(F.least(F.lit(hi), F.greatest(F.lit(lo), acc["v"] + F.when(f["matched"], 1).otherwise(-1))))).alias("all")))
-    return rows.withColumn("_w", step["all"]).select(*keys, F.inline(F.arrays_zip("_f", F.col("_w").alias("w")))).select(*keys, "_f.frame_idx", "_f.matched", F.col("w").alias("keep_alive"))
+    Frames are cut into blocks of bounded length. A block maps each of the few possible start values to an end value; the
+    maps are composed in order (again in blocks) to give every block its start, then each block is walked on its own."""
+    f = positions(frames, keys, ["frame_idx"], "_i").withColumn("_b", F.floor(F.col("_i") / block))
+    blocks = f.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "matched"))).alias("_f"))
+    if blocks.where("_b > 0").isEmpty():
+        begun = blocks.withColumn("_s", F.lit(start))
+    else:
+        ends = F.aggregate("_f", F.sequence(F.lit(lo), F.lit(hi)), lambda m, x: F.transform(m, lambda v: _clamped(v, x["matched"], lo, hi)))
+        starts = _block_starts(cut(blocks.select(*keys, "_b", ends.alias("_m"))), keys, start, lo, block)
+        begun = blocks.join(starts, [*keys, "_b"])
+    walk = F.aggregate("_f", F.struct(F.col("_s").alias("v"), F.array().cast("array<int>").alias("all")),
+                       lambda acc, x: B.let(_clamped(acc["v"], x["matched"], lo, hi), lambda v: F.struct(v.alias("v"), F.concat(acc["all"], F.array(v)).alias("all"))))
+    return (begun.withColumn("w", walk["all"]).select(*keys, F.inline(F.arrays_zip("_f", "w")))
+            .select(*keys, "_f.frame_idx", "_f.matched", F.col("w").alias("keep_alive")))
+
+
+def _clamped(v, matched, lo, hi):
+    return F.least(F.lit(hi), F.greatest(F.lit(lo), v + F.when(matched, 1).otherwise(-1)))
+
+
+def _block_starts(maps: DataFrame, keys: list[str], start: int, lo: int, block: int) -> DataFrame:
+    """Start value of each block from the maps (keys, _b, _m); recursion over blocks of blocks keeps every row bounded."""
+    up = maps.withColumn("_u", F.floor(F.col("_b") / block)).groupBy(*keys, "_u").agg(F.array_sort(F.collect_list(F.struct("_b", "_m"))).alias("_l"))
+    if up.where("_u > 0").isEmpty():
+        begun = up.withColumn("_s", F.lit(start))
+    else:
+        whole = F.aggregate("_l", F.sequence(F.lit(lo), F.lit(lo) + F.size(F.col("_l")[0]["_m"]) - 1), lambda m, x: F.transform(m, lambda v: F.get(x["_m"], v - lo)))
+        higher = cut(up.select(*keys, F.col("_u").alias("_b"), whole.alias("_m")))
+        begun = up.join(_block_starts(higher, keys, start, lo, block).withColumnRenamed("_b", "_u"), [*keys, "_u"])
+    at = F.aggregate("_l", F.struct(F.col("_s").alias("v"), F.array().cast("array<int>").alias("all")),
+                     lambda acc, x: F.struct(F.get(x["_m"], acc["v"] - lo).alias("v"), F.concat(acc["all"], F.array(acc["v"])).alias("all")))
+    z = begun.withColumn("_w", at["all"]).select(*keys, F.inline(F.arrays_zip("_l", F.col("_w").alias("_s0"))))
+    return z.select(*keys, F.col("_l._b").alias("_b"), F.col("_s0").alias("_s"))
+
+
+def plan_frames(dets: DataFrame, tracks: DataFrame, videos: DataFrame, max_objects: int, margin: float | None = 0.025, new_score: float = 0.5, match_iou: float = 0.5) -> DataFrame:
+    """New objects per frame: unmatched detections, off the border, best ones up to the room left, ids in running order.
+
+    dets and tracks carry video_id, frame_idx; videos: video_id, max_obj_id (before the planned frames)."""
+    keys = ["video_id", "frame_idx"]
+    _, new, _ = associate(dets, tracks, keys, new_score, match_iou, match_iou)
+    if margin is not None:
+        new = new.where(~B.near_boundary(B.box(), margin))
+    have = tracks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    kept = limit_new_objects(new, have, keys, max_objects)
+    ids = positions(kept, ["video_id"], ["frame_idx", "det_id"], "_k").join(videos, "video_id", "left")
+    return ids.withColumn("obj_id", F.coalesce("max_obj_id", F.lit(-1)) + 1 + F.col("_k")).drop("_k", "max_obj_id")
 
 
 def frame_steps(images: DataFrame) -> DataFrame:
