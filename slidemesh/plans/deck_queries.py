@@ -458,3 +458,19 @@ def layered_union(spark, sf):
     c = V.components(spark, sf).withColumn("seg_layer", F.col("z_index") % 2)
     out, _ = L.unite_layers(c, c.groupBy("slide_id", "seg_layer").agg(F.count(F.lit(1)).alias("num_components")))
     return out.select("slide_id", "pos", "n", "seg_layer")
+
+
+@query("z_order")
+def z_order(spark, sf):
+    """White ratios are stood in by the score: overlapping boxes, less white on top."""
+    from slidemesh.operators.zorder import z_order as run
+    c = V.components(spark, sf)
+    p = box_pairs(c.select("slide_id", "pos", "score", "x0", "y0", "x1", "y1"), K, lambda a, b: a("pos") < b("pos"))
+    r = p.select("slide_id", F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), (F.col("a.score") % 100 / 100).alias("ratio_i"), (F.col("b.score") % 100 / 100).alias("ratio_j"))
+    return run(c, r, K).select("slide_id", "pos", "z_index")
+
+
+@query("stacked_text")
+def stacked_text(spark, sf):
+    from slidemesh.operators.zorder import stack_text
+    return stack_text(V.components(spark, sf).where("is_text_only"), K, float(SLIDE_H))
