@@ -69,29 +69,27 @@ def residual_pixels(runs: DataFrame, order: DataFrame, keys: list[str], min_pixe
     from slidemesh.operators.assign import per_key
 
     full = runs.join(order, [*keys, "mask_id"])
-    fields = {f.name: f.dataType.simpleString() for f in full.schema.fields}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", mask_id long, left_px long, kept boolean"
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
+    def walk(mask_ids: list, ys: list, x0: list, x1: list) -> list[tuple]:
         taken: dict[int, np.ndarray] = {}
-        width = int(g["x1"].max())
-        rows = []
-        for mask, m in g.groupby("mask_id", sort=False):
-            total = left = 0
-            fresh = []
-            for y, a, b in zip(m["y"].tolist(), m["x0"].tolist(), m["x1"].tolist()):
-                row = taken.setdefault(y, np.zeros(width, dtype=bool))
-                free = ~row[a:b]
-                total, left = total + b - a, left + int(free.sum())
-                fresh.append((y, a, b))
+        width, n = int(max(x1)), len(ys)
+        rows, at = [], 0
+        while at < n:
+            end = at
+            while end < n and mask_ids[end] == mask_ids[at]:
+                end += 1
+            spans = [(taken.setdefault(ys[k], np.zeros(width, dtype=bool)), int(x0[k]), int(x1[k])) for k in range(at, end)]
+            total = sum(b - a for _, a, b in spans)
+            left = sum(b - a - int(np.count_nonzero(row[a:b])) for row, a, b in spans)
             keep = left > 0 and left >= min_pixels and left / max(1.0, total) >= min_ratio
             if keep:
-                for y, a, b in fresh:
-                    taken[y][a:b] = True
-            rows.append((*[g[k].iloc[0] for k in keys], mask, left, keep))
-        return pd.DataFrame(rows, columns=[*keys, "mask_id", "left_px", "kept"])
+                for row, a, b in spans:
+                    row[a:b] = True
+            rows.append((mask_ids[at], left, keep))
+            at = end
+        return rows
 
-    return per_key(full, keys, ["seq", "y", "x0"], walk, schema)
+    return per_key(full, keys, ["seq", "y", "x0"], ["mask_id", "y", "x0", "x1"], walk, "mask_id long, left_px long, kept boolean")
 
 
 def boundary(mask: np.ndarray) -> np.ndarray:

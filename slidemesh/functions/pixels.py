@@ -224,3 +224,32 @@ def covered_content(content: DataFrame, boxes: DataFrame, keys: list[str]) -> Da
     hit = r.join(b, eq).select(*[F.col(f"r.{k}") for k in keys], F.col("r.y").alias("y0"), (F.col("r.y") + 1).alias("y1"), F.greatest("r.x0", "b.x0").alias("x0"), F.least("r.x1", "b.x1").alias("x1"))
     cov = union_area(hit, keys).select(*keys, F.col("covered").alias("covered_px"))
     return total.join(cov, keys, "left").fillna(0, ["covered_px"])
+
+
+def reconstruct(crops: DataFrame, keys: list[str]) -> DataFrame:
+    """Slides painted from crops in z-order on white: keys, data (BGR), h, w.
+
+    crops: keys, z_index, x0, y0, x1, y1, data, ch, cw, cc, slide_h, slide_w. A crop of another size than its box is resized by
+    nearest pixel; transparent pixels leave what is below."""
+    from slidemesh.operators.assign import per_key
+
+    cols = ["x0", "y0", "x1", "y1", "data", "ch", "cw", "cc", "slide_h", "slide_w"]
+
+    def paint(*lists: list) -> list[tuple]:
+        h, w = int(lists[8][0]), int(lists[9][0])
+        page = np.full((h, w, 3), 255, dtype=np.uint8)
+        for x0, y0, x1, y1, data, ch, cw, cc, _, _ in zip(*lists):
+            x0, y0, x1, y1 = (int(round(v)) for v in (x0, y0, x1, y1))
+            if x1 <= x0 or y1 <= y0:
+                continue
+            img = _image(data, ch, cw, cc)
+            img = img[(np.arange(y1 - y0) * int(ch)) // (y1 - y0)][:, (np.arange(x1 - x0) * int(cw)) // (x1 - x0)]
+            top, left, bottom, right = max(0, y0), max(0, x0), min(h, y1), min(w, x1)
+            if bottom <= top or right <= left:
+                continue
+            part = img[top - y0:bottom - y0, left - x0:right - x0]
+            seen = part[..., 3] > 0 if part.shape[2] == 4 else np.ones(part.shape[:2], dtype=bool)
+            page[top:bottom, left:right][seen] = part[..., :3][seen]
+        return [(page.tobytes(), h, w)]
+
+    return per_key(crops.select(*keys, "z_index", *cols), keys, ["z_index"], cols, paint, "data binary, h int, w int")

@@ -61,43 +61,65 @@ def solve(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.array(sorted(k for k in picked if k >= 0), dtype=np.int64)
 
 
-def per_key(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """Apply `fn` to every key's rows, many keys per Python batch: hash by key, sort, cut the batches at key changes.
+def per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Walk every key's rows in order: `fn` gets plain lists of `columns` and returns tuples of the columns after the keys.
 
-    Only for keys of bounded size; callers split larger ones off first."""
+    Rows are hashed by key and sorted; many keys share a Python batch and one output frame. Only for keys of bounded size;
+    callers split larger ones off first."""
     names = list(keys)
+    out_names = [*names, *[c.split()[0].strip("`") for c in schema.split(", ")]]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    full = ", ".join([*[f"`{k}` {types[k]}" for k in names], schema])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: pd.DataFrame | None = None
-
-        def groups(pdf: pd.DataFrame):
-            ident = pdf[names]
-            new = (ident != ident.shift()).any(axis=1).to_numpy()
-            return np.flatnonzero(new)
-
-        def emit(pdf: pd.DataFrame):
-            starts = [*groups(pdf), len(pdf)]
-            parts = [fn(pdf.iloc[a:b]) for a, b in zip(starts, starts[1:])]
-            parts = [p for p in parts if p is not None and len(p)]
-            return pd.concat(parts, ignore_index=True) if parts else None
-
-        for pdf in batches:
-            if tail is not None:
-                pdf = pd.concat([tail, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = groups(pdf)[-1]
-            tail = pdf.iloc[last:]
-            if last:
-                out = emit(pdf.iloc[:last])
-                if out is not None:
-                    yield out
-        if tail is not None and len(tail):
-            out = emit(tail.reset_index(drop=True))
-            if out is not None:
-                yield out
-
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+        for pdf, starts in _whole_groups(batches, names):
+            lists = [pdf[c].tolist() for c in columns]
+            idents = list(zip(*[pdf[k].iloc[starts[:-1]].tolist() for k in names]))
+            rows = [(*ident, *row) for ident, a, b in zip(idents, starts, starts[1:]) for row in fn(*[v[a:b] for v in lists])]
+            if rows:
+                yield pd.DataFrame(rows, columns=out_names)
+
+    return _by_key(df, keys, order).mapInPandas(run, full)
+
+
+def choose_per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., np.ndarray]) -> DataFrame:
+    """Like per_key for kernels that only pick rows: `fn` gets plain arrays of `columns` and returns positions to keep."""
+    names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_groups(batches, names):
+            arrays = [pdf[c].to_numpy() for c in columns]
+            picked = [a + fn(*[v[a:b] for v in arrays]) for a, b in zip(starts, starts[1:])]
+            yield pdf.iloc[np.concatenate(picked)]
+
+    return _by_key(df, keys, order).mapInPandas(run, df.schema)
+
+
+def _by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Hash partitions in a stated number: Python work is not proportional to bytes, so small partitions stay apart."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Re-cut Arrow batches at key changes: (rows, group starts and end); the last group waits for the next batch."""
+    def starts_of(pdf: pd.DataFrame) -> np.ndarray:
+        ident = pdf[names]
+        return np.flatnonzero((ident != ident.shift()).any(axis=1).to_numpy())
+
+    tail: pd.DataFrame | None = None
+    for pdf in batches:
+        if tail is not None:
+            pdf = pd.concat([tail, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        starts = starts_of(pdf)
+        last = int(starts[-1])
+        tail = pdf.iloc[last:]
+        if last:
+            yield pdf.iloc[:last], [int(v) for v in starts]
+    if tail is not None and len(tail):
+        yield tail.reset_index(drop=True), [0, len(tail)]
 
 
 def components_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,15 +151,11 @@ def best_assignment(pairs: DataFrame, keys: list[str], limit: int = HOT_PAIRS) -
     free = tagged.where("_dr = 1 and _dc = 1").select(*cols)
     contested = tagged.where("_dr > 1 or _dc > 1").select(*cols)
     cold, hot = split_hot(contested, keys, limit)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        return g.iloc[solve(g["r"].to_numpy(), g["c"].to_numpy(), g["value"].to_numpy())][cols]
-
-    out = free.unionByName(per_key(cold, keys, ["r", "c"], choose, schema))
+    rcv = ["r", "c", "value"]
+    out = free.unionByName(choose_per_key(cold, keys, ["r", "c"], rcv, solve))
     if hot is not None:
         parts = components_of(cut(hot), keys)
-        out = out.unionByName(per_key(parts, [*keys, "comp"], ["r", "c"], choose, schema))
+        out = out.unionByName(choose_per_key(parts, [*keys, "comp"], ["r", "c"], rcv, solve).select(*cols))
     return out
 
 

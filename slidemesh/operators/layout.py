@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,18 +199,18 @@ def _carve_walk(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
     b = geo.select("slide_id", F.col("pos").alias("j"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
     full = edges.join(a, ["slide_id", "i"]).join(b, ["slide_id", "j"])
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
+    cols = ["i", "j", *[f"{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1")]]
+
+    def walk(*lists: list) -> list[tuple]:
         moved: dict[int, tuple] = {}
-        for r in g.itertuples(index=False):
-            if r.i in moved:
-                continue
-            bx = moved.get(r.j, (r.bx0, r.by0, r.bx1, r.by1))[:4]
-            left = _carve_one((r.ax0, r.ay0, r.ax1, r.ay1), bx, min_px)
-            if left is not None:
-                moved[r.i] = (*left, r.j)
-        return pd.DataFrame([(g["slide_id"].iloc[0], i, *m) for i, m in moved.items()], columns=["slide_id", "pos", "x0", "y0", "x1", "y1", "carved_by"])
-
-    cuts = cut(per_key(full, ["slide_id"], ["i", "j"], walk, "slide_id long, pos long, x0 double, y0 double, x1 double, y1 double, carved_by long"))
+        for i, j, *v in zip(*lists):
+            if i not in moved:
+                left = _carve_one(tuple(v[:4]), moved.get(j, tuple(v[4:]))[:4], min_px)
+                if left is not None:
+                    moved[i] = (*left, j)
+        return [(i, *m) for i, m in moved.items()]
+
+    cuts = cut(per_key(full, ["slide_id"], ["i", "j"], cols, walk, "pos long, x0 double, y0 double, x1 double, y1 double, carved_by long"))
     # outlines come from the box the winner had at that moment: its own cut when it is earlier, else the original
     w = cuts.select("slide_id", F.col("pos").alias("carved_by"), F.col("pos").alias("_w"), *[F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")])
     o = geo.select("slide_id", F.col("pos").alias("carved_by"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])

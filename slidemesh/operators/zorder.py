@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +34,14 @@ def z_order(comps: DataFrame, ratios: DataFrame, keys: list[str]) -> DataFrame:
     a = order.select(*keys, F.col("pos").alias("under"), F.col("neg_area").alias("ua"))
     b = order.select(*keys, F.col("pos").alias("over"), F.col("neg_area").alias("oa"))
     cold, hot = split_hot(edges.join(a, [*keys, "under"]).join(b, [*keys, "over"]), keys, HOT_EDGES)
-    fields = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", pos long, m_area double, m_pos long, seq long, cyclic boolean"
+    schema = "pos long, m_area double, m_pos long, seq long, cyclic boolean"
+    cols = ["under", "over", "ua", "oa"]
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        area = {**dict(zip(g["under"], g["ua"])), **dict(zip(g["over"], g["oa"]))}
+    def walk(under: list, over: list, ua: list, oa: list) -> list[tuple]:
+        area = {**dict(zip(under, ua)), **dict(zip(over, oa))}
         nxt: dict = {}
         need = dict.fromkeys(area, 0)
-        for u, o in zip(g["under"].tolist(), g["over"].tolist()):
+        for u, o in zip(under, over):
             nxt.setdefault(u, []).append(o)
             need[o] += 1
         heap = [(area[v], v) for v in area if need[v] == 0]
@@ -51,21 +50,19 @@ def z_order(comps: DataFrame, ratios: DataFrame, keys: list[str]) -> DataFrame:
         while heap:
             item = heapq.heappop(heap)
             top = max(top, item)
-            rows.append((*[g[k].iloc[0] for k in keys], int(item[1]), float(top[0]), int(top[1]), len(rows), False))
+            rows.append((item[1], top[0], top[1], len(rows), False))
             for o in nxt.get(item[1], []):
                 need[o] -= 1
                 if need[o] == 0:
                     heapq.heappush(heap, (area[o], o))
-        if len(rows) < len(area):
-            rows = [(*[g[k].iloc[0] for k in keys], int(v), 0.0, 0, 0, True) for v in area]
-        return pd.DataFrame(rows, columns=[*keys, "pos", "m_area", "m_pos", "seq", "cyclic"])
+        return rows if len(rows) == len(area) else [(v, 0.0, 0, 0, True) for v in area]
 
-    walked = per_key(cold, keys, ["under", "over"], walk, schema)
+    walked = per_key(cold, keys, ["under", "over"], cols, walk, schema)
     if hot is not None:
         h = cut(hot)
         both = h.select(*keys, F.col("under").alias("r"), F.col("over").alias("c")).union(h.select(*keys, "over", "under")).union(h.select(*keys, "under", "under")).union(h.select(*keys, "over", "over")).distinct()
         part = components_of(cut(both), keys).select(*keys, F.col("r").alias("under"), "comp").distinct()
-        walked = walked.unionByName(per_key(h.join(part, [*keys, "under"]), [*keys, "comp"], ["under", "over"], walk, schema))
+        walked = walked.unionByName(per_key(h.join(part, [*keys, "under"]), [*keys, "comp"], ["under", "over"], cols, walk, schema).drop("comp"))
     walked = cut(walked)
     bad = walked.groupBy(*keys).agg(F.max("cyclic").alias("_cyc"))
     j = order.join(walked, [*keys, "pos"], "left").join(bad, keys, "left")
@@ -80,9 +77,6 @@ def stack_text(boxes: DataFrame, keys: list[str], slide_h: float, threshold: flo
     """Text boxes in order are pushed below or above earlier placed ones they overlap by more than 12 % of either side.
 
     Each placement depends on all earlier ones of the page, so a page is one walk (pages hold a screenful of text boxes)."""
-    fields = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", pos long, x0 double, y0 double, x1 double, y1 double"
-
     def share(a, b):
         w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
         if w <= 0 or h <= 0:
@@ -107,14 +101,11 @@ def stack_text(boxes: DataFrame, keys: list[str], slide_h: float, threshold: flo
                 break
         return cur
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
+    def walk(pos: list, x0: list, y0: list, x1: list, y1: list) -> list[tuple]:
         placed: list[tuple] = []
-        for r in g[["x0", "y0", "x1", "y1"]].astype(float).itertuples(index=False):
-            placed.append(place(tuple(r), placed))
-        out = pd.DataFrame(placed, columns=["x0", "y0", "x1", "y1"])
-        out.insert(0, "pos", g["pos"].to_numpy())
-        for i, k in enumerate(keys):
-            out.insert(i, k, g[k].iloc[0])
-        return out
-
-    return per_key(boxes.select(*keys, "pos", "x0", "y0", "x1", "y1"), keys, ["pos"], walk, schema)
+        for cur in zip(x0, y0, x1, y1):
+            placed.append(place(cur, placed))
+        return [(p, *map(float, q)) for p, q in zip(pos, placed)]
+
+    cols = ["pos", "x0", "y0", "x1", "y1"]
+    return per_key(boxes.select(*keys, *cols), keys, ["pos"], cols, walk, "pos long, x0 double, y0 double, x1 double, y1 double")

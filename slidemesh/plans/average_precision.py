@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +40,11 @@ def match(gt: DataFrame, dt: DataFrame, keys: list[str], areas: dict = AREAS, pa
     alone = tagged.where("_dr = 1 AND _dc = 1").select(*keys, F.col("c").alias("dt_id"), "iscrowd", "g_area", F.explode(ok).alias("x"))
     alone = alone.select(*keys, "dt_id", F.col("x.cell").alias("cell"),
                          F.when(F.col("iscrowd") | (F.col("g_area") < F.col("x.lo")) | (F.col("g_area") > F.col("x.hi")), 2).otherwise(1).alias("state"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys) + ", dt_id long, cell int, state int"
+    cols, schema = ["c", "r", "sim", "g_area", "iscrowd"], "dt_id long, cell int, state int"
 
-    def walk(grp: pd.DataFrame) -> pd.DataFrame | None:
-        grp = grp.sort_values(["score", "c", "r"], ascending=[False, True, True], kind="stable")
+    def walk(*lists: list) -> list[tuple]:
         cand: dict = {}
-        for c, r, sim, area, crowd in zip(*[grp[k].tolist() for k in ("c", "r", "sim", "g_area", "iscrowd")]):
+        for c, r, sim, area, crowd in zip(*lists):
             cand.setdefault(c, []).append((r, sim, area, bool(crowd)))
         rows = []
         for cell, lo, hi, t in cells:
@@ -61,17 +59,13 @@ def match(gt: DataFrame, dt: DataFrame, keys: list[str], areas: dict = AREAS, pa
                 if best is not None:
                     taken.add(best[2])
                     rows.append((c, cell, 1 if best[0] else 2))
-        if not rows:
-            return None
-        out = pd.DataFrame(rows, columns=["dt_id", "cell", "state"])
-        for i, k in enumerate(keys):
-            out.insert(i, k, grp[k].iloc[0])
-        return out
-
-    cold, hot = split_hot(tagged.where("_dr > 1 OR _dc > 1").drop("_dr", "_dc"), keys, HOT_PAIRS)
-    hit = alone.unionByName(per_key(cold, keys, ["c", "r"], walk, schema))
+        return rows
+
+    walk_order = ["neg", "c", "r"]
+    cold, hot = split_hot(tagged.where("_dr > 1 OR _dc > 1").drop("_dr", "_dc").withColumn("neg", -F.col("score")), keys, HOT_PAIRS)
+    hit = alone.unionByName(per_key(cold, keys, walk_order, cols, walk, schema))
     if hot is not None:
-        hit = hit.unionByName(per_key(components_of(cut(hot), keys), [*keys, "comp"], ["c", "r"], walk, schema))
+        hit = hit.unionByName(per_key(components_of(cut(hot), keys), [*keys, "comp"], walk_order, cols, walk, schema).drop("comp"))
     return hit
 
 

@@ -474,3 +474,16 @@ def z_order(spark, sf):
 def stacked_text(spark, sf):
     from slidemesh.operators.zorder import stack_text
     return stack_text(V.components(spark, sf).where("is_text_only"), K, float(SLIDE_H))
+
+
+@query("refined_groups")
+def refined_groups(spark, sf):
+    """Merge groups refined by verdicts that follow from the file numbers."""
+    from slidemesh.operators.refine import refine_groups
+    c = V.components(spark, sf)
+    f = c.select("slide_id", "pos", F.concat(F.lit("f"), F.col("pos")).alias("filename"), "label", "x0", "y0", "x1", "y1")
+    g = _groups(c).withColumn("member_filenames", F.slice("member_filenames", 1, 2))
+    d = c.where("pos >= 2").select("slide_id", F.lit(0).alias("group_idx"), F.concat(F.lit("f"), F.col("pos")).alias("filename"),
+                                   (F.col("score") % 3 == 0).alias("should_merge"), (F.col("score") % 2 == 0).alias("visually_overlaps"))
+    r = refine_groups(g, f, d)
+    return r.select("slide_id", "x0", "y0", "x1", "y1", F.array_join("members", " ").alias("members"), F.array_join("erases", " ").alias("erases"), "area", "rectangular")

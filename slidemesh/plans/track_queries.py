@@ -187,3 +187,34 @@ def video_ap(spark, sf):
     gt = AP.tracks_of(gf, "gt_id", []).withColumn("iscrowd", F.lit(False))
     dt = AP.tracks_of(df, "dt_id", []).withColumn("score", F.col("dt_id"))
     return AP.evaluate(gt, dt, "video_id", "category_id", AP.VIDEO_AREAS, pairs=AP.video_pairs(gf, df))
+
+
+def _phrases(spark, sf):
+    g, t = _gt_trk(spark, sf)
+    area = B.area(B.box())
+    return (g.withColumn("category_id", F.col("gt_id") % 2),
+            t.withColumns({"category_id": F.col("tk_id") % 2, "area": area, "score": F.when(F.col("tk_id") % 5 == 4, 0.3).otherwise(0.9)}))
+
+
+@query("phrase_hota")
+def phrase_hota(spark, sf):
+    from slidemesh.plans import video_eval as VE
+    g, t = _phrases(spark, sf)
+    return TM.mean_over_alpha(TM.hota_scores(TM.combine(VE.phrase_hota(g, t))))
+
+
+@query("class_agnostic_hota")
+def class_agnostic_hota(spark, sf):
+    from slidemesh.plans import video_eval as VE
+    g, t = _phrases(spark, sf)
+    return TM.hota_scores(TM.combine(VE.class_agnostic_hota(g, t)))
+
+
+@query("video_concept_f1")
+def video_concept_f1(spark, sf):
+    from slidemesh.plans import concept_f1 as CF
+    from slidemesh.plans import video_eval as VE
+    g, t = _phrases(spark, sf)
+    gf, df = g.withColumn("frame_idx", F.col("frame")), t.withColumns({"frame_idx": F.col("frame"), "dt_id": F.col("tk_id")})
+    s = df.select("video_id", "category_id", "dt_id", "score").distinct()
+    return CF.accumulate(VE.video_concept_f1(gf, df, s))
