@@ -300,15 +300,20 @@ def manifest_counters(comps: DataFrame, key: str = "slide_id") -> DataFrame:
         F.count_if(F.coalesce("bbox_was_tightened", F.lit(False))).alias("num_bbox_tightened"), F.count_if(~(fine & absorbed)).alias("num_final_components"))
 
 
+def invalid_components(verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """Files a review rejects, one row each."""
+    return verdicts.where(~F.col("valid")).select(*keys, "pos", "filename")
+
+
+def transcriptions(verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """Transcribed text of valid text-only components, one row each."""
+    return verdicts.where("valid AND is_text_only AND coalesce(ocr_latex, '') <> ''").select(*keys, "pos", "filename", F.col("ocr_latex").alias("latex"))
+
+
 def verdict_rollup(verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """Invalid files and transcriptions per review, in position order."""
-    def listed(cond, value):
-        return F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", value.alias("v"))))), lambda s: s["v"])
+    """Counts per review: valid, rejected and transcribed components."""
     text = F.col("valid") & F.col("is_text_only") & (F.coalesce("ocr_latex", F.lit("")) != "")
-    return verdicts.groupBy(*keys).agg(
-        listed(~F.col("valid"), F.col("filename")).alias("invalid_components"),
-        listed(text, F.struct(F.col("filename"), F.col("ocr_latex").alias("latex"))).alias("ocr_results"),
-        F.count_if("valid").alias("n_valid"))
+    return verdicts.groupBy(*keys).agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(text).alias("n_ocr"))
 
 
 def consolidate(fine: DataFrame, missed: DataFrame, merged: DataFrame) -> DataFrame:

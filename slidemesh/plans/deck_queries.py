@@ -267,6 +267,10 @@ def sparse_dropped(spark, sf):
     return L.drop_sparse(c, slides, 0.25).select("slide_id", "pos")
 
 
+_GROUPS = """grp AS (SELECT slide_id, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, bool_and(is_text_only) AS all_text,
+ (['line chart', 'flow chart', 'photo', 'table', 'diagram'])[slide_id % 5 + 1] AS cls FROM components WHERE pos < 5 GROUP BY slide_id HAVING count(*) >= 2)"""
+
+
 def _verdicts(c):
     """A verdict for two of three components; every eleventh of those is invalid."""
     return c.where("pos % 3 <> 2").selectExpr("slide_id", "pos", "(slide_id + pos) % 11 <> 0 AS valid", "pos % 2 = 0 AS is_text_only",
@@ -290,8 +294,24 @@ def prune_invalid(spark, sf):
 count(*) FILTER ((slide_id + pos) % 11 <> 0 AND pos % 2 = 0) AS n_ocr FROM components WHERE pos % 3 <> 2 GROUP BY slide_id""", "components"))
 def verdict_rollup(spark, sf):
     c = V.components(spark, sf)
-    r = L.verdict_rollup(_verdicts(c).withColumn("filename", F.concat(F.lit("f"), F.col("pos"))), K)
-    return r.select("slide_id", "n_valid", F.size("invalid_components").cast("long").alias("n_invalid"), F.size("ocr_results").cast("long").alias("n_ocr"))
+    return L.verdict_rollup(_verdicts(c), K)
+
+
+@query("rejected_and_transcribed", sql("""SELECT slide_id, pos, concat('f', cast(pos AS VARCHAR)) AS filename, CASE WHEN (slide_id + pos) % 11 <> 0 THEN concat('t', cast(pos AS VARCHAR)) END AS latex
+FROM components WHERE pos % 3 <> 2 AND ((slide_id + pos) % 11 = 0 OR pos % 2 = 0)""", "components"))
+def rejected_and_transcribed(spark, sf):
+    v = _verdicts(V.components(spark, sf)).withColumn("filename", F.concat(F.lit("f"), F.col("pos")))
+    return L.invalid_components(v, K).withColumn("latex", F.lit(None).cast("string")).unionByName(L.transcriptions(v, K))
+
+
+@query("consolidated_components", sql("""SELECT granularity, source, count(*) AS n, count(merged_from) AS with_members FROM (
+ SELECT 'fine' AS granularity, 'sam3' AS source, NULL AS merged_from FROM components WHERE pos > 0 UNION ALL SELECT 'fine', 'layout_review', NULL FROM components WHERE pos = 0 AND score % 2 = 0
+ UNION ALL SELECT 'merged', 'merge_group', 'x' FROM grp) t GROUP BY 1, 2""", "components", extra=_GROUPS))
+def consolidated_components(spark, sf):
+    c = V.components(spark, sf)
+    missed = c.where("pos = 0 AND score % 2 = 0").select("slide_id", "x0", "y0", "x1", "y1")
+    merged = _groups(c).select("slide_id", "x0", "y0", "x1", "y1", F.col("member_filenames").alias("merged_from"))
+    return L.consolidate(c.where("pos > 0"), missed, merged).groupBy("granularity", "source").agg(F.count(F.lit(1)).alias("n"), F.count("merged_from").alias("with_members"))
 
 
 def _groups(c):
@@ -303,8 +323,7 @@ def _groups(c):
         "merged_class": F.expr("element_at(array('line chart', 'flow chart', 'photo', 'table', 'diagram'), cast(slide_id % 5 + 1 AS int))")})
 
 
-_GROUPS = """grp AS (SELECT slide_id, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, bool_and(is_text_only) AS all_text,
- (['line chart', 'flow chart', 'photo', 'table', 'diagram'])[slide_id % 5 + 1] AS cls FROM components WHERE pos < 5 GROUP BY slide_id HAVING count(*) >= 2)"""
+
 
 
 @query("merge_caps", sql("""SELECT slide_id, CAST(n AS INTEGER) AS n_members, round((x1 - x0) * (y1 - y0) / CAST(600000 AS DOUBLE), 9) AS area_frac,

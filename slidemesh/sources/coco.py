@@ -161,6 +161,12 @@ def fill_sizes(tracks: DataFrame, videos: DataFrame) -> DataFrame:
     return tracks.join(v, "video_id", "left").withColumns({"height": F.coalesce("height", "_h"), "width": F.coalesce("width", "_w")}).drop("_h", "_w")
 
 
+def fill_video_ids(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    """Missing video ids come from the annotation's image."""
+    im = images.select(F.col("id").alias("image_id"), F.col("video_id").alias("_v"))
+    return annotations.join(im, "image_id", "left").withColumn("video_id", F.coalesce("video_id", "_v")).drop("_v")
+
+
 def class_agnostic(tracks: DataFrame, ident: str) -> DataFrame:
     """Category 1 for all, dense track ids per video."""
     return dense_ids(tracks, ["video_id"], ident, "track_id").withColumn("category_id", F.lit(1))
@@ -186,5 +192,5 @@ def read_tracking_text(spark: SparkSession, path: str, columns: list[str], valid
     if convert is not None:
         for c in columns:
             m = convert.where(F.col("column") == c).select(F.col("source").alias(c), F.col("target").alias("_t"))
-            df = df.join(F.broadcast(m), c, "left").withColumn(c, F.coalesce("_t", c)).drop("_t")  # a rename table, a few rows
+            df = df.join(m, c, "left").withColumn(c, F.coalesce("_t", c)).drop("_t")
     return df.select(*columns)

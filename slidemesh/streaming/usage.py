@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from slidemesh.runtime import cut
+
 ATTRIBUTED = "run string, line_no long, agent string, input_tokens long, output_tokens long, latency_ms long, open_image string"
 
 
@@ -46,8 +49,31 @@ def sessions(log: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("calls")).select("w.start", "w.end", "agent", "calls"))
 
 
-def ingest_slides(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str):
-    """Upsert finished slides into a component table partitioned by slide: a re-sent slide replaces its partition."""
+BUCKETS = 1024
+
+
+def ingest_slides(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Upsert finished slides into a component table: a slide sent again replaces its rows.
+
+    The table is partitioned by a hash bucket of the slide, not by slide, so that directories stay few; a micro-batch rewrites
+    the buckets it touches. Replaying a batch gives the same table."""
     def upsert(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide_id").parquet(path)
+        new = cut(batch.withColumn("bucket", F.pmod(F.xxhash64("slide_id"), F.lit(buckets)).cast("int")))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        merged = new
+        if _exists(spark, path):
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+            merged = cut(old.join(new.select("slide_id").distinct(), "slide_id", "left_anti").select(*new.columns).unionByName(new))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException:
+        return False

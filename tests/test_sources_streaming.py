@@ -118,6 +118,16 @@ def test_windows_stream(spark, tmp_path):
     assert sum(r.calls for r in rows) >= 20 and all(r.calls == 5 for r in rows)
 
 
+def test_ingest_replaces_slides(spark, tmp_path):
+    first = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "slide_id string, pos int")
+    src = stream(first, str(tmp_path / "in"))
+    for k, more in enumerate([None, [("a", 9), ("c", 1)]]):
+        if more:
+            spark.createDataFrame(more, first.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        usage_stream.ingest_slides(src, spark, str(tmp_path / "table"), str(tmp_path / "ck"), 3).awaitTermination()
+    assert sorted((r.slide_id, r.pos) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [("a", 9), ("b", 1), ("c", 1)]
+
+
 def test_lifecycle_stream_equals_batch_streak(spark, tmp_path):
     ev = [(1, 0, 5, "new", 1)] + [(1, f, 5, k, 1 if k == "matched" else None) for f, k in enumerate(["matched", "unmatched", "matched", "matched", "matched", "unmatched"], 1)]
     df = spark.createDataFrame(ev, "video_id long, frame_idx long, track_id long, event string, det_id long")
