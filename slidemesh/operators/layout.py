@@ -131,7 +131,7 @@ def resolve_members(groups: DataFrame, comps: DataFrame) -> DataFrame:
     iteration) with that original name; groups with fewer than two resolved members vanish."""
     m = groups.select("slide_id", "group_idx", F.posexplode("member_filenames").alias("m_idx", "member"))
     direct = comps.select("slide_id", F.col("filename").alias("member"), F.col("filename").alias("_direct"))
-    first = (comps.where("granularity = 'fine' AND source = 'sam3'").groupBy("slide_id", F.col("iter_original_filename").alias("member"))
+    first = (comps.where("granularity = 'fine' AND source <> 'layout_review'").groupBy("slide_id", F.col("iter_original_filename").alias("member"))
              .agg(F.min_by("filename", F.struct("iter_idx", "filename")).alias("_first")))
     hit = (m.join(direct, ["slide_id", "member"], "left").join(first, ["slide_id", "member"], "left")
            .withColumn("filename", F.coalesce("_direct", "_first")).where("filename IS NOT NULL")
@@ -316,10 +316,10 @@ def verdict_rollup(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     return verdicts.groupBy(*keys).agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(text).alias("n_ocr"))
 
 
-def consolidate(fine: DataFrame, missed: DataFrame, merged: DataFrame) -> DataFrame:
-    """One table of fine, missed and merged components; columns one part lacks are NULL."""
+def consolidate(fine: DataFrame, missed: DataFrame, merged: DataFrame, detector: str = "detector") -> DataFrame:
+    """One table of fine, missed and merged components; columns one part lacks are NULL. `detector` tags the fine rows."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
-        fine.withColumns({"granularity": F.lit("fine"), "source": F.lit("sam3")}),
+        fine.withColumns({"granularity": F.lit("fine"), "source": F.lit(detector)}),
         missed.withColumns({"granularity": F.lit("fine"), "source": F.lit("layout_review")}),
         merged.withColumns({"granularity": F.lit("merged"), "source": F.lit("merge_group")})])
 

@@ -305,7 +305,7 @@ def rejected_and_transcribed(spark, sf):
 
 
 @query("consolidated_components", sql("""SELECT granularity, source, count(*) AS n, count(merged_from) AS with_members FROM (
- SELECT 'fine' AS granularity, 'sam3' AS source, NULL AS merged_from FROM components WHERE pos > 0 UNION ALL SELECT 'fine', 'layout_review', NULL FROM components WHERE pos = 0 AND score % 2 = 0
+ SELECT 'fine' AS granularity, 'detector' AS source, NULL AS merged_from FROM components WHERE pos > 0 UNION ALL SELECT 'fine', 'layout_review', NULL FROM components WHERE pos = 0 AND score % 2 = 0
  UNION ALL SELECT 'merged', 'merge_group', 'x' FROM grp) t GROUP BY 1, 2""", "components", extra=_GROUPS))
 def consolidated_components(spark, sf):
     c = V.components(spark, sf)
@@ -340,7 +340,7 @@ def merge_caps_refined(spark, sf):
 
 def _files(c):
     return c.selectExpr("slide_id", "pos", "concat('f', cast(pos AS string)) AS filename", "concat('o', cast(pos AS string)) AS iter_original_filename",
-                        "iter_idx", "'fine' AS granularity", "'sam3' AS source", "is_text_only", "x0", "y0", "x1", "y1")
+                        "iter_idx", "'fine' AS granularity", "'detector' AS source", "is_text_only", "x0", "y0", "x1", "y1")
 
 
 @query("merge_members", sql("SELECT c.slide_id, c.pos, concat('f', cast(c.pos AS VARCHAR)) AS filename FROM components c JOIN grp g ON g.slide_id = c.slide_id WHERE c.pos < 5", "components", extra=_GROUPS))
@@ -366,7 +366,7 @@ def group_hulls(spark, sf):
 SELECT slide_id, count(*) AS n, count(*) FILTER (pos % 4 = 3) AS k, count(*) FILTER (score % 2 = 0) AS t, count(*) FILTER (pos % 4 IN (1, 2)) AS a FROM components GROUP BY 1) q""", "components"))
 def final_components(spark, sf):
     c = V.components(spark, sf).withColumns({
-        "granularity": F.when(F.col("pos") % 4 == 3, "merged").otherwise("fine"), "source": F.lit("sam3"), "bbox_was_tightened": F.col("score") % 2 == 0,
+        "granularity": F.when(F.col("pos") % 4 == 3, "merged").otherwise("fine"), "source": F.lit("detector"), "bbox_was_tightened": F.col("score") % 2 == 0,
         "merged_into": F.when((F.col("pos") % 4).isin(1, 2), F.lit("m"))})
     return L.manifest_counters(c)
 
