@@ -22,7 +22,16 @@ from pyspark.sql import functions as F
 from slidemesh.llm.common import query, ship, table
 
 MAX_STATES = 200_000    # then the tables start anew, results do not change
-MAX_PIECES = 400_000
+MAX_PIECES = 250_000    # per generation of a table
+# Letters and numbers that Unicode added after version 16, hexadecimal ranges.
+ADDED = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 "
+    "10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff "
+    "18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 "
+    "1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 "
+    "3d000-3fc3f "
+)
+NEWER = regex.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in ADDED.split()) + "]")
 OUT_BYTES = 16_000_000  # per output batch
 
 
@@ -173,6 +182,26 @@ class Transducer:
         return tuple(self._chain(ends, len(ends)))
 
 
+class Generations(dict):
+    """A bounded table: when it is full it becomes the old half, and entries still in use move on to the new one."""
+
+    def __init__(self, most: int = MAX_PIECES):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
     """Splits text by the pattern and encodes each match.
 
@@ -182,21 +211,23 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.known, self.pieces = Generations(), Generations()
+
+    def _matches(self, text: str) -> Iterator[str]:
+        """Matches of the pattern, with letters and numbers as of Unicode 16: what the pattern module knows beyond that counts as other."""
+        if text.isascii() or not NEWER.search(text):
+            return (m[0] for m in self.pattern.finditer(text))
+        return (text[m.start():m.end()] for m in self.pattern.finditer(NEWER.sub("\ue000", text)))
 
     def _split(self, text: str) -> list[int]:
         out: list[int] = []
         pieces = self.pieces
-        for m in self.pattern.finditer(text):
-            p = m[0]
-            ids = pieces.get(p)
+        for p in self._matches(text):
+            ids = pieces[p]
             if ids is None:
                 ids = self.transducer.piece(p.encode("utf-8"))
                 if len(p) <= 64:
-                    if len(pieces) >= MAX_PIECES:
-                        pieces.clear()
-                    pieces[p] = ids
+                    pieces.put(p, ids)
             out += ids
         return out
 
@@ -209,15 +240,13 @@ class Encoder:
             return self._split(text)
         known = self.known
         for c in cuts[1:]:
-            ids = known.get(c)
+            ids = known[c]
             if ids is None:
                 if not c or c[0].isspace() or c[-1].isspace():
                     return self._split(text)
                 ids = self._split(" " + c)
                 if len(c) <= 64:
-                    if len(known) >= MAX_PIECES:
-                        known.clear()
-                    known[c] = ids
+                    known.put(c, ids)
             out += ids
         return out
 
