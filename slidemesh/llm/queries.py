@@ -1,4 +1,4 @@
 """Imports every operator, which registers its query: QUERIES and ORACLES."""
 
-from slidemesh.llm import bpe, embedding_neardup, exact_dedup, html_wrapper, quality_qda, sharding, simhash_ball  # noqa: F401
+from slidemesh.llm import bpe, embedding_neardup, exact_dedup, html_wrapper, quality_qda, sharding, simhash_ball, warc_zip  # noqa: F401
 from slidemesh.llm.common import ORACLES, QUERIES  # noqa: F401
