@@ -166,6 +166,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored(stats, model, ["id"]).select("id", held_out(F.col("id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of `docs` predicted as 1, with their columns, by a model learnt as in `quality_scores`. A score depends on the text alone, so rows
+    are told apart by its 64-bit hash and length: ids may repeat or be null."""
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "quality")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    stats = scratch.save(with_statistics(docs, text_col, [F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.octet_length(text).alias("size")]), "stats")
+    truth = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    model = fit(stats.where(~held_out(F.col("id"))).join(truth, "id"))
+    gone = scored(stats, model, ["mark", "size"]).where("score < 0.5").select(F.col("mark").alias("_mark"), F.col("size").alias("_size")).distinct()
+    gone = scratch.save(gone, "rejected")
+    keyed = docs.withColumn("_mark", F.xxhash64(text)).withColumn("_size", F.octet_length(text))
+    return keyed.join(gone, ["_mark", "_size"], "left_anti").select(*docs.columns)
+
+
 @query("op9_quality_qda")
 def op9_quality_qda(spark, sf):
     """One row per document: score and prediction of the quality label."""

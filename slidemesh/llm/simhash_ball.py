@@ -11,6 +11,7 @@ bucket, the unit of work and memory, near a constant at every size. Copies of on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -61,15 +62,15 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
 class Ball:
     """Flip patterns of at most `half` bits, ordered by their r-bit bucket."""
 
-    def __init__(self, bits: int, half: int):
+    def __init__(self, bits: int, half: int, width: int = 64):
         self.bits, self.size = bits, 1 << bits
         rng = np.random.default_rng(20_011)
-        self.columns = rng.integers(0, self.size, 64, dtype=np.int64)
-        one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        self.columns = rng.integers(0, self.size, width, dtype=np.int64)
+        one = np.uint64(1) << np.arange(width, dtype=np.uint64)
         layers, sums = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)]
         top = [np.full(1, -1)]
         for _ in range(half):
-            grown = [(p | one[i], s ^ self.columns[i], i) for p, s, t in zip(layers[-1], sums[-1], top[-1]) for i in range(t + 1, 64)]
+            grown = [(p | one[i], s ^ self.columns[i], i) for p, s, t in zip(layers[-1], sums[-1], top[-1]) for i in range(t + 1, width)]
             layers.append(np.array([g[0] for g in grown], np.uint64))
             sums.append(np.array([g[1] for g in grown], np.int64))
             top.append(np.array([g[2] for g in grown]))
@@ -109,14 +110,18 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return pairs[kept]
 
 
-def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Links (k, 2) between distinct fingerprints that share a variant in this bucket, each verified at `radius` bits or fewer."""
+def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest: bool = True) -> np.ndarray:
+    """Links (k, 2) between distinct fingerprints that share a variant in this bucket, each verified at `radius` bits or fewer.
+
+    All fingerprints that share a variant are within the radius of each other. With `forest`, links that join nothing new are left out;
+    without it every fingerprint is linked to the smallest one of each variant it shares."""
     fps = np.unique(fps)
     slot = ball.home(fps) ^ bucket
     reps = ball.count[slot]
-    idx = np.repeat(np.arange(len(fps)), reps)
-    within = np.arange(len(idx)) - np.repeat(np.cumsum(reps) - reps, reps)
-    variants = fps[idx] ^ ball.flips[ball.start[slot][idx] + within]
+    idx = np.repeat(np.arange(len(fps), dtype=np.int32), reps)
+    flip = np.arange(len(idx)) + np.repeat(ball.start[slot] - np.cumsum(reps) + reps, reps)
+    variants = fps[idx] ^ ball.flips[flip]
+    del flip
     low = np.uint64(max(1, int(len(fps)).bit_length()))
     # hash of the variant in the high bits, its owner in the low ones: one sort brings equal variants together
     keys = np.sort((variants * np.uint64(0x9E3779B97F4A7C15) >> low << low) | idx.astype(np.uint64))
@@ -124,68 +129,79 @@ def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int) -> np.nd
     if not len(same):
         return np.empty((0, 2), np.uint64)
     owner = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-    pairs = np.stack([owner[same], owner[same + 1]], 1)
+    head = same + 1
+    if not forest:
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] >> low != keys[:-1] >> low)))
+        head, same = same + 1, begins[np.searchsorted(begins, same + 1, "right") - 1]
+    pairs = np.stack([owner[same], owner[head]], 1)
     near = _popcount(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
     extra = []
     if not near.all():  # unequal variants met under one hash: compare within those runs in full
         run = np.cumsum(np.concatenate(([1], (keys[1:] >> low != keys[:-1] >> low).astype(np.int64))))
-        for r in np.unique(run[same[~near]]):
+        for r in np.unique(run[head[~near]]):
             own = np.unique(owner[np.searchsorted(run, r):np.searchsorted(run, r, "right")])
             for i in range(len(own) - 1):
                 hit = own[i + 1:][_popcount(fps[own[i + 1:]] ^ fps[own[i]]) <= radius]
                 extra.append(np.stack([np.full(len(hit), own[i]), hit], 1))
     pairs = np.concatenate([pairs[near], *extra])
     pairs = np.unique(np.sort(pairs, 1), axis=0)
-    return fps[_forest(pairs[pairs[:, 0] != pairs[:, 1]])]
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return fps[_forest(pairs) if forest else pairs]
+
 
+def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, width: int = 64, forest: bool = True, least_bits: int = 7) -> DataFrame:
+    """Links (part, a, b) between the distinct fingerprints `fps` (part int, fp long of `width` bits) at `radius` or fewer bits within a part.
 
-def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of the distinct fingerprints `fps` (fp long) at `radius` or fewer bits."""
+    Their components are those of all such pairs; `n` is the number of fingerprints of a part and decides the number of buckets only."""
     half = (radius + 1) // 2
-    per = sum(int(np.prod([64 - i for i in range(k)]) // max(1, np.prod(range(1, k + 1)))) for k in range(half + 1))
-    bits = int(min(22, max(7, np.ceil(np.log2(max(1, n * per / target))))))
+    per = sum(comb(width, k) for k in range(half + 1))
+    bits = int(min(22, max(least_bits, np.ceil(np.log2(max(1, n * per / target))))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ball = Ball(bits, half)
+        ball = _ball(bits, half, width)
         chunk = int(max(256, min(CHUNK, 8_000_000 // len(ball.used))))
-        held: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = {}
 
-        def out(block: np.ndarray) -> Iterator[pa.RecordBatch]:
-            home = ball.home(block)
-            to = (home[:, None] ^ ball.used[None, :]).ravel()
+        def out(part: int, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+            to = (ball.home(block)[:, None] ^ ball.used[None, :]).ravel()
             owner = np.repeat(block, len(ball.used))
             order = np.argsort(to, kind="stable")
             to, owner = to[order], owner[order]
             cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
             blobs = [x.tobytes() for x in np.split(owner, cuts[1:])]
             for at in range(0, len(cuts), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(to[cuts[at:at + 4096]]), pa.array(blobs[at:at + 4096], pa.binary())], ["bucket", "fps"])
+                own = to[cuts[at:at + 4096]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part), pa.int32()), pa.array(own), pa.array(blobs[at:at + 4096], pa.binary())], ["part", "bucket", "fps"])
 
         for b in batches:
-            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            while sum(map(len, held)) >= chunk:
-                block = np.concatenate(held)
-                held = [block[chunk:]]
-                yield from out(block[:chunk])
-        if held and len(block := np.concatenate(held)):
-            yield from out(block)
+            parts, fresh = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for p in np.unique(parts).tolist():
+                held.setdefault(p, []).append(fresh[parts == p])
+                while sum(map(len, held[p])) >= chunk:
+                    block = np.concatenate(held[p])
+                    held[p] = [block[chunk:]]
+                    yield from out(p, block[:chunk])
+        for p, rest in held.items():
+            if len(block := np.concatenate(rest)):
+                yield from out(p, block)
 
     def meet(group: pa.Table) -> pa.Table:
-        ball = _ball(bits, half)
-        fps = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("fps").combine_chunks()])
-        links = bucket_links(ball, group.column("bucket")[0].as_py(), fps, radius).view(np.int64)
-        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+        ball, part = _ball(bits, half, width), group.column("part")[0].as_py()
+        own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("fps").combine_chunks()])
+        links = bucket_links(ball, group.column("bucket")[0].as_py(), own, radius, forest).view(np.int64)
+        return pa.table({"part": pa.array(np.full(len(links), part), pa.int32()), "a": links[:, 0], "b": links[:, 1]})
 
-    return fps.select("fp").mapInArrow(pack, "bucket long, fps binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    packed = fps.select("part", "fp").mapInArrow(pack, "part int, bucket long, fps binary")
+    return packed.groupBy("part", "bucket").applyInArrow(meet, "part int, a long, b long")
 
 
-_BALLS: dict[tuple[int, int], Ball] = {}
+_BALLS: dict[tuple[int, int, int], Ball] = {}
 
 
-def _ball(bits: int, half: int) -> Ball:
-    if (bits, half) not in _BALLS:
-        _BALLS[bits, half] = Ball(bits, half)
-    return _BALLS[bits, half]
+def _ball(bits: int, half: int, width: int) -> Ball:
+    if (bits, half, width) not in _BALLS:
+        _BALLS[bits, half, width] = Ball(bits, half, width)
+    return _BALLS[bits, half, width]
 
 
 def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET) -> DataFrame:
@@ -197,8 +213,9 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, id_col:
     scratch = Scratch(docs.sparkSession, "simhash")
     marks = scratch.save(fingerprints(docs, width, id_col, text_col), "marks")
     nodes = scratch.save(marks.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
-    links = ball_links(nodes.repartition(nodes.sparkSession.sparkContext.defaultParallelism), nodes.count(), radius, target)
-    parts = components(links, scratch).select(F.col("node").alias("fp"), "root")
+    spread = nodes.select(F.lit(0).alias("part"), "fp").repartition(nodes.sparkSession.sparkContext.defaultParallelism)
+    links = ball_links(spread, nodes.count(), radius, target)
+    parts = components(links.select("a", "b"), scratch).select(F.col("node").alias("fp"), "root")
     # components of linked fingerprints; the others are their own
     tagged = nodes.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = tagged.groupBy("root").agg(F.min("first").alias("component"), F.sum("rows").alias("members"))
@@ -206,6 +223,117 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, id_col:
     return marks.join(named, "fp").select("id", "fp", "component", "members")
 
 
+TABLES, TABLE_BITS = 12, 40
+WORDS = 8               # 64-bit words of a sketch, of which TABLES * TABLE_BITS bits are dealt to tables
+FAR = 0.25              # share of unequal sketch bits beyond which a pair is not compared further; cosine 0.88 has 0.16 on average
+
+
+def shingle_hashes(data: bytes, width: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included: the whole sequence if it is shorter, none without words."""
+    words = data.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    text = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(text, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[:len(words) - width + 1].tolist()
+    return np.array([xxhash.xxh64_intdigest(text[s:e], seed) for s, e in zip(starts, (ends[width - 1:] - 1).tolist())], np.uint64)
+
+
+def sketch(data: bytes, width: int) -> np.ndarray:
+    """A SimHash of WORDS * 64 bits: each shingle hash is mixed anew for every word."""
+    h = shingle_hashes(data, width)
+    out = np.zeros(WORDS, np.uint64)
+    for k in range(WORDS if len(h) else 0):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), CHUNK):
+            x = h[at:at + CHUNK] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            counts += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def table_fingerprints(sketches: np.ndarray) -> np.ndarray:
+    """(rows, TABLES) fingerprints of TABLE_BITS bits from (rows, WORDS) sketches."""
+    bits = np.unpackbits(sketches.view(np.uint8).reshape(len(sketches), -1), axis=1, bitorder="little")[:, :TABLES * TABLE_BITS].reshape(len(sketches), TABLES, TABLE_BITS)
+    wide = np.zeros((len(sketches), TABLES, 64), np.uint8)
+    wide[:, :, :TABLE_BITS] = bits
+    return np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0]
+
+
+def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(marks (id, node) of every row, links (a, b) between nodes whose sets of word shingles have a Jaccard similarity of `similarity` or more).
+
+    A node is a text, by its 64-bit hash. One fingerprint of 64 bits at 4 bits finds only pairs that are nearly equal, so the ball is cast in
+    TABLES tables of TABLE_BITS-bit fingerprints each: a pair at Jaccard 0.8 is within 4 bits in a quarter of them, and missed by all in
+    about 1 of 40. Within a table, texts with one fingerprint meet their smallest and largest node, and fingerprints within the radius meet
+    through those two; the tables are independent, so large groups are covered without pairs of all members. Colliding pairs are
+    deduplicated, dropped if their sketches differ in more than FAR of the bits, and verified by their whole shingle sets."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([sketch(t, width) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).reshape(b.num_rows, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(WORDS))], ["id", "node", *words])
+
+    words = [f"s{k}" for k in range(WORDS)]
+    marks = scratch.save(src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, node long, " + ", ".join(f"{w} long" for w in words)), "sketches")
+    nodes = scratch.save(marks.groupBy("node").agg(*[F.min(w).alias(w) for w in words]), "nodes")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False) for k in range(WORDS)], 1).view(np.uint64)
+            f = table_fingerprints(np.ascontiguousarray(x)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), TABLES)), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), b.num_rows)), pa.array(f.ravel())], ["node", "part", "fp"])
+
+    rows = scratch.save(nodes.select("node", *words).mapInArrow(deal, "node long, part int, fp long"), "rows")
+    groups = scratch.save(rows.groupBy("part", "fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "groups")
+    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, 6_000_000, TABLE_BITS, forest=False, least_bits=3).distinct()
+    ends = lambda c, a, b: groups.select("part", F.col("fp").alias(c), F.col("low").alias(a), F.col("high").alias(b))
+    met = fp_links.join(ends("a", "al", "ah"), ["part", "a"]).join(ends("b", "bl", "bh"), ["part", "b"])
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    far = met.select(F.explode(F.array_distinct(F.array(pair("al", "bl"), pair("al", "bh"), pair("ah", "bl"), pair("ah", "bh")))).alias("p"))
+    equal = rows.join(groups.where("low <> high"), ["part", "fp"]).select(F.explode(F.array(pair("node", "low"), pair("node", "high"))).alias("p"))
+    pairs = far.unionAll(equal).select("p.a", "p.b").where("a <> b").distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(w).alias(f"{c}_{w}") for w in words])
+    unequal = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    pairs = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(unequal <= int(FAR * 64 * WORDS)).select("a", "b"), "pairs")
+    scratch.forget(rows, groups)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = src.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(shingles, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
+    sets = scratch.save(sets, "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - shared
+    return marks.select("id", "node"), both.where((union == 0) | (shared >= union * similarity)).select("a", "b")
+
+
+def near_deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, with their columns: of texts connected by links at `similarity` or more, the one with the smallest id.
+
+    Null ids come last. Null, empty and white-space texts are alike. Rows that repeat both id and text share their fate. An empty table gives
+    an empty result; other columns are only passed on."""
+    scratch = Scratch(docs.sparkSession, "similar")
+    marks, links = similar_links(docs, scratch, similarity, width, 4, id_col, text_col)
+    rooted = marks.join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    gone = rooted.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))))
+    gone = scratch.save(gone.select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct(), "gone")
+    keyed = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return keyed.join(gone, (F.col("_mark") == F.col("_node")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+
+
 @query("op10_simhash_ball")
 def op10_simhash_ball(spark, sf):
     """One row per document: fingerprint as 16 hexadecimal digits and the smallest doc_id of its component at 4 or fewer bits."""
