@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemesh.llm.bpe import decoded, encoded, vocabulary
+from slidemesh.llm.bpe import round_trip, vocabulary
 from slidemesh.llm.common import Scratch, table
 from slidemesh.llm.exact_dedup import deduplicated
 from slidemesh.llm.mixing import sampled
@@ -38,7 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the bytes that the ids decode to."""
     path, pattern = vocabulary()
-    out = decoded(encoded(docs, path, pattern), path)
+    out = round_trip(docs, path, pattern)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

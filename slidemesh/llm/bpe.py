@@ -5,13 +5,15 @@ joined bytes encode to the two. A state of the transducer therefore is, for ever
 running, its trie node and the token that ends at that start. Reading a byte advances the running entries, closes the one that ends here
 validly, and outputs it as the last token of this position. The ids up to a position are the chain of last tokens back from it; a token is
 final once the chains of all running entries share it, and those start at most the longest entry back. States and steps are made when
-first met and kept in tables of bounded size."""
+first met and kept in a table of bounded size; when it is full, further steps are worked out each time."""
 
 from __future__ import annotations
 
 import base64
 import codecs
+import gc
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from slidemesh.llm.common import query, ship, table
 
-MAX_STATES = 200_000    # then the tables start anew, results do not change
-MAX_PIECES = 250_000    # per generation of a table
+MAX_STATES = 150_000    # beyond them steps are taken without being kept, results do not change
+MAX_PAIRS = 300_000
+MAX_WORDS, MAX_CUTS = 200_000, 60_000    # per generation of a table
 # Letters and numbers that Unicode added after version 16, hexadecimal ranges.
 ADDED = (
     "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 "
@@ -32,7 +35,8 @@ ADDED = (
     "3d000-3fc3f "
 )
 NEWER = regex.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in ADDED.split()) + "]")
-OUT_BYTES = 16_000_000  # per output batch
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""     # fixed value: the pattern that cutting at spaces relies on
+OUT_BYTES = 8_000_000   # per output batch
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -51,13 +55,17 @@ def merge_ranks(data: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[byt
     return parts
 
 
+_LAST = 20              # bits of a token number in packed states; states are tuples of trie node and last token + 1
+_MASK = (1 << _LAST) - 1
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
         self.trie: dict[int, int] = {}      # node << 8 | byte -> node
-        self.token_at, self.depth, self.inner = [-1], [0], {0}
+        self.token_at, self.depth, self.inner = [-1], [0], [True]
         for data, rank in ranks.items():
             node = 0
             for byte in data:
@@ -67,18 +75,16 @@ class Transducer:
                     nxt = self.trie[key] = len(self.token_at)
                     self.token_at.append(-1)
                     self.depth.append(self.depth[node] + 1)
-                self.inner.add(node)
+                    self.inner.append(False)
+                self.inner[node] = True
                 node = nxt
             self.token_at[node] = rank
         self.spines: dict[tuple[int, int], tuple] = {}
         self.follows: dict[int, bool] = {}
-        self._fresh()
-
-    def _fresh(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.steps: dict[int, tuple[int, int]] = {}
-        self.start = self._state(((0, -1),))
+        self.steps: dict[int, int] = {}     # state << 8 | byte -> next state << _LAST | token
+        self.start = self._state((0,))
 
     def _state(self, state: tuple) -> int:
         k = self.number.get(state)
@@ -115,44 +121,63 @@ class Transducer:
                         break
                 if not known:
                     break
-            if len(self.follows) > 10 * MAX_STATES:
+            if len(self.follows) >= MAX_PAIRS:
                 self.follows.clear()
             self.follows[key] = known
         return known
 
-    def step(self, k: int, byte: int) -> tuple[int, int]:
-        """(next state, last token of the new position) for a step not yet in the table."""
-        running = self.states[k]
-        if len(self.states) > MAX_STATES:
-            self._fresh()
-            k = self._state(running)
+    def advance(self, running: tuple, byte: int) -> tuple[tuple, int]:
+        """(entries running after a byte, last token of the new position)."""
         nexts, closed = [], -1
         trie, token_at, inner, follows = self.trie, self.token_at, self.inner, self.follows
-        for node, last in running:
-            nxt = trie.get(node << 8 | byte)
+        for entry in running:
+            nxt = trie.get(entry >> _LAST << 8 | byte)
             if nxt is None:
                 continue
+            last = entry & _MASK
             if closed < 0:
                 token = token_at[nxt]
-                if token >= 0 and (last < 0 or (follows[key] if (key := last << 32 | token) in follows else self.may_follow(last, token))):
-                    closed = token
-            if nxt in inner:
-                nexts.append((nxt, last))
+                if token >= 0:
+                    if not last:
+                        closed = token
+                    else:
+                        fits = follows.get(last - 1 << 32 | token)
+                        if self.may_follow(last - 1, token) if fits is None else fits:
+                            closed = token
+            if inner[nxt]:
+                nexts.append(nxt << _LAST | last)
         if closed < 0:
             raise ValueError("the vocabulary cannot encode every byte")
-        nexts.append((0, closed))
-        got = self.steps[k << 8 | byte] = (self._state(tuple(nexts)), closed)
-        return got
+        nexts.append(closed + 1)
+        return tuple(nexts), closed
+
+    def last_tokens(self, data: Iterable[int]) -> Iterator[tuple[tuple, int]]:
+        """(entries running, last token) after each byte."""
+        k, running, steps = self.start, None, self.steps
+        for byte in data:
+            if running is None:
+                got = steps.get(k << 8 | byte)
+                if got is None:
+                    new, closed = self.advance(self.states[k], byte)
+                    if new in self.number or len(self.states) < MAX_STATES:
+                        got = steps[k << 8 | byte] = self._state(new) << _LAST | closed
+                    else:
+                        running = new
+                        yield running, closed
+                        continue
+                k = got >> _LAST
+                yield self.states[k], got & _MASK
+            else:
+                running, closed = self.advance(running, byte)
+                yield running, closed
 
     def run(self, data: Iterable[int], check: int = 4096) -> Iterator[int]:
         """Tokens of a byte stream; every `check` bytes those that no continuation can change are given out."""
-        k, ends, known = self.start, [], self.steps
-        for byte in data:
-            k, token = known.get(k << 8 | byte) or self.step(k, byte)
-            known = self.steps
+        ends: list[int] = []
+        for running, token in self.last_tokens(data):
             ends.append(token)
             if len(ends) >= check:
-                chains = [self._chain(ends, len(ends) - self.depth[node]) for node, _ in self.states[k]]
+                chains = [self._chain(ends, len(ends) - self.depth[entry >> _LAST]) for entry in running]
                 shared, least = 0, min(map(len, chains))
                 while shared < least and len({c[shared] for c in chains}) == 1:
                     shared += 1
@@ -174,44 +199,62 @@ class Transducer:
             return (whole,)
         if len(data) > 4096:
             return tuple(self.run(data))
-        k, ends, known = self.start, [], self.steps
-        for byte in data:
-            k, token = known.get(k << 8 | byte) or self.step(k, byte)
-            known = self.steps
-            ends.append(token)
+        k, ends, steps, at = self.start, [], self.steps, 0
+        for byte in data:       # last_tokens in line: this is the inner loop
+            got = steps.get(k << 8 | byte)
+            if got is None:
+                new, closed = self.advance(self.states[k], byte)
+                if len(self.states) >= MAX_STATES and new not in self.number:
+                    ends.append(closed)
+                    at = len(ends)
+                    break
+                got = steps[k << 8 | byte] = self._state(new) << _LAST | closed
+            k = got >> _LAST
+            ends.append(got & _MASK)
+        if at:
+            running = new
+            for byte in data[at:]:
+                running, closed = self.advance(running, byte)
+                ends.append(closed)
         return tuple(self._chain(ends, len(ends)))
 
 
+class Irregular(Exception):
+    """A cut of a text that cannot be split by itself."""
+
+
 class Generations(dict):
-    """A bounded table: when it is full it becomes the old half, and entries still in use move on to the new one."""
+    """A bounded table filled by `make`: when it is full it becomes the old half, and entries still in use move on to the new one."""
 
-    def __init__(self, most: int = MAX_PIECES):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, key):
+    def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
-        if value is not None:
-            self.put(key, value)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
 
 class Encoder:
-    """Splits text by the pattern and encodes each match.
+    """Splits text by the pattern and encodes each match; ids are kept as little-endian 32-bit integers.
 
     A space between two characters that are not white space always begins a match, so text is cut there first and the ids of a cut (with its
-    space) are looked up whole; a text with other white space around a space is split by the pattern as it stands. Tables are bounded."""
+    space) are looked up whole. A cut of letters, with or without a comma or the like behind, needs no pattern. A text with other white space
+    around a space is split by the pattern as it stands. Tables are bounded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.known, self.pieces = Generations(), Generations()
+        self.words = Generations(lambda p: np.array(self.transducer.piece(p.encode("utf-8")), "<u4").tobytes(), MAX_WORDS)
+        self.cuts = Generations(self._cut, MAX_CUTS)
+        self.plain = pattern == PATTERN
 
     def _matches(self, text: str) -> Iterator[str]:
         """Matches of the pattern, with letters and numbers as of Unicode 16: what the pattern module knows beyond that counts as other."""
@@ -219,36 +262,28 @@ class Encoder:
             return (m[0] for m in self.pattern.finditer(text))
         return (text[m.start():m.end()] for m in self.pattern.finditer(NEWER.sub("\ue000", text)))
 
-    def _split(self, text: str) -> list[int]:
-        out: list[int] = []
-        pieces = self.pieces
-        for p in self._matches(text):
-            ids = pieces[p]
-            if ids is None:
-                ids = self.transducer.piece(p.encode("utf-8"))
-                if len(p) <= 64:
-                    pieces.put(p, ids)
-            out += ids
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        cuts = text.split(" ")
-        out = self._split(cuts[0])
-        if len(cuts) == 1:
-            return out
-        if not cuts[0] or cuts[0][-1].isspace():
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self._matches(text)))
+
+    def _cut(self, cut: str) -> bytes:
+        if not cut or cut[0].isspace() or cut[-1].isspace():
+            raise Irregular
+        if cut.isalpha() and (cut.isascii() or not NEWER.search(cut)):
+            return self.words[" " + cut]
+        if cut[-1] in ".,;:!?" and (word := cut[:-1]).isalpha() and (word.isascii() or not NEWER.search(word)):
+            return self.words[" " + word] + self.words[cut[-1]]
+        return self._split(" " + cut)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        cuts = text.split(" ") if self.plain else [text]
+        if len(cuts) == 1 or not cuts[0] or cuts[0][-1].isspace():
+            return self._split(text)
+        try:
+            rest = b"".join(map(self.cuts.__getitem__, cuts[1:]))
+        except Irregular:
             return self._split(text)
-        known = self.known
-        for c in cuts[1:]:
-            ids = known[c]
-            if ids is None:
-                if not c or c[0].isspace() or c[-1].isspace():
-                    return self._split(text)
-                ids = self._split(" " + c)
-                if len(c) <= 64:
-                    known.put(c, ids)
-            out += ids
-        return out
+        return self._split(cuts[0]) + rest
 
 
 class StreamDecoder:
@@ -291,43 +326,67 @@ def _share(spark, ranks_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids) of every row, ids as little-endian unsigned 32-bit integers; whole texts, no special tokens.
+def _rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
+    """Rows of Arrow batches, a few converted at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in b.slice(at, step).columns))
 
-    A null text counts as empty and has no ids. Rows are independent: ids may repeat or be null, other columns are not looked at, an empty
-    table gives an empty result."""
+
+def _pass(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, back: bool) -> DataFrame:
     ship(docs.sparkSession)
     shared = _share(docs.sparkSession, ranks_path)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = ["id", "n_tokens", "ids"] + ["decoded"] * back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, pattern)
+        gc.freeze()         # the tables hold no cycles: keep the collector from walking them again and again
+        first = next(batches, None)
+        if first is None:
+            return
+        kinds = [first.schema.field(0).type, pa.int64(), pa.binary(), pa.string()][:len(names)]
+
+        def rows() -> Iterator[tuple]:
+            for i, text in _rows(chain([first], batches)):
+                ids = enc.encode(text or "")
+                yield (i, len(ids) // 4, ids, decode(enc.transducer.bytes_of, ids)) if back else (i, len(ids) // 4, ids)
+        yield from _batches(rows(), names, kinds, lambda r: 2 * len(r[2]))
 
-        def rows(b):
-            for i, text in zip(b.column(0), b.column(1)):
-                ids = np.array(enc.encode(text.as_py() or ""), "<u4")
-                yield i.as_py(), len(ids), ids.tobytes()
-        for b in batches:
-            yield from _batches(rows(b), ["id", "n_tokens", "ids"], [b.schema.field(0).type, pa.int64(), pa.binary()], lambda r: len(r[2]))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded string" * back)
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")
 
+def decode(bytes_of: dict[int, bytes], ids: bytes, step: int = 4096) -> str:
+    """Text of little-endian 32-bit ids, fed to the streaming decoder `step` at a time."""
+    numbers, out = np.frombuffer(ids, "<u4"), StreamDecoder(bytes_of)
+    parts = [out.feed(numbers[at:at + step].tolist()) for at in range(0, len(numbers), step)]
+    return "".join(parts) + out.feed((), True)
+
+
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids) of every row, ids as little-endian unsigned 32-bit integers; whole texts, no special tokens.
 
-def decoded(tokens: DataFrame, ranks_path: str, step: int = 4096) -> DataFrame:
-    """`tokens` (id, n_tokens, ids) with the decoded text in place of nothing: adds `decoded`, read `step` ids at a time. Ids that are not in the
-    vocabulary raise; byte sequences that are not UTF-8 become replacement characters; null ids give an empty text."""
+    A null text counts as empty and has no ids. Rows are independent: ids may repeat or be null, other columns are not looked at, an empty
+    table gives an empty result."""
+    return _pass(docs, ranks_path, pattern, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`encoded` and, from the ids, `decoded` text in one pass over the table."""
+    return _pass(docs, ranks_path, pattern, id_col, text_col, True)
+
+
+def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:
+    """`tokens` (id, n_tokens, ids) with the column `decoded`. Ids that are not in the vocabulary raise; byte sequences that are not UTF-8 become
+    replacement characters; null ids give an empty text."""
     shared = _share(tokens.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = _encoder_bytes(shared)
-
-        def rows(b):
-            for i, n, data in zip(*(c.to_pylist() for c in b.columns)):
-                ids, out = np.frombuffer(data or b"", "<u4"), StreamDecoder(bytes_of)
-                parts = [out.feed(ids[at:at + step].tolist()) for at in range(0, len(ids), step)]
-                yield i, n, data, "".join(parts) + out.feed((), True)
-        for b in batches:
-            yield from _batches(rows(b), ["id", "n_tokens", "ids", "decoded"], [*(f.type for f in b.schema), pa.string()], lambda r: len(r[3]))
+        first = next(batches, None)
+        if first is not None:
+            rows = ((i, n, data, decode(bytes_of, data or b"")) for i, n, data in _rows(chain([first], batches)))
+            yield from _batches(rows, ["id", "n_tokens", "ids", "decoded"], [*(f.type for f in first.schema), pa.string()], lambda r: 2 * len(r[2] or b""))
 
     kind = tokens.schema["id"].dataType.simpleString()
     return tokens.select("id", "n_tokens", "ids").mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
@@ -354,5 +413,5 @@ def vocabulary() -> tuple[str, str]:
 def op7_bpe_transducer(spark, sf):
     """One row per document: number of tokens, digest of the ids, digest of the decoded bytes."""
     path, pattern = vocabulary()
-    out = decoded(encoded(table(spark, sf, "documents"), path, pattern), path)
+    out = round_trip(table(spark, sf, "documents"), path, pattern)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
