@@ -57,12 +57,13 @@ class Scratch:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of undirected `edges` (a, b) of one orderable type: (node, root), root the smallest node reached.
+    """Connected components of undirected `edges` (a, b) of one orderable type: (node, root) of every node but the roots, which are the smallest
+    nodes of their components.
 
     Alternating large-star and small-star steps: each step hangs neighbours on the smallest one, so the edge set shrinks to stars in
     about log(n) rounds. A hub's neighbours are never gathered: the minimum is a map-side combined aggregate and the join that spreads
     it can be split by key. Rounds end when the edge set no longer changes (count and two checksums of the written table).
-    Null ends and self loops are ignored; nodes without an edge are not returned."""
+    Null ends and self loops are ignored."""
     cur = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
     while True:

@@ -304,7 +304,8 @@ def content_slot(every: list[Run], varying: dict[int, int]) -> int:
 
 
 def extract(text: str, wrapper: tuple | None) -> str:
-    """Main text of one page; `wrapper` is (tree, content slot, {(slot, hash) of template texts}) or None."""
+    """Main text of one page; `wrapper` is (tree, content slot, {(slot, hash) of template texts}, whether the slot is
+    the whole page) or None."""
     top, blocks = runs(parse(text))
     kept = [b for b in blocks if not b[2]]
     inside: set[int] = set()
@@ -322,10 +323,14 @@ def extract(text: str, wrapper: tuple | None) -> str:
                 seek(k, test)
 
     if wrapper is not None:
-        tree, slot, template = wrapper
+        tree, slot, template, wide = wrapper
         aligned(top, tree)
         seek(top, lambda r: r.no == slot)
         found = [b for b in kept if id(b[0]) in inside]
+        if wide:        # no container holds most of the host's text: a page's own article, if it marks one
+            inside.clear()
+            seek(top, lambda r: r.tag in ("article", "main") and not r.boiler)
+            found = [b for b in kept if id(b[0]) in inside] or found
         varying = [b for b in found if (b[0].no, text_hash(b[1])) not in template]
         # where most of a page seems constant its host repeats pages rather than frames: leave it whole
         if sum(len(b[1]) for b in varying) * 2 >= sum(len(b[1]) for b in found):
@@ -415,7 +420,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                             known.clear()
                         top, every = numbered(tree)
                         slots_ = b.column(5)[k].as_py() or []
-                        known[host, tree] = (top, content_slot(every, {s["no"]: s["varying"] for s in slots_}), {(s["no"], h) for s in slots_ for h in s["template"]})
+                        slot = content_slot(every, {s["no"]: s["varying"] for s in slots_})
+                        known[host, tree] = (top, slot, {(s["no"], h) for s in slots_ for h in s["template"]}, every[slot].tag in ("#", "html", "body"))
                     wrapper = known[host, tree]
                 texts_.append(extract(page, wrapper) if page else "")
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts_, pa.string())], ["id", "url", "text"])

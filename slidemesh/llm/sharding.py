@@ -30,7 +30,7 @@ def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
 def _folded(slots: DataFrame, shards: int, start: Column, choose: str, version: int) -> DataFrame:
     """Walk the slots from most to fewest bytes; `choose` (SQL over s.load and x) names the shard, loads follow. One row of bounded size."""
     step = f"""aggregate(all_slots, named_struct('load', {{start}}, 'to', cast(array() AS array<int>)),
-      (s, x) -> named_struct('load', transform(s.load, (v, i) -> CASE WHEN i = {choose} THEN v + x.bytes + 1 WHEN i = x.shard THEN v - x.bytes - 1 ELSE v END),
+      (s, x) -> named_struct('load', transform(s.load, (v, i) -> CASE WHEN x.shard = {choose} THEN v WHEN i = {choose} THEN v + x.bytes + 1 WHEN i = x.shard THEN v - x.bytes - 1 ELSE v END),
                              'to', concat(s.to, array({choose})))).to"""
     step = step.replace("{start}", "start")
     packed = slots.agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot", "bytes", "rows", "shard"))).alias("all_slots"))
