@@ -49,11 +49,15 @@ def first_map(stats: DataFrame, shards: int) -> DataFrame:
 
 def edited_map(old: DataFrame, stats: DataFrame, shards: int, version: int, tolerance: float = 0.01) -> DataFrame:
     """The next version after sizes changed or shards were added: a slot moves only from a shard above the mean by more than `tolerance`, to
-    the emptiest shard, and only if that stays at the mean or below; all other slots stay where they were."""
+    the emptiest shard, and only if that stays at the mean or below; all other slots stay where they were. Added shards take slots only into
+    themselves."""
+    had = min(shards, old.agg(F.max("shard")).first()[0] + 1)
+    open_ = f"slice(s.load, {had + 1}, {shards - had})" if had < shards else "s.load"
+    least = f"cast({had if had < shards else 0} + array_position({open_}, array_min({open_})) - 1 AS int)"
     now = stats.join(old.select("vslot", "shard"), "vslot")
     loads = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.aggregate(F.col("all_slots"), F.lit(0).cast("long"), lambda t, x: t + F.when(x["shard"] == k, x["bytes"] + 1).otherwise(0)))
     mean = f"(aggregate(s.load, 0L, (t, v) -> t + v) / {shards})"
-    choose = f"CASE WHEN s.load[x.shard] > {mean} * {1 + tolerance} AND array_min(s.load) + x.bytes <= {mean} THEN {LEAST} ELSE x.shard END"
+    choose = f"CASE WHEN s.load[x.shard] > {mean} * {1 + tolerance} AND array_min({open_}) + x.bytes <= {mean} THEN {least} ELSE x.shard END"
     return _folded(now, shards, loads, choose, version)
 
 
