@@ -253,8 +253,10 @@ def _carve_rounds(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
             moved = done.where("carved_by IS NOT NULL").select("slide_id", "pos", *[F.col(c).alias(f"n{c}") for c in ("x0", "y0", "x1", "y1")])
             now = geo.join(moved, ["slide_id", "pos"], "left").select("slide_id", "pos", *[F.coalesce(f"n{c}", c).alias(c) for c in ("x0", "y0", "x1", "y1")])
         a = geo.select("slide_id", F.col("pos").alias("i"), F.struct("x0", "y0", "x1", "y1").alias("a"))
-        b = now.select("slide_id", F.col("pos").alias("j"), F.struct("x0", "y0", "x1", "y1").alias("b"))
-        tried = (edges.join(ready, ["slide_id", "i"], "left_semi").join(a, ["slide_id", "i"]).join(b, ["slide_id", "j"])
+        was = geo.select("slide_id", F.col("pos").alias("j"), F.struct("x0", "y0", "x1", "y1").alias("was"))
+        b = now.select("slide_id", F.col("pos").alias("j"), F.struct("x0", "y0", "x1", "y1").alias("now"))
+        tried = (edges.join(ready, ["slide_id", "i"], "left_semi").join(a, ["slide_id", "i"]).join(was, ["slide_id", "j"]).join(b, ["slide_id", "j"])
+                 .withColumn("b", F.when(F.col("j") < F.col("i"), F.col("now")).otherwise(F.col("was")))
                  .where(B.inter_area(B.box("a."), B.box("b.")) >= min_px).withColumn("cut", B.subtract_box(B.box("a."), B.box("b.")))
                  .where(F.col("cut.kind").isin("rect", "split", "poly") & (F.col("cut.x1") - F.col("cut.x0") >= 1) & (F.col("cut.y1") - F.col("cut.y0") >= 1)))
         best = tried.groupBy("slide_id", "i").agg(F.min_by("cut", "j").alias("cut"), F.min("j").alias("carved_by"))

@@ -165,12 +165,17 @@ def free_lines(lines: DataFrame, text_boxes: DataFrame, keys: list[str], ident:
 
 
 def assign_lines(lines: DataFrame, comps: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines inside a component's box up to max(12, a quarter of the line height) px: (keys, line_id, pos, h)."""
-    tol = F.greatest(F.lit(12.0), 0.25 * (F.col("a.y1") - F.col("a.y0")))
-    inside = ((F.col("a.x0") >= F.col("b.x0") - tol) & (F.col("a.y0") >= F.col("b.y0") - tol)
-              & (F.col("a.x1") <= F.col("b.x1") + tol) & (F.col("a.y1") <= F.col("b.y1") + tol))
-    p = box_pairs(lines.select(*keys, "line_id", "x0", "y0", "x1", "y1"), keys, lambda a, b: inside, right=comps.select(*keys, "pos", "x0", "y0", "x1", "y1"))
-    return p.select(*keys, F.col("a.line_id").alias("line_id"), F.col("b.pos").alias("pos"), (F.col("a.y1") - F.col("a.y0")).alias("h"))
+    """Lines inside a component's box up to max(12, a quarter of the line height) px: (keys, line_id, pos, h).
+
+    A line may lie next to the box within that tolerance, so lines are paired by their boxes grown by it."""
+    tol = F.greatest(F.lit(12.0), 0.25 * (F.col("y1") - F.col("y0")))
+    grown = lines.select(*keys, "line_id", tol.alias("tol"), (F.col("y1") - F.col("y0")).alias("h"),
+                         *[(F.col(c) - tol - 1).alias(c) for c in ("x0", "y0")], *[(F.col(c) + tol + 1).alias(c) for c in ("x1", "y1")])
+    slack = F.col("a.tol") + F.col("a.tol") + 1
+    inside = ((F.col("a.x0") >= F.col("b.x0") - slack) & (F.col("a.y0") >= F.col("b.y0") - slack)
+              & (F.col("a.x1") <= F.col("b.x1") + slack) & (F.col("a.y1") <= F.col("b.y1") + slack))
+    p = box_pairs(grown, keys, lambda a, b: inside, right=comps.select(*keys, "pos", "x0", "y0", "x1", "y1"))
+    return p.select(*keys, F.col("a.line_id").alias("line_id"), F.col("b.pos").alias("pos"), F.col("a.h").alias("h"))
 
 
 def line_height_of_shape(shapes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,8 +22,13 @@ def attribute_to_slides(log: DataFrame, run: list[str] | None = None) -> DataFra
     return out.select(*log.columns, "open_image")
 
 
+def calls_of(log: DataFrame) -> DataFrame:
+    """Rows that are model calls: no marker, and a backend. Audit records have none; a log without that column holds calls only."""
+    return log.where("marker IS NULL AND backend IS NOT NULL" if "backend" in log.columns else "marker IS NULL")
+
+
 def per_agent(log: DataFrame) -> DataFrame:
-    calls = log.where("marker IS NULL")
+    calls = calls_of(log)
     return calls.groupBy(F.coalesce("agent", F.lit("unknown")).alias("agent")).agg(
         F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.sum("latency_ms").alias("latency_ms"))
@@ -32,7 +37,7 @@ def per_agent(log: DataFrame) -> DataFrame:
 def per_slide(attributed: DataFrame, with_agents: bool = True) -> DataFrame:
     """Calls, tokens and latency per started slide (zero rows kept), the wall clock of its last end marker, calls per agent."""
     cache = [c for c in ("cache_creation_input_tokens", "cache_read_input_tokens") if c in attributed.columns]
-    calls = attributed.where("marker IS NULL AND open_image IS NOT NULL").withColumnRenamed("open_image", "img")
+    calls = calls_of(attributed).where("open_image IS NOT NULL").withColumnRenamed("open_image", "img")
     sums = ["input_tokens", "output_tokens", *cache, "latency_ms"]
     agents = (calls.groupBy("img", F.coalesce("agent", F.lit("unknown")).alias("agent"))
               .agg(F.count(F.lit(1)).alias("calls"), *[F.sum(c).alias(c) for c in sums]))

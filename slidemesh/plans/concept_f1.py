@@ -133,12 +133,22 @@ def demo_summary(scored: DataFrame, quality: DataFrame | None = None) -> DataFra
 
 
 def box_quality(gt: DataFrame, dt: DataFrame) -> DataFrame:
-    """Held-out quality: best detection per ground truth (many to one), mean IoU, shares, mean L1 and GIoU of the best pairs."""
+    """Held-out quality: best detection per ground truth (many to one), mean IoU, shares, mean L1 and GIoU.
+
+    L1 sums the differences of centre, width and height. Without overlap the image's first detection is taken, as the first of equal
+    IoUs; ground truth of images without detections counts in IoU and shares only."""
     a, b = B.box("a."), B.box("b.")
     p = box_pairs(gt.select("image_id", "gt_id", "x0", "y0", "x1", "y1"), ["image_id"], lambda x, y: F.lit(True), right=dt.select("image_id", "dt_id", "x0", "y0", "x1", "y1"))
-    l1 = sum(F.abs(x - y) for x, y in zip(a, b)) / 4.0
+
+    def form(x):
+        return [(x[0] + x[2]) / 2.0, (x[1] + x[3]) / 2.0, x[2] - x[0], x[3] - x[1]]
+
+    l1 = sum(F.abs(x - y) for x, y in zip(form(a), form(b)))
     best = p.groupBy("image_id", F.col("a.gt_id").alias("gt_id")).agg(
         F.max_by(F.struct(B.iou(a, b).alias("iou"), l1.alias("l1"), B.giou(a, b).alias("giou")), F.struct(B.iou(a, b), -F.col("b.dt_id"))).alias("m"))
-    j = gt.select("image_id", "gt_id").join(best, ["image_id", "gt_id"], "left").withColumn("iou", F.coalesce("m.iou", F.lit(0.0)))
+    first = dt.groupBy("image_id").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), "dt_id").alias("b"))
+    j = gt.select("image_id", "gt_id", F.struct("x0", "y0", "x1", "y1").alias("a")).join(best, ["image_id", "gt_id"], "left").join(first, "image_id", "left")
+    lone = F.struct(F.lit(0.0).alias("iou"), l1.alias("l1"), B.giou(a, b).alias("giou"))
+    j = j.withColumn("m", F.coalesce("m", F.when(F.col("b").isNotNull(), lone))).withColumn("iou", F.coalesce("m.iou", F.lit(0.0)))
     return j.agg(F.count(F.lit(1)).alias("n"), F.avg("iou").alias("mean_iou"), F.avg((F.col("iou") >= 0.5).cast("double")).alias("share_50"),
                  F.avg((F.col("iou") >= 0.75).cast("double")).alias("share_75"), F.avg("m.l1").alias("mean_l1"), F.avg("m.giou").alias("mean_giou"))

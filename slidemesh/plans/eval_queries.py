@@ -102,12 +102,19 @@ def not_evaluated(spark, sf):
     return CF.check_evaluated(V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id")), gt)
 
 
-@query("box_quality", sql(f"""SELECT count(*) AS n, round(avg(coalesce(iou, 0)), 9) AS mean_iou, round(avg((coalesce(iou, 0) >= 0.5::DOUBLE)::INT), 9) AS share_50, round(avg((coalesce(iou, 0) >= 0.75::DOUBLE)::INT), 9) AS share_75, round(avg(l1), 9) AS mean_l1 FROM gt LEFT JOIN (
- SELECT a.image_id, a.gt_id, {IOU} AS iou, (abs(a.x0 - b.x0) + abs(a.y0 - b.y0) + abs(a.x1 - b.x1) + abs(a.y1 - b.y1)) / 4.0::DOUBLE AS l1 FROM gt a JOIN dt b ON a.image_id = b.image_id WHERE {HIT}
- QUALIFY row_number() OVER (PARTITION BY a.image_id, a.gt_id ORDER BY {IOU} DESC, b.dt_id) = 1) m ON m.image_id = gt.image_id AND m.gt_id = gt.gt_id""", "components", "gt", "dt"))
+_HULL = "(greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0))::DOUBLE"
+_BOTH = f"CASE WHEN {HIT} THEN {INTER} ELSE 0 END"
+_UNION = f"({A_AREA} + {B_AREA} - {_BOTH})"
+
+
+@query("box_quality", sql(f"""SELECT count(*) AS n, round(avg(coalesce(iou, 0)), 9) AS mean_iou, round(avg((coalesce(iou, 0) >= 0.5::DOUBLE)::INT), 9) AS share_50, round(avg((coalesce(iou, 0) >= 0.75::DOUBLE)::INT), 9) AS share_75,
+ round(avg(l1), 9) AS mean_l1, round(avg(giou), 9) AS mean_giou FROM gt LEFT JOIN (
+ SELECT a.image_id, a.gt_id, CAST({_BOTH} AS DOUBLE) / {_UNION} AS iou, CAST({_BOTH} AS DOUBLE) / {_UNION} - ({_HULL} - {_UNION}) / {_HULL} AS giou,
+  abs((a.x0 + a.x1) / 2.0::DOUBLE - (b.x0 + b.x1) / 2.0::DOUBLE) + abs((a.y0 + a.y1) / 2.0::DOUBLE - (b.y0 + b.y1) / 2.0::DOUBLE) + abs(a.x1 - a.x0 - b.x1 + b.x0) + abs(a.y1 - a.y0 - b.y1 + b.y0) AS l1
+ FROM gt a JOIN dt b ON a.image_id = b.image_id QUALIFY row_number() OVER (PARTITION BY a.image_id, a.gt_id ORDER BY CAST({_BOTH} AS DOUBLE) / {_UNION} DESC, b.dt_id) = 1) m ON m.image_id = gt.image_id AND m.gt_id = gt.gt_id""", "components", "gt", "dt"))
 def box_quality(spark, sf):
     gt, dt = _sets(spark, sf)
-    return CF.box_quality(gt, dt).select("n", *[F.round(c, 9).alias(c) for c in ("mean_iou", "share_50", "share_75", "mean_l1")])
+    return CF.box_quality(gt, dt).select("n", *[F.round(c, 9).alias(c) for c in ("mean_iou", "share_50", "share_75", "mean_l1", "mean_giou")])
 
 
 def _coco(spark, sf):

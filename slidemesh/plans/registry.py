@@ -34,6 +34,7 @@ VIEWS = {
   SELECT event_id AS line_no, ts, CASE event_type WHEN 'signup' THEN 'slide_start' WHEN 'error' THEN 'slide_end' END AS marker,
          CASE WHEN event_type IN ('signup', 'error') THEN concat('img', cast(user_id AS VARCHAR)) END AS image,
          CASE WHEN event_type NOT IN ('signup', 'error') THEN concat('agent_', event_type) END AS agent,
+         CASE WHEN event_type NOT IN ('signup', 'error') AND event_id % 11 <> 0 THEN 'vlm' END AS backend,
          event_id % 977 AS input_tokens, event_id % 131 AS output_tokens, (event_id * 13) % 5000 AS latency_ms FROM events)""",
     "text_runs": """text_runs AS (
   SELECT p_partkey AS run_id, p_size AS page, (p_partkey * 73) % 256 AS fg_r, (p_partkey * 151) % 256 AS fg_g, (p_partkey * 199) % 256 AS fg_b,

@@ -23,14 +23,14 @@ def usage_attribution(spark, sf):
 
 
 @query("usage_per_agent", sql("""SELECT coalesce(agent, 'unknown') AS agent, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM usage_log WHERE marker IS NULL GROUP BY 1""", "usage_log"))
+CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM usage_log WHERE marker IS NULL AND backend IS NOT NULL GROUP BY 1""", "usage_log"))
 def usage_per_agent(spark, sf):
     return usage.per_agent(V.usage_log(spark, sf))
 
 
 _SLIDE = """st AS (SELECT image, min(line_no) AS f FROM usage_log WHERE marker = 'slide_start' GROUP BY 1),
 en AS (SELECT l.image, max(l.line_no) AS end_line FROM usage_log l JOIN st ON st.image = l.image AND l.line_no > st.f WHERE marker = 'slide_end' GROUP BY 1),
-ca AS (SELECT open_image AS image, count(*) AS calls, sum(input_tokens) AS it, sum(output_tokens) AS ot, sum(latency_ms) AS lm FROM att WHERE marker IS NULL AND open_image IS NOT NULL GROUP BY 1),
+ca AS (SELECT open_image AS image, count(*) AS calls, sum(input_tokens) AS it, sum(output_tokens) AS ot, sum(latency_ms) AS lm FROM att WHERE marker IS NULL AND backend IS NOT NULL AND open_image IS NOT NULL GROUP BY 1),
 per AS (SELECT st.image, end_line, coalesce(calls, 0) AS calls, CAST(coalesce(it, 0) AS BIGINT) AS input_tokens, CAST(coalesce(ot, 0) AS BIGINT) AS output_tokens, CAST(coalesce(lm, 0) AS BIGINT) AS latency_ms
  FROM st LEFT JOIN en ON en.image = st.image LEFT JOIN ca ON ca.image = st.image)"""
 
@@ -172,8 +172,7 @@ def free_ocr_lines(spark, sf):
 
 
 @query("assigned_ocr_lines", sql("""SELECT a.slide_id, a.pos AS line_id, b.pos, a.y1 - a.y0 AS h FROM components a JOIN components b ON a.slide_id = b.slide_id AND a.pos % 2 = 1 AND b.pos % 2 = 0
- WHERE a.x0 >= b.x0 - greatest(12.0, 0.25 * (a.y1 - a.y0)) AND a.y0 >= b.y0 - greatest(12.0, 0.25 * (a.y1 - a.y0)) AND a.x1 <= b.x1 + greatest(12.0, 0.25 * (a.y1 - a.y0)) AND a.y1 <= b.y1 + greatest(12.0, 0.25 * (a.y1 - a.y0))
- AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""", "components"))
+ WHERE a.x0 >= b.x0 - greatest(12.0, 0.25 * (a.y1 - a.y0)) AND a.y0 >= b.y0 - greatest(12.0, 0.25 * (a.y1 - a.y0)) AND a.x1 <= b.x1 + greatest(12.0, 0.25 * (a.y1 - a.y0)) AND a.y1 <= b.y1 + greatest(12.0, 0.25 * (a.y1 - a.y0))""", "components"))
 def assigned_ocr_lines(spark, sf):
     boxes, lines = _ocr_boxes(spark, sf)
     return ocr.assign_lines(lines, boxes, ["slide_id"])
@@ -337,7 +336,7 @@ def colour_map(spark, sf):
     return colors.map_colours(cells, m, ["page"]).groupBy("page", "role", "new_hex").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("palette_choice", sql("SELECT page, arg_max(hex, k) AS hex FROM (SELECT page, printf('%02X%02X%02X', fg_r, fg_g, fg_b) AS hex, (fg_r * 100000 + 99999 - run_id % 100000) AS k FROM text_runs) t GROUP BY 1", "text_runs"))
+@query("palette_choice", sql("SELECT page, arg_max(hex, k) AS hex FROM (SELECT page, printf('%02X%02X%02X', fg_r, fg_g, fg_b) AS hex, (CAST(fg_r AS BIGINT) * 1000000000000 - run_id) AS k FROM text_runs) t GROUP BY 1", "text_runs"))
 def palette_choice(spark, sf):
-    p = V.text_runs(spark, sf).select("page", (F.col("run_id") % 100000).alias("pos"), C.rgb_hex(*C.rgb("fg_")).alias("hex"), F.col("fg_r").alias("contrast_ratio"))
+    p = V.text_runs(spark, sf).select("page", F.col("run_id").alias("pos"), C.rgb_hex(*C.rgb("fg_")).alias("hex"), F.col("fg_r").alias("contrast_ratio"))
     return colors.best_font(p, ["page"])

@@ -60,6 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store; errors of the store are raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it back: lineage ends, executor loss is harmless, and the planner
     then knows the true size, so that it broadcasts the result only when it is small."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidemesh.functions import boxes as B
+from slidemesh.runtime import cut, path_exists
 
 _COMPONENT = ("filename: STRING, granularity: STRING, source: STRING, iter_idx: INT, iter_original_filename: STRING, text_type: STRING, score: DOUBLE, "
               "bbox_xyxy: ARRAY<DOUBLE>, bbox_area: DOUBLE, polygon_xyxy: ARRAY<ARRAY<DOUBLE>>, segmentation_mode: STRING, is_text_only: BOOLEAN, ocr_latex: STRING, "
@@ -71,14 +72,23 @@ def object_nodes(shapes: DataFrame, rendered: DataFrame | None = None) -> DataFr
                     F.col("s.text").alias("text"), *[v.alias(n) for v, n in zip(b, ("x0", "y0", "x1", "y1"))])
 
 
-def flatten_groups(shapes: DataFrame, max_depth: int = 4, min_px: float = 8.0) -> DataFrame:
+def flatten_groups(shapes: DataFrame, min_px: float = 8.0) -> DataFrame:
     """Leaf shapes of nested groups by parent links (slide_id, shape_id, parent_id, is_group, x, y, w, h, angle).
 
-    Zero-size shapes go, thin ones get `min_px`, turned ones their hull. Adds root_id, the outermost group up to `max_depth` levels."""
-    links = shapes.where("is_group").select("slide_id", F.col("shape_id").alias("root_id"), F.col("parent_id").alias("_next"))
-    out = shapes.where("NOT is_group").withColumn("root_id", F.col("parent_id"))
-    for _ in range(max_depth):
-        out = out.join(links, ["slide_id", "root_id"], "left").withColumn("root_id", F.coalesce("_next", "root_id")).drop("_next")
+    Zero-size shapes go, thin ones get `min_px`, turned ones their hull. Adds root_id, the outermost group: groups jump to the parent
+    of their parent until none moves, so rounds grow with the logarithm of the depth. Groups that contain each other raise."""
+    groups = shapes.where("is_group").select("slide_id", F.col("shape_id").alias("g"), F.col("parent_id").alias("up"))
+    known = groups.select("slide_id", F.col("g").alias("up"), F.lit(True).alias("_is"))
+    jump = cut(groups.join(known, ["slide_id", "up"], "left").select("slide_id", "g", F.when(F.col("_is"), F.col("up")).alias("up")))
+    for _ in range(64):
+        ahead = jump.select("slide_id", F.col("g").alias("up"), F.col("up").alias("_far"))
+        jump = cut(jump.join(ahead, ["slide_id", "up"], "left").select("slide_id", "g", F.coalesce("_far", "up").alias("up"), F.col("_far").isNotNull().alias("_moved")))
+        if not jump.where("_moved").limit(1).count():
+            break
+    else:
+        raise ValueError("groups contain each other")
+    top = jump.select("slide_id", F.col("g").alias("parent_id"), F.coalesce("up", "g").alias("root_id"))
+    out = shapes.where("NOT is_group").join(top, ["slide_id", "parent_id"], "left").withColumn("root_id", F.coalesce("root_id", "parent_id"))
     solid = out.where((F.col("w") > 0) | (F.col("h") > 0)).withColumns({"w": F.greatest("w", F.lit(min_px)), "h": F.greatest("h", F.lit(min_px))})
     r = B.rotated_hull(F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.col("w"), F.col("h"), F.coalesce("angle", F.lit(0.0)))
     return solid.select("slide_id", "shape_id", "parent_id", "root_id", *[c.alias(n) for c, n in zip(r, ("x0", "y0", "x1", "y1"))])
@@ -155,11 +165,9 @@ def write_results(results: DataFrame, path: str, by: str) -> None:
 
 def pending(work: DataFrame, spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Work items without a stored result (resume)."""
-    try:
-        done = spark.read.parquet(path).select(*keys).distinct()
-    except Exception:  # noqa: BLE001  nothing stored yet
+    if not path_exists(spark, path):
         return work
-    return work.join(done, keys, "left_anti")
+    return work.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
 
 
 def apply_answers(requests: DataFrame, answer, schema: str) -> DataFrame:

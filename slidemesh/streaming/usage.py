@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from slidemesh.runtime import cut
+from slidemesh.operators.usage import calls_of
+from slidemesh.runtime import cut, path_exists
 
 ATTRIBUTED = "run string, line_no long, agent string, input_tokens long, output_tokens long, latency_ms long, open_image string"
 
@@ -24,7 +24,7 @@ def _attribute(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
             current = r.image
         elif r.marker == "slide_end":
             current = None if r.image == current else current
-        else:
+        elif r.is_call:
             rows.append((key[0], r.line_no, r.agent, r.input_tokens, r.output_tokens, r.latency_ms, current))
     state.update((current,))
     if rows:
@@ -33,19 +33,20 @@ def _attribute(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
 
 def attribute_stream(log: DataFrame) -> DataFrame:
     """Calls with the slide that is open at their line, per run; lines of a run arrive in order."""
-    cols = log.select("run", "line_no", "marker", "image", "agent", "input_tokens", "output_tokens", "latency_ms")
+    backend = F.col("backend") if "backend" in log.columns else F.lit("")
+    cols = log.select("run", "line_no", "marker", "image", "agent", "input_tokens", "output_tokens", "latency_ms", backend.isNotNull().alias("is_call"))
     return cols.groupBy("run").applyInPandasWithState(_attribute, ATTRIBUTED, "image string", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed(log: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Calls and tokens per agent in tumbling or sliding windows; rows later than the watermark are dropped."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return (log.where("marker IS NULL").withWatermark("ts", late).groupBy(w.alias("w"), "agent")
+    return (calls_of(log).withWatermark("ts", late).groupBy(w.alias("w"), "agent")
             .agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens")).select("w.start", "w.end", "agent", "calls", "input_tokens"))
 
 
 def sessions(log: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
-    return (log.where("marker IS NULL").withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "agent")
+    return (calls_of(log).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "agent")
             .agg(F.count(F.lit(1)).alias("calls")).select("w.start", "w.end", "agent", "calls"))
 
 
@@ -63,17 +64,9 @@ def ingest_slides(stream: DataFrame, spark: SparkSession, path: str, checkpoint:
         if not touched:
             return
         merged = new
-        if _exists(spark, path):
+        if path_exists(spark, path):
             old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
             merged = cut(old.join(new.select("slide_id").distinct(), "slide_id", "left_anti").select(*new.columns).unionByName(new))
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False

@@ -152,6 +152,24 @@ def test_carve(spark, boxes, limit, monkeypatch):
         assert {p: got[g, p] for p in box} == box
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_carve_sees_later_boxes_uncut(spark, limit, monkeypatch):
+    """Component 1 loses to 0 and 3, and 3 loses to 6: 1 must meet the uncut 3 although 3 settles first."""
+    monkeypatch.setattr(layout, "FOLD_EDGES", limit)
+    box = {0: (0., 0., 100., 100.), 1: (50., 200., 300., 300.), 3: (200., 190., 400., 310.), 5: (0., 50., 30., 300.), 6: (150., 180., 290., 320.)}
+    c = spark.createDataFrame([("s", p, f"f{p}", *v) for p, v in box.items()], "slide_id string, pos long, filename string, x0 double, y0 double, x1 double, y1 double")
+    lose = [(0, 5), (1, 0), (1, 3), (3, 6)]
+    d = spark.createDataFrame([("s", f"f{i}", f"f{j}", False, True) for i, j in lose], "slide_id string, first string, second string, first_owns boolean, second_owns boolean")
+    want = dict(box)
+    moved = {}
+    for i, j in lose:
+        if i not in moved:
+            left = layout._carve_one(box[i], moved[j] if j < i and j in moved else box[j], 100.0)
+            if left is not None:
+                want[i] = moved[i] = left
+    assert {r.pos: (r.x0, r.y0, r.x1, r.y1) for r in layout.carve_overlaps(c, d).collect()} == want and want[1] == (50., 200., 200., 300.)
+
+
 def test_subtract_box(spark):
     r = random.Random(1)
     rows = [tuple(sorted(r.sample(range(12), 2)) + sorted(r.sample(range(12), 2)) + sorted(r.sample(range(12), 2)) + sorted(r.sample(range(12), 2))) for _ in range(300)]

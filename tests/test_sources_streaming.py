@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slidemesh.functions import color, masks, pixels, routing, text
 from slidemesh.operators import graph, layout, ocr, usage
 from slidemesh.sources import coco, runs
-from slidemesh.streaming import lifecycle, rounds
+from slidemesh.streaming import rounds
 from slidemesh.streaming import usage as usage_stream
 
 
@@ -69,6 +69,26 @@ def test_group_flattening(spark):
     assert [(x.shape_id, x.root_id, x.y1) for x in r] == [(3, 1, 18.0)]
 
 
+def test_deep_groups_and_cycles(spark):
+    rows = [("s", k, k - 1 if k > 1 else None, True, 0., 0., 9., 9., 0.) for k in range(1, 12)] + [("s", 50, 11, False, 1., 1., 9., 9., 0.), ("s", 51, 77, False, 1., 1., 9., 9., 0.), ("s", 52, None, False, 1., 1., 9., 9., 0.)]
+    schema = "slide_id string, shape_id int, parent_id int, is_group boolean, x double, y double, w double, h double, angle double"
+    assert {r.shape_id: r.root_id for r in runs.flatten_groups(spark.createDataFrame(rows, schema)).collect()} == {50: 1, 51: 77, 52: None}
+    ring = [("s", 1, 2, True, 0., 0., 9., 9., 0.), ("s", 2, 3, True, 0., 0., 9., 9., 0.), ("s", 3, 1, True, 0., 0., 9., 9., 0.)]
+    with pytest.raises(ValueError):
+        runs.flatten_groups(spark.createDataFrame(ring, schema))
+
+
+def test_pending_reads_or_raises(spark, tmp_path):
+    work = spark.createDataFrame([(1,), (2,)], "k int")
+    assert runs.pending(work, spark, str(tmp_path / "none"), ["k"]).count() == 2
+    spark.createDataFrame([(1,)], "k int").write.parquet(str(tmp_path / "some"))
+    assert [r.k for r in runs.pending(work, spark, str(tmp_path / "some"), ["k"]).collect()] == [2]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        runs.pending(work, spark, str(tmp_path / "bad"), ["k"]).collect()
+
+
 LOG = [{"marker": "slide_start", "image": "a", "ts": 1.0}, {"backend": "b", "agent": "x", "input_tokens": 3, "output_tokens": 1, "latency_sec": 0.5, "ts": 2.0},
        {"marker": "slide_start", "image": "c", "ts": 3.0}, {"marker": "slide_end", "image": "a", "wall_clock_sec": 9.0, "ts": 4.0},
        {"backend": "b", "agent": "x", "input_tokens": 5, "output_tokens": 1, "latency_sec": 0.5, "ts": 5.0}, {"marker": "slide_end", "image": "c", "wall_clock_sec": 2.0, "ts": 6.0},
@@ -128,35 +148,6 @@ def test_ingest_replaces_slides(spark, tmp_path):
     assert sorted((r.slide_id, r.pos) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [("a", 9), ("b", 1), ("c", 1)]
 
 
-def test_lifecycle_stream_equals_batch_streak(spark, tmp_path):
-    ev = [(1, 0, 5, "new", 1)] + [(1, f, 5, k, 1 if k == "matched" else None) for f, k in enumerate(["matched", "unmatched", "matched", "matched", "matched", "unmatched"], 1)]
-    df = spark.createDataFrame(ev, "video_id long, frame_idx long, track_id long, event string, det_id long")
-    rows = sorted(run_stream(lifecycle.track_lifecycle(stream(df, str(tmp_path / "in"))), "life", tmp_path), key=lambda r: r.frame_idx)
-    assert [r.streak for r in rows] == [1, 2, 0, 1, 2, 3, 0]
-    assert [r.confirmed for r in rows] == [False, False, False, False, False, True, True]
-    assert [r.keep_alive for r in rows] == [0, 1, 0, 1, 2, 3, 2]
-
-
-def test_lifecycle_rules():
-    rules = lifecycle.Rules(delay=5)
-    st = lifecycle.new_state()
-    lifecycle.advance(st, 0, [(1, "new", 1), (2, "new", 2)], rules)
-    for f in (1, 2, 3):
-        out = lifecycle.advance(st, f, [(1, "matched", 9), (2, "matched", 9)], rules)
-    assert [(r[1], r[2]) for r in out] == [(1, "kept"), (2, "removed")]  # duplicates of an earlier track
-    st = lifecycle.new_state()
-    lifecycle.advance(st, 0, [(1, "new", 1)], rules)
-    for f in (1, 2, 3):
-        out = lifecycle.advance(st, f, [(1, "unmatched", None)], rules)
-    assert out[0][2] == "removed"
-    st = lifecycle.new_state()
-    old = lifecycle.Rules(delay=2, only_within_delay=False)
-    lifecycle.advance(st, 0, [(1, "new", 1)], old)
-    for f in range(3, 7):
-        out = lifecycle.advance(st, f, [(1, "unmatched", None)], old)
-    assert out[0][2] == "suppressed"
-
-
 def test_rounds(spark):
     slides = spark.createDataFrame([("a",), ("b",), ("c",)], "slide_id string")
     detect = lambda live, k: live.where("slide_id <> 'c' or 0 = 1") if k else live
