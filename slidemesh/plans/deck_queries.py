@@ -139,11 +139,11 @@ def box_difference(spark, sf):
 
 @query("crop_strips", None)
 def crop_strips(spark, sf):
-    """Text boxes of a slide push in the edges of its first box."""
+    """The other text boxes of a slide push in the edges of each of its boxes."""
     c = V.components(spark, sf)
-    text = c.where("is_text_only AND pos > 0").groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x0", "y0", "x1", "y1"))).alias("t"))
-    d = c.where("pos = 0").join(text, "slide_id").withColumn("o", B.crop_edge_strips(B.box(), F.col("t")))
-    return d.select("slide_id", "o.x0", "o.y0", "o.x1", "o.y1")
+    text = c.where("is_text_only").groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x0", "y0", "x1", "y1"))).alias("t"))
+    d = c.join(text, "slide_id").withColumn("t", F.filter("t", lambda t: t["pos"] != F.col("pos"))).withColumn("o", B.crop_edge_strips(B.box(), F.col("t")))
+    return d.select("slide_id", "pos", "o.x0", "o.y0", "o.x1", "o.y1")
 
 
 @query("fit_boxes", sql("""SELECT slide_id, pos, round(least((x1 - x0) / 400.0, (y1 - y0) / 300.0), 9) AS fit, round(greatest((x1 - x0) / 400.0, (y1 - y0) / 300.0), 9) AS fill,
@@ -268,7 +268,7 @@ def sparse_dropped(spark, sf):
 
 
 _GROUPS = """grp AS (SELECT slide_id, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, bool_and(is_text_only) AS all_text,
- (['line chart', 'flow chart', 'photo', 'table', 'diagram'])[slide_id % 5 + 1] AS cls FROM components WHERE pos < 5 GROUP BY slide_id HAVING count(*) >= 2)"""
+ (['line chart', 'flow chart', 'photo', 'table', 'diagram'])[slide_id % 5 + 1] AS cls FROM components GROUP BY slide_id HAVING count(*) >= 2)"""
 
 
 def _verdicts(c):
@@ -315,8 +315,8 @@ def consolidated_components(spark, sf):
 
 
 def _groups(c):
-    """One proposed merge group per slide of two or more components: its first up to five boxes."""
-    m = c.where("pos < 5").groupBy("slide_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("f"), F.col("pos")))).alias("member_filenames"),
+    """One proposed merge group per slide of two or more components: all its boxes."""
+    m = c.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("f"), F.col("pos")))).alias("member_filenames"),
                                                    F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return m.where("size(member_filenames) >= 2").withColumns({
         "group_idx": F.lit(0), "n_members": F.size("member_filenames"), "slide_w": F.lit(SLIDE_W), "slide_h": F.lit(SLIDE_H),
@@ -343,7 +343,7 @@ def _files(c):
                         "iter_idx", "'fine' AS granularity", "'detector' AS source", "is_text_only", "x0", "y0", "x1", "y1")
 
 
-@query("merge_members", sql("SELECT c.slide_id, c.pos, concat('f', cast(c.pos AS VARCHAR)) AS filename FROM components c JOIN grp g ON g.slide_id = c.slide_id WHERE c.pos < 5", "components", extra=_GROUPS))
+@query("merge_members", sql("SELECT c.slide_id, c.pos, concat('f', cast(c.pos AS VARCHAR)) AS filename FROM components c JOIN grp g ON g.slide_id = c.slide_id", "components", extra=_GROUPS))
 def merge_members(spark, sf):
     c = V.components(spark, sf)
     g = _groups(c).withColumn("member_filenames", F.transform("member_filenames", lambda m, i: F.when(i % 2 == 0, m).otherwise(F.concat(F.lit("o"), F.substring(m, 2, 9)))))
@@ -501,7 +501,7 @@ def refined_groups(spark, sf):
     from slidemesh.operators.refine import refine_groups
     c = V.components(spark, sf)
     f = c.select("slide_id", "pos", F.concat(F.lit("f"), F.col("pos")).alias("filename"), "label", "x0", "y0", "x1", "y1")
-    g = _groups(c).withColumn("member_filenames", F.slice("member_filenames", 1, 2))
+    g = _groups(c)
     d = c.where("pos >= 2").select("slide_id", F.lit(0).alias("group_idx"), F.concat(F.lit("f"), F.col("pos")).alias("filename"),
                                    (F.col("score") % 3 == 0).alias("should_merge"), (F.col("score") % 2 == 0).alias("visually_overlaps"))
     r = refine_groups(g, f, d)

@@ -47,7 +47,7 @@ def concept_f1(spark, sf):
 
 
 # where every image has at most one box a side the matching is forced and SQL can state the whole metric
-_ONE = f"""g1 AS (SELECT * FROM gt WHERE gt_id = 0), d1 AS (SELECT * FROM dt WHERE dt_id = 0 AND score >= 5000),
+_ONE = f"""g1 AS (SELECT image_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM gt GROUP BY 1), d1 AS (SELECT image_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM dt WHERE score >= 5000 GROUP BY 1),
 per AS (SELECT o.o_orderkey AS image_id, (g.image_id IS NOT NULL)::INT AS n_gt, (d.image_id IS NOT NULL)::INT AS n_dt,
  CASE WHEN g.x0 < d.x1 AND d.x0 < g.x1 AND g.y0 < d.y1 AND d.y0 < g.y1 THEN CAST((least(g.x1, d.x1) - greatest(g.x0, d.x0)) * (least(g.y1, d.y1) - greatest(g.y0, d.y0)) AS DOUBLE)
   / ((g.x1 - g.x0) * (g.y1 - g.y0) + (d.x1 - d.x0) * (d.y1 - d.y0) - (least(g.x1, d.x1) - greatest(g.x0, d.x0)) * (least(g.y1, d.y1) - greatest(g.y0, d.y0))) ELSE 0 END AS iou
@@ -62,10 +62,13 @@ acc AS (SELECT i, CAST(sum((iou >= round(t, 2))::INT) AS BIGINT) AS tp, CAST(sum
 round((CAST(itp AS DOUBLE) * itn - CAST(ifp AS DOUBLE) * ifn) / (sqrt(CAST(itp + ifp AS DOUBLE) * (itp + ifn) * (itn + ifp) * (itn + ifn)) + 1e-6::DOUBLE), 9) AS mcc,
 round(2 * (tp / (tp + pfp + 1e-4::DOUBLE)) * (tp / (tp + fn + 1e-4::DOUBLE)) / ((tp / (tp + pfp + 1e-4::DOUBLE)) + (tp / (tp + fn + 1e-4::DOUBLE)) + 1e-4::DOUBLE), 9) AS pmf1 FROM acc""", "components", "gt", "dt", extra=_ONE))
 def concept_f1_single(spark, sf):
-    """The first box of each image against its first detection: the same metric where matching is forced."""
+    """The hull of each image's boxes against the hull of its confident detections: the same metric where matching is forced."""
     gt, dt = _sets(spark, sf)
+    hull = [F.min("label").alias("label"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    gt = gt.groupBy("image_id").agg(F.lit(0).alias("gt_id"), *hull).withColumn("iscrowd", F.lit(False))
+    dt = dt.where("score >= 5000").groupBy("image_id").agg(F.lit(0).alias("dt_id"), F.max("score").alias("score"), *hull)
     images = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"))
-    a = CF.accumulate(CF.per_image(images, gt.where("gt_id = 0"), dt.where("dt_id = 0"), 5000))
+    a = CF.accumulate(CF.per_image(images, gt, dt, 5000))
     return a.select(F.round("iou", 2).alias("iou"), "tp", "fp", "fn", F.round("precision", 9).alias("prec"), F.round("recall", 9).alias("rec"), F.round("il_mcc", 9).alias("mcc"), F.round("positive_micro_f1", 9).alias("pmf1"))
 
 
@@ -102,7 +105,7 @@ def not_evaluated(spark, sf):
     return CF.check_evaluated(V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id")), gt)
 
 
-_HULL = "(greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0))::DOUBLE"
+_HULL = "((greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0)))::DOUBLE"
 _BOTH = f"CASE WHEN {HIT} THEN {INTER} ELSE 0 END"
 _UNION = f"({A_AREA} + {B_AREA} - {_BOTH})"
 

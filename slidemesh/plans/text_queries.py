@@ -180,11 +180,12 @@ def assigned_ocr_lines(spark, sf):
 
 @query("shape_line_heights", sql("""SELECT page, shape_id, CAST(list_sort(list(h))[len(list(h)) // 2 + 1] AS BIGINT) AS h FROM (SELECT s.page, s.pos AS shape_id, l.h FROM
  (SELECT conv_id AS page, turn AS pos, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS n FROM conversations WHERE turn % 2 = 0) s JOIN
- (SELECT conv_id AS page, regexp_replace(lower(left(text, 12)), '[^a-z0-9]+', '', 'g') AS n, turn + 10 AS h FROM conversations) l ON l.page = s.page AND s.n <> '' AND l.n <> '' AND (contains(s.n, l.n) OR contains(l.n, s.n))) t GROUP BY 1, 2"""))
+ (SELECT page, regexp_replace(lower(line), '[^a-z0-9]+', '', 'g') AS n, h FROM (SELECT conv_id AS page, unnest(string_split(text, chr(10))) AS line, turn + 9 + generate_subscripts(string_split(text, chr(10)), 1) AS h FROM conversations) x) l ON l.page = s.page AND s.n <> '' AND l.n <> '' AND (contains(s.n, l.n) OR contains(l.n, s.n))) t GROUP BY 1, 2"""))
 def shape_line_heights(spark, sf):
     c = V.table(spark, sf, "conversations")
     shapes = c.where("turn % 2 = 0").select(F.col("conv_id").alias("page"), F.col("turn").alias("shape_id"), "text")
-    lines = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("line_id"), F.substring("text", 1, 12).alias("text"), (F.col("turn") + 10).alias("h_px"))
+    rows = c.select(F.col("conv_id").alias("page"), "turn", F.posexplode(F.split("text", "\n")).alias("no", "text"))
+    lines = rows.select("page", (F.col("turn") * 1_000_000 + F.col("no")).alias("line_id"), "text", (F.col("turn") + 10 + F.col("no")).alias("h_px"))
     return ocr.line_height_of_shape(shapes, lines, ["page"])
 
 
@@ -211,10 +212,10 @@ def latex_clean(spark, sf):
 
 
 @query("under_extracted", sql("""SELECT doc_id, flag FROM (SELECT doc_id, trim(text, ' ') <> '' AND ol >= 120 AND gl < CAST(0.72 AS DOUBLE) * ol AS flag FROM (
- SELECT doc_id, text, length(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+', '', 'g')) AS ol, length(regexp_replace(lower(left(text, 400)), '[^\\p{L}\\p{N}\\p{M}_]+', '', 'g')) AS gl FROM documents) a) b"""))
+ SELECT doc_id, text, length(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+', '', 'g')) AS ol, length(regexp_replace(lower(regexp_replace(text, '[aeiou]', '', 'g')), '[^\\p{L}\\p{N}\\p{M}_]+', '', 'g')) AS gl FROM documents) a) b"""))
 def under_extracted(spark, sf):
     t = F.col("text")
-    return V.table(spark, sf, "documents").select("doc_id", T.looks_under_extracted(F.substring(t, 1, 400), t).alias("flag"))
+    return V.table(spark, sf, "documents").select("doc_id", T.looks_under_extracted(F.regexp_replace(t, "[aeiou]", ""), t).alias("flag"))
 
 
 @query("loose_answers", sql("""SELECT event_id, CAST(event_id % 8 AS INTEGER) AS cls, event_type AS role FROM events WHERE event_id % 4 <> 3"""))

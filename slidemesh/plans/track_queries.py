@@ -41,12 +41,12 @@ def frame_steps(spark, sf):
 
 
 def _dense(spark, sf):
-    """Many tracks per frame: users are videos, blocks of ten events one frame, event types tracks (best event each)."""
+    """Many tracks per frame: users are videos, blocks of ten events one frame, event types tracks (hull of their events)."""
     t = _track(spark, sf).withColumns({"frame": F.floor(F.col("frame_idx") / 10), "tid": F.length("track").cast("long")})
-    return t.groupBy("video_id", "frame", "tid").agg(F.min_by(F.struct("x0", "y0", "x1", "y1", "matched"), "frame_idx").alias("b")).select("video_id", "frame", "tid", "b.*")
+    return t.groupBy("video_id", "frame", "tid").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.bool_or("matched").alias("matched"))
 
 
-_DENSE = """d AS (SELECT video_id, frame, tid, x0, y0, x1, y1, matched FROM (SELECT *, frame_idx // 10 AS frame, length(track) AS tid, row_number() OVER (PARTITION BY video_id, frame_idx // 10, length(track) ORDER BY frame_idx) AS z FROM track_frames) q WHERE z = 1),
+_DENSE = """d AS (SELECT video_id, frame_idx // 10 AS frame, length(track) AS tid, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, bool_or(matched) AS matched FROM track_frames GROUP BY ALL),
 g AS (SELECT video_id, frame, tid, x0, y0, x1, y1 FROM d), t AS (SELECT video_id, frame, (tid * 3) % 7 AS tid, x0 + frame % 4 * 5 AS x0, y0 + 3 AS y0, x1 + frame % 4 * 5 AS x1, y1 + 3 AS y1 FROM d WHERE matched)"""
 _PAIR = """p AS (SELECT a.video_id, a.frame, a.tid AS gt_id, b.tid AS tk_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter,
  (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba FROM g a JOIN t b ON a.video_id = b.video_id AND a.frame = b.frame WHERE a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)"""

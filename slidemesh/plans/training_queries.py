@@ -113,8 +113,10 @@ def residual_masks(spark, sf):
 
 
 def _rasters(spark, sf):
-    """Grey rasters 16 px wide whose bytes are the text of the conversation turns (three equal channels)."""
-    c = V.table(spark, sf, "conversations").select("conv_id", "turn", F.encode("text", "utf-8").alias("bytes")).where(F.length("bytes") >= 256)
+    """Grey rasters 16 px wide whose bytes are the text of the conversation turns (three equal channels), repeated to 16 rows at least."""
+    t = V.table(spark, sf, "conversations").where("text <> ''")
+    whole = F.expr("repeat(text, cast(ceil(256 / octet_length(text)) AS int))")
+    c = t.select("conv_id", "turn", F.encode(whole, "utf-8").alias("bytes"))
     h = F.floor(F.length("bytes") / 16).cast("int")
     hexes = F.hex(F.substring("bytes", 1, 1 << 30))
     px = F.unhex(F.regexp_replace(F.substring(hexes, 1, 1 << 30), "(..)", "$1$1$1"))
