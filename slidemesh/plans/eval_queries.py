@@ -126,23 +126,52 @@ def _coco(spark, sf):
     return gt, V.detections(c).withColumn("area", B.area(B.box())).withColumnRenamed("label", "category_id")
 
 
-@query("ap_per_class")
+def _ap_sql(max_dets: int) -> str:
+    """Average precision per label, area range and threshold, stated from the metric's definition: detections of an image and label are walked
+    by score; each takes the free ground truth of highest IoU, counted ones before ignored ones, the later one on ties; crowds stay free."""
+    return f"""cells AS (SELECT a.name AS area_range, a.lo, a.hi, i, CAST(0.5 AS DOUBLE) + 0.05::DOUBLE * i AS t FROM (VALUES ('all', 0, 1e10), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 1e10)) a(name, lo, hi), range(10) r(i)),
+ds AS (SELECT * FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, dt_id) AS z FROM dt) q WHERE z <= {max_dets}),
+prs AS (SELECT a.image_id, a.label, b.dt_id, b.score, a.gt_id, {A_AREA} AS g_area, a.iscrowd, CASE WHEN a.iscrowd THEN CAST({INTER} AS DOUBLE) / ({B_AREA}) ELSE {IOU} END AS sim
+ FROM gt a JOIN ds b ON a.image_id = b.image_id AND a.label = b.label WHERE {HIT}),
+opt AS (SELECT image_id, label, dt_id, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, dt_id) AS k, o FROM (
+ SELECT image_id, label, dt_id, score, list({{'sim': sim, 'gt': gt_id, 'area': g_area, 'crowd': iscrowd}}) AS o FROM prs WHERE sim >= 0.5::DOUBLE GROUP BY ALL) q),
+walk AS (SELECT DISTINCT image_id, label, area_range, lo, hi, i, round(t, 2) AS t, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS dt_id, CAST([] AS BIGINT[]) AS taken, 0 AS state FROM opt, cells UNION ALL
+ SELECT image_id, label, area_range, lo, hi, i, t, k, dt_id, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.gt) END, CASE WHEN best IS NULL THEN 0 WHEN best.reg THEN 1 ELSE 2 END FROM (
+  SELECT w.image_id, w.label, w.area_range, w.lo, w.hi, w.i, w.t, d.k, d.dt_id, w.taken, list_sort(list_transform(list_filter(d.o, lambda x: x.sim >= w.t AND (x.crowd OR NOT list_contains(w.taken, x.gt))),
+    lambda x: {{'reg': NOT (x.crowd OR x.area < w.lo OR x.area > w.hi), 'sim': x.sim, 'gt': x.gt}}))[-1] AS best FROM walk w JOIN opt d ON d.image_id = w.image_id AND d.label = w.label AND d.k = w.k + 1) q),
+flag AS (SELECT d.label, c.area_range, c.i, d.score, d.image_id, d.dt_id, coalesce(w.state, 0) = 1 AS tp, coalesce(w.state, 0) = 0 AND d.area >= c.lo AND d.area <= c.hi AS fp
+ FROM ds d CROSS JOIN cells c LEFT JOIN walk w ON w.image_id = d.image_id AND w.label = d.label AND w.dt_id = d.dt_id AND w.area_range = c.area_range AND w.i = c.i),
+ran AS (SELECT label, area_range, i, tp, sum(tp::INT) OVER s AS ctp, sum(fp::INT) OVER s AS cfp FROM flag WINDOW s AS (PARTITION BY label, area_range, i ORDER BY score DESC, image_id, dt_id ROWS UNBOUNDED PRECEDING)),
+num AS (SELECT label, area_range, i, count(*) AS n FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM gt WHERE NOT iscrowd) g JOIN cells c ON g.area >= c.lo AND g.area <= c.hi GROUP BY ALL),
+pts AS (SELECT r.label, r.area_range, r.i, CAST(floor(ctp / CAST(n AS DOUBLE) * 100 + 1e-9::DOUBLE) AS INT) AS pt, max(ctp / CAST(ctp + cfp AS DOUBLE)) AS p, max(ctp / CAST(n AS DOUBLE)) AS rec FROM ran r JOIN num USING (label, area_range, i) WHERE tp GROUP BY ALL),
+env AS (SELECT label, area_range, i, g.k, coalesce(max(p) FILTER (pt >= g.k), 0) AS p, max(rec) AS rec FROM num LEFT JOIN pts USING (label, area_range, i), range(101) g(k) GROUP BY ALL),
+ap AS (SELECT label AS category_id, area_range, 0.5::DOUBLE + 0.05::DOUBLE * i AS iou, sum(p) / 101 AS ap, coalesce(max(rec), 0) AS ar FROM env GROUP BY ALL)"""
+
+
+_AP_COLS = ("ap", "ar")
+
+
+@query("ap_per_class", sql("SELECT category_id, area_range, round(iou, 2) AS iou, round(ap, 9) AS ap, round(ar, 9) AS ar FROM ap", "components", "gt", "dt", extra=_ap_sql(100), recursive=True))
 def ap_per_class(spark, sf):
     gt, dt = _coco(spark, sf)
-    return AP.evaluate(gt, dt)
+    return AP.evaluate(gt, dt).select("category_id", "area_range", F.round("iou", 2).alias("iou"), *[F.round(c, 9).alias(c) for c in _AP_COLS])
 
 
-@query("ap_summary")
+@query("ap_summary", sql("""SELECT area_range, round(avg(ap), 9) AS ap, round(avg(ap) FILTER (round(iou, 2) = 0.5::DOUBLE), 9) AS ap50, round(avg(ap) FILTER (round(iou, 2) = 0.75::DOUBLE), 9) AS ap75, round(avg(ar), 9) AS ar FROM ap GROUP BY 1""",
+                            "components", "gt", "dt", extra=_ap_sql(10), recursive=True))
 def ap_summary(spark, sf):
     gt, dt = _coco(spark, sf)
-    return AP.summary(AP.evaluate(gt, dt, max_dets=10))
+    return AP.summary(AP.evaluate(gt, dt, max_dets=10)).select("area_range", *[F.round(c, 9).alias(c) for c in ("ap", "ap50", "ap75", "ar")])
 
 
-@query("ap_by_rarity")
+@query("ap_by_rarity", sql("""SELECT bucket, round(v, 9) AS ap FROM (SELECT bucket, avg(ap) AS v FROM b GROUP BY 1 UNION ALL SELECT NULL, avg(v) FROM (SELECT avg(ap) AS v FROM b GROUP BY bucket) q) z""", "components", "gt", "dt", recursive=True,
+                              extra=_ap_sql(100) + """,
+b AS (SELECT CASE WHEN n % 2 = 0 THEN 'frequent' ELSE 'rare' END AS bucket, ap FROM ap JOIN (SELECT label AS category_id, count(*) AS n FROM gt GROUP BY 1) c USING (category_id) WHERE area_range = 'all')"""))
 def ap_by_rarity(spark, sf):
     gt, dt = _coco(spark, sf)
     counts = gt.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    return AP.bucket_summary(AP.evaluate(gt, dt), counts.select("category_id", F.when(F.col("n") % 2 == 0, "frequent").otherwise("rare").alias("bucket")))
+    per = AP.bucket_summary(AP.evaluate(gt, dt), counts.select("category_id", F.when(F.col("n") % 2 == 0, "frequent").otherwise("rare").alias("bucket")))
+    return per.select("bucket", F.round("ap", 9).alias("ap"))
 
 
 @query("ap_curve", sql("""SELECT label, round(sum(p) / 101, 9) AS ap, round(max(rec), 9) AS ar FROM (SELECT c.label, r.i, coalesce(max(c.prec) FILTER (c.rec + 1e-9::DOUBLE >= r.i / 100.0::DOUBLE), 0) AS p, max(c.rec) AS rec FROM (
