@@ -187,12 +187,27 @@ def same_label_kept(spark, sf):
     return S.same_label_filter(V.components(spark, sf), K).select("slide_id", "pos")
 
 
-@query("near_duplicates_kept", None)
+def _drop_sql(pairs: str) -> str:
+    """Conflicts (slide_id, i, j, w, l) taken in order of (i, j): where both sides are still there, l goes."""
+    return f"""conf AS ({pairs}),
+pr AS (SELECT slide_id, w, l, row_number() OVER (PARTITION BY slide_id ORDER BY i, j) AS k FROM conf),
+walk AS (SELECT DISTINCT slide_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone FROM pr UNION ALL
+ SELECT p.slide_id, p.k, CASE WHEN list_contains(gone, p.w) OR list_contains(gone, p.l) THEN gone ELSE list_append(gone, p.l) END FROM walk v JOIN pr p ON p.slide_id = v.slide_id AND p.k = v.k + 1),
+fin AS (SELECT slide_id, arg_max(gone, k) AS gone FROM walk GROUP BY 1)"""
+
+
+_LEFT = "SELECT c.slide_id, c.pos FROM components c LEFT JOIN fin f ON f.slide_id = c.slide_id WHERE NOT coalesce(list_contains(f.gone, c.pos), FALSE)"
+_A_FIRST = "CASE WHEN a.score <> b.score THEN a.score > b.score WHEN a.area <> b.area THEN a.area > b.area ELSE a.label < b.label END"
+
+
+@query("near_duplicates_kept", sql(_LEFT, "components", recursive=True, extra=_drop_sql(f"""SELECT a.slide_id, a.pos AS i, b.pos AS j, CASE WHEN {_A_FIRST} THEN a.pos ELSE b.pos END AS w, CASE WHEN {_A_FIRST} THEN b.pos ELSE a.pos END AS l
+ FROM components a JOIN components b ON a.slide_id = b.slide_id AND a.pos < b.pos AND a.label <> b.label WHERE {HIT} AND {INTER} >= 1 AND {INTER} / CAST(least(a.area, b.area) AS DOUBLE) >= CAST(0.6 AS DOUBLE)""")))
 def near_duplicates_kept(spark, sf):
     return S.near_duplicate_filter(V.components(spark, sf), K, ratio=0.6).select("slide_id", "pos")
 
 
-@query("part_of_kept", None)
+@query("part_of_kept", sql(_LEFT, "components", recursive=True, extra=_drop_sql(f"""SELECT a.slide_id, least(a.pos, b.pos) AS i, greatest(a.pos, b.pos) AS j, b.pos AS w, a.pos AS l
+ FROM components a JOIN components b ON a.slide_id = b.slide_id AND a.area < b.area AND a.label <> b.label WHERE {HIT} AND {INTER} >= 1 AND {INTER} / CAST(a.area AS DOUBLE) >= CAST(0.3 AS DOUBLE) AND (a.pos + b.pos) % 3 = 0""")))
 def part_of_kept(spark, sf):
     c = V.components(spark, sf)
     cand = S.part_of_candidates(c, K).withColumn("is_part_of", (F.col("small") + F.col("large")) % 3 == 0)

@@ -34,16 +34,35 @@ def _scored(spark, sf):
     return CF.per_image(images, gt, dt, 5000)
 
 
-@query("concept_f1_images")
+# the assignment of largest total IoU per image: ground truth boxes one by one, the best total for every set of used detections
+_BEST = f"""c1 AS (SELECT a.image_id, a.gt_id, list({{'c': b.dt_id, 's': {IOU}}}) AS o FROM gt a JOIN dt b ON a.image_id = b.image_id AND b.score >= 5000 WHERE {HIT} GROUP BY 1, 2),
+ord AS (SELECT image_id, o, row_number() OVER (PARTITION BY image_id ORDER BY gt_id) AS k FROM c1),
+walk AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS total, CAST([] AS DOUBLE[]) AS sims FROM ord UNION ALL
+ SELECT image_id, k, used, total, sims FROM (SELECT v.image_id, n.k, v.used + CASE WHEN n.x IS NULL THEN 0 ELSE CAST(1 AS BIGINT) << n.x.c END AS used, v.total + coalesce(n.x.s, 0) AS total, CASE WHEN n.x IS NULL THEN v.sims ELSE list_append(v.sims, n.x.s) END AS sims
+  FROM walk v JOIN (SELECT image_id, k, unnest(list_append(o, NULL)) AS x FROM ord) n ON n.image_id = v.image_id AND n.k = v.k + 1 AND (n.x IS NULL OR (v.used >> n.x.c) % 2 = 0)) q
+ QUALIFY row_number() OVER (PARTITION BY image_id, used ORDER BY total DESC) = 1),
+top AS (SELECT image_id, arg_max(sims, k * 100 + total) AS sims FROM walk GROUP BY 1),
+cnt AS (SELECT o.o_orderkey AS image_id, coalesce(g.n, 0) AS n_gt, coalesce(d.n, 0) AS n_dt, coalesce(top.sims, []) AS sims FROM orders o LEFT JOIN (SELECT image_id, count(*) AS n FROM gt GROUP BY 1) g ON g.image_id = o.o_orderkey
+ LEFT JOIN (SELECT image_id, count(*) AS n FROM dt WHERE score >= 5000 GROUP BY 1) d ON d.image_id = o.o_orderkey LEFT JOIN top ON top.image_id = o.o_orderkey),
+per AS (SELECT image_id, n_gt, n_dt, i, round(0.5::DOUBLE + 0.05::DOUBLE * i, 2) AS iou, len(list_filter(sims, lambda s: s >= round(0.5::DOUBLE + 0.05::DOUBLE * i, 2))) AS tp FROM cnt, range(10) r(i)),
+loc AS (SELECT *, n_dt - tp AS fp, n_gt - tp AS fn, tp / (n_dt + 1e-4::DOUBLE) AS pr, tp / (n_gt + 1e-4::DOUBLE) AS re FROM per),
+tot AS (SELECT i, iou, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(CASE WHEN n_gt > 0 THEN fp ELSE 0 END) AS BIGINT) AS pfp, sum(CASE WHEN n_gt > 0 AND n_dt > 0 THEN 2 * pr * re / (pr + re + 1e-4::DOUBLE) ELSE 0 END) AS lf,
+ count(*) FILTER (n_gt > 0 AND n_dt > 0)::DOUBLE AS a, count(*) FILTER (n_gt = 0 AND n_dt > 0)::DOUBLE AS b, count(*) FILTER (n_gt > 0 AND n_dt = 0)::DOUBLE AS c, count(*) FILTER (n_gt = 0 AND n_dt = 0)::DOUBLE AS n FROM loc GROUP BY 1, 2)"""
+
+
+@query("concept_f1_images", sql("SELECT image_id, n_gt, n_dt, CAST(max(tp) FILTER (i = 0) AS BIGINT) AS tp50, CAST(max(tp) FILTER (i = 5) AS BIGINT) AS tp75 FROM per GROUP BY 1, 2, 3", "components", "gt", "dt", extra=_BEST, recursive=True))
 def concept_f1_images(spark, sf):
     """Matching counts per image; orders without lines are empty images."""
     s = _scored(spark, sf)
     return s.select("image_id", "n_gt", "n_dt", F.col("tp")[0].alias("tp50"), F.col("tp")[5].alias("tp75"))
 
 
-@query("concept_f1")
+@query("concept_f1", sql("""SELECT iou, tp, fp, fn, pfp AS positive_micro_fp, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r + 1e-4::DOUBLE), 9) AS f1, round(pm, 9) AS positive_micro_f1, round(lf / a, 9) AS positive_macro_f1,
+ round(mcc, 9) AS il_mcc, round(pm * mcc, 9) AS cgf1 FROM (SELECT *, 2 * pp * r / (pp + r + 1e-4::DOUBLE) AS pm, (a * n - b * c) / (sqrt((a + b) * (a + c) * (n + b) * (n + c)) + 1e-6::DOUBLE) AS mcc FROM (
+ SELECT *, tp / (tp + fp + 1e-4::DOUBLE) AS p, tp / (tp + fn + 1e-4::DOUBLE) AS r, tp / (tp + pfp + 1e-4::DOUBLE) AS pp FROM tot) x) y""", "components", "gt", "dt", extra=_BEST, recursive=True))
 def concept_f1(spark, sf):
-    return CF.accumulate(_scored(spark, sf))
+    a = CF.accumulate(_scored(spark, sf))
+    return a.select(F.round("iou", 2).alias("iou"), "tp", "fp", "fn", "positive_micro_fp", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "positive_micro_f1", "positive_macro_f1", "il_mcc", "cgf1")])
 
 
 # where every image has at most one box a side the matching is forced and SQL can state the whole metric
