@@ -405,11 +405,25 @@ def overlap_arbitration_pairs(spark, sf):
     return L.overlap_to_arbitrate(V.components(spark, sf).withColumn("filename", F.col("node_id")))
 
 
-@query("carved_boxes", None)
+_CARVE = f"""ov AS (SELECT a.slide_id, a.pos AS p, b.pos AS q, {INTER} AS px FROM components a JOIN components b ON a.slide_id = b.slide_id AND a.node_id < b.node_id WHERE {HIT} AND {INTER} >= 100),
+ed AS (SELECT slide_id, i, j, row_number() OVER (PARTITION BY slide_id ORDER BY i, j) AS k FROM (SELECT slide_id, CASE WHEN px % 3 = 1 THEN p ELSE q END AS i, CASE WHEN px % 3 = 1 THEN q ELSE p END AS j FROM ov WHERE px % 3 < 2) t),
+full_ed AS (SELECT e.*, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1 FROM ed e JOIN components a ON a.slide_id = e.slide_id AND a.pos = e.i JOIN components b ON b.slide_id = e.slide_id AND b.pos = e.j),
+walk AS (SELECT DISTINCT slide_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(p BIGINT, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT, c BIGINT)[]) AS moved FROM ed UNION ALL
+ SELECT slide_id, k, CASE WHEN done OR n = 0 OR n = 4 OR ox1 <= ox0 OR oy1 <= oy0 OR (ox1 - ox0) * (oy1 - oy0) < 100 OR nx1 - nx0 < 1 OR ny1 - ny0 < 1 THEN moved ELSE list_append(moved, {{'p': i, 'x0': nx0, 'y0': ny0, 'x1': nx1, 'y1': ny1, 'c': j}}) END FROM (
+  SELECT *, CASE WHEN NOT t AND NOT b AND NOT (l AND (NOT r OR ox0 - ax0 >= ax1 - ox1)) THEN ox1 ELSE ax0 END AS nx0, CASE WHEN NOT t AND NOT b AND l AND (NOT r OR ox0 - ax0 >= ax1 - ox1) THEN ox0 ELSE ax1 END AS nx1,
+   CASE WHEN (t OR b) AND NOT l AND NOT r AND NOT (t AND (NOT b OR oy0 - ay0 >= ay1 - oy1)) THEN oy1 ELSE ay0 END AS ny0, CASE WHEN (t OR b) AND NOT l AND NOT r AND t AND (NOT b OR oy0 - ay0 >= ay1 - oy1) THEN oy0 ELSE ay1 END AS ny1,
+   l::INT + t::INT + r::INT + b::INT AS n FROM (SELECT *, ox0 > ax0 AS l, oy0 > ay0 AS t, ox1 < ax1 AS r, oy1 < ay1 AS b FROM (
+    SELECT slide_id, k, i, j, moved, done, ax0, ay0, ax1, ay1, greatest(ax0, coalesce(m.x0, bx0)) AS ox0, greatest(ay0, coalesce(m.y0, by0)) AS oy0, least(ax1, coalesce(m.x1, bx1)) AS ox1, least(ay1, coalesce(m.y1, by1)) AS oy1 FROM (
+     SELECT e.*, w.moved, len(list_filter(w.moved, lambda x: x.p = e.i)) > 0 AS done, list_filter(w.moved, lambda x: x.p = e.j)[1] AS m FROM walk w JOIN full_ed e ON e.slide_id = w.slide_id AND e.k = w.k + 1) q1) q2) q3) q4),
+cuts AS (SELECT slide_id, unnest(arg_max(moved, k), recursive := true) FROM walk GROUP BY 1)"""
+
+
+@query("carved_boxes", sql("""SELECT c.slide_id, c.pos, CAST(coalesce(m.x0, c.x0) AS DOUBLE) AS x0, CAST(coalesce(m.y0, c.y0) AS DOUBLE) AS y0, CAST(coalesce(m.x1, c.x1) AS DOUBLE) AS x1, CAST(coalesce(m.y1, c.y1) AS DOUBLE) AS y1, m.c AS carved_by
+ FROM components c LEFT JOIN cuts m ON m.slide_id = c.slide_id AND m.p = c.pos""", "components", extra=_CARVE, recursive=True))
 def carved_boxes(spark, sf):
     c = V.components(spark, sf).withColumn("filename", F.col("node_id"))
     d = L.overlap_to_arbitrate(c).withColumns({"first_owns": F.col("overlap_px") % 3 == 0, "second_owns": F.col("overlap_px") % 3 == 1})
-    return L.carve_overlaps(c, d).select("slide_id", "pos", "x0", "y0", "x1", "y1", "carved_by", F.size("vertices").alias("corners"))
+    return L.carve_overlaps(c, d).select("slide_id", "pos", "x0", "y0", "x1", "y1", "carved_by")
 
 
 @query("placement_plan", sql("""SELECT slide_id, component_file, cls, layer, source, skip_reason, row_number() OVER (PARTITION BY slide_id ORDER BY layer, pos) - 1 AS paint_order FROM (
