@@ -137,7 +137,18 @@ def box_difference(spark, sf):
     return d.where("d.kind <> 'split'").select("slide_id", "pos", F.col("d.kind").alias("kind"), left.cast("long").alias("left_area"))
 
 
-@query("crop_strips", None)
+_CROP = """tx AS (SELECT * FROM components WHERE is_text_only),
+seq AS (SELECT c.slide_id, c.pos, t.x0 AS tx0, t.y0 AS ty0, t.x1 AS tx1, t.y1 AS ty1, row_number() OVER (PARTITION BY c.slide_id, c.pos ORDER BY t.pos) AS k FROM components c JOIN tx t ON t.slide_id = c.slide_id AND t.pos <> c.pos),
+walk AS (SELECT slide_id, pos, CAST(0 AS BIGINT) AS k, x1 - x0 AS ow, y1 - y0 AS oh, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM components WHERE slide_id IN (SELECT slide_id FROM tx) UNION ALL
+ SELECT slide_id, pos, k, ow, oh, CASE WHEN side = 'l' THEN ix1 ELSE x0 END, CASE WHEN side = 't' THEN iy1 ELSE y0 END, CASE WHEN side = 'r' THEN ix0 ELSE x1 END, CASE WHEN side = 'b' THEN iy0 ELSE y1 END FROM (
+  SELECT *, CASE WHEN ix1 <= ix0 OR iy1 <= iy0 THEN '' WHEN iy0 <= y0 + 1 AND iy1 - y0 <= 0.3::DOUBLE * oh THEN 't' WHEN iy1 >= y1 - 1 AND y1 - iy0 <= 0.3::DOUBLE * oh THEN 'b'
+   WHEN ix0 <= x0 + 1 AND ix1 - x0 <= 0.3::DOUBLE * ow THEN 'l' WHEN ix1 >= x1 - 1 AND x1 - ix0 <= 0.3::DOUBLE * ow THEN 'r' ELSE '' END AS side FROM (
+   SELECT w.slide_id, w.pos, e.k, ow, oh, x0, y0, x1, y1, greatest(x0, tx0) AS ix0, greatest(y0, ty0) AS iy0, least(x1, tx1) AS ix1, least(y1, ty1) AS iy1 FROM walk w JOIN seq e ON e.slide_id = w.slide_id AND e.pos = w.pos AND e.k = w.k + 1) q) p),
+fin AS (SELECT slide_id, pos, ow, oh, arg_max({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}, k) AS o FROM walk GROUP BY ALL)"""
+
+
+@query("crop_strips", sql("""SELECT c.slide_id, c.pos, CASE WHEN bad THEN c.x0 ELSE o.x0 END AS x0, CASE WHEN bad THEN c.y0 ELSE o.y0 END AS y0, CASE WHEN bad THEN c.x1 ELSE o.x1 END AS x1, CASE WHEN bad THEN c.y1 ELSE o.y1 END AS y1 FROM (
+ SELECT *, ow <= 1 OR oh <= 1 OR o.x1 - o.x0 < 0.4::DOUBLE * ow OR o.y1 - o.y0 < 0.4::DOUBLE * oh AS bad FROM fin) f JOIN components c ON c.slide_id = f.slide_id AND c.pos = f.pos""", "components", extra=_CROP, recursive=True))
 def crop_strips(spark, sf):
     """The other text boxes of a slide push in the edges of each of its boxes."""
     c = V.components(spark, sf)
