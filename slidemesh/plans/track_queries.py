@@ -154,16 +154,43 @@ def tracklets(spark, sf):
     return t.select("video_id", "track_id", "frame_idx", "score", F.round("track_score", 9).alias("track_score"))
 
 
-@query("hota_per_video")
+_HOTA = _DENSE + ",\n" + _PAIR + """,
+sm AS (SELECT video_id, frame, gt_id, tk_id, inter / CAST(aa + ba - inter AS DOUBLE) AS sim FROM p),
+gn AS (SELECT video_id, tid AS gt_id, count(*) AS gn FROM g GROUP BY 1, 2), tn AS (SELECT video_id, tid AS tk_id, count(*) AS tn FROM t GROUP BY 1, 2),
+pot AS (SELECT video_id, gt_id, tk_id, sum(sim / (r + c - sim)) AS pp FROM (SELECT *, sum(sim) OVER (PARTITION BY video_id, frame, gt_id) AS r, sum(sim) OVER (PARTITION BY video_id, frame, tk_id) AS c FROM sm) q GROUP BY 1, 2, 3),
+ga AS (SELECT *, pp / (gn + tn - pp) AS ga FROM pot JOIN gn USING (video_id, gt_id) JOIN tn USING (video_id, tk_id)),
+ord AS (SELECT video_id, frame, o, row_number() OVER (PARTITION BY video_id, frame ORDER BY gt_id) AS k FROM (
+ SELECT video_id, frame, gt_id, list({'g': gt_id, 'c': tk_id, 's': sim, 'v': ga * sim}) AS o FROM sm JOIN ga USING (video_id, gt_id, tk_id) GROUP BY 1, 2, 3) q),
+walk AS (SELECT DISTINCT video_id, frame, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS total, CAST([] AS STRUCT(g BIGINT, c BIGINT, s DOUBLE, v DOUBLE)[]) AS got FROM ord UNION ALL
+ SELECT video_id, frame, k, used, total, got FROM (SELECT w.video_id, w.frame, n.k, w.used + CASE WHEN n.x IS NULL THEN 0 ELSE CAST(1 AS BIGINT) << n.x.c END AS used, w.total + coalesce(n.x.v, 0) AS total, CASE WHEN n.x IS NULL THEN w.got ELSE list_append(w.got, n.x) END AS got
+  FROM walk w JOIN (SELECT video_id, frame, k, unnest(list_append(o, NULL)) AS x FROM ord) n ON n.video_id = w.video_id AND n.frame = w.frame AND n.k = w.k + 1 AND (n.x IS NULL OR (w.used >> n.x.c) % 2 = 0)) q
+ QUALIFY row_number() OVER (PARTITION BY video_id, frame, used ORDER BY total DESC) = 1),
+mt AS (SELECT video_id, frame, unnest(arg_max(got, k * 100 + total), recursive := true) FROM walk GROUP BY 1, 2),
+al AS (SELECT round(0.05::DOUBLE * (i + 1), 2) AS alpha FROM range(19) r(i)),
+pr AS (SELECT video_id, g AS gt_id, c AS tk_id, alpha, count(*) FILTER (s >= alpha - 2.220446049250313e-16::DOUBLE) AS m, coalesce(sum(s) FILTER (s >= alpha - 2.220446049250313e-16::DOUBLE), 0) AS l FROM mt, al GROUP BY 1, 2, 3, 4),
+sums AS (SELECT video_id, alpha, sum(m) AS tp, sum(l) AS loc, sum(m * m / CAST(greatest(1, gn + tn - m) AS DOUBLE)) AS ass, sum(m * m / CAST(gn AS DOUBLE)) AS re, sum(m * m / CAST(tn AS DOUBLE)) AS prc FROM pr JOIN gn USING (video_id, gt_id) JOIN tn USING (video_id, tk_id) GROUP BY 1, 2),
+parts AS (SELECT video_id, alpha, coalesce(tp, 0) AS tp, coalesce(ng, 0) - coalesce(tp, 0) AS fn, coalesce(nt, 0) - coalesce(tp, 0) AS fp, coalesce(loc, 0) AS loc, coalesce(ass, 0) AS ass, coalesce(re, 0) AS re, coalesce(prc, 0) AS prc
+ FROM (SELECT video_id, count(*) AS ng FROM g GROUP BY 1) a FULL JOIN (SELECT video_id, count(*) AS nt FROM t GROUP BY 1) b USING (video_id) CROSS JOIN al LEFT JOIN sums USING (video_id, alpha))"""
+_HOTA_COLS = """CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, round(det, 9) AS det_a, round(dre, 9) AS det_re, round(dpr, 9) AS det_pr, round(asa, 9) AS ass_a, round(re / greatest(1, tp), 9) AS ass_re, round(prc / greatest(1, tp), 9) AS ass_pr,
+ round(greatest(1e-10::DOUBLE, loc) / greatest(1e-10::DOUBLE, CAST(tp AS DOUBLE)), 9) AS loc_a, round(sqrt(det * asa), 9) AS hota, round(sqrt(dre * asa), 9) AS owta"""
+_HOTA_RATIOS = "CAST(tp AS DOUBLE) / greatest(1, tp + fn + fp) AS det, CAST(tp AS DOUBLE) / greatest(1, tp + fn) AS dre, CAST(tp AS DOUBLE) / greatest(1, tp + fp) AS dpr, ass / greatest(1, tp) AS asa"
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query("hota_per_video", sql(f"SELECT video_id, alpha, {_HOTA_COLS} FROM (SELECT *, {_HOTA_RATIOS} FROM parts) q", "track_frames", extra=_HOTA, recursive=True))
 def hota_per_video(spark, sf):
     g, t = _gt_trk(spark, sf)
-    return TM.hota_scores(TM.hota_sums(g, t, ["video_id"]))
+    return _rounded(TM.hota_scores(TM.hota_sums(g, t, ["video_id"])))
 
 
-@query("hota_combined")
+@query("hota_combined", sql(f"""SELECT alpha, {_HOTA_COLS} FROM (SELECT *, {_HOTA_RATIOS} FROM (
+ SELECT alpha, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(loc) AS loc, sum(ass) AS ass, sum(re) AS re, sum(prc) AS prc FROM parts GROUP BY 1) p) q""", "track_frames", extra=_HOTA, recursive=True))
 def hota_combined(spark, sf):
     g, t = _gt_trk(spark, sf)
-    return TM.hota_scores(TM.combine(TM.hota_sums(g, t, ["video_id"])))
+    return _rounded(TM.hota_scores(TM.combine(TM.hota_sums(g, t, ["video_id"]))))
 
 
 @query("teta")
