@@ -56,6 +56,15 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(table_: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few numbers per row, marked for broadcast while it has at most `most` rows; beyond that Spark shuffles both sides.
+    Joined this way, texts stay in their scan when few of them are concerned."""
+    return F.broadcast(table_) if table_.count() <= most else table_
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected `edges` (a, b) of one orderable type: (node, root) of every node but the roots, which are the smallest
     nodes of their components.

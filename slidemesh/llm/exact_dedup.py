@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemesh.llm.common import Scratch, query, table
+from slidemesh.llm.common import Scratch, query, small_or_shuffled, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 QUOTIENT_BITS = 12
@@ -109,7 +109,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "exact")
     norm = normalised(F.col(text_col))
     marks, hot = _hot_fingerprints(docs, scratch, text_col, [F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.sha2(norm, 256).alias("sha256")])
-    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("fp", F.xxhash64("norm")).join(hot.select("fp"), "fp", "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("fp", F.xxhash64("norm")).join(small_or_shuffled(hot.select("fp")), "fp", "left_semi")
     groups = texts.groupBy("fp", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")) \
         .select("fp", F.sha2("norm", 256).alias("sha256"), "keep_id", "group_size")
     stays = marks.join(hot.select("fp"), "fp", "left_semi").groupBy("fp", "sha256").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
@@ -124,7 +124,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of `docs` that stay, with their columns: of equal texts the one with the smallest id (null ids last, one of repeated rows)."""
     scratch = Scratch(docs.sparkSession, "exact")
     _, hot = _hot_fingerprints(docs, scratch, text_col, [])
-    hot = hot.select(F.col("fp").alias("_fp"))
+    hot = small_or_shuffled(hot.select(F.col("fp").alias("_fp")))
     norm = normalised(F.col(text_col))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(norm).alias("_fp"))
     cold = keyed.join(hot, "_fp", "left_anti").select("_row.*")

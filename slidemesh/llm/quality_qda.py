@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemesh.llm.common import Scratch, query, ship, table
+from slidemesh.llm.common import Scratch, query, ship, small_or_shuffled, table
 
 TO_POOLED = 0.7         # share of the pooled covariance
 TO_UNIT = 0.02          # share of the mean variance times the unit matrix
@@ -178,7 +178,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     gone = scored(stats, model, ["mark", "size"]).where("score < 0.5").select(F.col("mark").alias("_mark"), F.col("size").alias("_size")).distinct()
     gone = scratch.save(gone, "rejected")
     keyed = docs.withColumn("_mark", F.xxhash64(text)).withColumn("_size", F.octet_length(text))
-    return keyed.join(gone, ["_mark", "_size"], "left_anti").select(*docs.columns)
+    return keyed.join(small_or_shuffled(gone), ["_mark", "_size"], "left_anti").select(*docs.columns)
 
 
 @query("op9_quality_qda")

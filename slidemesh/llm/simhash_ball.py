@@ -3,10 +3,10 @@
 Two fingerprints at d <= 2h differing bits have a midpoint within h bits of both, so they share a variant when each emits every variant
 within h. With h = 2 a 64-bit fingerprint has 1 + 64 + 2016 = 2081 variants.
 
-A variant is not shuffled as a row. The buckets it is dealt by are a linear hash (xor of one r-bit column per set bit), so that a
-variant's bucket is the bucket of its fingerprint xor that of the flipped bits. A bucket therefore gets the fingerprint once, packed
-with others, and expands just those variants that fall into it. r grows with the number of fingerprints, which keeps the variants of a
-bucket, the unit of work and memory, near a constant at every size. Copies of one text have one fingerprint and are expanded once."""
+A variant is not shuffled as a row. The buckets it is dealt by are a linear hash (xor of one column per set bit), so that a variant's
+bucket is the bucket of its fingerprint xor that of the flipped bits. A bucket therefore gets the fingerprint once, packed with others,
+and expands just those variants that fall into it, slice by slice of a finer hash, so that memory is bounded. Buckets become more where
+one would hold too many fingerprints. Copies of one text have one fingerprint and are expanded once."""
 
 from __future__ import annotations
 
@@ -19,10 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidemesh.llm.common import Scratch, components, query, table
+from slidemesh.llm.common import Scratch, components, query, small_or_shuffled, table
 
 SEED = 42
-TARGET = 4_000_000      # variants per bucket
+TARGET = 2_000_000      # variants in memory at once
+MOST = 4_000_000        # fingerprints of a bucket
 CHUNK = 65_536          # shingles per step, bounds memory for very long texts
 
 
@@ -65,7 +66,7 @@ class Ball:
     def __init__(self, bits: int, half: int, width: int = 64):
         self.bits, self.size = bits, 1 << bits
         rng = np.random.default_rng(20_011)
-        self.columns = rng.integers(0, self.size, width, dtype=np.int64)
+        self.columns = rng.integers(0, 1 << 30, width, dtype=np.int64) >> (30 - bits)     # fewer bits are a prefix of more
         one = np.uint64(1) << np.arange(width, dtype=np.uint64)
         layers, sums = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)]
         top = [np.full(1, -1)]
@@ -92,7 +93,7 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _forest(pairs: np.ndarray) -> np.ndarray:
+def _forest(pairs: np.ndarray, positions: bool = False) -> np.ndarray:
     """A spanning forest of index pairs (k, 2), so that a bucket returns fewer links than it has fingerprints."""
     parent: dict[int, int] = {}
 
@@ -107,7 +108,7 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
             kept.append(k)
-    return pairs[kept]
+    return np.array(kept, np.int64) if positions else pairs[kept]
 
 
 def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest: bool = True) -> np.ndarray:
@@ -145,17 +146,37 @@ def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest:
                 extra.append(np.stack([np.full(len(hit), own[i]), hit], 1))
     pairs = np.concatenate([pairs[near], *extra])
     pairs = np.unique(np.sort(pairs, 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return fps[_forest(pairs) if forest else pairs]
+    return fps[pairs[pairs[:, 0] != pairs[:, 1]]]
+
+
+def sliced_links(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, radius: int, target: int, forest: bool) -> np.ndarray:
+    """Links of a bucket, its variants taken in slices of about `target`: a slice is a bucket of a finer hash.
+
+    With `forest`, links that join nothing new are left out. Without it, a fingerprint with more than three smaller partners keeps the
+    smallest, which all of such a group share, instead of links to most of the group."""
+    ball = _ball(bits, half, width)
+    total = int(ball.count[ball.home(fps) ^ bucket].sum())
+    more = max(0, int(np.ceil(np.log2(max(1, total / target)))))
+    found = [bucket_links(_ball(bits + more, half, width), bucket << more | k, fps, radius, forest) for k in range(1 << more)]
+    pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+    if forest:
+        return pairs[_forest(np.searchsorted(np.unique(pairs), pairs), True)] if len(pairs) else pairs
+    order = np.lexsort((pairs[:, 0], pairs[:, 1]))
+    pairs = pairs[order]
+    _, begin, size = np.unique(pairs[:, 1], return_index=True, return_counts=True)
+    keep = np.repeat(size <= 3, size)
+    keep[begin] = True
+    return pairs[keep]
 
 
 def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, width: int = 64, forest: bool = True, least_bits: int = 7) -> DataFrame:
     """Links (part, a, b) between the distinct fingerprints `fps` (part int, fp long of `width` bits) at `radius` or fewer bits within a part.
 
-    Their components are those of all such pairs; `n` is the number of fingerprints of a part and decides the number of buckets only."""
+    Their components are those of all such pairs; `n` is the number of fingerprints of a part and decides the number of buckets only: enough
+    for parallel work, and more where a bucket would hold over MOST fingerprints. `target` bounds the variants in memory at once."""
     half = (radius + 1) // 2
     per = sum(comb(width, k) for k in range(half + 1))
-    bits = int(min(22, max(least_bits, np.ceil(np.log2(max(1, n * per / target))))))
+    bits = least_bits if n <= MOST else int(min(22, max(least_bits, np.ceil(np.log2(n * per / MOST)))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball = _ball(bits, half, width)
@@ -186,9 +207,9 @@ def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, wi
                 yield from out(p, block)
 
     def meet(group: pa.Table) -> pa.Table:
-        ball, part = _ball(bits, half, width), group.column("part")[0].as_py()
-        own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("fps").combine_chunks()])
-        links = bucket_links(ball, group.column("bucket")[0].as_py(), own, radius, forest).view(np.int64)
+        part = group.column("part")[0].as_py()
+        own = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("fps").combine_chunks()]))
+        links = sliced_links(bits, half, width, group.column("bucket")[0].as_py(), own, radius, target, forest).view(np.int64)
         return pa.table({"part": pa.array(np.full(len(links), part), pa.int32()), "a": links[:, 0], "b": links[:, 1]})
 
     packed = fps.select("part", "fp").mapInArrow(pack, "part int, bucket long, fps binary")
@@ -293,11 +314,11 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
 
     rows = scratch.save(nodes.select("node", *words).mapInArrow(deal, "node long, part int, fp long"), "rows")
     groups = scratch.save(rows.groupBy("part", "fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "groups")
-    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, 6_000_000, TABLE_BITS, forest=False, least_bits=3).distinct()
+    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET, TABLE_BITS, forest=False, least_bits=5).distinct()
     ends = lambda c, a, b: groups.select("part", F.col("fp").alias(c), F.col("low").alias(a), F.col("high").alias(b))
     met = fp_links.join(ends("a", "al", "ah"), ["part", "a"]).join(ends("b", "bl", "bh"), ["part", "b"])
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    far = met.select(F.explode(F.array_distinct(F.array(pair("al", "bl"), pair("al", "bh"), pair("ah", "bl"), pair("ah", "bh")))).alias("p"))
+    far = met.select(F.explode(F.array_distinct(F.array(pair("al", "bl"), pair("ah", "bh")))).alias("p"))
     equal = rows.join(groups.where("low <> high"), ["part", "fp"]).select(F.explode(F.array(pair("node", "low"), pair("node", "high"))).alias("p"))
     pairs = far.unionAll(equal).select("p.a", "p.b").where("a <> b").distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(w).alias(f"{c}_{w}") for w in words])
@@ -310,8 +331,8 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = src.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(shingles, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
+    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = src.select("node", "text").join(small_or_shuffled(wanted), "node", "left_semi").mapInArrow(shingles, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
     sets = scratch.save(sets, "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -331,7 +352,7 @@ def near_deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     gone = rooted.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))))
     gone = scratch.save(gone.select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct(), "gone")
     keyed = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return keyed.join(gone, (F.col("_mark") == F.col("_node")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    return keyed.join(small_or_shuffled(gone), (F.col("_mark") == F.col("_node")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
 
 
 @query("op10_simhash_ball")
