@@ -50,8 +50,8 @@ def raked(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int =
     for dim in DIMENSIONS:
         have = cells.select(F.col(dim).alias("value")).distinct()
         own = targets.where(F.col("dim") == dim).select("value", "target").join(have, "value", "left_semi")
-        total = own.agg(F.sum("target").alias("all"))
-        wanted[dim] = scratch.save(own.join(total, F.col("all") > 0).select(F.col("value").alias(dim), (F.col("target") / F.col("all")).alias("target")), dim)   # total: one row
+        total = own.agg(F.sum("target")).first()[0] or 1.0
+        wanted[dim] = scratch.save(own.select(F.col("value").alias(dim), (F.col("target") / float(total)).alias("target")), dim)
     now = scratch.save(cells.withColumn("weight", F.col("tokens").cast("double")), "weights")
     for _ in range(rounds):
         step, off = now, None
