@@ -314,7 +314,7 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
 
     rows = scratch.save(nodes.select("node", *words).mapInArrow(deal, "node long, part int, fp long"), "rows")
     groups = scratch.save(rows.groupBy("part", "fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "groups")
-    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET, TABLE_BITS, forest=False, least_bits=5).distinct()
+    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET, TABLE_BITS, forest=False, least_bits=4).distinct()
     ends = lambda c, a, b: groups.select("part", F.col("fp").alias(c), F.col("low").alias(a), F.col("high").alias(b))
     met = fp_links.join(ends("a", "al", "ah"), ["part", "a"]).join(ends("b", "bl", "bh"), ["part", "b"])
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
