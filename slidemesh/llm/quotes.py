@@ -84,16 +84,16 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     per = scratch.save(per.select("conv", "turn", "n_quotes", "n_linked", F.col("best.to").alias("parent")), "links")
 
     # roots by pointer jumping: turns fall along links, so there is no cycle, and rounds grow with the logarithm of the depth
-    jump = scratch.save(per.where("parent IS NOT NULL").select(F.struct("conv", "turn").alias("node"), F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "jump")
-    while True:
-        ahead = jump.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        new = scratch.save(jump.join(ahead, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "jump")
-        moved = new.where("moved").limit(1).count()
-        scratch.forget(jump)
-        jump = new
-        if not moved:
+    active = scratch.save(per.where("parent IS NOT NULL").select(F.struct("conv", "turn").alias("node"), F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "jump")
+    done = active.limit(0)
+    while True:     # a node leaves when its pointer has reached a root, so later rounds hold the deep threads only
+        ahead = active.unionAll(done).select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        new = scratch.save(active.join(ahead, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "jump")
+        done = done.unionAll(new.where("NOT moved").drop("moved"))
+        active = new.where("moved").drop("moved")
+        if active.isEmpty():
             break
-    roots = jump.select("node.conv", "node.turn", "root", "depth")
+    roots = done.select("node.conv", "node.turn", "root", "depth")
     out = src.drop("quotes").join(per, ["conv", "turn"], "left").join(roots, ["conv", "turn"], "left")
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), *[F.col(b).alias(a) for a, b in work.items()], "body",
                       F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("parent.conv").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
