@@ -115,7 +115,7 @@ def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest:
     """Links (k, 2) between distinct fingerprints that share a variant in this bucket, each verified at `radius` bits or fewer.
 
     All fingerprints that share a variant are within the radius of each other. With `forest`, links that join nothing new are left out;
-    without it every fingerprint is linked to the smallest one of each variant it shares."""
+    without it every pair is returned, in the bucket of its middle variant only, so once whatever the number of buckets."""
     fps = np.unique(fps)
     slot = ball.home(fps) ^ bucket
     reps = ball.count[slot]
@@ -132,8 +132,7 @@ def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest:
     owner = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     head = same + 1
     if not forest:
-        begins = np.flatnonzero(np.concatenate(([True], keys[1:] >> low != keys[:-1] >> low)))
-        head, same = same + 1, begins[np.searchsorted(begins, same + 1, "right") - 1]
+        return _middle_pairs(fps, np.unique(keys), low, radius)
     pairs = np.stack([owner[same], owner[head]], 1)
     near = _popcount(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
     extra = []
@@ -149,11 +148,40 @@ def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest:
     return fps[pairs[pairs[:, 0] != pairs[:, 1]]]
 
 
+def _middle_pairs(fps: np.ndarray, keys: np.ndarray, low: np.uint64, radius: int) -> np.ndarray:
+    """All pairs (k, 2) of fingerprints of one run of `keys` whose middle variant, halfway along the unequal bits, is the run's own.
+
+    Runs are expanded in steps of about MOST pairs; a run has at most as many fingerprints as a ball has variants."""
+    owner = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    begins = np.flatnonzero(np.concatenate(([True], keys[1:] >> low != keys[:-1] >> low)))
+    ends = np.concatenate((begins[1:], [len(keys)]))
+    later = np.repeat(ends, ends - begins) - np.arange(len(keys)) - 1    # partners of a key are those after it in its run
+    upto, found, at = np.cumsum(later), [np.empty((0, 2), np.uint64)], 0
+    while at < len(keys):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MOST, "right")))
+        n = later[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        a, b = fps[np.minimum(owner[i], owner[j])], fps[np.maximum(owner[i], owner[j])]
+        rest = a ^ b
+        bits = _popcount(rest)
+        ok = (bits <= radius) & (bits > 0)
+        i, a, b, rest, bits = i[ok], a[ok], b[ok], rest[ok], bits[ok]
+        middle = a.copy()
+        for k in range((radius + 1) // 2):
+            step = np.where(2 * k < bits, rest & (~rest + np.uint64(1)), np.uint64(0))
+            middle ^= step
+            rest ^= step
+        own = middle * np.uint64(0x9E3779B97F4A7C15) >> low == keys[i] >> low
+        found.append(np.stack([a[own], b[own]], 1))
+        at = to
+    return np.concatenate(found)
+
+
 def sliced_links(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, radius: int, target: int, forest: bool) -> np.ndarray:
     """Links of a bucket, its variants taken in slices of about `target`: a slice is a bucket of a finer hash.
 
-    With `forest`, links that join nothing new are left out. Without it, a fingerprint with more than three smaller partners keeps the
-    smallest, which all of such a group share, instead of links to most of the group."""
+    With `forest`, links that join nothing new are left out. Without it, every pair whose middle variant falls into the bucket is kept."""
     ball = _ball(bits, half, width)
     total = int(ball.count[ball.home(fps) ^ bucket].sum())
     more = max(0, int(np.ceil(np.log2(max(1, total / target)))))
@@ -161,12 +189,7 @@ def sliced_links(bits: int, half: int, width: int, bucket: int, fps: np.ndarray,
     pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
     if forest:
         return pairs[_forest(np.searchsorted(np.unique(pairs), pairs), True)] if len(pairs) else pairs
-    order = np.lexsort((pairs[:, 0], pairs[:, 1]))
-    pairs = pairs[order]
-    _, begin, size = np.unique(pairs[:, 1], return_index=True, return_counts=True)
-    keep = np.repeat(size <= 3, size)
-    keep[begin] = True
-    return pairs[keep]
+    return pairs
 
 
 def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, width: int = 64, forest: bool = True, least_bits: int = 7) -> DataFrame:

@@ -147,6 +147,23 @@ def test_ball_finds_every_pair(spark, width, radius, target):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_dense_fingerprints_keep_every_pair():
+    """Hundreds of fingerprints around one another: each pair within the radius is returned, once, whatever the memory target."""
+    rng = np.random.default_rng(11)
+    fps = {0x12_3456_789A}
+    while len(fps) < 500:
+        x = int(rng.choice(sorted(fps)[:40]))
+        for bit in rng.choice(40, rng.integers(1, 4), replace=False):
+            x ^= 1 << int(bit)
+        fps.add(x)
+    fps = np.array(sorted(fps), np.uint64)
+    want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1:] if int(a ^ b).bit_count() <= 4}
+    assert len(want) > 5 * len(fps)
+    for bits, target in ((0, 50_000), (4, 2_000_000), (5, 1_000)):
+        got = [tuple(map(int, p)) for k in range(1 << bits) for p in simhash_ball.sliced_links(bits, 2, 40, k, fps, 4, target, False)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_near_deduplicated(spark, docs, none):
     out = simhash_ball.near_deduplicated(docs)
     assert out.columns == docs.columns
