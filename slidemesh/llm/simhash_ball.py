@@ -195,8 +195,9 @@ def sliced_links(bits: int, half: int, width: int, bucket: int, fps: np.ndarray,
 def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, width: int = 64, forest: bool = True, least_bits: int = 7) -> DataFrame:
     """Links (part, a, b) between the distinct fingerprints `fps` (part int, fp long of `width` bits) at `radius` or fewer bits within a part.
 
-    Their components are those of all such pairs; `n` is the number of fingerprints of a part and decides the number of buckets only: enough
-    for parallel work, and more where a bucket would hold over MOST fingerprints. `target` bounds the variants in memory at once."""
+    With `forest` their components are those of all such pairs; without it they are all such pairs. `n` is the number of fingerprints of a
+    part and decides the number of buckets only: enough for parallel work, and more where a bucket would hold over MOST fingerprints.
+    `target` bounds the variants in memory at once."""
     half = (radius + 1) // 2
     per = sum(comb(width, k) for k in range(half + 1))
     bits = least_bits if n <= MOST else int(min(22, max(least_bits, np.ceil(np.log2(n * per / MOST)))))
@@ -337,7 +338,7 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
 
     rows = scratch.save(nodes.select("node", *words).mapInArrow(deal, "node long, part int, fp long"), "rows")
     groups = scratch.save(rows.groupBy("part", "fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "groups")
-    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET, TABLE_BITS, forest=False, least_bits=4).distinct()
+    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET, TABLE_BITS, forest=False, least_bits=5).distinct()
     ends = lambda c, a, b: groups.select("part", F.col("fp").alias(c), F.col("low").alias(a), F.col("high").alias(b))
     met = fp_links.join(ends("a", "al", "ah"), ["part", "a"]).join(ends("b", "bl", "bh"), ["part", "b"])
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))

@@ -164,6 +164,18 @@ def test_dense_fingerprints_keep_every_pair():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
+    """A dense group gives the same pairs in 16 and 32 buckets, and in the many of a part whose size is above MOST."""
+    monkeypatch.setattr(simhash_ball, "MOST", 20_000)
+    rng = np.random.default_rng(12)
+    fps = sorted({int(np.bitwise_xor.reduce(1 << rng.choice(40, 3, replace=False))) for _ in range(300)})
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if (a ^ b).bit_count() <= 4}
+    df = spark.createDataFrame([(3, f) for f in fps], "part int, fp long")
+    for n, least in ((len(fps), 4), (len(fps), 5), (20_001, 4)):
+        got = [(r.a, r.b) for r in simhash_ball.ball_links(df, n, 4, 50_000, 40, False, least).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_near_deduplicated(spark, docs, none):
     out = simhash_ball.near_deduplicated(docs)
     assert out.columns == docs.columns
