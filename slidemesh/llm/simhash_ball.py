@@ -312,12 +312,14 @@ def table_fingerprints(sketches: np.ndarray) -> np.ndarray:
 
 def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(marks (id, node) of every row, links (a, b) between nodes whose sets of word shingles have a Jaccard similarity of `similarity` or more).
+    The components of the links are those of all such pairs that collide in a table.
 
     A node is a text, by its 64-bit hash. One fingerprint of 64 bits at 4 bits finds only pairs that are nearly equal, so the ball is cast in
     TABLES tables of TABLE_BITS-bit fingerprints each: a pair at Jaccard 0.8 is within 4 bits in a quarter of them, and missed by all in
-    about 1 of 40. Within a table, texts with one fingerprint meet their smallest and largest node, and fingerprints within the radius meet
-    through those two; the tables are independent, so large groups are covered without pairs of all members. Colliding pairs are
-    deduplicated, dropped if their sketches differ in more than FAR of the bits, and verified by their whole shingle sets."""
+    about 1 of 40. Texts collide in a table if their fingerprints are equal or within the radius. The members of each fingerprint are first
+    verified against their smallest node; then all colliding pairs that these links do not connect yet, so that a group of near copies
+    costs one pair a member and any other group all pairs. Pairs are deduplicated, dropped if their sketches differ in more than FAR of
+    the bits, and verified by their whole shingle sets."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
@@ -337,31 +339,40 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), TABLES)), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), b.num_rows)), pa.array(f.ravel())], ["node", "part", "fp"])
 
     rows = scratch.save(nodes.select("node", *words).mapInArrow(deal, "node long, part int, fp long"), "rows")
-    groups = scratch.save(rows.groupBy("part", "fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "groups")
-    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET, TABLE_BITS, forest=False, least_bits=5).distinct()
-    ends = lambda c, a, b: groups.select("part", F.col("fp").alias(c), F.col("low").alias(a), F.col("high").alias(b))
-    met = fp_links.join(ends("a", "al", "ah"), ["part", "a"]).join(ends("b", "bl", "bh"), ["part", "b"])
-    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    far = met.select(F.explode(F.array_distinct(F.array(pair("al", "bl"), pair("ah", "bh")))).alias("p"))
-    equal = rows.join(groups.where("low <> high"), ["part", "fp"]).select(F.explode(F.array(pair("node", "low"), pair("node", "high"))).alias("p"))
-    pairs = far.unionAll(equal).select("p.a", "p.b").where("a <> b").distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(w).alias(f"{c}_{w}") for w in words])
     unequal = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    pairs = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(unequal <= int(FAR * 64 * WORDS)).select("a", "b"), "pairs")
-    scratch.forget(rows, groups)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = src.select("node", "text").join(small_or_shuffled(wanted), "node", "left_semi").mapInArrow(shingles, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
-    sets = scratch.save(sets, "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    return marks.select("id", "node"), both.where((union == 0) | (shared >= union * similarity)).select("a", "b")
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """Of pairs (a, b), in any order and repeated, those at the similarity."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        pairs = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(unequal <= int(FAR * 64 * WORDS)).select("a", "b"), f"{label}_pairs")
+        wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}_wanted")
+        sets = src.select("node", "text").join(small_or_shuffled(wanted), "node", "left_semi").mapInArrow(shingles, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
+        sets = scratch.save(sets, f"{label}_sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        union = F.size("sa") + F.size("sb") - shared
+        out = scratch.save(both.where((union == 0) | (shared >= union * similarity)).select("a", "b"), f"{label}_links")
+        scratch.forget(pairs, wanted, sets)
+        return out
+
+    groups = scratch.save(rows.groupBy("part", "fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "groups")
+    stars = verified(rows.join(groups.where("low <> high"), ["part", "fp"]).select(F.col("low").alias("a"), F.col("node").alias("b")), "star")
+    # members of a fingerprint by the component that they are in already
+    rooted = rows.join(components(stars, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = scratch.save(rooted.groupBy("part", "fp", "root").agg(F.collect_list("node").alias("members")), "classes")
+    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET, TABLE_BITS, forest=False, least_bits=5)
+    mixed = classes.groupBy("part", "fp").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("part", F.col("fp").alias("a"), F.col("fp").alias("b"))
+    ends = lambda c: classes.select("part", F.col("fp").alias(c), F.col("root").alias(f"r{c}"), F.col("members").alias(f"m{c}"))
+    met = fp_links.unionByName(mixed).join(ends("a"), ["part", "a"]).join(ends("b"), ["part", "b"]).where("ra < rb or ra > rb and a <> b")
+    others = verified(met.select(F.explode("ma").alias("a"), "mb").select("a", F.explode("mb").alias("b")), "other")
+    scratch.forget(rows, groups, classes)
+    return marks.select("id", "node"), stars.unionByName(others)
 
 
 def near_deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -208,6 +208,28 @@ def test_similar_links_verify_shingles(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_middle_members_of_a_group_meet(spark, monkeypatch):
+    """Twelve tables in which all fingerprints are equal, or all of two linked groups: each planted pair is found, middle members too."""
+    rng = np.random.default_rng(8)
+    common = [f"c{x}" for x in range(100)]
+    texts = []
+    for k in range(20):
+        words = common + [f"u{k}x{x}" for x in rng.integers(0, 5000, 25)]
+        texts += [" ".join(words), " ".join(words[:-2] + [f"e{k}a", f"e{k}b"])]
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    own = [sets(t) for t in texts]
+    root = groups_of(len(texts), lambda i, j: len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]))
+    assert len(set(root)) == 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tables = simhash_ball.TABLES
+    for fps in (lambda x: np.zeros((len(x), tables), np.uint64), lambda x: np.repeat(x[:, :1] & np.uint64(1), tables, 1)):
+        monkeypatch.setattr(simhash_ball, "table_fingerprints", fps)
+        assert sorted(r.doc_id for r in simhash_ball.near_deduplicated(df).collect()) == sorted(set(root))
+
+
 def test_bpe_equals_the_library(docs, none):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.vocabulary()
