@@ -287,8 +287,8 @@ def shingle_hashes(data: bytes, width: int, seed: int = SEED) -> np.ndarray:
 
 
 def sketch(data: bytes, width: int) -> np.ndarray:
-    """A SimHash of WORDS * 64 bits: each shingle hash is mixed anew for every word."""
-    h = shingle_hashes(data, width)
+    """A SimHash of WORDS * 64 bits of the set of shingles, repeats counted once: each shingle hash is mixed anew for every word."""
+    h = np.unique(shingle_hashes(data, width))
     out = np.zeros(WORDS, np.uint64)
     for k in range(WORDS if len(h) else 0):
         counts = np.zeros(64, np.int64)

@@ -230,6 +230,14 @@ def test_middle_members_of_a_group_meet(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash_ball.near_deduplicated(df).collect()) == sorted(set(root))
 
 
+def test_repeated_passage_does_not_hide_a_copy(spark):
+    """A text and the same with a passage repeated 50 times have nearly one set of shingles."""
+    words = [f"w{k}" for k in range(104)]
+    texts = [" ".join(words), " ".join(words[:40] + words[20:40] * 50 + words[40:]), " ".join(f"v{k}" for k in range(104))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_ball.near_deduplicated(df).collect()) == [0, 2]
+
+
 def test_bpe_equals_the_library(docs, none):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.vocabulary()
