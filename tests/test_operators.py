@@ -244,3 +244,28 @@ def test_track_nms_counts_shared_frames_only(spark):
     out = suppress.track_nms(fr, sc, 0.75).collect()
     assert len(out) == len(rows)
     assert {r.track_id for r in out if r.x0 is None} == {2}
+
+
+def test_masks_have_every_row(spark, monkeypatch):
+    """Overlaps, boxes and rests of full-box masks against painted pixels; no row of the first overlap is divisible by 16."""
+    import numpy as np
+
+    from slidemesh.plans import training_queries as Q
+    boxes = [(0, 1, 30, 14), (10, 3, 40, 15), (5, 10, 25, 60), (20, 17, 50, 31), (0, 0, 8, 80), (60, 5, 70, 6)]
+    rows = [(1, k, f"1/c{k}", "l", k, *b, (b[2] - b[0]) * (b[3] - b[1])) for k, b in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "slide_id long, pos long, node_id string, label string, score long, x0 long, y0 long, x1 long, y1 long, area long")
+    monkeypatch.setattr(Q.V, "components", lambda spark, sf: df)
+    px = np.zeros((len(boxes), 100, 100), bool)
+    for k, (x0, y0, x1, y1) in enumerate(boxes):
+        px[k, y0:y1, x0:x1] = True
+    want = {(a, b): (i, round(i / (px[a] | px[b]).sum(), 9), round(i / min(px[a].sum(), px[b].sum()), 9)) for a in range(0, 6, 2) for b in range(1, 6, 2) if (i := int((px[a] & px[b]).sum()))}
+    assert (0, 1) in want and {(r.a, r.b): (r.inter, r.iou, r.iom) for r in Q.mask_iou(spark, "").collect()} == want
+    assert {(r.mask_id): (r.x0, r.y0, r.x1, r.y1) for r in Q.mask_boxes(spark, "").collect()} == dict(enumerate(boxes))
+    taken, left = np.zeros((100, 100), bool), {}
+    for k in sorted(range(6), key=lambda k: (rows[k][-1], -k)):
+        rest = int((px[k] & ~taken).sum())
+        left[k] = (rest, rest >= 32 and rest >= 0.1 * px[k].sum())
+        taken |= px[k] if left[k][1] else False
+    got = {r.mask_id: r for r in Q.residual_masks(spark, "").collect()}
+    assert {k: r.left_px for k, r in got.items()} == {k: v[0] for k, v in left.items() if k in got}
+    assert set(got) >= {k for k, v in left.items() if v[1]}
