@@ -62,34 +62,78 @@ def shift_runs(runs: DataFrame, dx: Column, dy: Column, region: B.Box) -> DataFr
     return moved.where((F.col("x1") > F.col("x0")) & (F.col("y") >= region.y0) & (F.col("y") < region.y1))
 
 
-def residual_pixels(runs: DataFrame, order: DataFrame, keys: list[str], min_pixels: int = 32, min_ratio: float = 0.10) -> DataFrame:
-    """Masks in order lose the pixels of earlier kept masks; those with too little left are dropped: kept (keys, mask_id, left_px).
+HOT_MASKS = 200         # masks of a key beyond which decisions go in rounds
 
-    `order`: keys, mask_id, seq. Per-key kernel over rasterised rows: intervals are few, numpy paints them."""
+
+def residual_pixels(masks: DataFrame, order: DataFrame, keys: list[str], min_pixels: int = 32, min_ratio: float = 0.10) -> DataFrame:
+    """Masks in order lose the pixels of earlier kept masks; those with too little left are dropped: (keys, mask_id, left_px, kept).
+
+    masks: keys, mask_id and non-overlapping rectangles x0, y0, x1, y1 (or rows y, x0, x1). order: keys, mask_id, seq. Keys of few masks are walked in
+    order, their taken pixels kept as rectangles cut at each other's edges. Keys of more are decided in rounds: a mask is ready when all
+    earlier masks that share a pixel with it are decided, and what the kept ones among these cover of it is one area sum, whose pieces
+    are spread over tasks by mask and tile."""
     from slidemesh.operators.assign import per_key
+    from slidemesh.runtime import split_hot
 
-    full = runs.join(order, [*keys, "mask_id"])
+    if "y" in masks.columns:
+        masks = masks.select(*keys, "mask_id", "x0", F.col("y").alias("y0"), "x1", (F.col("y") + 1).alias("y1"))
 
-    def walk(mask_ids: list, ys: list, x0: list, x1: list) -> list[tuple]:
-        taken: dict[int, np.ndarray] = {}
-        width, n = int(max(x1)), len(ys)
-        rows, at = [], 0
+    def walk(mask_ids: list, x0: list, y0: list, x1: list, y1: list) -> list[tuple]:
+        xs, ys = sorted({*x0, *x1}), sorted({*y0, *y1})
+        at_x, at_y = {v: k for k, v in enumerate(xs)}, {v: k for k, v in enumerate(ys)}
+        cell = np.outer(np.diff(ys), np.diff(xs))
+        free, rows, at, n = np.ones(cell.shape, bool), [], 0, len(mask_ids)
         while at < n:
             end = at
             while end < n and mask_ids[end] == mask_ids[at]:
                 end += 1
-            spans = [(taken.setdefault(ys[k], np.zeros(width, dtype=bool)), int(x0[k]), int(x1[k])) for k in range(at, end)]
-            total = sum(b - a for _, a, b in spans)
-            left = sum(b - a - int(np.count_nonzero(row[a:b])) for row, a, b in spans)
+            spans = [(slice(at_y[y0[k]], at_y[y1[k]]), slice(at_x[x0[k]], at_x[x1[k]])) for k in range(at, end)]
+            total = sum((x1[k] - x0[k]) * (y1[k] - y0[k]) for k in range(at, end))
+            left = sum(int((cell[s] * free[s]).sum()) for s in spans)
             keep = left > 0 and left >= min_pixels and left / max(1.0, total) >= min_ratio
             if keep:
-                for row, a, b in spans:
-                    row[a:b] = True
+                for s in spans:
+                    free[s] = False
             rows.append((mask_ids[at], left, keep))
             at = end
         return rows
 
-    return per_key(full, keys, ["seq", "y", "x0"], ["mask_id", "y", "x0", "x1"], walk, "mask_id long, left_px long, kept boolean")
+    few, many = split_hot(order, keys, HOT_MASKS)
+    full = masks.join(few, [*keys, "mask_id"])
+    out = per_key(full, keys, ["seq", "y0", "x0"], ["mask_id", "x0", "y0", "x1", "y1"], walk, "mask_id long, left_px long, kept boolean")
+    return out if many is None else out.unionByName(_residual_rounds(masks, many, keys, min_pixels, min_ratio))
+
+
+def _residual_rounds(masks: DataFrame, order: DataFrame, keys: list[str], min_pixels: int, min_ratio: float) -> DataFrame:
+    """residual_pixels for keys of any number of masks."""
+    from slidemesh.functions.pixels import union_area
+    from slidemesh.operators.pairs import box_pairs
+    from slidemesh.runtime import cut
+
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    own = [*keys, "mask_id"]
+    m = masks.join(order, own)
+    todo = cut(m.groupBy(*own, "seq").agg(F.sum(area).cast("long").alias("total")))
+    # pieces of a mask that an earlier one covers
+    both = box_pairs(m, keys, lambda a, b: a("seq") < b("seq"))
+    shared = cut(both.select(*keys, F.col("a.mask_id").alias("first"), F.col("b.mask_id").alias("mask_id"), *[f(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c, f in (("x0", F.greatest), ("y0", F.greatest), ("x1", F.least), ("y1", F.least))]))
+    waits = cut(shared.select(*own, "first").distinct())
+    done = None
+    while not todo.isEmpty():
+        open_ = todo.select(*keys, F.col("mask_id").alias("first"))
+        held = waits.join(open_, [*keys, "first"], "left_semi").select(*own).distinct()
+        ready = cut(todo.join(held, own, "left_anti"))
+        if done is None:
+            taken = ready.select(*own, F.lit(0).cast("long").alias("covered"))
+        else:
+            kept = done.where("kept").select(*keys, F.col("mask_id").alias("first"))
+            taken = union_area(shared.join(ready.select(*own), own, "left_semi").join(kept, [*keys, "first"], "left_semi"), own).select(*own, "covered")
+        left = F.col("total") - F.coalesce(F.col("covered"), F.lit(0))
+        got = ready.join(taken, own, "left").withColumn("left_px", left.cast("long"))
+        got = got.withColumn("kept", (F.col("left_px") > 0) & (F.col("left_px") >= min_pixels) & (F.col("left_px") / F.greatest(F.lit(1), "total") >= min_ratio)).select(*own, "left_px", "kept")
+        done = cut(got if done is None else done.unionByName(got))
+        todo = cut(todo.join(ready.select(*own), own, "left_anti"))
+    return done if done is not None else todo.select(*own, F.lit(0).cast("long").alias("left_px"), F.lit(False).alias("kept"))
 
 
 def boundary(mask: np.ndarray) -> np.ndarray:

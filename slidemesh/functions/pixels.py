@@ -190,22 +190,69 @@ def _with_box(df: DataFrame, flag: str) -> DataFrame:
 
 
 # box coverage without pixels ---------------------------------------------------------------------------------------
+HOT_COVER = 1_000       # boxes of a key beyond which its plane is cut into tiles
+
+
+def _depth_areas(xs: list, ys: list, ds: list) -> list[tuple]:
+    """(area under any box, area under more than one) from the corners of boxes sorted by y, each with the change of depth below and right of it."""
+    cols = sorted(set(xs))
+    at = {x: k for k, x in enumerate(cols)}
+    if len(xs) <= 64:
+        change, covered, overlapped, last = [0] * len(cols), 0, 0, None
+        for y in sorted(set(ys)):
+            if last is not None:
+                depth = one = two = 0
+                for k in range(len(cols) - 1):
+                    depth += change[k]
+                    if depth > 0:
+                        one += cols[k + 1] - cols[k]
+                        if depth > 1:
+                            two += cols[k + 1] - cols[k]
+                covered, overlapped = covered + one * (y - last), overlapped + two * (y - last)
+            for x, v, d in zip(xs, ys, ds):
+                if v == y:
+                    change[at[x]] += d
+            last = y
+        return [(covered, overlapped)]
+    x, y, d = np.searchsorted(cols, xs), np.asarray(ys), np.asarray(ds)
+    wide, starts = np.diff(cols), np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
+    change, covered, overlapped = np.zeros(len(cols), np.int64), 0, 0
+    for k, a in enumerate(starts):
+        if k:
+            depth = np.cumsum(change)[:-1]
+            high = y[a] - y[a - 1]
+            covered, overlapped = covered + (wide[depth > 0].sum() * high).item(), overlapped + (wide[depth > 1].sum() * high).item()
+        b = starts[k + 1] if k + 1 < len(starts) else len(y)
+        np.add.at(change, x[a:b], d[a:b])
+    return [(covered, overlapped)]
+
+
 def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Covered area and area covered more than once per key.
 
-    Each box is cut at the key's distinct edges inside it; equal cells are counted by a hash aggregate. Only edges met by a
-    box are crossed, row bands first, so that a cell list is never larger than what the boxes touch."""
-    n = boxes.select(*keys, F.posexplode(F.array(*[F.struct(F.col(c).alias("v")) for c in ("y0", "y1")])).alias("_i", "_e")).select(*keys, F.col("_e.v").alias("y")).distinct()
-    from slidemesh.operators.scan import next_row
-    bands = next_row(n, keys, ["y"], ["y"]).where("next_y IS NOT NULL").select(*keys, F.col("y").alias("by0"), F.col("next_y").alias("by1"))
-    b = boxes.select(*keys, "x0", "y0", "x1", "y1").where(B.nonempty(B.box())).alias("b")
-    rows = b.join(bands.alias("s"), B.all_of(*[F.col(f"b.{k}") == F.col(f"s.{k}") for k in keys], F.col("b.y0") < F.col("s.by1"), F.col("s.by0") < F.col("b.y1")))
-    ev = rows.select(*[F.col(f"b.{k}") for k in keys], "by0", "by1", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))).alias("e"))
-    net = ev.groupBy(*keys, "by0", "by1", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"))
-    from slidemesh.operators.scan import running
-    depth = next_row(running(net, [*keys, "by0"], ["x"], sums={"depth": F.col("d")}), [*keys, "by0"], ["x"], ["x"]).where("next_x IS NOT NULL")
-    cell = (F.col("next_x") - F.col("x")) * (F.col("by1") - F.col("by0"))
-    return depth.groupBy(*keys).agg(F.sum(F.when(F.col("depth") > 0, cell).otherwise(0)).alias("covered"), F.sum(F.when(F.col("depth") > 1, cell).otherwise(0)).alias("overlapped"))
+    A box changes the depth at its four corners; equal corners of a key add up in one hash aggregate, so a stack of boxes costs no more than
+    its corners, and one sweep over the rows of corners gives the areas. Keys of many boxes are cut into tiles of about half a mean box,
+    so that all pieces are a few times the boxes; tiles are swept apart and added up. Whole tiles under a box only raise their depth."""
+    from slidemesh.operators.assign import per_key
+
+    b = boxes.select(*keys, "x0", "y0", "x1", "y1").where(B.nonempty(B.box()))
+    exact = b.schema["x0"].dataType.simpleString() in ("int", "bigint")
+    w, h = (F.col("x1") - F.col("x0")).cast("double"), (F.col("y1") - F.col("y0")).cast("double")
+    edge = F.greatest(F.sqrt(F.avg(w * h)), F.avg(w), F.avg(h)) / 2
+    hot = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.ceil(edge) if exact else edge).alias("_t")).where(F.col("_n") > HOT_COVER).drop("_n")
+    tile = lambda a, z: F.sequence(F.floor(F.col(a) / F.col("_t")), F.greatest(F.floor(F.col(a) / F.col("_t")), F.ceil(F.col(z) / F.col("_t")) - 1))
+    none = F.array(F.lit(0).cast("long"))
+    t = b.join(hot, keys, "left").withColumn("_tx", F.explode(F.when(F.col("_t").isNull(), none).otherwise(tile("x0", "x1"))))
+    t = t.withColumn("_ty", F.explode(F.when(F.col("_t").isNull(), none).otherwise(tile("y0", "y1"))))
+    kind = b.schema["x0"].dataType
+    clip = lambda c, k: F.when(F.col("_t").isNull(), F.col(c)).otherwise(F.least(F.greatest(F.col(c), F.col(k) * F.col("_t")), (F.col(k) + 1) * F.col("_t"))).cast(kind)
+    t = t.select(*keys, "_tx", "_ty", clip("x0", "_tx").alias("x0"), clip("y0", "_ty").alias("y0"), clip("x1", "_tx").alias("x1"), clip("y1", "_ty").alias("y1"))
+    four = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(d).alias("d")) for x, y, d in (("x0", "y0", 1), ("x1", "y0", -1), ("x0", "y1", -1), ("x1", "y1", 1))])
+    own = [*keys, "_tx", "_ty"]
+    net = t.select(*own, F.explode(four).alias("c")).groupBy(*own, F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("c.d").alias("d")).where("d <> 0")
+    unit = "long" if exact else "double"
+    areas = per_key(net, own, ["y", "x"], ["x", "y", "d"], _depth_areas, f"covered {unit}, overlapped {unit}")
+    return areas.groupBy(*keys).agg(F.sum("covered").alias("covered"), F.sum("overlapped").alias("overlapped"))
 
 
 def scan_scores(area: DataFrame, content: DataFrame, keys: list[str]) -> DataFrame:
@@ -224,32 +271,3 @@ def covered_content(content: DataFrame, boxes: DataFrame, keys: list[str]) -> Da
     hit = r.join(b, eq).select(*[F.col(f"r.{k}") for k in keys], F.col("r.y").alias("y0"), (F.col("r.y") + 1).alias("y1"), F.greatest("r.x0", "b.x0").alias("x0"), F.least("r.x1", "b.x1").alias("x1"))
     cov = union_area(hit, keys).select(*keys, F.col("covered").alias("covered_px"))
     return total.join(cov, keys, "left").fillna(0, ["covered_px"])
-
-
-def reconstruct(crops: DataFrame, keys: list[str]) -> DataFrame:
-    """Slides painted from crops in z-order on white: keys, data (BGR), h, w.
-
-    crops: keys, z_index, x0, y0, x1, y1, data, ch, cw, cc, slide_h, slide_w. A crop of another size than its box is resized by
-    nearest pixel; transparent pixels leave what is below."""
-    from slidemesh.operators.assign import per_key
-
-    cols = ["x0", "y0", "x1", "y1", "data", "ch", "cw", "cc", "slide_h", "slide_w"]
-
-    def paint(*lists: list) -> list[tuple]:
-        h, w = int(lists[8][0]), int(lists[9][0])
-        page = np.full((h, w, 3), 255, dtype=np.uint8)
-        for x0, y0, x1, y1, data, ch, cw, cc, _, _ in zip(*lists):
-            x0, y0, x1, y1 = (int(round(v)) for v in (x0, y0, x1, y1))
-            if x1 <= x0 or y1 <= y0:
-                continue
-            img = _image(data, ch, cw, cc)
-            img = img[(np.arange(y1 - y0) * int(ch)) // (y1 - y0)][:, (np.arange(x1 - x0) * int(cw)) // (x1 - x0)]
-            top, left, bottom, right = max(0, y0), max(0, x0), min(h, y1), min(w, x1)
-            if bottom <= top or right <= left:
-                continue
-            part = img[top - y0:bottom - y0, left - x0:right - x0]
-            seen = part[..., 3] > 0 if part.shape[2] == 4 else np.ones(part.shape[:2], dtype=bool)
-            page[top:bottom, left:right][seen] = part[..., :3][seen]
-        return [(page.tobytes(), h, w)]
-
-    return per_key(crops.select(*keys, "z_index", *cols), keys, ["z_index"], cols, paint, "data binary, h int, w int")

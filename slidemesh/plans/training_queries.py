@@ -9,7 +9,7 @@ from slidemesh.functions import masks as M
 from slidemesh.functions import pixels as P
 from slidemesh.operators import training as T
 from slidemesh.plans import views as V
-from slidemesh.plans.registry import HIT, query, sql
+from slidemesh.plans.registry import A_AREA, B_AREA, HIT, INTER, IOU, query, sql
 
 
 def _training(spark, sf):
@@ -88,29 +88,19 @@ def _masks(spark, sf):
     return c, rows.select("slide_id", "mask_id", "y", "x0", "x1")
 
 
-@query("mask_iou", sql(f"""SELECT slide_id, a, b, inter, round(inter / CAST(aa + ab - inter AS DOUBLE), 9) AS iou, round(inter / CAST(least(aa, ab) AS DOUBLE), 9) AS iom FROM (
- SELECT a.slide_id, a.pos AS a, b.pos AS b, ((least(a.y1, b.y1) + 15) // 16 - (greatest(a.y0, b.y0) + 15) // 16) * (least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS inter,
- ((a.y1 + 15) // 16 - (a.y0 + 15) // 16) * (a.x1 - a.x0) AS aa, ((b.y1 + 15) // 16 - (b.y0 + 15) // 16) * (b.x1 - b.x0) AS ab FROM components a JOIN components b ON a.slide_id = b.slide_id AND a.pos % 2 = 0 AND b.pos % 2 = 1 WHERE {HIT}) t WHERE inter > 0""", "components"))
+@query("mask_iou", sql(f"""SELECT a.slide_id, a.pos AS a, b.pos AS b, {INTER} AS inter, round({IOU}, 9) AS iou, round(CAST({INTER} AS DOUBLE) / least({A_AREA}, {B_AREA}), 9) AS iom
+ FROM components a JOIN components b ON a.slide_id = b.slide_id AND a.pos % 2 = 0 AND b.pos % 2 = 1 WHERE {HIT}""", "components"))
 def mask_iou(spark, sf):
     _, runs = _masks(spark, sf)
     p = M.mask_pairs(runs.where("mask_id % 2 = 0"), runs.where("mask_id % 2 = 1"), ["slide_id"])
     return p.select("slide_id", "a", "b", "inter", F.round("iou", 9).alias("iou"), F.round("iom", 9).alias("iom"))
 
 
-@query("mask_boxes", sql("SELECT slide_id, pos AS mask_id, x0, (y0 + 15) // 16 * 16 AS y0, x1, (y1 - 1) // 16 * 16 + 1 AS y1 FROM components", "components"))
+@query("mask_boxes", sql("SELECT slide_id, pos AS mask_id, x0, y0, x1, y1 FROM components", "components"))
 def mask_boxes(spark, sf):
     return M.run_boxes(_masks(spark, sf)[1], ["slide_id"])
 
 
-@query("residual_masks")
-def residual_masks(spark, sf):
-    """Masks in segmentation order lose what earlier ones took; too small rests are dropped."""
-    from slidemesh.operators.layout import priority_order
-    c, runs = _masks(spark, sf)
-    order = priority_order(c, ["slide_id"]).select("slide_id", F.col("pos").alias("mask_id"), F.col("seg_order").alias("seq"))
-    return M.residual_pixels(runs, order, ["slide_id"])
-
-
 def _rasters(spark, sf):
     """Grey rasters 16 px wide whose bytes are the text of the conversation turns (three equal channels), repeated to 16 rows at least."""
     t = V.table(spark, sf, "conversations").where("text <> ''")

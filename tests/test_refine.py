@@ -26,18 +26,6 @@ def test_hole_is_not_cut(spark):
     assert (area, rect, erases) == (10000.0, True, [])
 
 
-def test_reconstruct_paints_in_order(spark):
-    red, blue = np.zeros((2, 2, 3), np.uint8), np.zeros((4, 4, 4), np.uint8)
-    red[..., 2] = 255
-    blue[..., 0], blue[:2, :, 3] = 255, 255
-    rows = [(1, 1, 0.0, 0.0, 4.0, 4.0, blue.tobytes(), 4, 4, 4, 5, 6), (1, 0, 0.0, 0.0, 4.0, 4.0, red.tobytes(), 2, 2, 3, 5, 6)]
-    df = spark.createDataFrame([(r[0], r[1], *r[2:6], bytearray(r[6]), *r[7:]) for r in rows],
-                               "k int, z_index int, x0 double, y0 double, x1 double, y1 double, data binary, ch int, cw int, cc int, slide_h int, slide_w int")
-    out = pixels.reconstruct(df, ["k"]).first()
-    img = np.frombuffer(out.data, np.uint8).reshape(out.h, out.w, 3)
-    assert img[0, 0].tolist() == [255, 0, 0] and img[3, 3].tolist() == [0, 0, 255] and img[4, 5].tolist() == [255] * 3
-
-
 def test_plan_frames(spark):
     box = "x0 double, y0 double, x1 double, y1 double"
     dets = spark.createDataFrame([(1, 0, 1, 0.9, .4, .4, .6, .6), (1, 0, 2, 0.8, .1, .1, .3, .3), (1, 0, 3, 0.7, .6, .6, .9, .9), (1, 1, 1, 0.9, .0, .4, .04, .6)], f"video_id long, frame_idx long, det_id long, score double, {box}")
