@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +23,48 @@ def words_of_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("conf") >= MIN_CONFIDENCE).select("page", "side", F.explode(T.words(F.col("text"))).alias("word"), F.col("h_px").alias("h"))
 
 
+def medians(counted: DataFrame, keys: list[str], value: str, n: str, out: str = "median") -> DataFrame:
+    """(keys, out, total): the interpolated median per key of values given with their counts (keys, value, n).
+
+    What is sorted are the distinct values of a key, whose running weight tells the middle ones; nothing is gathered. Null values count for nothing."""
+    c = counted.where(F.col(value).isNotNull())
+    w = Window.partitionBy(*keys).orderBy(value)
+    c = c.withColumns({"_to": F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(n).over(Window.partitionBy(*keys))})
+    holds = lambda at: (F.col("_to") - F.col(n) <= at) & (at < F.col("_to"))
+    mid = [F.max(F.when(holds(F.expr(at)), F.col(value))) for at in ("(_all - 1) div 2", "_all div 2")]
+    return c.groupBy(*keys).agg(((mid[0] + mid[1]) / 2).alias(out), F.max("_all").alias("total"))
+
+
 def word_sides(words: DataFrame, height: Column | None = None) -> DataFrame:
     """One row per (page, word) with its count on both sides and, when given, its median heights.
 
     The aggregate combines map-side, so that a page holding most of the words is no hot task."""
     def on(side):
         return F.col("side") == side
-    aggs = [F.count_if(on("orig")).alias("n_orig"), F.count_if(on("render")).alias("n_render")]
-    if height is not None:
-        aggs += [F.percentile(F.when(on(s), height), F.lit(0.5)).alias(f"h_{s}") for s in ("orig", "render")]
-    return words.groupBy("page", "word").agg(*aggs)
+    if height is None:
+        return words.groupBy("page", "word").agg(F.count_if(on("orig")).alias("n_orig"), F.count_if(on("render")).alias("n_render"))
+    # partitioned by page and word once: both the running weights and the two sides' rows stay there
+    counted = words.groupBy("page", "word", "side", height.alias("h")).agg(F.count(F.lit(1)).alias("n")).repartition("page", "word")
+    sides = medians(counted, ["page", "word", "side"], "h", "n")
+    return sides.groupBy("page", "word").agg(
+        *[F.coalesce(F.max(F.when(on(s), F.col("total"))), F.lit(0)).cast("long").alias(f"n_{s}") for s in ("orig", "render")],
+        *[F.max(F.when(on(s), F.col("median"))).alias(f"h_{s}") for s in ("orig", "render")])
 
 
 def coverage(words: DataFrame, height: Column | None = None) -> DataFrame:
-    """Distinct words per side, share of original words found again, and the median of per-word height ratios."""
+    """Distinct words per side, share of original words found again, and the median of per-word height ratios.
+
+    Words without a height count only where no heights are asked for."""
     w = word_sides(words, height)
     o, r = F.col("n_orig") > 0, F.col("n_render") > 0
-    aggs = [F.count_if(o).alias("orig_words"), F.count_if(r).alias("render_words"), F.count_if(o & ~r).alias("missing")]
-    if height is not None:
-        aggs.append(F.bround(F.percentile(F.when(o & r, F.col("h_render") / F.col("h_orig")), F.lit(0.5)), 3).alias("median_height_ratio"))
-    out = w.groupBy("page").agg(*aggs)
+    if height is None:
+        out = w.groupBy("page").agg(F.count_if(o).alias("orig_words"), F.count_if(r).alias("render_words"), F.count_if(o & ~r).alias("missing"))
+    else:
+        # words of a page with equal ratios count together, so a page sorts its distinct ratios
+        ratio = F.when(o & r, F.col("h_render") / F.col("h_orig"))
+        by = w.groupBy("page", ratio.alias("ratio")).agg(F.count(F.lit(1)).alias("n"), F.count_if(o).alias("o"), F.count_if(r).alias("r"), F.count_if(o & ~r).alias("m")).repartition("page")
+        of = by.groupBy("page").agg(F.sum("o").alias("orig_words"), F.sum("r").alias("render_words"), F.sum("m").alias("missing"))
+        out = of.join(medians(by, ["page"], "ratio", "n"), "page", "left").select("page", "orig_words", "render_words", "missing", F.bround("median", 3).alias("median_height_ratio"))
     return out.withColumn("coverage", 1.0 - F.col("missing") / F.greatest(F.col("orig_words"), F.lit(1)))
 
 
@@ -127,10 +152,14 @@ def duplicate_excess(words: DataFrame, fuzzy: bool = False) -> DataFrame:
 
 
 def component_height_ratio(heights: DataFrame) -> DataFrame:
-    """Median over components of (median rendered height / median original height); heights: (stem, side, h)."""
-    per = heights.groupBy("stem").agg(*[F.percentile(F.when(F.col("side") == s, F.col("h")), F.lit(0.5)).alias(s) for s in ("orig", "render")])
+    """Median over components of (median rendered height / median original height); heights: (stem, side, h).
+
+    Ratios are rounded to three places before the last median, which therefore sorts a few thousand distinct values however many components there are."""
+    counted = heights.groupBy("stem", "side", "h").agg(F.count(F.lit(1)).alias("n")).repartition("stem")
+    per = medians(counted, ["stem", "side"], "h", "n").groupBy("stem").agg(*[F.max(F.when(F.col("side") == s, F.col("median"))).alias(s) for s in ("orig", "render")])
     r = F.when((F.col("orig") > 0) & F.col("render").isNotNull(), F.bround(F.col("render") / F.col("orig"), 3))
-    return per.withColumn("ratio", r).agg(F.bround(F.percentile("ratio", F.lit(0.5)), 3).alias("median_ratio"), F.count("ratio").alias("n"))
+    one = medians(per.groupBy(F.lit(0).alias("k"), r.alias("ratio")).agg(F.count(F.lit(1)).alias("n")), ["k"], "ratio", "n")
+    return one.agg(F.bround(F.max("median"), 3).alias("median_ratio"), F.coalesce(F.max("total"), F.lit(0)).cast("long").alias("n"))
 
 
 def important(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
@@ -139,18 +168,70 @@ def important(texts: DataFrame, keys: list[str], column: str = "text") -> DataFr
     return t.groupBy(*keys, "n").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
 
 
+SLICE_ROWS = 100_000   # texts of a page, of either kind, that one task compares
+
+
+def contained(needles: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, text_id) of every needle (keys, n) that occurs in a text (keys, text_id, text) of its key, once each.
+
+    A key's needles become one automaton, through which each of its texts runs once; no text is copied to a needle. Keys with many rows are
+    cut into slices of needles and of texts, and each pair of slices is a task of its own. Empty needles occur everywhere and are left out, as null ones are."""
+    n = needles.where("n <> ''").select(*keys, "n").distinct()
+    size = lambda d, c: d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SLICE_ROWS).select(*keys, F.ceil(F.col("_n") / SLICE_ROWS).alias(c))
+    cuts = size(n, "_needles").join(size(texts, "_texts"), keys, "full")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), one(c) - 1))
+    own = lambda by, c: F.pmod(F.xxhash64(by), one(c))
+    kind = texts.schema["text_id"].dataType
+    a = n.join(cuts, keys, "left").select(*keys, own("n", "_needles").alias("_a"), every("_texts").alias("_b"), F.lit(0).alias("_kind"), F.col("n").alias("text"), F.lit(None).cast(kind).alias("text_id"))
+    b = texts.where("text is not null").join(cuts, keys, "left").select(*keys, every("_needles").alias("_a"), own("text_id", "_texts").alias("_b"), F.lit(1).alias("_kind"), "text", "text_id")
+    group = [*keys, "_a", "_b"]
+    both = a.unionByName(b).repartition(*group).sortWithinPartitions(*group, "_kind")
+    types = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "n string", f"text_id {types['text_id']}"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        here, machine, ready = object(), None, False
+        for batch in batches:
+            cols = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
+            rows: list[list] = [[] for _ in range(len(keys) + 2)]
+            for key, what, text, ident in zip(zip(*[cols[k] for k in group]), cols["_kind"], cols["text"], cols["text_id"]):
+                if key != here:
+                    here, machine, ready = key, ahocorasick.Automaton(), False
+                if what == 0:
+                    machine.add_word(text, text)
+                    continue
+                if not ready:
+                    machine.make_automaton()
+                    ready = True
+                for hit in {w for _, w in machine.iter(text)} if len(machine) else ():
+                    for col, v in zip(rows, (*key[:len(keys)], hit, ident)):
+                        col.append(v)
+            fields = [batch.schema.field(k).type for k in keys] + [pa.string(), batch.schema.field("text_id").type]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, fields)], [*keys, "n", "text_id"])
+
+    return both.mapInArrow(match, schema)
+
+
+def _absent(texts: DataFrame, haystack: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `texts` (keys, n ...) whose n does not occur in the page's joined text (keys, hay)."""
+    hay = haystack.select(*keys, F.lit(0).alias("text_id"), F.col("hay").alias("text"))
+    found = contained(texts, hay, keys).select(*keys, "n").distinct()
+    return texts.where("n <> ''").join(found, [*keys, "n"], "left_anti")
+
+
 def missing_texts(expected: DataFrame, haystack: DataFrame, keys: list[str]) -> DataFrame:
     """Important expected texts whose normal form is not part of the page's joined normal text (keys, hay)."""
-    e = important(expected, keys).join(haystack, keys, "left")
-    return e.where(~F.contains(F.coalesce("hay", F.lit("")), F.col("n"))).select(*keys, "pos", "text")
+    return _absent(important(expected, keys), haystack, keys).select(*keys, "pos", "text")
 
 
 def missing_lines(lines: DataFrame, got: DataFrame, hay: DataFrame, keys: list[str]) -> DataFrame:
     """OCR lines to inject: important, not contained in the joined text and not similar (>= 0.8) to any single text.
 
     lines: keys, pos, text; got: keys, text; hay: keys, hay (joined normal text)."""
-    l = lines.where(T.is_important(F.col("text"))).withColumn("n", T.norm(F.col("text"))).join(hay, keys, "left")
-    left = l.where(~F.contains(F.coalesce("hay", F.lit("")), F.col("n"))).drop("hay")
+    left = _absent(lines.where(T.is_important(F.col("text"))).withColumn("n", T.norm(F.col("text"))), hay, keys)
     k = F.struct(*keys)
     sim = _similar(left.select(k.alias("page"), F.col("n").alias("a")), got.select(k.alias("page"), T.norm(F.col("text")).alias("b")), COVERED_RATIO)
     close = sim.select(*[F.col(f"page.{c}").alias(c) for c in keys], F.col("a").alias("n")).distinct()
@@ -181,30 +262,18 @@ def assign_lines(lines: DataFrame, comps: DataFrame, keys: list[str]) -> DataFra
 def line_height_of_shape(shapes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """Upper median height of the OCR lines whose normal text contains, or is contained in, the shape's text.
 
-    Containment needs a shared piece: both sides are joined on every 3-gram of the shorter text's head, i.e. the first
-    three letters of one occur in the other; texts under three letters use their whole text."""
+    Both directions run through `contained`: lines with a shape's text in them, and lines found in a shape's text."""
     s = shapes.select(*keys, "shape_id", T.norm(F.col("text")).alias("sn")).where("sn <> ''")
     l = lines.where("h_px > 0").select(*keys, "line_id", T.norm(F.col("text")).alias("ln"), "h_px").where("ln <> ''")
-
-    def pieces(c, n):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
-
-    def head(c):
-        return F.substr(c, F.lit(1), F.lit(3))
-
-    fwd = s.withColumn("g", head(F.col("sn"))).join(l.withColumn("g", F.explode(_heads(F.col("ln"), pieces))), [*keys, "g"]).where(F.contains("ln", "sn"))
-    back = s.withColumn("g", F.explode(_heads(F.col("sn"), pieces))).join(l.withColumn("g", head(F.col("ln"))), [*keys, "g"]).where(F.contains("sn", "ln"))
-    hits = fwd.select(*keys, "shape_id", "line_id", "h_px").union(back.select(*keys, "shape_id", "line_id", "h_px")).distinct()
-    ranked = hits.groupBy(*keys, "shape_id").agg(F.count(F.lit(1)).alias("_n"), F.percentile("h_px", F.lit(0.5)).alias("_m"),
-                                                F.min("h_px").alias("_lo"))
-    # upper median: the smallest height that is at least the interpolated median
-    top = hits.join(ranked.select(*keys, "shape_id", "_m"), [*keys, "shape_id"]).where("h_px >= _m").groupBy(*keys, "shape_id").agg(F.min("h_px").alias("h"))
-    return top
-
-
-def _heads(c: Column, pieces) -> Column:
-    """All places a text of one, two or at least three letters could start."""
-    return F.array_distinct(F.concat(pieces(c, 1), pieces(c, 2), pieces(c, 3)))
+    inside = contained(s.select(*keys, F.col("sn").alias("n")), l.select(*keys, F.col("line_id").alias("text_id"), F.col("ln").alias("text")), keys)
+    fwd = inside.withColumnRenamed("text_id", "line_id").withColumnRenamed("n", "sn").join(s, [*keys, "sn"])
+    around = contained(l.select(*keys, F.col("ln").alias("n")), s.select(*keys, F.col("shape_id").alias("text_id"), F.col("sn").alias("text")), keys)
+    back = around.withColumnRenamed("text_id", "shape_id").withColumnRenamed("n", "ln").join(l, [*keys, "ln"])
+    pairs = fwd.select(*keys, "shape_id", "line_id").union(back.select(*keys, "shape_id", "line_id")).distinct()
+    counted = pairs.join(l.select(*keys, "line_id", "h_px"), [*keys, "line_id"]).groupBy(*keys, "shape_id", "h_px").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys, "shape_id")
+    c = counted.withColumns({"_to": F.sum("n").over(w.orderBy("h_px").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(w)})
+    return c.where("_to > _all div 2").groupBy(*keys, "shape_id").agg(F.min("h_px").alias("h"))
 
 
 def pages_to_repair(cov: DataFrame, minimum: float = 0.9) -> DataFrame:

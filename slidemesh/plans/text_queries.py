@@ -218,12 +218,14 @@ def under_extracted(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", T.looks_under_extracted(F.regexp_replace(t, "[aeiou]", ""), t).alias("flag"))
 
 
-@query("loose_answers", sql("""SELECT event_id, CAST(event_id % 8 AS INTEGER) AS cls, event_type AS role FROM events WHERE event_id % 4 <> 3"""))
+@query("loose_answers", sql("""SELECT event_id, CAST(event_id % 8 AS INTEGER) AS cls, CASE event_id % 7 WHEN 3 THEN event_type || ' }{' WHEN 4 THEN event_type || '"' ELSE event_type END AS role FROM events WHERE event_id % 7 <> 6"""))
 def loose_answers(spark, sf):
-    """Answers in fences, in prose, or broken (every fourth, dropped)."""
-    obj = F.concat(F.lit('{"class": '), F.col("event_id") % 8, F.lit(', "semantic_role": "'), F.col("event_type"), F.lit('"}'))
-    raw = (F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("Sure: "), obj, F.lit(" Done.")))
-           .when(F.col("event_id") % 4 == 2, obj).otherwise(F.lit("no answer")))
+    """Answers in fences, in prose, bare, with braces or quotes in strings and more objects behind; every seventh has none and is dropped."""
+    kind = F.col("event_id") % 7
+    role = F.when(kind == 3, F.concat("event_type", F.lit(" }{"))).when(kind == 4, F.concat("event_type", F.lit('\\"'))).otherwise(F.col("event_type"))
+    obj = F.concat(F.lit('{"class": '), F.col("event_id") % 8, F.lit(', "semantic_role": "'), role, F.lit('"}'))
+    raw = (F.when(kind == 0, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Sure: "), obj, F.lit(" Done.")))
+           .when(kind.isin(2, 3), F.concat(obj, F.lit(' or {"class": 99} {'))).when(kind == 4, F.concat(F.lit("first "), obj, F.lit(" then }"))).when(kind == 5, obj).otherwise(F.lit("no {answer")))
     p = V.table(spark, sf, "events").select("event_id", T.loose_json(raw, "class int, semantic_role string").alias("p"))
     return p.where("p IS NOT NULL").select("event_id", F.col("p.class").alias("cls"), F.col("p.semantic_role").alias("role"))
 

@@ -207,7 +207,10 @@ def test_text_functions(spark):
     assert v(text.safe_name(F.lit(" a/b c "))) == "a_b_c" and v(text.safe_name(F.lit("??"))) == "component"
     assert v(text.loose_json(F.lit('```json\n{"a": 1}\n```'), "a int")).a == 1
     assert v(text.loose_json(F.lit('so {"a": 2} ok'), "a int")).a == 2
-    assert json.loads(v(text.first_json_object(F.lit('x {"a": 1} y {"b": 2}')))) == {"a": 1}
+    for raw, want in (('x {"a": 1} y {"b": 2}', {"a": 1}), ('{"a": "}{", "b": {"c": 3}} {"d"', {"a": "}{", "b": {"c": 3}}), (r'{"a": "q\"}"} }', {"a": 'q"}'}), (r'{"a": "\\"} {', {"a": "\\"}),
+                      ('no {answer', None), ('{not json} {"a": 1}', None), ("", None), ('🙂 {"ü": "漢"} 🙂', {"ü": "漢"})):
+        got = v(text.loose_object(F.lit(raw)))
+        assert (got and json.loads(got)) == want, raw
     assert v(text.fuzzy_ratio(F.lit("controller"), F.lit("contraller"))) == pytest.approx(0.9)
     assert v(text.merged_params(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("a"), F.lit("9"), F.lit("b"), F.lit("8")), ["a"])) == {"a": "9", "b": "2"}
     assert v(text.scaled_font(F.lit(1200), F.lit(0.5))) == 1200 and v(text.scaled_font(F.lit(1200), F.lit(0.7))) == 1000
