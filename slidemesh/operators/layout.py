@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -195,17 +197,17 @@ def overlap_to_arbitrate(comps: DataFrame, min_px: float = 100.0) -> DataFrame:
 
 def _carve_walk(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
     """Slides of bounded size: pairs with both boxes, sorted by (i, j), walked once per slide."""
-    a = geo.select("slide_id", F.col("pos").alias("i"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
+    a = geo.select("slide_id", F.col("pos").alias("i"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")], "w", "h")
     b = geo.select("slide_id", F.col("pos").alias("j"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
     full = edges.join(a, ["slide_id", "i"]).join(b, ["slide_id", "j"])
 
-    cols = ["i", "j", *[f"{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1")]]
+    cols = ["i", "j", *[f"{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1")], "w", "h"]
 
     def walk(*lists: list) -> list[tuple]:
         moved: dict[int, tuple] = {}
         for i, j, *v in zip(*lists):
             if i not in moved:
-                left = _carve_one(tuple(v[:4]), moved.get(j, tuple(v[4:]))[:4], min_px)
+                left = _carve_one(tuple(v[:4]), moved.get(j, tuple(v[4:8]))[:4], min_px, v[8], v[9])
                 if left is not None:
                     moved[i] = (*left, j)
         return [(i, *m) for i, m in moved.items()]
@@ -221,8 +223,8 @@ def _carve_walk(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
     return j.select("slide_id", "pos", "carved_by", "x0", "y0", "x1", "y1", B.subtract_box(B.box("s"), winner)["vertices"].alias("vertices"))
 
 
-def _carve_one(a: tuple, b: tuple, min_px: float) -> tuple | None:
-    """Bounds of A without B, or None when nothing is cut (small overlap, hole, nothing left, a side under 1 px)."""
+def _carve_one(a: tuple, b: tuple, min_px: float, w: float = math.inf, h: float = math.inf) -> tuple | None:
+    """Bounds of A without B inside a slide of w x h, or None when nothing is cut (small overlap, hole, nothing left, a side under 1 px)."""
     ox0, oy0, ox1, oy1 = max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])
     if ox1 <= ox0 or oy1 <= oy0 or (ox1 - ox0) * (oy1 - oy0) < min_px:
         return None
@@ -240,7 +242,10 @@ def _carve_one(a: tuple, b: tuple, min_px: float) -> tuple | None:
             y1 = oy0
         else:
             y0 = oy1
-    return (x0, y0, x1, y1) if x1 - x0 >= 1 and y1 - y0 >= 1 else None
+    if x1 - x0 < 1 or y1 - y0 < 1:
+        return None
+    x0, y0, x1, y1 = (max(0.0, min(m, v)) if m < math.inf else v for m, v in zip((w, h, w, h), (x0, y0, x1, y1)))
+    return (x0, y0, x1, y1) if x1 > x0 and y1 > y0 else None
 
 
 def _carve_rounds(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
@@ -252,13 +257,16 @@ def _carve_rounds(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
         if done is not None:
             moved = done.where("carved_by IS NOT NULL").select("slide_id", "pos", *[F.col(c).alias(f"n{c}") for c in ("x0", "y0", "x1", "y1")])
             now = geo.join(moved, ["slide_id", "pos"], "left").select("slide_id", "pos", *[F.coalesce(f"n{c}", c).alias(c) for c in ("x0", "y0", "x1", "y1")])
-        a = geo.select("slide_id", F.col("pos").alias("i"), F.struct("x0", "y0", "x1", "y1").alias("a"))
+        a = geo.select("slide_id", F.col("pos").alias("i"), F.struct("x0", "y0", "x1", "y1").alias("a"), "w", "h")
+        inside = lambda c, m: F.when(F.col(m) < math.inf, F.greatest(F.lit(0.0), F.least(F.col(m), F.col(f"cut.{c}")))).otherwise(F.col(f"cut.{c}"))
         was = geo.select("slide_id", F.col("pos").alias("j"), F.struct("x0", "y0", "x1", "y1").alias("was"))
         b = now.select("slide_id", F.col("pos").alias("j"), F.struct("x0", "y0", "x1", "y1").alias("now"))
         tried = (edges.join(ready, ["slide_id", "i"], "left_semi").join(a, ["slide_id", "i"]).join(was, ["slide_id", "j"]).join(b, ["slide_id", "j"])
                  .withColumn("b", F.when(F.col("j") < F.col("i"), F.col("now")).otherwise(F.col("was")))
                  .where(B.inter_area(B.box("a."), B.box("b.")) >= min_px).withColumn("cut", B.subtract_box(B.box("a."), B.box("b.")))
-                 .where(F.col("cut.kind").isin("rect", "split", "poly") & (F.col("cut.x1") - F.col("cut.x0") >= 1) & (F.col("cut.y1") - F.col("cut.y0") >= 1)))
+                 .where(F.col("cut.kind").isin("rect", "split", "poly") & (F.col("cut.x1") - F.col("cut.x0") >= 1) & (F.col("cut.y1") - F.col("cut.y0") >= 1))
+                 .withColumn("cut", F.struct(*[inside(c, m).alias(c) for c, m in (("x0", "w"), ("y0", "h"), ("x1", "w"), ("y1", "h"))], F.col("cut.vertices").alias("vertices")))
+                 .where("cut.x1 > cut.x0 and cut.y1 > cut.y0"))
         best = tried.groupBy("slide_id", "i").agg(F.min_by("cut", "j").alias("cut"), F.min("j").alias("carved_by"))
         step = ready.join(best, ["slide_id", "i"], "left").select(
             "slide_id", F.col("i").alias("pos"), "carved_by", "cut.x0", "cut.y0", "cut.x1", "cut.y1", "cut.vertices")
@@ -267,29 +275,40 @@ def _carve_rounds(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
     return done
 
 
-def carve_overlaps(comps: DataFrame, decisions: DataFrame, min_px: float = 100.0) -> DataFrame:
+def carve_overlaps(comps: DataFrame, decisions: DataFrame, min_px: float = 100.0, slide_size: tuple[str, str] | None = None) -> DataFrame:
     """Cut the side that does not own an overlap and whose peer does, at most one cut per component.
 
     `comps`: slide_id, pos, filename, x0..y1. `decisions`: slide_id, first, second, first_owns, second_owns (one row per
     unordered pair). A component's cut sees the cut boxes of the components before it and the original boxes of those after
     it. Slides with few such pairs are walked in sorted batches; larger ones are settled in rounds, a component when all its
-    earlier partners are. Adds carved_by, vertices."""
+    earlier partners are. With `slide_size`, the columns of the slide's width and height, cut boxes are clamped to the slide, and a cut that leaves
+    nothing on it is not made. Adds carved_by, vertices and original_bbox: the box before its first cut, kept where `comps` has one already; null for
+    uncut components without one. A column tight_bbox is clamped to the cut box, and replaced by it when nothing would be left."""
     d = decisions.dropDuplicates(["slide_id", "first", "second"])
     lose = (d.where("NOT first_owns AND second_owns").selectExpr("slide_id", "first AS fa", "second AS fb")
             .unionByName(d.where("NOT second_owns AND first_owns").selectExpr("slide_id", "second AS fa", "first AS fb")))
-    num = cut(comps.select("slide_id", "filename", "pos", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    size = [F.coalesce(F.col(c).cast("double"), F.lit(math.inf)) for c in slide_size] if slide_size else [F.lit(math.inf)] * 2
+    num = cut(comps.select("slide_id", "filename", "pos", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], *[c.alias(n) for c, n in zip(size, "wh")]))
     who = num.select("slide_id", "filename", "pos")
     edges = cut(lose.join(who.withColumnsRenamed({"filename": "fa", "pos": "i"}), ["slide_id", "fa"])
                 .join(who.withColumnsRenamed({"filename": "fb", "pos": "j"}), ["slide_id", "fb"]).select("slide_id", "i", "j"))
-    geo = num.select("slide_id", "pos", "x0", "y0", "x1", "y1")
+    geo = num.select("slide_id", "pos", "x0", "y0", "x1", "y1", "w", "h")
     cold, hot = split_hot(edges, ["slide_id"], FOLD_EDGES)
     done = _carve_walk(cold, geo, min_px)
     if hot is not None:
         done = done.unionByName(_carve_rounds(cut(hot), geo, min_px))
     c = done.where("carved_by IS NOT NULL").select("slide_id", "pos", "carved_by", "vertices", *[F.col(k).alias(f"n{k}") for k in ("x0", "y0", "x1", "y1")])
-    rest = [k for k in comps.columns if k not in ("x0", "y0", "x1", "y1")]
+    corners, is_cut = ("x0", "y0", "x1", "y1"), F.col("carved_by").isNotNull()
+    own, new = F.array(*[F.col(k).cast("double") for k in corners]), F.array(*[F.col(f"n{k}") for k in corners])
+    before = F.when(is_cut, own).otherwise(F.lit(None))
+    original = F.coalesce(F.col("original_bbox"), before) if "original_bbox" in comps.columns else before
+    rest = [F.col(k) for k in comps.columns if k not in (*corners, "original_bbox", "tight_bbox")]
+    if "tight_bbox" in comps.columns:
+        t = F.array(*[f(F.col("tight_bbox")[i].cast("double"), F.col(f"n{k}")) for i, (k, f) in enumerate(zip(corners, (F.greatest, F.greatest, F.least, F.least)))])
+        whole = F.size("tight_bbox") == 4
+        rest.append(F.when(is_cut & whole, F.when((t[2] > t[0]) & (t[3] > t[1]), t).otherwise(new)).otherwise(F.col("tight_bbox").cast("array<double>")).alias("tight_bbox"))
     return comps.join(c, ["slide_id", "pos"], "left").select(
-        *rest, *[F.coalesce(f"n{k}", F.col(k).cast("double")).alias(k) for k in ("x0", "y0", "x1", "y1")], "carved_by", "vertices")
+        *rest, *[F.coalesce(f"n{k}", F.col(k).cast("double")).alias(k) for k in corners], "carved_by", "vertices", original.alias("original_bbox"))
 
 
 # roll-ups ----------------------------------------------------------------------------------------------------------

@@ -437,6 +437,21 @@ def carved_boxes(spark, sf):
     return L.carve_overlaps(c, d).select("slide_id", "pos", "x0", "y0", "x1", "y1", "carved_by")
 
 
+@query("carved_manifest", sql("""SELECT c.slide_id, c.pos, CASE WHEN m.c IS NOT NULL THEN concat(c.x0, ',', c.y0, ',', c.x1, ',', c.y1) END AS original,
+ concat(tx0, ',', ty0, ',', tx1, ',', ty1) AS tight FROM (SELECT *, CASE WHEN ok THEN greatest(x0 + 5, nx0) ELSE nx0 END AS tx0, CASE WHEN ok THEN greatest(y0 + 5, ny0) ELSE ny0 END AS ty0,
+ CASE WHEN ok THEN least(x1 - 5, nx1) ELSE nx1 END AS tx1, CASE WHEN ok THEN least(y1 - 5, ny1) ELSE ny1 END AS ty1 FROM (
+  SELECT c.*, coalesce(m.x0, c.x0) AS nx0, coalesce(m.y0, c.y0) AS ny0, coalesce(m.x1, c.x1) AS nx1, coalesce(m.y1, c.y1) AS ny1,
+  m.c IS NULL OR least(c.x1 - 5, m.x1) > greatest(c.x0 + 5, m.x0) AND least(c.y1 - 5, m.y1) > greatest(c.y0 + 5, m.y0) AS ok FROM components c LEFT JOIN cuts m ON m.slide_id = c.slide_id AND m.p = c.pos) t) c
+ LEFT JOIN cuts m ON m.slide_id = c.slide_id AND m.p = c.pos""", "components", extra=_CARVE, recursive=True))
+def carved_manifest(spark, sf):
+    """What a cut leaves in the manifest: the original box, and the tight box (5 px inside it) clamped to the cut."""
+    c = V.components(spark, sf).withColumn("filename", F.col("node_id")).withColumn("tight_bbox", F.array(F.col("x0") + 5, F.col("y0") + 5, F.col("x1") - 5, F.col("y1") - 5)).withColumns({"sw": F.lit(1000), "sh": F.lit(600)})
+    d = L.overlap_to_arbitrate(c).withColumns({"first_owns": F.col("overlap_px") % 3 == 0, "second_owns": F.col("overlap_px") % 3 == 1})
+    out = L.carve_overlaps(c, d, slide_size=("sw", "sh"))
+    line = lambda a: F.array_join(F.transform(a, lambda v: v.cast("long").cast("string")), ",")
+    return out.select("slide_id", "pos", line(F.col("original_bbox")).alias("original"), line(F.col("tight_bbox")).alias("tight"))
+
+
 @query("placement_plan", sql("""SELECT slide_id, component_file, cls, layer, source, skip_reason, row_number() OVER (PARTITION BY slide_id ORDER BY layer, pos) - 1 AS paint_order FROM (
 SELECT slide_id, pos, concat('f', cast(pos AS VARCHAR)) AS component_file, CAST(score % 7 AS INTEGER) AS cls,
  CASE score % 7 WHEN 5 THEN 0 WHEN 4 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 2 END AS layer,

@@ -152,6 +152,27 @@ def test_carve(spark, boxes, limit, monkeypatch):
         assert {p: got[g, p] for p in box} == box
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_carve_inside_the_slide(spark, limit, monkeypatch):
+    """Clamped to 200 x 150: 1 is cut and clamped, 3 would leave the slide by its first cut and takes the second; tight and original boxes follow."""
+    monkeypatch.setattr(layout, "FOLD_EDGES", limit)
+    box = {0: (0., 0., 60., 100.), 1: (-20., 0., 300., 90.), 2: (150., -5., 200., 400.), 3: (150., -5., 260., 400.), 4: (230., -5., 260., 400.), 5: (5., 110., 40., 140.)}
+    c = spark.createDataFrame([("s", p, f"f{p}", *v, 200, 150, [v[0] + 1, v[1] + 1, v[2] - 1, v[3] - 1], [9.0] * 4 if p == 1 else None) for p, v in box.items()],
+                              "slide_id string, pos long, filename string, x0 double, y0 double, x1 double, y1 double, sw int, sh int, tight_bbox array<double>, original_bbox array<double>")
+    d = spark.createDataFrame([("s", f"f{i}", f"f{j}", False, True) for i, j in ((1, 2), (3, 2), (3, 4))], "slide_id string, first string, second string, first_owns boolean, second_owns boolean")
+    got = {r.pos: r for r in layout.carve_overlaps(c, d, slide_size=("sw", "sh")).collect()}
+    want = {1: layout._carve_one(box[1], box[2], 100.0, 200, 150), 3: layout._carve_one(box[3], box[2], 100.0, 200, 150) or layout._carve_one(box[3], box[4], 100.0, 200, 150)}
+    for p, r in got.items():
+        new = want.get(p, box[p])
+        assert (r.x0, r.y0, r.x1, r.y1) == new
+        if p in want:
+            t = [max(box[p][0] + 1, new[0]), max(box[p][1] + 1, new[1]), min(box[p][2] - 1, new[2]), min(box[p][3] - 1, new[3])]
+            assert r.tight_bbox == t and r.original_bbox == ([9.0] * 4 if p == 1 else list(box[p]))
+        else:
+            assert r.original_bbox is None and r.tight_bbox[0] == box[p][0] + 1
+    assert want[1][2] <= 200 and want[3] == (150.0, 0.0, 200.0, 150.0) and got[3].carved_by == 4
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_carve_sees_later_boxes_uncut(spark, limit, monkeypatch):
     """Component 1 loses to 0 and 3, and 3 loses to 6: 1 must meet the uncut 3 although 3 settles first."""
