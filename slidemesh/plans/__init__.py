@@ -9,4 +9,4 @@ def load_all():
     return registry
 
 
-MODULES = ["deck_queries", "text_queries", "eval_queries", "track_queries", "training_queries", "mask_queries"]
+MODULES = ["deck_queries", "text_queries", "eval_queries", "track_queries", "training_queries", "mask_queries", "source_queries"]

@@ -54,8 +54,18 @@ def greedy(rows, order, conflict):
 def test_pairs_grid_equals_plain(boxes, limit):
     rows, df = boxes
     want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and inter(a, b) > 0)
-    got = pairs.box_pairs(df, ["slide_id"], lambda a, b: a("pos") < b("pos"), limit=limit, cell=37)
-    assert keys(got, "slide_id", "a.pos", "b.pos") == want
+    tiny = df.withColumns({c: df[c] / 5000 - 0.01 for c in ("x0", "y0", "x1", "y1")})
+    for d, cell in ((df, 37), (df, None), (tiny, None)):
+        got = pairs.box_pairs(d, ["slide_id"], lambda a, b: a("pos") < b("pos"), limit=limit, cell=cell)
+        assert keys(got, "slide_id", "a.pos", "b.pos") == want
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_points_grid_equals_plain(spark, boxes, limit):
+    rows, df = boxes
+    points = spark.createDataFrame([(g, i, 17 * i % 300, 29 * i % 300) for g in {r[0] for r in rows} for i in range(30)], df.select("slide_id").schema.add("p", "long").add("cx", "long").add("cy", "long"))
+    want = sorted((g, p, b[1]) for g, p, x, y in points.collect() for b in rows if b[0] == g and b[4] <= x <= b[6] and b[5] <= y <= b[7])
+    assert keys(pairs.points_in_boxes(points, df, ["slide_id"], limit=limit), "slide_id", "a.p", "b.pos") == want
 
 
 @pytest.mark.parametrize("fold", [10**6, 0])
