@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from slidemesh.llm.common import Scratch, query, table
 
-BLOCK_WORDS = 1 << 20       # words of a block; a longer document is a block of its own
-BUCKET_WINDOWS = 1 << 20    # windows that one bucket should hold
+BLOCK_WORDS = 1 << 18       # words of a block; a longer document is a block of its own
+BUCKET_WINDOWS = 1 << 18    # windows that one bucket should hold
 PIECES = "block long, ids array<{0}>, docs binary, starts binary, words binary, alive binary"
 U64, U32 = np.uint64, np.uint32
 MIX = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93))
@@ -100,16 +100,20 @@ class Piece:
         return at + length <= self.ends[self.passage[:n]]
 
 
-def _candidates(p: Piece, length: int, target: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Places and hashes of the windows of `length` to look at: anchors below the target, from there on what the level before left."""
+def _candidates(p: Piece, length: int, target: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Places and hashes of the windows of `length` to look at: anchors below the target, from there on what the level before left.
+    Third, below the target, the anchor of the wanted window at each word."""
     hashes = [_window_hashes(w, length) for w in _word_hashes(p.text, length >= target)]
     n = len(hashes[0])
     if length < target:
-        at = _anchors(hashes[0], target - length + 1)
-        at = np.unique(at[p.inside(target, len(at))])
+        anchor = _anchors(hashes[0], target - length + 1)
+        taken = np.zeros(n, bool)
+        taken[anchor[p.inside(target, len(anchor))]] = True
+        at = np.flatnonzero(taken)
     else:
+        anchor = np.empty(0, np.int64)
         at = np.flatnonzero(p.alive[:n] & p.inside(length, n))
-    return at, [h[at] for h in hashes]
+    return at, [h[at] for h in hashes], anchor
 
 
 def _classes(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +177,7 @@ def _found(held: DataFrame, length: int, target: int, buckets: int, id_type: str
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             p = Piece(row)
-            at, hashes = _candidates(p, length, target)
+            at, hashes, _ = _candidates(p, length, target)
             order, bounds, first = _classes(hashes)
             many = np.diff(np.append(bounds, len(order))) > 1
             if decides:     # of equal windows of a block the earliest one speaks for it: smallest id (null before all), then smallest start
@@ -185,14 +189,18 @@ def _found(held: DataFrame, length: int, target: int, buckets: int, id_type: str
             bucket = (lead % U64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-            for part in (np.split(by, cuts) if len(by) else []):
-                own = first[part]
-                cols = [pa.array([int(bucket[part[0]])], pa.int64()), pa.array([row["block"]], pa.int64()),
-                        pa.array([np.stack([h[own] for h in hashes], 1).tobytes()], pa.binary()), pa.array([np.packbits(many[part]).tobytes()], pa.binary())]
-                if decides:
-                    docs = p.docs[p.passage[at[own]]]
-                    cols += [pa.array([[row["ids"][d] for d in docs]], id_list), pa.array([p.position(at[own]).astype("<u4").tobytes()], pa.binary()), pa.array([at[own].astype("<u4").tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=fields.names)
+            if not len(by):
+                continue
+            parts = np.split(by, cuts)
+            sent = [first[part] for part in parts]
+            cols = [pa.array(bucket[by[np.concatenate(([0], cuts))]]), pa.array(np.full(len(parts), row["block"])),
+                    pa.array([np.stack([h[own] for h in hashes], 1).tobytes() for own in sent], pa.binary()), pa.array([np.packbits(many[part]).tobytes() for part in parts], pa.binary())]
+            if decides:
+                ids = pa.array(row["ids"], id_list.value_type).take(pa.array(p.docs[p.passage[at[first[by]]]]))
+                bounds_of = pa.array(np.concatenate(([0], cuts, [len(by)])), pa.int32())
+                cols += [pa.ListArray.from_arrays(bounds_of, ids).cast(id_list), pa.array([p.position(at[own]).astype("<u4").tobytes() for own in sent], pa.binary()),
+                         pa.array([at[own].astype("<u4").tobytes() for own in sent], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=fields.names)
 
     def resolve(group: pa.Table) -> pa.Table:
         k = 2 if wide else 1
@@ -242,15 +250,16 @@ def _ranks(ids) -> np.ndarray:
     return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _alive(row: dict, p: Piece, length: int, target: int) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of the words where a repeated window of `length` starts, and (at the target) of those whose words also start earlier."""
-    at, hashes = _candidates(p, length, target)
+def _alive(row: dict, p: Piece, length: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of the words where a repeated window of `length` starts, and (at the target) of those whose words also start earlier; and, below
+    the target, each word's anchor."""
+    at, hashes, anchor = _candidates(p, length, target)
     alive, late = np.zeros(len(p.passage), bool), np.zeros(len(p.passage), bool)
-    order, bounds, _ = _classes(hashes)
-    n = np.diff(np.append(bounds, len(order)))
-    which = np.empty(len(order), np.int64)
-    which[order] = np.repeat(np.arange(len(n)), n)
     if length == target:
+        order, bounds, _ = _classes(hashes)
+        n = np.diff(np.append(bounds, len(order)))
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(np.arange(len(n)), n)
         place = np.concatenate([np.frombuffer(x["found"], "<u4") for x in row["back"]]).astype(np.int64)
         later = np.concatenate([np.unpackbits(np.frombuffer(x["later"], np.uint8), count=len(x["found"]) // 4) for x in row["back"]]).astype(bool)
         index = np.searchsorted(at, place)
@@ -270,7 +279,7 @@ def _alive(row: dict, p: Piece, length: int, target: int) -> tuple[np.ndarray, n
         known = np.concatenate([np.frombuffer(x["found"], "<u8").reshape(-1, k) for x in row["back"]]).astype(U64)
         mark = pc.is_in(_keys(np.stack(hashes, 1)), value_set=_keys(known)).to_numpy(zero_copy_only=False)
     alive[at[mark]] = True
-    return alive, late
+    return alive, late, anchor
 
 
 def _keys(hashes: np.ndarray) -> pa.Array:
@@ -285,9 +294,8 @@ def _trim(held: DataFrame, alive: DataFrame, length: int, target: int, scratch:
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             p = Piece(row)
-            marks, _ = _alive(row, p, length, target)
+            marks, _, at = _alive(row, p, length, target)
             if length < target:
-                at = _anchors(_window_hashes(_word_hashes(p.text, False)[0], length), target - length + 1)
                 starts = np.flatnonzero(p.inside(target, len(at)) & marks[at])
                 reach = target
             else:
@@ -362,7 +370,7 @@ def without_repeats(docs: DataFrame, target: int = 20, id_col: str = "doc_id", t
     scratch = Scratch(docs.sparkSession, "repeats")
     id_type = docs.schema[id_col].dataType.simpleString()
     base = _pack(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), scratch, id_type)
-    words = docs.select(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    words = (docs.select(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0) // 6
     held, length, spans, deep = base, target // 2, None, []
     while True:
         buckets = max(8, words // (6 * BUCKET_WINDOWS))
