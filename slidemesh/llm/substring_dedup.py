@@ -288,13 +288,37 @@ def _keys(hashes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(raw.shape[1] * 8), len(raw), [None, pa.py_buffer(raw)])
 
 
+def _runs(cover: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the runs of covered words, which end with their passage."""
+    same = passage[1:] == passage[:-1]
+    begin = np.flatnonzero(cover & ~np.concatenate(([False], cover[:-1] & same)))
+    end = np.flatnonzero(cover & ~np.concatenate((cover[1:] & same, [False]))) + 1
+    return begin, end
+
+
+def _covered(starts: np.ndarray, reach: int, n: int) -> np.ndarray:
+    """Of n words those within `reach` words from a start; starts are sorted and distinct."""
+    delta = np.zeros(n + 1, np.int64)
+    delta[starts] += 1
+    delta[starts + reach] -= 1
+    return np.cumsum(delta[:-1]) > 0
+
+
+STEP = ", deep binary, s_docs binary, s_from binary, s_to binary"
+
+
 def _trim(held: DataFrame, alive: DataFrame, length: int, target: int, scratch: Scratch) -> DataFrame:
-    """The passages with candidates for the next length, which are marked: wanted windows over repeated anchors, then pairs of neighbouring repeated windows."""
+    """What a level leaves of each block: the passages with candidates for the next length, which are marked (wanted windows over repeated anchors,
+    then pairs of neighbouring repeated windows); from the target on, `deep`, the documents with a repeated window of `length`; at the
+    target, the runs of words that later windows cover."""
+    id_list = pa.list_(_arrow_type(held.schema["ids"].dataType.elementType))
+    want = held.sparkSession.createDataFrame([], PIECES.format(held.schema["ids"].dataType.elementType.simpleString()) + STEP).schema
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda x: x.astype("<u4").tobytes()
         for row in _rows(batches):
             p = Piece(row)
-            marks, _, at = _alive(row, p, length, target)
+            marks, late, at = _alive(row, p, length, target)
             if length < target:
                 starts = np.flatnonzero(p.inside(target, len(at)) & marks[at])
                 reach = target
@@ -302,26 +326,24 @@ def _trim(held: DataFrame, alive: DataFrame, length: int, target: int, scratch:
                 n = max(0, len(marks) - length)
                 starts = np.flatnonzero(marks[:n] & marks[length:length + n] & (p.passage[:n] == p.passage[length:length + n]))
                 reach = 2 * length
-            if not len(starts):
-                continue
-            delta = np.zeros(len(marks) + 1, np.int64)
-            np.add.at(delta, starts, 1)
-            np.add.at(delta, starts + reach, -1)
-            cover = np.cumsum(delta[:-1]) > 0
-            begin = np.flatnonzero(cover & ~np.concatenate(([False], cover[:-1] & (p.passage[1:] == p.passage[:-1]))))
-            words = p.text.split()
-            size = np.diff(np.append(np.searchsorted(np.flatnonzero(cover), begin), cover.sum()))
-            lines = [b" ".join(words[a:a + k]) for a, k in zip(begin.tolist(), size.tolist())]
-            flags = np.zeros(len(marks), bool)
-            flags[starts] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["block"]], pa.int64()), pa.array([row["ids"]], id_list), *(pa.array([x], pa.binary()) for x in (
-                    p.docs[p.passage[begin]].astype("<u4").tobytes(), p.position(begin).astype("<u4").tobytes(),
-                    zstandard.ZstdCompressor().compress(b"\n".join(lines)), np.packbits(flags[cover]).tobytes()))], names=schema.names)
-
-    schema = held.schema
-    id_list = pa.list_(_arrow_type(schema["ids"].dataType.elementType))
-    return scratch.save(held.join(alive, "block").mapInArrow(trim, schema), "held")
+            pieces, deep, spans = [None] * 4, None, [None] * 3
+            if len(starts):
+                cover = _covered(starts, reach, len(marks))
+                begin, end = _runs(cover, p.passage)
+                words = p.text.split()
+                flags = np.zeros(len(marks), bool)
+                flags[starts] = True
+                lines = [b" ".join(words[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
+                pieces = [packed(p.docs[p.passage[begin]]), packed(p.position(begin)), zstandard.ZstdCompressor().compress(b"\n".join(lines)), np.packbits(flags[cover]).tobytes()]
+            if length >= target:
+                deep = packed(np.unique(p.docs[p.passage[np.flatnonzero(marks)]]))
+            if late.any():
+                begin, end = _runs(_covered(np.flatnonzero(late), target, len(marks)), p.passage)
+                first = p.position(begin)
+                spans = [packed(p.docs[p.passage[begin]]), packed(first), packed(first + end - begin)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["ids"]], id_list), *(pa.array([x], pa.binary()) for x in (*pieces, deep, *spans))], names=want.names)
+
+    return scratch.save(held.join(alive, "block").mapInArrow(trim, want), "step")
 
 
 def _arrow_type(t: T.DataType) -> pa.DataType:
@@ -372,37 +394,26 @@ def without_repeats(docs: DataFrame, target: int = 20, id_col: str = "doc_id", t
     base = _pack(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), scratch, id_type)
     words = (docs.select(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0) // 6
     held, length, spans, deep = base, target // 2, None, []
+    columns = held.columns
     while True:
         buckets = max(8, words // (6 * BUCKET_WINDOWS))
         alive = scratch.save(_found(held, length, target, buckets, id_type), "alive")
         if alive.isEmpty():
             break
+        step = _trim(held, alive, length, target, scratch)
+        scratch.forget(alive)
         if length == target:
-            spans = _spans(held, alive, target, scratch)
+            spans = step.where("s_docs is not null").select("block", "s_docs", "s_from", "s_to")
         if length >= target:
             if not longest:
                 break
-            deep.append(_longest_of(held, alive, length, target, scratch))
-        new = _trim(held, alive, length, target, scratch)
-        if held is not base:
-            scratch.forget(held)
-        scratch.forget(alive)
-        held, length = new, 2 * length
+            deep.append(step.where("deep is not null").select("block", F.lit(length).cast("long").alias("length"), F.col("deep").alias("docs")))
+        held, length = step.where("words is not null").select(*columns), 2 * length
         if held.isEmpty():
             break
     return _result(base, spans, deep, id_type, longest)
 
 
-def _longest_of(held: DataFrame, alive: DataFrame, length: int, target: int, scratch: Scratch) -> DataFrame:
-    """(block, length, docs): the documents of each block that have a repeated window of `length`."""
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            p = Piece(row)
-            docs = np.unique(p.docs[p.passage[np.flatnonzero(_alive(row, p, length, target)[0])]])
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([length], pa.int64()), pa.array([docs.astype("<u4").tobytes()], pa.binary())], names=["block", "length", "docs"])
-    return scratch.save(held.join(alive, "block").mapInArrow(names, "block long, length long, docs binary"), "deep")
-
-
 def _result(base: DataFrame, spans: DataFrame | None, deep: list[DataFrame], id_type: str, longest: bool) -> DataFrame:
     """Rows of the blocks again, with the runs to leave out taken from their words."""
     out = base.select("block", "ids", "words")
