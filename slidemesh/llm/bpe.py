@@ -80,6 +80,10 @@ class Transducer:
                 node = nxt
             self.token_at[node] = rank
         self.spines: dict[tuple[int, int], tuple] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        """Without any state determinised so far; trie and spines, whose size the vocabulary bounds, stay."""
         self.follows: dict[int, bool] = {}
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
@@ -241,6 +245,10 @@ class Generations(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Encoder:
     """Splits text by the pattern and encodes each match; ids are kept as little-endian 32-bit integers.
@@ -256,6 +264,12 @@ class Encoder:
         self.cuts = Generations(self._cut, MAX_CUTS)
         self.plain = pattern == PATTERN
 
+    def forget(self) -> None:
+        """Free what the texts of a task have filled: between tasks a worker keeps only what the vocabulary bounds."""
+        self.words.forget()
+        self.cuts.forget()
+        self.transducer.restart()
+
     def _matches(self, text: str) -> Iterator[str]:
         """Matches of the pattern, with letters and numbers as of Unicode 16: what the pattern module knows beyond that counts as other."""
         if text.isascii() or not NEWER.search(text):
@@ -301,7 +315,7 @@ _MADE: dict[tuple, Encoder] = {}
 
 
 def _encoder(shared, pattern: str) -> Encoder:
-    """One encoder per Python worker, so that its tables serve all tasks."""
+    """One encoder per Python worker, whose trie serves all tasks."""
     key = (hash(shared.value), pattern)
     if key not in _MADE:
         _MADE.clear()
@@ -351,7 +365,11 @@ def _pass(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
             for i, text in _rows(chain([first], batches)):
                 ids = enc.encode(text or "")
                 yield (i, len(ids) // 4, ids, decode(enc.transducer.bytes_of, ids)) if back else (i, len(ids) // 4, ids)
-        yield from _batches(rows(), names, kinds, lambda r: 2 * len(r[2]))
+        try:
+            yield from _batches(rows(), names, kinds, lambda r: 2 * len(r[2]))
+        finally:
+            enc.forget()
+            gc.unfreeze()
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded string" * back)
 

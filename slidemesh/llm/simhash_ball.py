@@ -24,6 +24,8 @@ from slidemesh.llm.common import Scratch, components, query, small_or_shuffled,
 SEED = 42
 TARGET = 2_000_000      # variants in memory at once
 MOST = 4_000_000        # fingerprints of a bucket
+PAIRS = 250_000         # pairs looked at in one step
+MEMBERS = 256           # texts of one row where the members of two fingerprints are compared
 CHUNK = 65_536          # shingles per step, bounds memory for very long texts
 
 
@@ -111,12 +113,9 @@ def _forest(pairs: np.ndarray, positions: bool = False) -> np.ndarray:
     return np.array(kept, np.int64) if positions else pairs[kept]
 
 
-def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest: bool = True) -> np.ndarray:
-    """Links (k, 2) between distinct fingerprints that share a variant in this bucket, each verified at `radius` bits or fewer.
-
-    All fingerprints that share a variant are within the radius of each other. With `forest`, links that join nothing new are left out;
-    without it every pair is returned, in the bucket of its middle variant only, so once whatever the number of buckets."""
-    fps = np.unique(fps)
+def _met(ball: Ball, bucket: int, fps: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """The variants of the distinct `fps` that fall into this bucket: hash of the variant in the high bits, its owner in the `low` low ones,
+    sorted, so that equal variants are neighbours."""
     slot = ball.home(fps) ^ bucket
     reps = ball.count[slot]
     idx = np.repeat(np.arange(len(fps), dtype=np.int32), reps)
@@ -124,15 +123,22 @@ def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest:
     variants = fps[idx] ^ ball.flips[flip]
     del flip
     low = np.uint64(max(1, int(len(fps)).bit_length()))
-    # hash of the variant in the high bits, its owner in the low ones: one sort brings equal variants together
-    keys = np.sort((variants * np.uint64(0x9E3779B97F4A7C15) >> low << low) | idx.astype(np.uint64))
+    keys = (variants * np.uint64(0x9E3779B97F4A7C15) >> low << low) | idx.astype(np.uint64)
+    keys.sort()
+    return keys, low
+
+
+def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Links (k, 2) between distinct fingerprints that share a variant in this bucket, each verified at `radius` bits or fewer.
+
+    All fingerprints that share a variant are within the radius of each other; links that join nothing new are left out."""
+    fps = np.unique(fps)
+    keys, low = _met(ball, bucket, fps)
     same = np.flatnonzero(keys[1:] >> low == keys[:-1] >> low)
     if not len(same):
         return np.empty((0, 2), np.uint64)
     owner = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     head = same + 1
-    if not forest:
-        return _middle_pairs(fps, np.unique(keys), low, radius)
     pairs = np.stack([owner[same], owner[head]], 1)
     near = _popcount(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
     extra = []
@@ -148,17 +154,17 @@ def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int, forest:
     return fps[pairs[pairs[:, 0] != pairs[:, 1]]]
 
 
-def _middle_pairs(fps: np.ndarray, keys: np.ndarray, low: np.uint64, radius: int) -> np.ndarray:
+def _middle_pairs(fps: np.ndarray, keys: np.ndarray, low: np.uint64, radius: int) -> Iterator[np.ndarray]:
     """All pairs (k, 2) of fingerprints of one run of `keys` whose middle variant, halfway along the unequal bits, is the run's own.
 
-    Runs are expanded in steps of about MOST pairs; a run has at most as many fingerprints as a ball has variants."""
-    owner = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    Runs are expanded in steps of about PAIRS pairs; a run has at most as many fingerprints as a ball has variants."""
+    owner = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int32)
     begins = np.flatnonzero(np.concatenate(([True], keys[1:] >> low != keys[:-1] >> low)))
     ends = np.concatenate((begins[1:], [len(keys)]))
     later = np.repeat(ends, ends - begins) - np.arange(len(keys)) - 1    # partners of a key are those after it in its run
-    upto, found, at = np.cumsum(later), [np.empty((0, 2), np.uint64)], 0
+    upto, at = np.cumsum(later), 0
     while at < len(keys):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MOST, "right")))
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
         n = later[at:to]
         i = np.repeat(np.arange(at, to), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
@@ -173,23 +179,32 @@ def _middle_pairs(fps: np.ndarray, keys: np.ndarray, low: np.uint64, radius: int
             middle ^= step
             rest ^= step
         own = middle * np.uint64(0x9E3779B97F4A7C15) >> low == keys[i] >> low
-        found.append(np.stack([a[own], b[own]], 1))
+        if own.any():
+            yield np.stack([a[own], b[own]], 1)
         at = to
-    return np.concatenate(found)
-
 
-def sliced_links(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, radius: int, target: int, forest: bool) -> np.ndarray:
-    """Links of a bucket, its variants taken in slices of about `target`: a slice is a bucket of a finer hash.
 
-    With `forest`, links that join nothing new are left out. Without it, every pair whose middle variant falls into the bucket is kept."""
+def _slices(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, target: int) -> Iterator[tuple[Ball, int]]:
+    """A bucket's variants in slices of about `target`: a slice is a bucket of a finer hash."""
     ball = _ball(bits, half, width)
     total = int(ball.count[ball.home(fps) ^ bucket].sum())
     more = max(0, int(np.ceil(np.log2(max(1, total / target)))))
-    found = [bucket_links(_ball(bits + more, half, width), bucket << more | k, fps, radius, forest) for k in range(1 << more)]
+    for k in range(1 << more):
+        yield _ball(bits + more, half, width), bucket << more | k
+
+
+def sliced_links(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, radius: int, target: int) -> np.ndarray:
+    """Links of a bucket but those that join nothing new."""
+    found = [bucket_links(ball, part, fps, radius) for ball, part in _slices(bits, half, width, bucket, fps, target)]
     pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
-    if forest:
-        return pairs[_forest(np.searchsorted(np.unique(pairs), pairs), True)] if len(pairs) else pairs
-    return pairs
+    return pairs[_forest(np.searchsorted(np.unique(pairs), pairs), True)] if len(pairs) else pairs
+
+
+def every_link(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, radius: int, target: int) -> Iterator[np.ndarray]:
+    """All pairs whose middle variant falls into the bucket, once each, step by step: nothing but one slice and one step is held."""
+    for ball, part in _slices(bits, half, width, bucket, fps, target):
+        keys, low = _met(ball, part, fps)
+        yield from _middle_pairs(fps, np.unique(keys), low, radius)
 
 
 def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, width: int = 64, forest: bool = True, least_bits: int = 7) -> DataFrame:
@@ -230,11 +245,14 @@ def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, wi
             if len(block := np.concatenate(rest)):
                 yield from out(p, block)
 
-    def meet(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        own = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("fps").combine_chunks()]))
-        links = sliced_links(bits, half, width, group.column("bucket")[0].as_py(), own, radius, target, forest).view(np.int64)
-        return pa.table({"part": pa.array(np.full(len(links), part), pa.int32()), "a": links[:, 0], "b": links[:, 1]})
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, bucket = (x.as_py() for x in key)
+        own = np.empty(0, np.uint64)
+        for b in batches:
+            own = np.unique(np.concatenate([own, *(np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(b.schema.get_field_index("fps")))]))
+        for links in ([sliced_links(bits, half, width, bucket, own, radius, target)] if forest else every_link(bits, half, width, bucket, own, radius, target)):
+            x = links.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part), pa.int32()), pa.array(x[:, 0]), pa.array(x[:, 1])], ["part", "a", "b"])
 
     packed = fps.select("part", "fp").mapInArrow(pack, "part int, bucket long, fps binary")
     return packed.groupBy("part", "bucket").applyInArrow(meet, "part int, a long, b long")
@@ -365,8 +383,11 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
     stars = verified(rows.join(groups.where("low <> high"), ["part", "fp"]).select(F.col("low").alias("a"), F.col("node").alias("b")), "star")
     # members of a fingerprint by the component that they are in already
     rooted = rows.join(components(stars, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = scratch.save(rooted.groupBy("part", "fp", "root").agg(F.collect_list("node").alias("members")), "classes")
-    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET, TABLE_BITS, forest=False, least_bits=5)
+    # in rows of about MEMBERS texts, so that no cluster of one fingerprint is a single row
+    sizes = rooted.groupBy("part", "fp", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEMBERS)
+    dealt = rooted.join(sizes, ["part", "fp", "root"], "left").withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", F.lit(1)) / MEMBERS)))
+    classes = scratch.save(dealt.groupBy("part", "fp", "root", "piece").agg(F.collect_list("node").alias("members")), "classes")
+    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET // 4, TABLE_BITS, forest=False, least_bits=5)
     mixed = classes.groupBy("part", "fp").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("part", F.col("fp").alias("a"), F.col("fp").alias("b"))
     ends = lambda c: classes.select("part", F.col("fp").alias(c), F.col("root").alias(f"r{c}"), F.col("members").alias(f"m{c}"))
     met = fp_links.unionByName(mixed).join(ends("a"), ["part", "a"]).join(ends("b"), ["part", "b"]).where("ra < rb or ra > rb and a <> b")

@@ -160,7 +160,7 @@ def test_dense_fingerprints_keep_every_pair():
     want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1:] if int(a ^ b).bit_count() <= 4}
     assert len(want) > 5 * len(fps)
     for bits, target in ((0, 50_000), (4, 2_000_000), (5, 1_000)):
-        got = [tuple(map(int, p)) for k in range(1 << bits) for p in simhash_ball.sliced_links(bits, 2, 40, k, fps, 4, target, False)]
+        got = [tuple(map(int, p)) for k in range(1 << bits) for x in simhash_ball.every_link(bits, 2, 40, k, fps, 4, target) for p in x]
         assert len(got) == len(set(got)) and set(got) == want
 
 
