@@ -11,7 +11,8 @@ from slidemesh.plans.registry import query, sql
 from slidemesh.runtime import ensure_checkpoint_dir
 from slidemesh.sources import coco, runs
 
-BUCKETS = 16    # files of a written set
+BUCKETS = 16            # files of a written set, at least
+FILE_ROWS = 50_000      # boxes of one file: a file is one document, built and parsed whole by one task
 
 
 def _folder(spark, name):
@@ -28,9 +29,15 @@ def _set(spark, sf):
     return images, ann, g.selectExpr("ascii(label) AS id", "substr(label, 1, 1) AS name").distinct()
 
 
-def _one_file_each(df, path, text=False):
-    w = df.repartition(BUCKETS, "_b").drop("_b").write.option("maxRecordsPerFile", 1)
-    w.text(path) if text else w.json(path)
+def _one_file_each(rows, key, value, name, n):
+    """(_b, name): the rows' structs as one array per file. An image goes to one file, but for each further FILE_ROWS of its rows to another."""
+    part = F.pmod(F.xxhash64(key, F.expr(f"{value} div {FILE_ROWS}")), F.lit(n)).cast("int")
+    cols = [c for c in rows.columns if c != "_k"]
+    return rows.withColumn("_b", part).repartition(n, "_b").groupBy("_b").agg(F.collect_list(F.struct(*cols)).alias(name))
+
+
+def _files_for(n_rows):
+    return max(BUCKETS, -(-n_rows // FILE_ROWS))
 
 
 @query("coco_set_read", sql("""SELECT image_id, count(*) AS n, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area, max(substr(label, 1, 1)) AS last_name, count(*) FILTER (iscrowd) AS crowds FROM gt GROUP BY 1""", "components", "gt"))
@@ -38,11 +45,12 @@ def coco_set_read(spark, sf):
     """A COCO set in files of whole documents, read as three tables and joined again."""
     images, ann, cats = _set(spark, sf)
     cats = cats.agg(F.collect_list(F.struct("id", "name")).alias("categories"))     # a dimension of a few names
-    a = ann.withColumn("_b", F.col("image_id") % BUCKETS).groupBy("_b").agg(F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "area", "iscrowd")).alias("annotations"))
-    i = images.withColumn("_b", F.col("id") % BUCKETS).groupBy("_b").agg(F.collect_list(F.struct(*images.columns)).alias("images"))
-    path = _folder(spark, "coco")
-    docs = i.join(a, "_b").join(F.broadcast(cats), F.col("_b") == 0, "left")
-    _one_file_each(docs, path)
+    n, path = _files_for(V.table(spark, sf, "lineitem").count()), _folder(spark, "coco")
+    a = _one_file_each(ann.withColumn("_k", F.col("id") - F.col("image_id") * 1000), "image_id", "_k", "annotations", n)
+    i = _one_file_each(images.withColumn("_k", F.lit(0)), "id", "_k", "images", n)
+    # categories make a document of their own
+    docs = i.join(a, "_b", "full").drop("_b").unionByName(cats, allowMissingColumns=True)
+    docs.write.option("maxRecordsPerFile", 1).json(path)
     images, ann, cats = coco.read_set(spark, path)
     j = ann.join(images.select(F.col("id").alias("image_id"), "width"), "image_id").join(F.broadcast(cats.select(F.col("id").alias("category_id"), "name")), "category_id")
     return j.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bbox")[2] * F.col("bbox")[3]).cast("long").alias("area"), F.max("name").alias("last_name"), F.sum("iscrowd").alias("crowds"))
@@ -53,9 +61,9 @@ def coco_predictions_read(spark, sf):
     """Predictions as files of one JSON array each, read with their corners and areas."""
     d = V.detections(V.components(spark, sf))
     images = d.select(F.col("image_id").alias("id")).distinct()
-    rows = d.selectExpr("image_id", "ascii(label) AS category_id", "array(x0, y0, x1 - x0, y1 - y0) AS bbox", "score")
-    path = _folder(spark, "predictions")
-    _one_file_each(rows.groupBy((F.col("image_id") % BUCKETS).alias("_b")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")), path, text=True)
+    rows = d.selectExpr("image_id", "ascii(label) AS category_id", "array(x0, y0, x1 - x0, y1 - y0) AS bbox", "score", "dt_id AS _k")
+    path, n = _folder(spark, "predictions"), _files_for(V.table(spark, sf, "lineitem").count())
+    _one_file_each(rows, "image_id", "_k", "rows", n).select(F.to_json("rows").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     p = coco.load_results(coco.read_predictions(spark, path), images)
     return p.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("area").cast("long").alias("area"), F.max("x1").cast("long").alias("right_edge"), F.sum("score").cast("long").alias("score"))
 

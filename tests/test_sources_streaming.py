@@ -320,3 +320,24 @@ def test_merge_proposals(spark):
     assert layout.valid_proposals(p).count() == 1
     assert one(spark, layout.chart_exempt(F.lit("Line Chart"))) and not one(spark, layout.chart_exempt(F.lit("flow chart")))
     assert one(spark, layout.is_text_prone(F.lit(" Bullet List "))) and not one(spark, layout.is_text_prone(F.lit("photo")))
+
+
+def test_written_sets_split_into_bounded_files(spark, monkeypatch, tmp_path):
+    """Files of a set hold a bounded number of boxes however many there are, also those of one large image."""
+    import glob
+    import json
+    import os
+
+    from slidemesh.plans import source_queries as Q
+    monkeypatch.setattr(Q, "FILE_ROWS", 50, raising=False)
+    monkeypatch.setattr(Q, "_folder", lambda spark, name: str(tmp_path / name))
+    li = spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) AS l_orderkey", "id % 50 AS l_partkey", "id % 9 AS l_suppkey", "int(id) AS l_linenumber", "double(id) AS l_quantity",
+                                      "1.0D AS l_extendedprice", "'A' AS l_returnflag", "'F' AS l_linestatus")
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.image_id: r.n for r in Q.coco_set_read(spark, str(tmp_path)).collect()}
+    assert len(got) == 2000 and got[7] == 2001 and sum(got.values()) == 4000
+    sets = [json.load(open(p)) for p in glob.glob(str(tmp_path / "coco" / "part-*")) if os.path.getsize(p)]
+    assert max(len(s.get("annotations", [])) for s in sets) <= 250
+    assert sum(r.n for r in Q.coco_predictions_read(spark, str(tmp_path)).collect()) == 3200
+    sizes = [len(json.load(open(p))) for p in glob.glob(str(tmp_path / "predictions" / "part-*")) if os.path.getsize(p)]
+    assert max(sizes) <= 250 and sum(sizes) == 3200
