@@ -32,15 +32,15 @@ def check_evaluated(images: DataFrame, evaluated: DataFrame) -> DataFrame:
     return images.select("image_id").exceptAll(evaluated.select("image_id").distinct())
 
 
-def gt_dt_pairs(gt: DataFrame, dt: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, r = gt_id, c = dt_id, sim): overlapping pairs; against a crowd box the union is the detection's area."""
+def gt_dt_pairs(gt: DataFrame, dt: DataFrame, keys: list[str] | None = None, gt_cols: tuple = (), dt_cols: tuple = ()) -> DataFrame:
+    """(keys, r = gt_id, c = dt_id, sim, and gt_cols, dt_cols of both): overlapping pairs; against a crowd box the union is the detection's area."""
     keys = keys or ["image_id"]
     a, b = B.box("a."), B.box("b.")
     g = gt if "iscrowd" in gt.columns else gt.withColumn("iscrowd", F.lit(False))
     sim = F.when(F.col("a.iscrowd"), B.ratio(B.inter_area(a, b), B.area(b))).otherwise(B.iou(a, b))
-    p = box_pairs(g.select(*keys, "gt_id", "iscrowd", "x0", "y0", "x1", "y1"), keys, lambda x, y: F.lit(True),
-                  right=dt.select(*keys, "dt_id", "x0", "y0", "x1", "y1"))
-    return p.select(*keys, F.col("a.gt_id").cast("long").alias("r"), F.col("b.dt_id").cast("long").alias("c"), sim.alias("sim"))
+    box = ["x0", "y0", "x1", "y1"]
+    p = box_pairs(g.select(*keys, *dict.fromkeys(["gt_id", "iscrowd", *box, *gt_cols])), keys, lambda x, y: F.lit(True), right=dt.select(*keys, *dict.fromkeys(["dt_id", *box, *dt_cols])))
+    return p.select(*keys, F.col("a.gt_id").cast("long").alias("r"), F.col("b.dt_id").cast("long").alias("c"), sim.alias("sim"), *[F.col(f"a.{c}").alias(c) for c in gt_cols], *[F.col(f"b.{c}").alias(c) for c in dt_cols])
 
 
 def f1(tp: Column, fp: Column, fn: Column, eps: float = EPS) -> Column:

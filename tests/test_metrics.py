@@ -189,3 +189,26 @@ def test_teta_perfect_tracker(spark):
     t = g.withColumnRenamed("gt_id", "tk_id")
     r = TM.teta_scores(TM.teta_sums(g, t, ["seq"]), ["cls"]).first()
     assert (r.loc_a, r.assoc_a, r.cls_a, r.teta) == (1.0, 1.0, 1.0, 1.0)
+
+
+def test_average_precision_over_slices(spark):
+    """Many slices a class, ties of scores and a class without ground truth: the same as one plain ordered walk, with one row a matched detection."""
+    r = random.Random(5)
+    gt, dt = [], []
+    for im in range(60):
+        for k in range(4):
+            b = box(r)
+            gt.append((im, k, k % 2, *b))
+            dt.append((im, k, k % 2, r.randrange(6), *jitter(r, b)))
+        dt.append((im, 9, 7, 3, *box(r)))
+    cols = "image_id long, {} long, category_id long, {}x0 long, y0 long, x1 long, y1 long"
+    area = ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")
+    g, d = (spark.createDataFrame(rows, cols.format(*c)).select("*", area) for rows, c in ((gt, ("gt_id", "")), (dt, ("dt_id", "score long, "))))
+    g = g.withColumn("iscrowd", F.lit(False))
+    got = AP.evaluate(g, d).collect()
+    assert {x.category_id for x in got} == {0, 1} and len(got) == 60
+    for x in got:
+        assert x.ap == pytest.approx(coco_ap(gt, dt, x.category_id, x.iou, *AP.AREAS[x.area_range]), abs=1e-9)
+    keys = ["image_id", "category_id"]
+    assert AP.match(g, d, keys).groupBy(*keys, "dt_id").count().where("count > 1").isEmpty()
+    assert len(AP.evaluate(g.drop("category_id"), d.drop("category_id"), category=None).collect()) == 30
