@@ -144,7 +144,8 @@ def best_assignment(pairs: DataFrame, keys: list[str], limit: int = HOT_PAIRS) -
 
     r and c are longs. `value` drives the choice, `sim` is carried along."""
     cols = [*keys, "r", "c", "value", "sim"]
-    base = cut(pairs.where("value > 0").select(*cols))
+    # tested after the cut: pushed into the join of the pairs, IoU makes its loop too large a method for the JVM to compile
+    base = cut(pairs.select(*cols)).where("value > 0")
     deg_r = base.groupBy(*keys, "r").agg(F.count(F.lit(1)).alias("_dr"))
     deg_c = base.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("_dc"))
     tagged = base.join(deg_r, [*keys, "r"]).join(deg_c, [*keys, "c"])
