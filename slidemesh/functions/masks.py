@@ -42,12 +42,22 @@ def dilated_box(box: Column, px: int, clip: B.Box) -> Column:
 
 
 def mask_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Intersections of two run tables (keys, mask_id, y, x0, x1): joined on the row y, so that work follows the runs."""
-    l, r = left.alias("l"), right.alias("r")
-    eq = B.all_of(*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "y"]], F.col("l.x0") < F.col("r.x1"), F.col("r.x0") < F.col("l.x1"))
-    inter = l.join(r, eq).groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.mask_id").alias("a"), F.col("r.mask_id").alias("b")).agg(
-        F.sum(F.least("l.x1", "r.x1") - F.greatest("l.x0", "r.x0")).alias("inter"))
-    size = lambda d, n: d.groupBy(*keys, F.col("mask_id").alias(n)).agg(F.sum(F.col("x1") - F.col("x0")).alias(f"area_{n}"))
+    """Intersections of the masks of two tables (keys, mask_id, and rows y, x0, x1 or non-overlapping rectangles x0, y0, x1, y1).
+
+    Rows are joined on y, rectangles as boxes of their key, so that work follows the runs or the rectangles."""
+    from slidemesh.operators.pairs import box_pairs
+
+    if "y" in left.columns:
+        l, r = left.alias("l"), right.alias("r")
+        eq = B.all_of(*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "y"]], F.col("l.x0") < F.col("r.x1"), F.col("r.x0") < F.col("l.x1"))
+        p = l.join(r, eq).select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.mask_id").alias("a"), F.col("r.mask_id").alias("b"), (F.least("l.x1", "r.x1") - F.greatest("l.x0", "r.x0")).alias("_px"))
+        px = F.col("x1") - F.col("x0")
+    else:
+        p = box_pairs(left, keys, lambda a, b: F.lit(True), right=right).select(*keys, F.col("a.mask_id").alias("_l"), F.col("b.mask_id").alias("_r"), B.inter_area(B.box("a."), B.box("b.")).alias("_px"))
+        p = p.withColumnsRenamed({"_l": "a", "_r": "b"})
+        px = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    inter = p.groupBy(*keys, "a", "b").agg(F.sum("_px").alias("inter"))
+    size = lambda d, n: d.groupBy(*keys, F.col("mask_id").alias(n)).agg(F.sum(px).alias(f"area_{n}"))
     j = inter.join(size(left, "a"), [*keys, "a"]).join(size(right, "b"), [*keys, "b"])
     return j.withColumns({"iou": F.col("inter") / (F.col("area_a") + F.col("area_b") - F.col("inter")), "iom": F.col("inter") / F.least("area_a", "area_b")})
 
