@@ -129,21 +129,33 @@ def vertex_lists(rings: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, F.when((F.col("_n") == 1) & (F.size("p") >= 4) & ~plain, F.col("p")).alias("vertices"))
 
 
-def polygon_runs(rings: DataFrame, keys: list[str]) -> DataFrame:
-    """Scan conversion of rings (keys, points) by even-odd crossings: pixel rows (keys, y, x0, x1) whose centres lie inside.
+def polygon_rects(rings: DataFrame, keys: list[str]) -> DataFrame:
+    """Scan conversion of rings (keys, points) by even-odd crossings: rectangles (keys, x0, y0, x1, y1) of the pixels whose centres lie inside.
 
-    Edges become one crossing per row they pass; crossings of a row pair off from the left. Nothing is painted."""
+    Rows between neighbouring ends of edges form a band. A band that only upright edges pass is one row of crossings, however high it
+    is; one with a slanted edge is taken row by row. Crossings of a row pair off from the left. Nothing is painted."""
     after = F.concat(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), F.slice("points", 1, 1))
-    e = rings.where(F.size("points") >= 3).select(*keys, F.posexplode(F.arrays_zip(F.col("points").alias("p"), after.alias("q"))).alias("edge", "_s"))
-    e = e.select(*keys, "edge", *[F.col(f"_s.{a}.{c}").alias(f"{c}{a}") for a in "pq" for c in "xy"]).where("yp <> yq")
-    low, high = F.least("yp", "yq"), F.greatest("yp", "yq")
-    e = e.withColumns({"_a": F.ceil(low - 0.5), "_b": F.ceil(high - 0.5) - 1}).where("_a <= _b")
-    x = F.col("xp") + (F.col("y") + 0.5 - F.col("yp")) * (F.col("xq") - F.col("xp")) / (F.col("yq") - F.col("yp"))
-    crossed = e.withColumn("y", F.explode(F.sequence("_a", "_b"))).select(*keys, "y", x.alias("x"))
-    w = Window.partitionBy(*keys, "y").orderBy("x")
-    spans = crossed.select(*keys, "y", "x", F.lead("x").over(w).alias("_to"), F.row_number().over(w).alias("_n")).where("_n % 2 = 1 and _to is not null")
-    spans = spans.select(*keys, "y", F.ceil(F.col("x") - 0.5).alias("x0"), F.ceil(F.col("_to") - 0.5).alias("x1")).where("x1 > x0")
-    return merged_runs(spans, [*keys, "y"])
+    e = rings.where(F.size("points") >= 3).select(*keys, F.explode(F.arrays_zip(F.col("points").alias("p"), after.alias("q"))).alias("_s"))
+    e = e.select(*keys, *[F.col(f"_s.{a}.{c}").alias(f"{c}{a}") for a in "pq" for c in "xy"]).where("yp <> yq")
+    e = e.withColumns({"_a": F.ceil(F.least("yp", "yq") - 0.5), "_b": F.ceil(F.greatest("yp", "yq") - 0.5)}).where("_a < _b")
+    all_of = Window.partitionBy(*keys)
+    e = e.withColumn("_ys", F.array_sort(F.array_union(F.collect_set("_a").over(all_of), F.collect_set("_b").over(all_of))))
+    e = e.withColumn("_ys", F.filter("_ys", lambda v: v.between(F.col("_a"), F.col("_b"))))
+    bands = F.transform(F.slice("_ys", 1, F.size("_ys") - 1), lambda v, i: F.struct(v.alias("y0"), F.element_at("_ys", i + 2).alias("y1")))
+    e = e.select(*keys, "xp", "yp", "xq", "yq", F.explode(bands).alias("_v")).select("*", "_v.y0", "_v.y1").drop("_v")
+    e = e.withColumn("_slant", F.max(F.col("xp") != F.col("xq")).over(Window.partitionBy(*keys, "y0")))
+    lines = F.when(F.col("_slant"), F.transform(F.sequence("y0", F.col("y1") - 1), lambda v: F.struct(v.alias("y0"), (v + 1).alias("y1")))).otherwise(F.array(F.struct("y0", "y1")))
+    x = F.col("xp") + (F.col("_v.y0") + 0.5 - F.col("yp")) * (F.col("xq") - F.col("xp")) / (F.col("yq") - F.col("yp"))
+    crossed = e.withColumn("_v", F.explode(lines)).select(*keys, F.col("_v.y0").alias("y0"), F.col("_v.y1").alias("y1"), x.alias("x"))
+    w = Window.partitionBy(*keys, "y0").orderBy("x")
+    spans = crossed.select(*keys, "y0", "y1", "x", F.lead("x").over(w).alias("_to"), F.row_number().over(w).alias("_n")).where("_n % 2 = 1 and _to is not null")
+    spans = spans.select(*keys, "y0", "y1", F.ceil(F.col("x") - 0.5).alias("x0"), F.ceil(F.col("_to") - 0.5).alias("x1")).where("x1 > x0")
+    return merged_runs(spans, [*keys, "y0", "y1"]).select(*keys, "x0", "y0", "x1", "y1")
+
+
+def polygon_runs(rings: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as pixel rows (keys, y, x0, x1)."""
+    return polygon_rects(rings, keys).select(*keys, F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1")
 
 
 def polygon_points(flat: Column) -> Column:

@@ -110,3 +110,23 @@ def test_residuals_in_rounds(spark, monkeypatch, limit):
             page[y0:y1, x0:x1] = True
         want[k, i] = (left, keep)
     assert got == want and {k for _, k in want.values()} == {True, False}
+
+
+def test_pairs_of_rectangles_equal_pairs_of_rows(spark):
+    """Masks of several rectangles: the same intersections and ratios as row by row, without a row for each pixel line."""
+    rects = O.disjoint(spark.createDataFrame([(i % 5, *b[1:], i % 7) for i, b in enumerate(boxes(120, 5))], BOX + ", mask_id int"), ["k", "mask_id"])
+    rows = O.row_runs(rects, ["k", "mask_id"])
+    cols = ["k", "a", "b", "inter", "iou", "iom"]
+    by_rows, by_rects = (masks.mask_pairs(t.where("mask_id % 2 = 0"), t.where("mask_id % 2 = 1"), ["k"]).select(*cols) for t in (rows, rects))
+    got = sorted(map(tuple, by_rects.collect()))
+    assert got == sorted(map(tuple, by_rows.collect())) and len(got) == 20
+
+
+def test_upright_bands_are_not_taken_row_by_row(spark):
+    """Upright edges give one rectangle a band however high; slanted ones a row each; gaps and holes as even-odd counting has them."""
+    shapes = {1: [[(0, 0), (9, 0), (9, 30_000), (0, 30_000)], [(3, 100), (6, 100), (6, 200), (3, 200)]], 2: [[(0, 0), (20, 0), (20, 10), (0, 30)]]}
+    df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r]) for k, rings in shapes.items() for r in rings], f"k int, points {O.POINTS}")
+    got = O.polygon_rects(df, ["k"]).collect()
+    assert sorted((r.y0, r.y1, r.x0, r.x1) for r in got if r.k == 1) == [(0, 100, 0, 9), (100, 200, 0, 3), (100, 200, 6, 9), (200, 30_000, 0, 9)]
+    want = {(y, x) for y in range(30) for x in range(20) if y + 0.5 < 30 - (x + 0.5)}
+    assert {(y, x) for r in got if r.k == 2 for y in range(r.y0, r.y1) for x in range(r.x0, r.x1)} == want
