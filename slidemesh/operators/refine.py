@@ -56,8 +56,23 @@ class _Cells:
         return len(_Cells.pieces(self, outside)) > 1
 
 
+def _common(a: tuple, b: tuple) -> tuple:
+    return max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])
+
+
+def _size(b: tuple) -> float:
+    return max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
+
+
 def _refine(box: tuple, text: bool, members: dict, cands: list[tuple], absorbed: set) -> tuple:
     """One group: (bounds, members, erases, area, rectangular). cands: (file, text, box, should_merge, visually_overlaps)."""
+    if _size(box) > 0 and not any(c[0] not in members and c[0] not in absorbed and _size(_common(box, c[2])) > 1.0 for c in cands):
+        # nothing to absorb or cut: the area stays one box, and no cells are needed
+        if members:
+            u = list(members.values())
+            tight = _common(box, (min(b[0] for b in u) - PAD, min(b[1] for b in u) - PAD, max(b[2] for b in u) + PAD, max(b[3] for b in u) + PAD))
+            box = tight if _size(tight) > 0 else box
+        return tuple(float(v) for v in box), sorted(members), [], float(_size(box)), True
     hull = [box, *members.values(), *[c[2] for c in cands]]
     padded = [(b[0] - PAD, b[1] - PAD, b[2] + PAD, b[3] + PAD) for b in hull]
     g = _Cells(hull + padded)

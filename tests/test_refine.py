@@ -33,3 +33,16 @@ def test_plan_frames(spark):
     vid = spark.createDataFrame([(1, 7)], "video_id long, max_obj_id long")
     got = [(r.frame_idx, r.det_id, r.obj_id) for r in tracks.plan_frames(dets, trk, vid, 2).collect()]
     assert got == [(0, 2, 8)]  # matched, then limit 2 leaves one place, border one dropped
+
+
+def test_groups_without_live_candidates_need_no_cells(monkeypatch):
+    """Verdicts on members, absorbed or outlying components change nothing; the box cut to its members is then found directly."""
+    cases = [((0, 0, 100, 100), {"a": (10, 10, 40, 40), "b": (50, 50, 90, 80)}, [("a", False, (10, 10, 40, 40), True, True), ("z", False, (200, 0, 220, 9), True, True)], {"a", "b"}, ((8, 8, 92, 82), 84.0 * 74, True)),
+             ((0, 0, 100, 100), {}, [("q", False, (0, 0, 50, 50), True, True)], {"q"}, ((0, 0, 100, 100), 10000.0, True)),
+             ((0, 0, 10, 10), {"a": (50, 50, 60, 60)}, [], {"a"}, ((0, 0, 10, 10), 100.0, True))]
+    made = []
+    monkeypatch.setattr(refine, "_Cells", lambda b, own=refine._Cells: made.append(b) or own(b))
+    for box, members, cands, absorbed, (bounds, area, rect) in cases:
+        b, m, erases, a, r = refine._refine(box, False, dict(members), cands, set(absorbed))
+        assert (tuple(b), m, erases, a, r) == (bounds, sorted(members), [], area, rect)
+    assert not made
