@@ -43,12 +43,23 @@ def word_sides(words: DataFrame, height: Column | None = None) -> DataFrame:
         return F.col("side") == side
     if height is None:
         return words.groupBy("page", "word").agg(F.count_if(on("orig")).alias("n_orig"), F.count_if(on("render")).alias("n_render"))
+    # where a side has one height it is the median, found without a sort; only words of several heights are ranked
+    names = ["page", "word", "n_orig", "n_render", "h_orig", "h_render"]
+    rows = words.select("page", "word", "side", height.alias("h"))
+    part = lambda s: [F.count_if(on(s) & F.col("h").isNotNull()).alias(f"n_{s}"), F.min(F.when(on(s), F.col("h"))).alias(f"_a_{s}"), F.max(F.when(on(s), F.col("h"))).alias(f"_b_{s}")]
+    one = cut(rows.groupBy("page", "word").agg(*part("orig"), *part("render")).where("n_orig + n_render > 0"))
+    one = one.withColumns({f"h_{s}": (F.col(f"_a_{s}") + F.col(f"_b_{s}")) / 2 for s in ("orig", "render")})
+    even = F.col("_a_orig").eqNullSafe(F.col("_b_orig")) & F.col("_a_render").eqNullSafe(F.col("_b_render"))
+    several = one.where(~even).select("page", "word")
+    if several.isEmpty():
+        return one.select(*names)
     # partitioned by page and word once: both the running weights and the two sides' rows stay there
-    counted = words.groupBy("page", "word", "side", height.alias("h")).agg(F.count(F.lit(1)).alias("n")).repartition("page", "word")
+    counted = rows.join(several, ["page", "word"], "left_semi").groupBy("page", "word", "side", "h").agg(F.count(F.lit(1)).alias("n")).repartition("page", "word")
     sides = medians(counted, ["page", "word", "side"], "h", "n")
-    return sides.groupBy("page", "word").agg(
+    ranked = sides.groupBy("page", "word").agg(
         *[F.coalesce(F.max(F.when(on(s), F.col("total"))), F.lit(0)).cast("long").alias(f"n_{s}") for s in ("orig", "render")],
         *[F.max(F.when(on(s), F.col("median"))).alias(f"h_{s}") for s in ("orig", "render")])
+    return one.where(even).select(*names).unionByName(ranked)
 
 
 def coverage(words: DataFrame, height: Column | None = None) -> DataFrame:

@@ -37,3 +37,22 @@ def test_shape_heights(spark):
     lines = spark.createDataFrame([(1, 0, "alpha", 10), (1, 1, "BETA", 12), (1, 2, "the alpha-beta gamma", 20), (1, 3, "beta", 0), (1, 4, "ax", 7), (2, 5, "alpha", 99)], "page int, line_id int, text string, h_px int")
     got = {(r.page, r.shape_id): r.h for r in ocr.line_height_of_shape(shapes, lines, ["page"]).collect()}
     assert got == {(1, 0): 12, (1, 1): 7}
+
+
+def test_words_of_one_height_are_not_ranked(spark, monkeypatch):
+    """Only words of several heights on a side reach the running weights; nulls count for nothing and all medians are right."""
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from slidemesh.operators import ocr
+    rows = [(1, "same", "orig", 4.0)] * 3 + [(1, "same", "render", 2.0), (1, "none", "orig", None), (1, "half", "orig", 3.0), (1, "half", "render", None)]
+    mixed = [(1, "many", "orig", h) for h in (1.0, 5.0, 9.0, 9.0)] + [(1, "many", "render", 7.0)]
+    ranked, own = [], ocr.medians
+    monkeypatch.setattr(ocr, "medians", lambda c, *a, **k: ranked.append(c.select("word").distinct().count()) or own(c, *a, **k))
+    for extra in ([], mixed):
+        df = spark.createDataFrame(rows + extra, "page int, word string, side string, hh double")
+        got = {r.word: tuple(r)[2:] for r in ocr.word_sides(df, F.col("hh")).select("page", "word", "n_orig", "n_render", "h_orig", "h_render").collect()}
+        want = {"same": (3, 1, 4.0, 2.0), "half": (1, 0, 3.0, None)}
+        assert got == (want | {"many": (4, 1, statistics.median([1, 5, 9, 9]), 7.0)} if extra else want)
+    assert ranked == [1]
