@@ -20,6 +20,8 @@ HOT_PAIRS = 20_000
 
 def solve(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Indices of the pairs chosen by a maximum-total assignment (shortest augmenting paths with potentials)."""
+    if (rows == rows[0]).all() or (cols == cols[0]).all():
+        return np.array([np.argmax(values)], dtype=np.int64)     # one against many: the best, the first one on ties
     ru, ri = np.unique(rows, return_inverse=True)
     cu, ci = np.unique(cols, return_inverse=True)
     flip = len(ru) > len(cu)

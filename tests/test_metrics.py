@@ -212,3 +212,10 @@ def test_average_precision_over_slices(spark):
     keys = ["image_id", "category_id"]
     assert AP.match(g, d, keys).groupBy(*keys, "dt_id").count().where("count > 1").isEmpty()
     assert len(AP.evaluate(g.drop("category_id"), d.drop("category_id"), category=None).collect()) == 30
+
+
+def test_one_against_many_takes_the_best():
+    from slidemesh.operators.assign import solve
+    one, many = np.zeros(4, dtype="int64"), np.arange(4)
+    for r, c in ((one, many), (many, one)):
+        assert solve(r, c, np.array([0.2, 0.9, 0.9, 0.1])).tolist() == [1]
