@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidemesh.runtime import cut, split_hot
+from slidemesh.runtime import cut, key_sizes, split_hot, spread
 
 HOT_ROWS = 200_000
 
@@ -22,7 +22,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
             lasts: dict[str, Column] | None = None, limit: int = HOT_ROWS) -> DataFrame:
     """Add running sums (inclusive) and last non-null values in `order` per `keys`. `order` must be total."""
     sums, lasts = sums or {}, lasts or {}
-    cold, hot = split_hot(df, keys, limit)
+    rows, most = key_sizes(df, keys, limit)
+    cold, hot = split_hot(df, keys, limit) if most > limit else (df, None)
     upto = (Window.unboundedPreceding, Window.currentRow)
 
     def apply(part: DataFrame, by: list[str]) -> DataFrame:
@@ -30,7 +31,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
         return part.withColumns({**{n: F.sum(c).over(w) for n, c in sums.items()},
                                  **{n: F.last(c, ignorenulls=True).over(w) for n, c in lasts.items()}})
 
-    out = apply(cold, keys)
+    out = apply(spread(cold, keys, rows), keys)
     if hot is None:
         return out
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -81,6 +81,23 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     return None if big.isEmpty() else cut(big)
 
 
+ROWS_A_TASK = 100_000      # rows of a keyed table that one task holds; what operators make of a row may be a hundred times its size
+
+
+def key_sizes(df: DataFrame, keys: list[str], limit: int) -> tuple[int, int]:
+    """(rows of the keys with up to `limit` rows, rows of the largest key) in one job, combined map-side."""
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    r = per.agg(F.sum(F.when(F.col("_n") <= limit, F.col("_n"))).alias("rows"), F.max("_n").alias("most")).first()
+    return r["rows"] or 0, r["most"] or 0
+
+
+def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """`df` in hash partitions by key whose number follows its rows. Operators on the same keys then work inside these partitions, so
+    that a task's memory stays the same however large the table is. Tables of a few tasks are left to the planner."""
+    n = -(-rows // ROWS_A_TASK)
+    return df.repartition(n, *[F.col(k) for k in keys]) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys or None); together they are exactly `df`."""
     big = hot_keys(df, keys, limit)

@@ -300,3 +300,15 @@ def test_masks_have_every_row(spark, monkeypatch):
     got = {r.mask_id: r for r in Q.residual_masks(spark, "").collect()}
     assert {k: r.left_px for k, r in got.items()} == {k: v[0] for k, v in left.items() if k in got}
     assert set(got) >= {k for k, v in left.items() if v[1]}
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """A keyed table beyond what a few tasks hold gets partitions in proportion to its rows, on which later steps of the key stay; a hot key does not count."""
+    from slidemesh import runtime
+    monkeypatch.setattr(runtime, "ROWS_A_TASK", 10)
+    rows = [(k, v) for k in range(200) for v in range(3)] + [(-1, v) for v in range(100)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = scan.positions(df, ["k"], ["v"], limit=50)
+    cold = got.where("k >= 0").withColumn("p", F.spark_partition_id()).groupBy("k").agg(F.max("pos").alias("top"), F.first("p").alias("p")).collect()
+    assert len(cold) == 200 and all(r.top == 2 for r in cold) and 40 < len({r.p for r in cold}) <= 60
+    assert [r.pos for r in got.where("k = -1").orderBy("v").collect()] == list(range(100))
