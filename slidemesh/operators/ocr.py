@@ -101,16 +101,12 @@ def fold_words(words: DataFrame) -> DataFrame:
     return exact.join(extra, ["page", "word"], "left").select("page", "word", "n_orig", (F.col("n_render") + F.coalesce("more", F.lit(0))).alias("n_folded"))
 
 
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
-
-
 def _profile(df: DataFrame, c: str, ratio: float) -> DataFrame:
-    """Distinct strings with letter counts, numbered bigrams (so that repeats count) and how many of the rarest to probe.
+    """Distinct strings with bigrams and how many of the rarest numbered ones (so that repeats count) to probe.
 
     Similarity r of lengths la, lb means at least M = ceil(r (la + lb) / 2) matched letters in at most la + lb - 2M + 1 blocks,
     hence M - blocks shared bigrams; of all but that many (plus one) bigrams at least one is then shared."""
     s, n = F.col(c), F.length(c)
-    counts = F.transform(F.array(*[F.lit(ch) for ch in _ALPHABET]), lambda ch: n - F.length(F.replace(s, ch, F.lit(""))))
     grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(s, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     lo, hi = F.ceil(n * ratio / (2 - ratio) - 1e-9), F.floor(n * (2 - ratio) / ratio + 1e-9)
 
@@ -119,7 +115,7 @@ def _profile(df: DataFrame, c: str, ratio: float) -> DataFrame:
         matched = F.ceil(ratio * t / 2 - 1e-9)
         return matched - (t - 2 * matched + 1)
 
-    return (df.select(c).distinct().withColumn("cnt", counts).withColumn("grams", grams)
+    return (df.select(c).distinct().withColumn("grams", grams)
             .withColumn("probe", F.size("grams") - F.array_min(F.transform(F.sequence(lo, F.greatest(lo, hi)), shared)) + 1))
 
 
@@ -137,19 +133,23 @@ def _probes(prof: DataFrame, c: str, freq: DataFrame) -> DataFrame:
 def _similar(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
     """Pairs (page, a, b, ratio) within a page whose difflib ratio reaches `ratio`, strings over [a-z0-9].
 
-    Strings are compared once however many pages share them: candidates come from common rare bigrams, then the letter
-    counts bound the ratio from above, and only what is left reaches difflib in Arrow batches."""
+    Strings are compared once however many pages share them. Candidates of pages with no more pairs than characters are all pairs of about
+    equal length; those of fuller pages come from common rare bigrams. Arrow batches then bound the ratio by common letters, and
+    only what is left reaches difflib."""
     la, rb = cut(left.distinct().where("a <> ''")), cut(right.distinct().where("b <> ''"))
-    pa, pb = _profile(la, "a", ratio), _profile(rb, "b", ratio)
-    # at most 36 * 36 bigrams exist, so this table is small whatever the data
-    freq = pa.select(F.explode("grams").alias("g")).unionByName(pb.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
-    ka, kb = la.join(_probes(pa, "a", freq), "a"), rb.join(_probes(pb, "b", freq), "b")
-    near = ka.join(kb, ["page", "key"]).where(T.length_bound(F.col("a"), F.col("b"), ratio))
-    cand = near.select("a", "b").distinct()
-    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
-    tight = (cand.join(pa.select("a", F.col("cnt").alias("ca")), "a").join(pb.select("b", F.col("cnt").alias("cb")), "b")
-             .where(2.0 * common >= ratio * (F.length("a") + F.length("b"))).select("a", "b"))
-    sim = tight.repartition(F.col("a"), F.col("b")).withColumn("ratio", T.fuzzy_ratio(F.col("b"), F.col("a"))).where(F.col("ratio") >= ratio)
+    size = lambda d, c: d.groupBy("page").agg(F.count(F.lit(1)).cast("double").alias(f"n{c}"), F.sum(F.length(c)).alias(f"c{c}"))
+    pages = cut(size(la, "a").join(size(rb, "b"), "page").select("page", (F.col("na") * F.col("nb") > F.col("ca") + F.col("cb")).alias("full")))
+    few, full = pages.where("NOT full").select("page"), pages.where("full").select("page")
+    near = la.join(few, "page").join(rb, "page")
+    if not full.isEmpty():
+        fa, fb = cut(la.join(full, "page")), cut(rb.join(full, "page"))
+        pa, pb = _profile(fa, "a", ratio), _profile(fb, "b", ratio)
+        # at most 36 * 36 bigrams exist, so this table is small whatever the data
+        freq = pa.select(F.explode("grams").alias("g")).unionByName(pb.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
+        ka, kb = fa.join(_probes(pa, "a", freq), "a"), fb.join(_probes(pb, "b", freq), "b")
+        near = near.select("a", "b").unionByName(ka.join(kb, ["page", "key"]).select("a", "b"))
+    cand = near.where(T.length_bound(F.col("a"), F.col("b"), ratio)).select("a", "b").distinct()
+    sim = cand.repartition(F.col("a"), F.col("b")).withColumn("ratio", T.fuzzy_ratio_from(ratio)(F.col("b"), F.col("a"))).where(F.col("ratio") >= ratio)
     return la.join(sim, "a").join(rb, ["page", "b"]).select("page", "a", "b", "ratio")
 
 
@@ -242,7 +242,7 @@ def missing_lines(lines: DataFrame, got: DataFrame, hay: DataFrame, keys: list[s
     """OCR lines to inject: important, not contained in the joined text and not similar (>= 0.8) to any single text.
 
     lines: keys, pos, text; got: keys, text; hay: keys, hay (joined normal text)."""
-    left = _absent(lines.where(T.is_important(F.col("text"))).withColumn("n", T.norm(F.col("text"))), hay, keys)
+    left = cut(_absent(lines.where(T.is_important(F.col("text"))).withColumn("n", T.norm(F.col("text"))), hay, keys))
     k = F.struct(*keys)
     sim = _similar(left.select(k.alias("page"), F.col("n").alias("a")), got.select(k.alias("page"), T.norm(F.col("text")).alias("b")), COVERED_RATIO)
     close = sim.select(*[F.col(f"page.{c}").alias(c) for c in keys], F.col("a").alias("n")).distinct()

@@ -56,3 +56,26 @@ def test_words_of_one_height_are_not_ranked(spark, monkeypatch):
         want = {"same": (3, 1, 4.0, 2.0), "half": (1, 0, 3.0, None)}
         assert got == (want | {"many": (4, 1, statistics.median([1, 5, 9, 9]), 7.0)} if extra else want)
     assert ranked == [1]
+
+
+def test_similar_pairs_of_few_and_full_pages(spark, monkeypatch):
+    """Pages of few long lines are compared without probes, pages of many words through them; both as difflib finds them."""
+    import difflib
+    import random
+
+    from slidemesh.operators import ocr
+    r = random.Random(3)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    long = [word(150, "abcdefgh") for _ in range(4)] + [word(260, "abcdefghij") for _ in range(2)]
+    near = [t[:40] + "zz" + t[50:] for t in long]
+    few = [(1, t) for t in long], [(1, t) for t in near]
+    many = [(2, word(r.randrange(1, 8), "abc")) for _ in range(60)], [(2, word(r.randrange(1, 8), "abc")) for _ in range(60)]
+
+    def found(left, right):
+        got = ocr._similar(spark.createDataFrame(left, "page long, a string"), spark.createDataFrame(right, "page long, b string"), 0.8).collect()
+        want = {(p, a, b): x for p, a in left for q, b in right if p == q and (x := difflib.SequenceMatcher(None, b, a).ratio()) >= 0.8}
+        assert {(x.page, x.a, x.b): x.ratio for x in got} == want and want
+
+    found(few[0] + many[0], few[1] + many[1])
+    monkeypatch.setattr(ocr, "_probes", None)
+    found(*few)
