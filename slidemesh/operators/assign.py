@@ -10,8 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from slidemesh.runtime import cut, split_hot
 
@@ -68,20 +71,20 @@ def per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str]
 
     Rows are hashed by key and sorted; many keys share a Python batch and one output frame. Only for keys of bounded size;
     callers split larger ones off first."""
-    names = list(keys)
-    out_names = [*names, *[c.split()[0].strip("`") for c in schema.split(", ")]]
+    names, made = list(keys), to_arrow_schema(StructType.fromDDL(schema))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     full = ", ".join([*[f"`{k}` {types[k]}" for k in names], schema])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, starts in _whole_groups(batches, names):
-            lists = [pdf[c].tolist() for c in columns]
-            idents = list(zip(*[pdf[k].iloc[starts[:-1]].tolist() for k in names]))
-            rows = [(*ident, *row) for ident, a, b in zip(idents, starts, starts[1:]) for row in fn(*[v[a:b] for v in lists])]
-            if rows:
-                yield pd.DataFrame(rows, columns=out_names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _whole_batches(batches, names):
+            lists = [rows.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns]
+            got = [fn(*[v[a:b] for v in lists]) for a, b in zip(starts, starts[1:])]
+            out = [row for g in got for row in g]
+            if out:
+                at = pa.array(np.repeat(starts[:-1], [len(g) for g in got]))
+                yield pa.RecordBatch.from_arrays([*[rows.column(k).take(at) for k in names], *[pa.array(v, t, from_pandas=True) for v, t in zip(zip(*out), made.types)]], [*names, *made.names])
 
-    return _by_key(df, keys, order).mapInPandas(run, full)
+    return _by_key(df, keys, order).mapInArrow(run, full)
 
 
 def choose_per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., np.ndarray]) -> DataFrame:
@@ -103,6 +106,27 @@ def _by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(n, *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
 
 
+def _whole_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """_whole_groups for Arrow batches."""
+    tail: pa.RecordBatch | None = None
+    for b in batches:
+        if tail is not None:
+            b = pa.concat_batches([tail, b])
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows - 1, bool)
+        for k in names:
+            v = b.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            change |= v[1:] != v[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(change) + 1))
+        last = int(starts[-1])
+        tail = b.slice(last)
+        if last:
+            yield b.slice(0, last), starts
+    if tail is not None and tail.num_rows:
+        yield tail, np.array([0, tail.num_rows])
+
+
 def _whole_groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
     """Re-cut Arrow batches at key changes: (rows, group starts and end); the last group waits for the next batch."""
     def starts_of(pdf: pd.DataFrame) -> np.ndarray:

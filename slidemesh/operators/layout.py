@@ -14,7 +14,7 @@ from slidemesh.functions.text import safe_name
 from slidemesh.operators.assign import per_key
 from slidemesh.operators.pairs import box_pairs
 from slidemesh.operators.scan import positions
-from slidemesh.runtime import cut, split_hot
+from slidemesh.runtime import cut
 
 FOLD_EDGES = 2_000
 
@@ -195,32 +195,29 @@ def overlap_to_arbitrate(comps: DataFrame, min_px: float = 100.0) -> DataFrame:
     return p.select("slide_id", F.col("a.filename").alias("first"), F.col("b.filename").alias("second"), inter.alias("overlap_px"))
 
 
-def _carve_walk(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
-    """Slides of bounded size: pairs with both boxes, sorted by (i, j), walked once per slide."""
-    a = geo.select("slide_id", F.col("pos").alias("i"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")], "w", "h")
-    b = geo.select("slide_id", F.col("pos").alias("j"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
-    full = edges.join(a, ["slide_id", "i"]).join(b, ["slide_id", "j"])
-
-    cols = ["i", "j", *[f"{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1")], "w", "h"]
-
-    def walk(*lists: list) -> list[tuple]:
+def _carve_walk(rows: DataFrame, min_px: float) -> DataFrame:
+    """Slides of bounded size: the boxes of a slide and the decisions on them, sorted together and walked once."""
+    def walk(loses: list, names: list, others: list, pos: list, *geo: list) -> list[tuple]:
+        at, box, asked = {}, {}, {}
+        for l, n, o, p, *v in zip(loses, names, others, pos, *geo):
+            if l:
+                asked.setdefault((n, o), l)
+            else:
+                at.setdefault(n, []).append(p)
+                box[p] = tuple(v)
+        edges = {(i, j) for (n, o), l in asked.items() for i in at.get(n if l == 1 else o, ()) for j in at.get(o if l == 1 else n, ())}
         moved: dict[int, tuple] = {}
-        for i, j, *v in zip(*lists):
+        for i, j in sorted(edges):
             if i not in moved:
-                left = _carve_one(tuple(v[:4]), moved.get(j, tuple(v[4:8]))[:4], min_px, v[8], v[9])
+                a, b = box[i], moved.get(j, box[j])[:4]
+                left = _carve_one(a[:4], b, min_px, a[4], a[5])
                 if left is not None:
-                    moved[i] = (*left, j)
+                    moved[i] = (*left, j, *b)
         return [(i, *m) for i, m in moved.items()]
 
-    cuts = cut(per_key(full, ["slide_id"], ["i", "j"], cols, walk, "pos long, x0 double, y0 double, x1 double, y1 double, carved_by long"))
-    # outlines come from the box the winner had at that moment: its own cut when it is earlier, else the original
-    w = cuts.select("slide_id", F.col("pos").alias("carved_by"), F.col("pos").alias("_w"), *[F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")])
-    o = geo.select("slide_id", F.col("pos").alias("carved_by"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
-    s = geo.select("slide_id", "pos", *[F.col(c).alias(f"s{c}") for c in ("x0", "y0", "x1", "y1")])
-    j = cuts.join(w, ["slide_id", "carved_by"], "left").join(o, ["slide_id", "carved_by"]).join(s, ["slide_id", "pos"])
-    early = F.col("_w").isNotNull() & (F.col("carved_by") < F.col("pos"))
-    winner = B.Box(*[F.when(early, F.col(f"w{c}")).otherwise(F.col(f"o{c}")) for c in ("x0", "y0", "x1", "y1")])
-    return j.select("slide_id", "pos", "carved_by", "x0", "y0", "x1", "y1", B.subtract_box(B.box("s"), winner)["vertices"].alias("vertices"))
+    sides = [f"{s}{c}" for s in ("", "w") for c in ("x0", "y0", "x1", "y1")]
+    return per_key(rows, ["slide_id"], ["loses"], ["loses", "name", "other", "pos", *sides[:4], "w", "h"], walk,
+                   ", ".join(["pos long", *[f"{c} double" for c in sides[:4]], "carved_by long", *[f"{c} double" for c in sides[4:]]]))
 
 
 def _carve_one(a: tuple, b: tuple, min_px: float, w: float = math.inf, h: float = math.inf) -> tuple | None:
@@ -244,11 +241,13 @@ def _carve_one(a: tuple, b: tuple, min_px: float, w: float = math.inf, h: float
             y0 = oy1
     if x1 - x0 < 1 or y1 - y0 < 1:
         return None
-    x0, y0, x1, y1 = (max(0.0, min(m, v)) if m < math.inf else v for m, v in zip((w, h, w, h), (x0, y0, x1, y1)))
+    if w < math.inf or h < math.inf:
+        x0, y0, x1, y1 = (max(0.0, min(m, v)) if m < math.inf else v for m, v in zip((w, h, w, h), (x0, y0, x1, y1)))
     return (x0, y0, x1, y1) if x1 > x0 and y1 > y0 else None
 
 
-def _carve_rounds(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
+def _carve_rounds(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame | None:
+    """Slides of any size; None when there is no edge."""
     done, pending = None, cut(edges.select("slide_id", "i").distinct())
     while not pending.isEmpty():
         waiting = edges.where("j < i").join(pending.withColumnRenamed("i", "j"), ["slide_id", "j"], "left_semi").select("slide_id", "i")
@@ -265,11 +264,11 @@ def _carve_rounds(edges: DataFrame, geo: DataFrame, min_px: float) -> DataFrame:
                  .withColumn("b", F.when(F.col("j") < F.col("i"), F.col("now")).otherwise(F.col("was")))
                  .where(B.inter_area(B.box("a."), B.box("b.")) >= min_px).withColumn("cut", B.subtract_box(B.box("a."), B.box("b.")))
                  .where(F.col("cut.kind").isin("rect", "split", "poly") & (F.col("cut.x1") - F.col("cut.x0") >= 1) & (F.col("cut.y1") - F.col("cut.y0") >= 1))
-                 .withColumn("cut", F.struct(*[inside(c, m).alias(c) for c, m in (("x0", "w"), ("y0", "h"), ("x1", "w"), ("y1", "h"))], F.col("cut.vertices").alias("vertices")))
+                 .withColumn("cut", F.struct(*[inside(c, m).alias(c) for c, m in (("x0", "w"), ("y0", "h"), ("x1", "w"), ("y1", "h"))], *[F.col(f"b.{c}").alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")]))
                  .where("cut.x1 > cut.x0 and cut.y1 > cut.y0"))
         best = tried.groupBy("slide_id", "i").agg(F.min_by("cut", "j").alias("cut"), F.min("j").alias("carved_by"))
         step = ready.join(best, ["slide_id", "i"], "left").select(
-            "slide_id", F.col("i").alias("pos"), "carved_by", "cut.x0", "cut.y0", "cut.x1", "cut.y1", "cut.vertices")
+            "slide_id", F.col("i").alias("pos"), "carved_by", "cut.x0", "cut.y0", "cut.x1", "cut.y1", "cut.wx0", "cut.wy0", "cut.wx1", "cut.wy1")
         done = cut(step if done is None else step.unionByName(done))
         pending = cut(pending.join(done.select("slide_id", F.col("pos").alias("i")), ["slide_id", "i"], "left_anti"))
     return done
@@ -284,21 +283,32 @@ def carve_overlaps(comps: DataFrame, decisions: DataFrame, min_px: float = 100.0
     earlier partners are. With `slide_size`, the columns of the slide's width and height, cut boxes are clamped to the slide, and a cut that leaves
     nothing on it is not made. Adds carved_by, vertices and original_bbox: the box before its first cut, kept where `comps` has one already; null for
     uncut components without one. A column tight_bbox is clamped to the cut box, and replaced by it when nothing would be left."""
-    d = decisions.dropDuplicates(["slide_id", "first", "second"])
-    lose = (d.where("NOT first_owns AND second_owns").selectExpr("slide_id", "first AS fa", "second AS fb")
-            .unionByName(d.where("NOT second_owns AND first_owns").selectExpr("slide_id", "second AS fa", "first AS fb")))
-    size = [F.coalesce(F.col(c).cast("double"), F.lit(math.inf)) for c in slide_size] if slide_size else [F.lit(math.inf)] * 2
-    num = cut(comps.select("slide_id", "filename", "pos", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], *[c.alias(n) for c, n in zip(size, "wh")]))
-    who = num.select("slide_id", "filename", "pos")
-    edges = cut(lose.join(who.withColumnsRenamed({"filename": "fa", "pos": "i"}), ["slide_id", "fa"])
-                .join(who.withColumnsRenamed({"filename": "fb", "pos": "j"}), ["slide_id", "fb"]).select("slide_id", "i", "j"))
-    geo = num.select("slide_id", "pos", "x0", "y0", "x1", "y1", "w", "h")
-    cold, hot = split_hot(edges, ["slide_id"], FOLD_EDGES)
-    done = _carve_walk(cold, geo, min_px)
-    if hot is not None:
-        done = done.unionByName(_carve_rounds(cut(hot), geo, min_px))
-    c = done.where("carved_by IS NOT NULL").select("slide_id", "pos", "carved_by", "vertices", *[F.col(k).alias(f"n{k}") for k in ("x0", "y0", "x1", "y1")])
-    corners, is_cut = ("x0", "y0", "x1", "y1"), F.col("carved_by").isNotNull()
+    corners, size = ("x0", "y0", "x1", "y1"), [F.coalesce(F.col(c).cast("double"), F.lit(math.inf)) for c in slide_size] if slide_size else [F.lit(math.inf)] * 2
+    first_loses, second_loses = F.expr("NOT first_owns AND second_owns"), F.expr("NOT second_owns AND first_owns")
+    asked = decisions.where((first_loses | second_loses) & F.col("first").isNotNull() & F.col("second").isNotNull()).select(
+        "slide_id", F.when(first_loses, 1).otherwise(2).alias("loses"), F.col("first").alias("name"), F.col("second").alias("other"), F.lit(0).cast("long").alias("pos"),
+        *[F.lit(0.0).alias(c) for c in (*corners, "w", "h")])
+    boxes = comps.select("slide_id", F.lit(0).alias("loses"), F.col("filename").alias("name"), F.lit("").alias("other"), F.col("pos").cast("long").alias("pos"),
+                         *[F.col(c).cast("double").alias(c) for c in corners], *[c.alias(n) for c, n in zip(size, "wh")])
+    rows = cut(boxes.unionByName(asked))
+    per = rows.groupBy("slide_id").agg(F.count_if(F.col("loses") > 0).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    large = per.where((F.col("_e") > FOLD_EDGES) | (F.col("_n") > 100 * FOLD_EDGES)).select("slide_id")
+    if large.isEmpty():
+        done = _carve_walk(rows, min_px)
+    else:
+        large = cut(large)
+        done, hot = _carve_walk(rows.join(large, "slide_id", "left_anti"), min_px), cut(rows.join(large, "slide_id", "left_semi"))
+        geo = hot.where("loses = 0").select("slide_id", "name", "pos", *corners, "w", "h")
+        d = hot.where("loses > 0").dropDuplicates(["slide_id", "name", "other"])
+        swap = F.col("loses") == 2
+        lose = d.select("slide_id", F.when(swap, F.col("other")).otherwise(F.col("name")).alias("fa"), F.when(swap, F.col("name")).otherwise(F.col("other")).alias("fb"))
+        who = geo.select("slide_id", "name", "pos")
+        edges = cut(lose.join(who.withColumnsRenamed({"name": "fa", "pos": "i"}), ["slide_id", "fa"])
+                    .join(who.withColumnsRenamed({"name": "fb", "pos": "j"}), ["slide_id", "fb"]).select("slide_id", "i", "j"))
+        rounds = _carve_rounds(edges, geo.drop("name"), min_px)
+        done = done if rounds is None else done.unionByName(rounds)
+    c = done.where("carved_by IS NOT NULL").select("slide_id", "pos", "carved_by", *[F.col(k).alias(f"n{k}") for k in corners], *[f"w{k}" for k in corners])
+    is_cut = F.col("carved_by").isNotNull()
     own, new = F.array(*[F.col(k).cast("double") for k in corners]), F.array(*[F.col(f"n{k}") for k in corners])
     before = F.when(is_cut, own).otherwise(F.lit(None))
     original = F.coalesce(F.col("original_bbox"), before) if "original_bbox" in comps.columns else before
@@ -307,8 +317,10 @@ def carve_overlaps(comps: DataFrame, decisions: DataFrame, min_px: float = 100.0
         t = F.array(*[f(F.col("tight_bbox")[i].cast("double"), F.col(f"n{k}")) for i, (k, f) in enumerate(zip(corners, (F.greatest, F.greatest, F.least, F.least)))])
         whole = F.size("tight_bbox") == 4
         rest.append(F.when(is_cut & whole, F.when((t[2] > t[0]) & (t[3] > t[1]), t).otherwise(new)).otherwise(F.col("tight_bbox").cast("array<double>")).alias("tight_bbox"))
+    # outlines come from the box the winner had at that moment: its own cut when it is earlier, else the original
+    outline = F.when(is_cut, B.subtract_box(B.Box(*[F.col(k).cast("double") for k in corners]), B.box("w"))["vertices"])
     return comps.join(c, ["slide_id", "pos"], "left").select(
-        *rest, *[F.coalesce(f"n{k}", F.col(k).cast("double")).alias(k) for k in corners], "carved_by", "vertices", original.alias("original_bbox"))
+        *rest, *[F.coalesce(f"n{k}", F.col(k).cast("double")).alias(k) for k in corners], "carved_by", outline.alias("vertices"), original.alias("original_bbox"))
 
 
 # roll-ups ----------------------------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from slidemesh.operators.pairs import box_pairs
 from slidemesh.operators.scan import positions, top_n
 from slidemesh.plans import views as V
 from slidemesh.plans.registry import A_AREA, B_AREA, HIT, INTER, IOU, query, sql
+from slidemesh.runtime import cut
 
 SLIDE_W, SLIDE_H = 1000, 600
 K = ["slide_id"]
@@ -432,7 +433,7 @@ cuts AS (SELECT slide_id, unnest(arg_max(moved, k), recursive := true) FROM walk
 @query("carved_boxes", sql("""SELECT c.slide_id, c.pos, CAST(coalesce(m.x0, c.x0) AS DOUBLE) AS x0, CAST(coalesce(m.y0, c.y0) AS DOUBLE) AS y0, CAST(coalesce(m.x1, c.x1) AS DOUBLE) AS x1, CAST(coalesce(m.y1, c.y1) AS DOUBLE) AS y1, m.c AS carved_by
  FROM components c LEFT JOIN cuts m ON m.slide_id = c.slide_id AND m.p = c.pos""", "components", extra=_CARVE, recursive=True))
 def carved_boxes(spark, sf):
-    c = V.components(spark, sf).withColumn("filename", F.col("node_id"))
+    c = cut(V.components(spark, sf).select("slide_id", "pos", F.col("node_id").alias("filename"), "x0", "y0", "x1", "y1"))
     d = L.overlap_to_arbitrate(c).withColumns({"first_owns": F.col("overlap_px") % 3 == 0, "second_owns": F.col("overlap_px") % 3 == 1})
     return L.carve_overlaps(c, d).select("slide_id", "pos", "x0", "y0", "x1", "y1", "carved_by")
 
@@ -445,7 +446,7 @@ def carved_boxes(spark, sf):
  LEFT JOIN cuts m ON m.slide_id = c.slide_id AND m.p = c.pos""", "components", extra=_CARVE, recursive=True))
 def carved_manifest(spark, sf):
     """What a cut leaves in the manifest: the original box, and the tight box (5 px inside it) clamped to the cut."""
-    c = V.components(spark, sf).withColumn("filename", F.col("node_id")).withColumn("tight_bbox", F.array(F.col("x0") + 5, F.col("y0") + 5, F.col("x1") - 5, F.col("y1") - 5)).withColumns({"sw": F.lit(1000), "sh": F.lit(600)})
+    c = cut(V.components(spark, sf).select("slide_id", "pos", F.col("node_id").alias("filename"), "x0", "y0", "x1", "y1")).withColumn("tight_bbox", F.array(F.col("x0") + 5, F.col("y0") + 5, F.col("x1") - 5, F.col("y1") - 5)).withColumns({"sw": F.lit(1000), "sh": F.lit(600)})
     d = L.overlap_to_arbitrate(c).withColumns({"first_owns": F.col("overlap_px") % 3 == 0, "second_owns": F.col("overlap_px") % 3 == 1})
     out = L.carve_overlaps(c, d, slide_size=("sw", "sh"))
     line = lambda a: F.array_join(F.transform(a, lambda v: v.cast("long").cast("string")), ",")
