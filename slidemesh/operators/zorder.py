@@ -25,12 +25,59 @@ def precedence(ratios: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def z_order(comps: DataFrame, ratios: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds z_index: topological order that takes the largest ready component first (then position); by area where a cycle exists.
+    """Adds z_index: topological order that takes the largest ready component first (then position); by area where a cycle exists."""
+    return comps.drop("z_index").join(paint_order(comps, ratios, keys), [*keys, "pos"])
 
-    Only components with an edge need the heap walk. Independent walks merge exactly by the running maximum of the walk's
-    sort key, so that isolated components, and the connected parts of a slide with very many edges, are merged by one sort."""
+
+def paint_order(comps: DataFrame, ratios: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, z_index) of z_order. A slide of bounded size is one heap walk over its components and edges, sorted together."""
     order = comps.select(*keys, "pos", (-((F.bround("x1") - F.bround("x0")) * (F.bround("y1") - F.bround("y0")))).cast("double").alias("neg_area"))
-    edges = cut(precedence(ratios, keys))
+    lowest = F.lit(float("-inf"))
+    nodes = order.select(*keys, F.lit(False).alias("edge"), F.col("pos").cast("long").alias("a"), F.col("pos").cast("long").alias("b"), F.coalesce("neg_area", lowest).alias("neg_area"))
+    edges = precedence(ratios, keys).select(*keys, F.lit(True).alias("edge"), F.col("under").cast("long").alias("a"), F.col("over").cast("long").alias("b"), F.lit(0.0).alias("neg_area"))
+    rows = cut(nodes.unionByName(edges))
+    per = rows.groupBy(*keys).agg(F.count_if("edge").alias("_e"), F.count(F.lit(1)).alias("_n"))
+    large = per.where((F.col("_e") > HOT_EDGES) | (F.col("_n") > 10 * HOT_EDGES)).select(*keys)
+    if large.isEmpty():
+        return _walked(rows, keys)
+    large = cut(large)
+    hot = cut(rows.join(large, keys, "left_semi"))
+    parts = _merged(hot.where("NOT edge").select(*keys, F.col("a").alias("pos"), "neg_area"), hot.where("edge").select(*keys, F.col("a").alias("under"), F.col("b").alias("over")), keys)
+    return _walked(rows.join(large, keys, "left_anti"), keys).unionByName(parts)
+
+
+def _walked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def walk(edge: list, a: list, b: list, neg_area: list) -> list[tuple]:
+        n = len(edge) - sum(edge)       # components come first
+        area = dict(zip(a[:n], neg_area))
+        heap = [(area[v], v) for v in area]
+        if n == len(edge):
+            return [(v, k) for k, (_, v) in enumerate(sorted(heap))]
+        nxt: dict = {}
+        need = dict.fromkeys(area, 0)
+        for u, o in zip(a[n:], b[n:]):
+            if u in area and o in area:
+                nxt.setdefault(u, []).append(o)
+                need[o] += 1
+        heap, done = [h for h in heap if not need[h[1]]], []
+        heapq.heapify(heap)
+        while heap:
+            v = heapq.heappop(heap)[1]
+            done.append(v)
+            for o in nxt.get(v, ()):
+                need[o] -= 1
+                if not need[o]:
+                    heapq.heappush(heap, (area[o], o))
+        if len(done) < len(area):
+            done = sorted(area, key=lambda v: (area[v], v))
+        return [(v, k) for k, v in enumerate(done)]
+
+    return per_key(rows, keys, ["edge"], ["edge", "a", "b", "neg_area"], walk, "pos long, z_index long")
+
+
+def _merged(order: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Slides of any size. Only components with an edge need the heap walk. Independent walks merge exactly by the running maximum of the
+    walk's sort key, so that isolated components, and the connected parts of a slide with very many edges, are merged by one sort."""
     a = order.select(*keys, F.col("pos").alias("under"), F.col("neg_area").alias("ua"))
     b = order.select(*keys, F.col("pos").alias("over"), F.col("neg_area").alias("oa"))
     cold, hot = split_hot(edges.join(a, [*keys, "under"]).join(b, [*keys, "over"]), keys, HOT_EDGES)
@@ -69,8 +116,7 @@ def z_order(comps: DataFrame, ratios: DataFrame, keys: list[str]) -> DataFrame:
     cyc = F.coalesce("_cyc", F.lit(False))
     ranked = j.select(*keys, "pos", F.when(cyc, F.col("neg_area")).otherwise(F.coalesce("m_area", "neg_area")).alias("k1"),
                       F.when(cyc, F.col("pos")).otherwise(F.coalesce("m_pos", "pos")).alias("k2"), F.when(cyc, F.lit(0)).otherwise(F.coalesce("seq", F.lit(0))).alias("k3"))
-    z = positions(ranked, keys, ["k1", "k2", "k3", "pos"], "z_index").select(*keys, "pos", "z_index")
-    return comps.drop("z_index").join(z, [*keys, "pos"])
+    return positions(ranked, keys, ["k1", "k2", "k3", "pos"], "z_index").select(*keys, "pos", "z_index")
 
 
 def stack_text(boxes: DataFrame, keys: list[str], slide_h: float, threshold: float = 0.12, margin: float = 10.0) -> DataFrame:

@@ -538,11 +538,11 @@ def layered_union(spark, sf):
 @query("z_order")
 def z_order(spark, sf):
     """White ratios are stood in by the score: overlapping boxes, less white on top."""
-    from slidemesh.operators.zorder import z_order as run
-    c = V.components(spark, sf)
+    from slidemesh.operators.zorder import paint_order
+    c = cut(V.components(spark, sf).select("slide_id", "pos", "score", "x0", "y0", "x1", "y1"))
     p = box_pairs(c.select("slide_id", "pos", "score", "x0", "y0", "x1", "y1"), K, lambda a, b: a("pos") < b("pos"))
     r = p.select("slide_id", F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), (F.col("a.score") % 100 / 100).alias("ratio_i"), (F.col("b.score") % 100 / 100).alias("ratio_j"))
-    return run(c, r, K).select("slide_id", "pos", "z_index")
+    return paint_order(c, r, K)
 
 
 @query("stacked_text")
