@@ -72,6 +72,7 @@ def shift_runs(runs: DataFrame, dx: Column, dy: Column, region: B.Box) -> DataFr
     return moved.where((F.col("x1") > F.col("x0")) & (F.col("y") >= region.y0) & (F.col("y") < region.y1))
 
 
+FEW_RECTS = 12          # rectangles of a key up to which they are cut one by one, without a grid
 HOT_MASKS = 200         # masks of a key beyond which decisions go in rounds
 
 
@@ -88,7 +89,41 @@ def residual_pixels(masks: DataFrame, order: DataFrame, keys: list[str], min_pix
     if "y" in masks.columns:
         masks = masks.select(*keys, "mask_id", "x0", F.col("y").alias("y0"), "x1", (F.col("y") + 1).alias("y1"))
 
+    def few_rects(mask_ids: list, *sides: list) -> list[tuple]:
+        """walk for a handful of rectangles: what is left of a mask are its rectangles cut along those of the kept ones."""
+        masks: dict = {}
+        for m, *box in zip(mask_ids, *sides):
+            masks.setdefault(m, []).append(box)
+        taken, rows = [], []
+        for m, own in masks.items():
+            rest = solid = [b for b in own if b[0] < b[2] and b[1] < b[3]]
+            for tx0, ty0, tx1, ty1 in taken:
+                pieces = []
+                for x0, y0, x1, y1 in rest:
+                    if x0 >= tx1 or tx0 >= x1 or y0 >= ty1 or ty0 >= y1:
+                        pieces.append((x0, y0, x1, y1))
+                        continue
+                    if y0 < ty0:
+                        pieces.append((x0, y0, x1, ty0))
+                        y0 = ty0
+                    if ty1 < y1:
+                        pieces.append((x0, ty1, x1, y1))
+                        y1 = ty1
+                    if x0 < tx0:
+                        pieces.append((x0, y0, tx0, y1))
+                    if tx1 < x1:
+                        pieces.append((tx1, y0, x1, y1))
+                rest = pieces
+            left, total = (int(sum((x1 - x0) * (y1 - y0) for x0, y0, x1, y1 in r)) for r in (rest, own))
+            keep = left > 0 and left >= min_pixels and left / max(1.0, total) >= min_ratio
+            if keep:
+                taken += solid
+            rows.append((m, left, keep))
+        return rows
+
     def walk(mask_ids: list, x0: list, y0: list, x1: list, y1: list) -> list[tuple]:
+        if len(mask_ids) <= FEW_RECTS:
+            return few_rects(mask_ids, x0, y0, x1, y1)
         xs, ys = sorted({*x0, *x1}), sorted({*y0, *y1})
         at_x, at_y = {v: k for k, v in enumerate(xs)}, {v: k for k, v in enumerate(ys)}
         cell = np.outer(np.diff(ys), np.diff(xs))
