@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -15,6 +18,12 @@ def _image(data, h, w, c) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(int(h), int(w), int(c))
 
 
+def _images(data: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> Iterator[np.ndarray]:
+    """One image at a time, on the bytes where Arrow has them."""
+    for d, *shape in zip(data, h.to_pylist(), w.to_pylist(), c.to_pylist()):
+        yield _image(d.as_buffer(), *shape)
+
+
 def _crop(img: np.ndarray, box) -> np.ndarray:
     x0, y0, x1, y1 = (int(v) for v in box)
     return img[max(0, y0):max(0, y1), max(0, x0):max(0, x1)]
@@ -23,25 +32,26 @@ def _crop(img: np.ndarray, box) -> np.ndarray:
 _RUNS = ArrayType(StructType([StructField(n, IntegerType()) for n in ("y", "x0", "x1")]))
 
 
-@F.pandas_udf(_RUNS)
-def content_runs(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
+@F.arrow_udf(_RUNS)
+def content_runs(data: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     """Rows of pixels whose largest channel distance to the median of a 4 px border exceeds 12."""
-    out = []
-    for d, hh, ww, cc in zip(data, h, w, c):
-        img = _image(d, hh, ww, cc)[..., :3].astype(np.int16)
+    runs, ends = [], [0]
+    for img in _images(data, h, w, c):
+        img = img[..., :3].astype(np.int16)
         edge = np.concatenate([img[:4].reshape(-1, 3), img[-4:].reshape(-1, 3), img[:, :4].reshape(-1, 3), img[:, -4:].reshape(-1, 3)])
         mask = np.abs(img - np.median(edge, axis=0)).max(axis=2) > 12
         step = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         ys, starts = np.nonzero(step == 1)
-        _, ends = np.nonzero(step == -1)
-        out.append([{"y": int(y), "x0": int(a), "x1": int(b)} for y, a, b in zip(ys, starts, ends)])
-    return pd.Series(out)
+        runs.append(np.stack([ys, starts, np.nonzero(step == -1)[1]]).astype(np.int32))
+        ends.append(ends[-1] + len(ys))
+    flat = np.concatenate(runs, axis=1) if runs else np.zeros((3, 0), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in flat], ["y", "x0", "x1"]))
 
 
 def _box_measure(fn):
-    @F.pandas_udf(DoubleType())
-    def run(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series, box: pd.Series) -> pd.Series:
-        return pd.Series([fn(_image(d, hh, ww, cc), b) for d, hh, ww, cc, b in zip(data, h, w, c, box)], dtype="float64")
+    @F.arrow_udf(DoubleType())
+    def run(data: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, box: pa.Array) -> pa.Array:
+        return pa.array([fn(img, b.as_py()) for img, b in zip(_images(data, h, w, c), box)], pa.float64(), from_pandas=True)
     return run
 
 
@@ -70,20 +80,22 @@ ink_fraction = _box_measure(_ink)       # share of grey < 230 pixels inside a 6
 channel_spread = _box_measure(_spread)  # largest channel deviation; NULL when nothing can be read
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def mean_rgb(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series, box: pd.Series, cells: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(IntegerType()))
+def mean_rgb(data: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, box: pa.Array, cells: pa.Array) -> pa.Array:
     """Integer mean colour of a box reduced to cells x cells block means (area resampling)."""
     out = []
-    for d, hh, ww, cc, b, n in zip(data, h, w, c, box, cells):
-        img = _image(d, hh, ww, cc)
+    for img, b, n in zip(_images(data, h, w, c), box, cells.to_pylist()):
+        b, (hh, ww) = b.as_py(), img.shape[:2]
         x0 = max(0, min(int(b[0]), int(ww) - 1)); x1 = max(x0 + 1, min(int(b[2]), int(ww)))  # noqa: E702
         y0 = max(0, min(int(b[1]), int(hh) - 1)); y1 = max(y0 + 1, min(int(b[3]), int(hh)))  # noqa: E702
         p = img[y0:y1, x0:x1, :3].astype(float)
-        ys, xs = np.linspace(0, p.shape[0], n + 1), np.linspace(0, p.shape[1], n + 1)
-        means = [p[int(ys[i]):max(int(ys[i]) + 1, int(ys[i + 1])), int(xs[j]):max(int(xs[j]) + 1, int(xs[j + 1]))].reshape(-1, 3).mean(axis=0).round() for i in range(n) for j in range(n)]
-        bgr = np.sum(means, axis=0) // (n * n)
+        sums = np.pad(p.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0), (0, 0)))    # whole numbers, so that differences are exact
+        (ya, yb), (xa, xb) = (((e := np.linspace(0, size, n + 1).astype(int))[:-1], np.maximum(e[:-1] + 1, e[1:])) for size in p.shape[:2])
+        blocks = sums[yb][:, xb] - sums[ya][:, xb] - sums[yb][:, xa] + sums[ya][:, xa]
+        means = (blocks / ((yb - ya)[:, None] * (xb - xa))[..., None]).round()
+        bgr = means.sum(axis=(0, 1)) // (n * n)
         out.append([int(bgr[2]), int(bgr[1]), int(bgr[0])])
-    return pd.Series(out)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
