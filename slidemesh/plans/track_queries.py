@@ -11,6 +11,7 @@ from slidemesh.plans import average_precision as AP
 from slidemesh.plans import tracking_metrics as TM
 from slidemesh.plans import views as V
 from slidemesh.plans.registry import query, sql
+from slidemesh.runtime import cut
 
 
 def _track(spark, sf):
@@ -53,11 +54,11 @@ _PAIR = """p AS (SELECT a.video_id, a.frame, a.tid AS gt_id, b.tid AS tk_id, (le
 
 
 def _gt_trk(spark, sf):
-    d = _dense(spark, sf)
+    d = cut(_dense(spark, sf))
     g = d.select("video_id", "frame", F.col("tid").alias("gt_id"), "x0", "y0", "x1", "y1")
     s = F.col("frame") % 4 * 5
     t = d.where("matched").select("video_id", "frame", ((F.col("tid") * 3) % 7).alias("tk_id"), (F.col("x0") + s).alias("x0"), (F.col("y0") + 3).alias("y0"), (F.col("x1") + s).alias("x1"), (F.col("y1") + 3).alias("y1"))
-    return g, t.dropDuplicates(["video_id", "frame", "tk_id"])
+    return g, cut(t.dropDuplicates(["video_id", "frame", "tk_id"]))
 
 
 @query("frame_similarity", sql("SELECT video_id, frame, gt_id, tk_id, round(inter / CAST(aa + ba - inter AS DOUBLE), 9) AS sim FROM p", "track_frames", extra=_DENSE + ",\n" + _PAIR))

@@ -11,6 +11,7 @@ from slidemesh.operators.suppress import frame_nms, track_nms
 from slidemesh.plans import average_precision as AP
 from slidemesh.plans import concept_f1 as CF
 from slidemesh.plans import tracking_metrics as TM
+from slidemesh.runtime import cut
 
 PAIR = ["video_id", "category_id"]
 
@@ -31,8 +32,9 @@ def class_agnostic_hota(gt: DataFrame, dt: DataFrame, min_score: float = 0.5, nm
     gid = dense_ids(gt.withColumn("_id", F.struct("category_id", "gt_id")), ["video_id"], "_id", "_k").drop("gt_id").withColumnRenamed("_k", "gt_id")
     did = dense_ids(d.withColumn("_id", F.struct("category_id", "tk_id")), ["video_id"], "_id", "_k").drop("tk_id").withColumnRenamed("_k", "tk_id")
     t = did.select("video_id", F.col("tk_id").alias("track_id"), F.col("frame").alias("frame_idx"), "_s", "x0", "y0", "x1", "y1")
+    t = cut(t)
     kept = track_nms(t, t.groupBy("video_id", "track_id").agg(F.max("_s").alias("score")), nms).where("x0 IS NOT NULL")
-    return TM.hota_sums(gid, kept.select("video_id", F.col("track_id").alias("tk_id"), F.col("frame_idx").alias("frame"), "x0", "y0", "x1", "y1"), ["video_id"])
+    return TM.hota_sums(cut(gid.select("video_id", "gt_id", "frame", "x0", "y0", "x1", "y1")), cut(kept).select("video_id", F.col("track_id").alias("tk_id"), F.col("frame_idx").alias("frame"), "x0", "y0", "x1", "y1"), ["video_id"])
 
 
 def teta_input(dt: DataFrame, min_score: float, strategy: str = "track", threshold: float = 0.5) -> DataFrame:
