@@ -265,7 +265,7 @@ class Encoder:
         self.plain = pattern == PATTERN
 
     def forget(self) -> None:
-        """Free what the texts of a task have filled: between tasks a worker keeps only what the vocabulary bounds."""
+        """Free what texts have filled; what is left is bounded by the vocabulary."""
         self.words.forget()
         self.cuts.forget()
         self.transducer.restart()
@@ -347,7 +347,7 @@ def _rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]
             yield from zip(*(c.to_pylist() for c in b.slice(at, step).columns))
 
 
-def _pass(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, back: bool) -> DataFrame:
+def _pass(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, back: bool, keep: bool) -> DataFrame:
     ship(docs.sparkSession)
     shared = _share(docs.sparkSession, ranks_path)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -368,7 +368,8 @@ def _pass(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
         try:
             yield from _batches(rows(), names, kinds, lambda r: 2 * len(r[2]))
         finally:
-            enc.forget()
+            if not keep:
+                enc.forget()
             gc.unfreeze()
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded string" * back)
@@ -381,17 +382,18 @@ def decode(bytes_of: dict[int, bytes], ids: bytes, step: int = 4096) -> str:
     return "".join(parts) + out.feed((), True)
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """(id, n_tokens, ids) of every row, ids as little-endian unsigned 32-bit integers; whole texts, no special tokens.
 
     A null text counts as empty and has no ids. Rows are independent: ids may repeat or be null, other columns are not looked at, an empty
-    table gives an empty result."""
-    return _pass(docs, ranks_path, pattern, id_col, text_col, False)
+    table gives an empty result. With `keep` the bounded tables of a Python worker serve its next tasks too, which saves filling them again;
+    without, they are freed after each task, for jobs whose other steps need the memory."""
+    return _pass(docs, ranks_path, pattern, id_col, text_col, False, keep)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """`encoded` and, from the ids, `decoded` text in one pass over the table."""
-    return _pass(docs, ranks_path, pattern, id_col, text_col, True)
+    return _pass(docs, ranks_path, pattern, id_col, text_col, True, keep)
 
 
 def decoded(tokens: DataFrame, ranks_path: str) -> DataFrame:

@@ -333,3 +333,19 @@ def test_raking(spark, docs, none):
     priced = mixing.rates(spark.createDataFrame(got), 0.3).collect()
     total = sum(r.tokens for r in priced)
     assert abs(sum(r.tokens * r.rate for r in priced) / total - 0.3) < 1e-3 and all(0 < r.rate <= 1 for r in priced)
+
+
+def test_tables_serve_the_next_task(spark):
+    """A worker that has encoded texts still knows their words when the next task comes, unless it is asked not to keep them."""
+    path, pattern = bpe.vocabulary()
+    docs = spark.createDataFrame([(k, f"keptword{k} again") for k in range(40)], "doc_id long, text string").repartition(16)
+
+    def known(batches):
+        for b in batches:
+            yield b.assign(id=max([0, *(len(e.words) for e in bpe._MADE.values())]))
+
+    def most():
+        return spark.range(16, numPartitions=16).mapInPandas(known, "id long").agg(F.max("id")).first()[0]
+
+    assert bpe.encoded(docs, path, pattern).count() == 40
+    assert bpe.encoded(docs, path, pattern).selectExpr("sum(n_tokens)").first()[0] > 80 and most() > 0
