@@ -53,19 +53,18 @@ def empty_objects(objects: DataFrame) -> DataFrame:
 
 def apply_filter(queries: DataFrame, query_objects: DataFrame, objects: DataFrame, drop_queries: DataFrame | None = None,
                  drop_objects: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Remove, then renumber what is left from 0 per datapoint (queries) and per image (objects); references follow."""
+    """Remove, then renumber what is left from 0 per datapoint (queries) and per image (objects); references follow: those of
+    removed rows find no partner when they are renumbered."""
     if drop_queries is not None:
         queries = queries.join(drop_queries, Q, "left_anti")
-        query_objects = query_objects.join(drop_queries, Q, "left_anti")
     if drop_objects is not None:
         objects = objects.join(drop_objects, O, "left_anti")
-        query_objects = query_objects.join(drop_objects, O, "left_anti")
     q = positions(queries, ["datapoint"], ["query_id"], "_q")
     o = positions(objects, ["datapoint", "image_id"], ["object_id"], "_o")
     links = (query_objects.join(q.select(*Q, "_q"), Q).join(o.select(*O, "_o"), O)
              .select("datapoint", F.col("_q").alias("query_id"), "image_id", F.col("_o").alias("object_id")))
-    n = links.groupBy(*Q).agg(F.count(F.lit(1)).alias("n_out"))
-    qs = q.drop("query_id", "n_out").withColumnRenamed("_q", "query_id").join(n, Q, "left").fillna(0, ["n_out"])
+    n = query_objects.join(objects.select(*O), O).groupBy(*Q).agg(F.count(F.lit(1)).alias("n_out"))     # no link needs its new numbers for that
+    qs = q.drop("n_out").join(n, Q, "left").drop("query_id").withColumnRenamed("_q", "query_id").fillna(0, ["n_out"])
     return qs, links, o.drop("object_id").withColumnRenamed("_o", "object_id")
 
 

@@ -97,3 +97,15 @@ def test_raster_measures_stay_in_arrow(spark):
     assert r.m == [int(v) for v in (np.sum(means, axis=0) // 64)[::-1]] and r.white == 0.0 and all(x.x0 < x.x1 for x in r.r)
     old = F.pandas_udf(pixels.psnr, "double", 200).evalType       # scalar pandas functions hold a whole batch as objects
     assert all(f.evalType != old for f in (pixels.content_runs, pixels.mean_rgb, pixels.white_ratio))
+
+
+def test_counts_of_a_filtered_set_need_no_numbering_of_objects(spark):
+    """Links to dropped rows do not count, and the counts join no renumbered table: one window (the queries') is in their plan."""
+    from slidemesh.operators import training as T
+    q = spark.createDataFrame([(1, k, f"q{k}", 3) for k in range(4)], "datapoint long, query_id long, query_text string, n_out long")
+    o = spark.createDataFrame([(1, 0, k) for k in range(5)], "datapoint long, image_id long, object_id long")
+    links = spark.createDataFrame([(1, a, 0, b) for a in range(4) for b in range(5) if (a + b) % 2 == 0], "datapoint long, query_id long, image_id long, object_id long")
+    qs, new_links, objects = T.apply_filter(q, links, o, q.where("query_id = 1").select(*T.Q), o.where("object_id IN (0, 3)").select(*T.O))
+    assert [tuple(r) for r in qs.orderBy("query_id").select("query_id", "query_text", "n_out").collect()] == [(0, "q0", 2), (1, "q2", 2), (2, "q3", 1)]
+    assert sorted((r.query_id, r.object_id) for r in new_links.collect()) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 0)] and objects.count() == 3
+    assert _plan(qs).count("Window [") + _plan(qs).count("Window(") == 1
