@@ -26,6 +26,7 @@ from slidemesh.llm.common import query, ship, table
 MAX_STATES = 150_000    # beyond them steps are taken without being kept, results do not change
 MAX_PAIRS = 300_000
 MAX_WORDS, MAX_CUTS = 200_000, 60_000    # per generation of a table
+SMALL = 4               # small tables: bounds are divided by it, that of the words by two
 # Letters and numbers that Unicode added after version 16, hexadecimal ranges.
 ADDED = (
     "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 "
@@ -60,7 +61,8 @@ _MASK = (1 << _LAST) - 1
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], small: bool = False):
+        self.most_states, self.most_pairs = (x // (SMALL if small else 1) for x in (MAX_STATES, MAX_PAIRS))
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
@@ -80,10 +82,6 @@ class Transducer:
                 node = nxt
             self.token_at[node] = rank
         self.spines: dict[tuple[int, int], tuple] = {}
-        self.restart()
-
-    def restart(self) -> None:
-        """Without any state determinised so far; trie and spines, whose size the vocabulary bounds, stay."""
         self.follows: dict[int, bool] = {}
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
@@ -125,7 +123,7 @@ class Transducer:
                         break
                 if not known:
                     break
-            if len(self.follows) >= MAX_PAIRS:
+            if len(self.follows) >= self.most_pairs:
                 self.follows.clear()
             self.follows[key] = known
         return known
@@ -163,7 +161,7 @@ class Transducer:
                 got = steps.get(k << 8 | byte)
                 if got is None:
                     new, closed = self.advance(self.states[k], byte)
-                    if new in self.number or len(self.states) < MAX_STATES:
+                    if new in self.number or len(self.states) < self.most_states:
                         got = steps[k << 8 | byte] = self._state(new) << _LAST | closed
                     else:
                         running = new
@@ -208,7 +206,7 @@ class Transducer:
             got = steps.get(k << 8 | byte)
             if got is None:
                 new, closed = self.advance(self.states[k], byte)
-                if len(self.states) >= MAX_STATES and new not in self.number:
+                if len(self.states) >= self.most_states and new not in self.number:
                     ends.append(closed)
                     at = len(ends)
                     break
@@ -245,31 +243,21 @@ class Generations(dict):
             self[key] = value
         return value
 
-    def forget(self) -> None:
-        self.old = {}
-        self.clear()
-
 
 class Encoder:
     """Splits text by the pattern and encodes each match; ids are kept as little-endian 32-bit integers.
 
     A space between two characters that are not white space always begins a match, so text is cut there first and the ids of a cut (with its
     space) are looked up whole. A cut of letters, with or without a comma or the like behind, needs no pattern. A text with other white space
-    around a space is split by the pattern as it stands. Tables are bounded."""
+    around a space is split by the pattern as it stands. Tables are bounded, with `small` to about a third of the memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, small: bool = False):
+        self.transducer = Transducer(ranks, small)
         self.pattern = regex.compile(pattern)
-        self.words = Generations(lambda p: np.array(self.transducer.piece(p.encode("utf-8")), "<u4").tobytes(), MAX_WORDS)
-        self.cuts = Generations(self._cut, MAX_CUTS)
+        self.words = Generations(lambda p: np.array(self.transducer.piece(p.encode("utf-8")), "<u4").tobytes(), MAX_WORDS // (2 if small else 1))
+        self.cuts = Generations(self._cut, MAX_CUTS // (SMALL if small else 1))
         self.plain = pattern == PATTERN
 
-    def forget(self) -> None:
-        """Free what texts have filled; what is left is bounded by the vocabulary."""
-        self.words.forget()
-        self.cuts.forget()
-        self.transducer.restart()
-
     def _matches(self, text: str) -> Iterator[str]:
         """Matches of the pattern, with letters and numbers as of Unicode 16: what the pattern module knows beyond that counts as other."""
         if text.isascii() or not NEWER.search(text):
@@ -354,11 +342,11 @@ def _pass(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
     names = ["id", "n_tokens", "ids"] + ["decoded"] * back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared, pattern)
-        gc.freeze()         # the tables hold no cycles: keep the collector from walking them again and again
         first = next(batches, None)
         if first is None:
             return
+        enc = _encoder(shared, pattern) if keep else Encoder(read_ranks(shared.value), pattern, True)
+        gc.freeze()         # the tables hold no cycles: keep the collector from walking them again and again
         kinds = [first.schema.field(0).type, pa.int64(), pa.binary(), pa.string()][:len(names)]
 
         def rows() -> Iterator[tuple]:
@@ -368,9 +356,11 @@ def _pass(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
         try:
             yield from _batches(rows(), names, kinds, lambda r: 2 * len(r[2]))
         finally:
-            if not keep:
-                enc.forget()
             gc.unfreeze()
+            if not keep:    # as a whole: a few objects made between those of the tables would hold most of their memory
+                del enc, first
+                gc.collect()
+                pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded string" * back)
 
@@ -387,7 +377,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
 
     A null text counts as empty and has no ids. Rows are independent: ids may repeat or be null, other columns are not looked at, an empty
     table gives an empty result. With `keep` the bounded tables of a Python worker serve its next tasks too, which saves filling them again;
-    without, they are freed after each task, for jobs whose other steps need the memory."""
+    without, a task has an encoder of its own with small tables, and leaves nothing of it behind, for jobs whose steps share a worker's memory."""
     return _pass(docs, ranks_path, pattern, id_col, text_col, False, keep)
 
 

@@ -27,6 +27,13 @@ MOST = 4_000_000        # fingerprints of a bucket
 PAIRS = 250_000         # pairs looked at in one step
 MEMBERS = 256           # texts of one row where the members of two fingerprints are compared
 CHUNK = 65_536          # shingles per step, bounds memory for very long texts
+ROWS = 256              # texts per step: no more stand beside their Arrow batch at once, as objects, shingles or results
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, ROWS at a time."""
+    for b in batches:
+        yield from (b.slice(at, ROWS) for at in range(0, b.num_rows, ROWS))
 
 
 def fingerprint(data: bytes, width: int = 4, seed: int = SEED) -> int:
@@ -55,7 +62,7 @@ def fingerprint(data: bytes, width: int = 4, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of every row; a null text counts as empty. Only the two columns are read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _steps(batches):
             fps = np.fromiter((fingerprint(t or b"", width) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -342,7 +349,7 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _steps(batches):
             x = np.array([sketch(t, width) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).reshape(b.num_rows, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(WORDS))], ["id", "node", *words])
 
@@ -361,7 +368,7 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
     unequal = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _steps(batches):
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 

@@ -349,3 +349,24 @@ def test_tables_serve_the_next_task(spark):
 
     assert bpe.encoded(docs, path, pattern).count() == 40
     assert bpe.encoded(docs, path, pattern).selectExpr("sum(n_tokens)").first()[0] > 80 and most() > 0
+
+
+def test_an_encoder_that_is_not_kept_leaves_nothing(spark):
+    """Its tables are smaller, its ids the same, and after the task its worker holds none of it, not even the vocabulary."""
+    path, pattern = bpe.vocabulary()
+    pattern += "|never"
+    with open(path, "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    texts = [f"leftword{k} über {'漢字' * (k % 5)} again, and 's {k * k}" for k in range(600)]
+    whole, small = bpe.Encoder(ranks, pattern), bpe.Encoder(ranks, pattern, True)
+    assert small.words.most < whole.words.most and small.transducer.most_states < whole.transducer.most_states
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    got = {r.id: (r.ids, r.decoded) for r in bpe.round_trip(docs, path, pattern, keep=False).collect()}
+    assert got == {k: (whole.encode(t), t) for k, t in enumerate(texts)} == {k: (small.encode(t), t) for k, t in enumerate(texts)}
+
+    def left(batches):
+        import gc
+        for b in batches:
+            yield b.assign(id=sum(isinstance(x, bpe.Encoder) and x.pattern.pattern == pattern for x in gc.get_objects()))
+
+    assert spark.range(16, numPartitions=16).mapInPandas(left, "id long").agg(F.max("id")).first()[0] == 0
