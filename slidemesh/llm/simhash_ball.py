@@ -76,6 +76,9 @@ class Ball:
         self.bits, self.size = bits, 1 << bits
         rng = np.random.default_rng(20_011)
         self.columns = rng.integers(0, 1 << 30, width, dtype=np.int64) >> (30 - bits)     # fewer bits are a prefix of more
+        self.bytes = np.zeros((-(-width // 8), 256), np.int64)                            # buckets of every value of every byte
+        for i, c in enumerate(self.columns):
+            self.bytes[i // 8] ^= (np.arange(256) >> i % 8 & 1) * c
         one = np.uint64(1) << np.arange(width, dtype=np.uint64)
         layers, sums = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)]
         top = [np.full(1, -1)]
@@ -93,10 +96,16 @@ class Ball:
 
     def home(self, fps: np.ndarray) -> np.ndarray:
         out = np.zeros(len(fps), np.int64)
-        for i, c in enumerate(self.columns):
-            out ^= np.where((fps >> np.uint64(i)) & np.uint64(1), c, 0)
+        for i, of in enumerate(self.bytes):
+            out ^= of[(fps >> np.uint64(8 * i) & np.uint64(255)).astype(np.uint8)]
         return out
 
+    def sorted(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprints, their buckets) in order of the buckets."""
+        home = self.home(fps)
+        order = np.argsort(home, kind="stable")
+        return fps[order], home[order]
+
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
@@ -120,12 +129,17 @@ def _forest(pairs: np.ndarray, positions: bool = False) -> np.ndarray:
     return np.array(kept, np.int64) if positions else pairs[kept]
 
 
-def _met(ball: Ball, bucket: int, fps: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+def _met(ball: Ball, bucket: int, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.uint64]:
     """The variants of the distinct `fps` that fall into this bucket: hash of the variant in the high bits, its owner in the `low` low ones,
-    sorted, so that equal variants are neighbours."""
-    slot = ball.home(fps) ^ bucket
+    sorted, so that equal variants are neighbours. Fingerprints are in order of their buckets `home`: those that reach this bucket by
+    some flips are looked up, and the others cost nothing."""
+    want = ball.used ^ bucket
+    first = np.searchsorted(home, want)
+    n = np.searchsorted(home, want, "right") - first
+    own = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+    slot = np.repeat(ball.used, n)
     reps = ball.count[slot]
-    idx = np.repeat(np.arange(len(fps), dtype=np.int32), reps)
+    idx = np.repeat(own.astype(np.int32), reps)
     flip = np.arange(len(idx)) + np.repeat(ball.start[slot] - np.cumsum(reps) + reps, reps)
     variants = fps[idx] ^ ball.flips[flip]
     del flip
@@ -135,21 +149,21 @@ def _met(ball: Ball, bucket: int, fps: np.ndarray) -> tuple[np.ndarray, np.uint6
     return keys, low
 
 
-def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, radius: int) -> np.ndarray:
+def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     """Links (k, 2) between distinct fingerprints that share a variant in this bucket, each verified at `radius` bits or fewer.
 
     All fingerprints that share a variant are within the radius of each other; links that join nothing new are left out."""
-    fps = np.unique(fps)
-    keys, low = _met(ball, bucket, fps)
+    keys, low = _met(ball, bucket, fps, home)
     same = np.flatnonzero(keys[1:] >> low == keys[:-1] >> low)
     if not len(same):
         return np.empty((0, 2), np.uint64)
-    owner = (keys & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    mask = (np.uint64(1) << low) - np.uint64(1)
     head = same + 1
-    pairs = np.stack([owner[same], owner[head]], 1)
+    pairs = np.stack([keys[same] & mask, keys[head] & mask], 1).astype(np.int64)
     near = _popcount(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
     extra = []
     if not near.all():  # unequal variants met under one hash: compare within those runs in full
+        owner = (keys & mask).astype(np.int64)
         run = np.cumsum(np.concatenate(([1], (keys[1:] >> low != keys[:-1] >> low).astype(np.int64))))
         for r in np.unique(run[head[~near]]):
             own = np.unique(owner[np.searchsorted(run, r):np.searchsorted(run, r, "right")])
@@ -175,7 +189,8 @@ def _middle_pairs(fps: np.ndarray, keys: np.ndarray, low: np.uint64, radius: int
         n = later[at:to]
         i = np.repeat(np.arange(at, to), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        a, b = fps[np.minimum(owner[i], owner[j])], fps[np.maximum(owner[i], owner[j])]
+        a, b = fps[owner[i]], fps[owner[j]]
+        a, b = np.minimum(a, b), np.maximum(a, b)      # the middle lies on the way from the smaller one, in whatever bucket they meet
         rest = a ^ b
         bits = _popcount(rest)
         ok = (bits <= radius) & (bits > 0)
@@ -191,27 +206,33 @@ def _middle_pairs(fps: np.ndarray, keys: np.ndarray, low: np.uint64, radius: int
         at = to
 
 
-def _slices(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, target: int) -> Iterator[tuple[Ball, int]]:
-    """A bucket's variants in slices of about `target`: a slice is a bucket of a finer hash."""
+def _slices(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, target: int) -> Iterator[tuple[Ball, int, np.ndarray, np.ndarray]]:
+    """A bucket's variants in slices of about `target`: a slice is a bucket of a finer hash. Fingerprints are hashed and sorted once for all."""
     ball = _ball(bits, half, width)
     total = int(ball.count[ball.home(fps) ^ bucket].sum())
     more = max(0, int(np.ceil(np.log2(max(1, total / target)))))
+    ball = _ball(bits + more, half, width)
+    fps, home = ball.sorted(fps)
     for k in range(1 << more):
-        yield _ball(bits + more, half, width), bucket << more | k
+        yield ball, bucket << more | k, fps, home
 
 
 def sliced_links(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, radius: int, target: int) -> np.ndarray:
     """Links of a bucket but those that join nothing new."""
-    found = [bucket_links(ball, part, fps, radius) for ball, part in _slices(bits, half, width, bucket, fps, target)]
+    found = [bucket_links(ball, part, own, home, radius) for ball, part, own, home in _slices(bits, half, width, bucket, fps, target)]
     pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
     return pairs[_forest(np.searchsorted(np.unique(pairs), pairs), True)] if len(pairs) else pairs
 
 
 def every_link(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, radius: int, target: int) -> Iterator[np.ndarray]:
     """All pairs whose middle variant falls into the bucket, once each, step by step: nothing but one slice and one step is held."""
-    for ball, part in _slices(bits, half, width, bucket, fps, target):
-        keys, low = _met(ball, part, fps)
-        yield from _middle_pairs(fps, np.unique(keys), low, radius)
+    for ball, part, own, home in _slices(bits, half, width, bucket, fps, target):
+        keys, low = _met(ball, part, own, home)
+        # only variants that two fingerprints share make pairs; a key twice is one fingerprint under two variants of one hash
+        met = keys[1:] >> low == keys[:-1] >> low
+        if met.any():
+            keys = keys[np.concatenate((met, [False])) | np.concatenate(([False], met))]
+            yield from _middle_pairs(own, keys[np.concatenate(([True], keys[1:] != keys[:-1]))], low, radius)
 
 
 def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, width: int = 64, forest: bool = True, least_bits: int = 7) -> DataFrame:

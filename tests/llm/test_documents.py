@@ -176,6 +176,19 @@ def test_pairs_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_slices_do_not_hash_all_fingerprints_again(monkeypatch):
+    """Slices grow with the fingerprints, so work per slice must not: each bucket hashes its fingerprints at most twice, for the same links."""
+    fps = np.unique(np.random.default_rng(13).integers(0, 1 << 24, 3_000, dtype=np.uint64))
+    hashed, own = [], simhash_ball.Ball.home
+    want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1:][np.bitwise_count(fps[i + 1:] ^ a) <= 4]}
+    monkeypatch.setattr(simhash_ball.Ball, "home", lambda self, x: hashed.append(len(x)) or own(self, x))
+    got = [tuple(map(int, p)) for k in range(4) for x in simhash_ball.every_link(2, 2, 24, k, fps, 4, 2_000) for p in x]
+    assert len(got) == len(want) and set(got) == want
+    assert sum(hashed) <= 2 * 4 * len(fps)
+    forest = np.concatenate([simhash_ball.sliced_links(2, 2, 24, k, fps, 4, 2_000) for k in range(4)])
+    assert {(int(a), int(b)) for a, b in forest} <= want and sum(hashed) <= 4 * 4 * len(fps)
+
+
 def test_near_deduplicated(spark, docs, none):
     out = simhash_ball.near_deduplicated(docs)
     assert out.columns == docs.columns
