@@ -25,7 +25,6 @@ SEED = 42
 TARGET = 2_000_000      # variants in memory at once
 MOST = 4_000_000        # fingerprints of a bucket
 PAIRS = 250_000         # pairs looked at in one step
-MEMBERS = 256           # texts of one row where the members of two fingerprints are compared
 CHUNK = 65_536          # shingles per step, bounds memory for very long texts
 ROWS = 256              # texts per step: no more stand beside their Arrow batch at once, as objects, shingles or results
 
@@ -175,6 +174,18 @@ def bucket_links(ball: Ball, bucket: int, fps: np.ndarray, home: np.ndarray, rad
     return fps[pairs[pairs[:, 0] != pairs[:, 1]]]
 
 
+def _middle(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unequal bits of each pair a <= b, and the variant halfway along them."""
+    rest = a ^ b
+    bits = _popcount(rest)
+    middle = a.copy()
+    for k in range((radius + 1) // 2):
+        step = np.where(2 * k < bits, rest & (~rest + np.uint64(1)), np.uint64(0))
+        middle ^= step
+        rest ^= step
+    return bits, middle
+
+
 def _middle_pairs(fps: np.ndarray, keys: np.ndarray, low: np.uint64, radius: int) -> Iterator[np.ndarray]:
     """All pairs (k, 2) of fingerprints of one run of `keys` whose middle variant, halfway along the unequal bits, is the run's own.
 
@@ -191,16 +202,8 @@ def _middle_pairs(fps: np.ndarray, keys: np.ndarray, low: np.uint64, radius: int
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         a, b = fps[owner[i]], fps[owner[j]]
         a, b = np.minimum(a, b), np.maximum(a, b)      # the middle lies on the way from the smaller one, in whatever bucket they meet
-        rest = a ^ b
-        bits = _popcount(rest)
-        ok = (bits <= radius) & (bits > 0)
-        i, a, b, rest, bits = i[ok], a[ok], b[ok], rest[ok], bits[ok]
-        middle = a.copy()
-        for k in range((radius + 1) // 2):
-            step = np.where(2 * k < bits, rest & (~rest + np.uint64(1)), np.uint64(0))
-            middle ^= step
-            rest ^= step
-        own = middle * np.uint64(0x9E3779B97F4A7C15) >> low == keys[i] >> low
+        bits, middle = _middle(a, b, radius)
+        own = (bits <= radius) & (bits > 0) & (middle * np.uint64(0x9E3779B97F4A7C15) >> low == keys[i] >> low)
         if own.any():
             yield np.stack([a[own], b[own]], 1)
         at = to
@@ -235,34 +238,103 @@ def every_link(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, r
             yield from _middle_pairs(own, keys[np.concatenate(([True], keys[1:] != keys[:-1]))], low, radius)
 
 
-def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, width: int = 64, forest: bool = True, least_bits: int = 7) -> DataFrame:
-    """Links (part, a, b) between the distinct fingerprints `fps` (part int, fp long of `width` bits) at `radius` or fewer bits within a part.
+def nearest_links(bits: int, half: int, width: int, bucket: int, fps: np.ndarray, radius: int, target: int) -> Iterator[np.ndarray]:
+    """Of the pairs of `every_link` at least that of each fingerprint and the smallest one within the radius: only the smallest
+    of the fingerprints that share a variant is paired with the others, so that work and pairs do not grow with their square.
 
-    With `forest` their components are those of all such pairs; without it they are all such pairs. `n` is the number of fingerprints of a
-    part and decides the number of buckets only: enough for parallel work, and more where a bucket would hold over MOST fingerprints.
-    `target` bounds the variants in memory at once."""
-    half = (radius + 1) // 2
+    In the run of the middle of a pair the smallest fingerprint is a neighbour of both, hence the smallest neighbour itself."""
+    for ball, part, own, home in _slices(bits, half, width, bucket, fps, target):
+        keys, low = _met(ball, part, own, home)
+        met = keys[1:] >> low == keys[:-1] >> low
+        if not met.any():
+            continue
+        keys = keys[np.concatenate((met, [False])) | np.concatenate(([False], met))]
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] >> low != keys[:-1] >> low)))
+        n = np.diff(np.concatenate((begins, [len(keys)])))
+        b = own[(keys & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)]
+        a = np.repeat(np.minimum.reduceat(b, begins), n)
+        unequal, middle = _middle(a, b, radius)
+        ok = (unequal > 0) & (unequal <= radius) & (middle * np.uint64(0x9E3779B97F4A7C15) >> low == keys >> low)
+        if ok.any():
+            yield np.unique(np.stack([a[ok], b[ok]], 1), axis=0)
+        far = np.repeat(np.logical_or.reduceat(unequal > radius, begins), n)
+        if far.any():   # unequal variants met under one hash: all pairs of those runs
+            keys = keys[far]
+            yield from _middle_pairs(own, keys[np.concatenate(([True], keys[1:] != keys[:-1]))], low, radius)
+
+
+def member_pairs(bits: int, half: int, width: int, bucket: int, items: np.ndarray, radius: int, target: int, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs (k, 2) of nodes of different roots whose fingerprints are equal or have their middle in this bucket, but those that cannot reach
+    the similarity. `items`: rows (fp, node, root, size and words of parities).
+
+    Words that differ in a bit have an odd number of shingles there in one set alone, so unequal bits are a lower bound of the shingles
+    that the sets do not share, as is the difference of their sizes. Members are compared in steps of about PAIRS."""
+    items = items[np.argsort(items[:, 0], kind="stable")]
+    fps, first, n = np.unique(items[:, 0], return_index=True, return_counts=True)
+    low, high = np.minimum.reduceat(items[:, 2], first), np.maximum.reduceat(items[:, 2], first)
+    size = items[:, 3].astype(np.int64)
+
+    def compared(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+        """Members of the fingerprints x with those of y, by position."""
+        keep = (low[x] != high[x]) | (low[y] != high[y]) | (low[x] != low[y])
+        x, y = x[keep], y[keep]
+        for at, to in _cuts(n[x], PAIRS):
+            i = np.repeat(first[x[at:to]] - np.cumsum(n[x[at:to]]) + n[x[at:to]], n[x[at:to]]) + np.arange(n[x[at:to]].sum())
+            of = np.repeat(y[at:to], n[x[at:to]])
+            for p, q in _cuts(n[of], PAIRS):
+                m = n[of[p:q]]
+                a, b = np.repeat(i[p:q], m), np.repeat(first[of[p:q]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                ok = (items[a, 2] != items[b, 2]) & ((a < b) | (items[a, 0] != items[b, 0]))
+                a, b = a[ok], b[ok]
+                apart = np.maximum(np.bitwise_count(items[a, 4:] ^ items[b, 4:]).sum(1, dtype=np.int64), np.abs(size[a] - size[b]))
+                both = size[a] + size[b]
+                ok = apart * (1 + similarity) <= both * (1 - similarity + 1e-9)
+                if ok.any():
+                    yield np.stack([items[a[ok], 1], items[b[ok], 1]], 1)
+
+    own = np.flatnonzero((low != high) & (_ball(bits, half, width).home(fps) == bucket))
+    yield from compared(own, own)
+    for pairs in every_link(bits, half, width, bucket, fps, radius, target):
+        yield from compared(np.searchsorted(fps, pairs[:, 0]), np.searchsorted(fps, pairs[:, 1]))
+
+
+def _cuts(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of positions whose counts add up to about `most`; at least one position each."""
+    upto, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def _bits(n: int, half: int, width: int, least_bits: int) -> int:
     per = sum(comb(width, k) for k in range(half + 1))
-    bits = least_bits if n <= MOST else int(min(22, max(least_bits, np.ceil(np.log2(n * per / MOST)))))
+    return least_bits if n <= MOST else int(min(22, max(least_bits, np.ceil(np.log2(n * per / MOST)))))
+
+
+def _packed(rows: DataFrame, columns: list[str], bits: int, half: int, width: int) -> DataFrame:
+    """(part, bucket, rows): each row once for each bucket that a variant of its fingerprint, the first of the long `columns`, falls into."""
+    k = len(columns)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball = _ball(bits, half, width)
-        chunk = int(max(256, min(CHUNK, 8_000_000 // len(ball.used))))
+        chunk = int(max(256, min(CHUNK, 8_000_000 // len(ball.used) // k)))
         held: dict[int, list[np.ndarray]] = {}
 
         def out(part: int, block: np.ndarray) -> Iterator[pa.RecordBatch]:
-            to = (ball.home(block)[:, None] ^ ball.used[None, :]).ravel()
-            owner = np.repeat(block, len(ball.used))
+            to = (ball.home(block[:, 0])[:, None] ^ ball.used[None, :]).ravel()
             order = np.argsort(to, kind="stable")
-            to, owner = to[order], owner[order]
+            to, owner = to[order], order // len(ball.used)
             cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            blobs = [x.tobytes() for x in np.split(owner, cuts[1:])]
+            ends = np.concatenate((cuts[1:], [len(to)]))
             for at in range(0, len(cuts), 4096):
                 own = to[cuts[at:at + 4096]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part), pa.int32()), pa.array(own), pa.array(blobs[at:at + 4096], pa.binary())], ["part", "bucket", "fps"])
+                blobs = [block[owner[x:y]].tobytes() for x, y in zip(cuts[at:at + 4096].tolist(), ends[at:at + 4096].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part), pa.int32()), pa.array(own), pa.array(blobs, pa.binary())], ["part", "bucket", "rows"])
 
         for b in batches:
-            parts, fresh = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            parts = b.column(0).to_numpy(zero_copy_only=False)
+            fresh = np.stack([b.column(1 + c).to_numpy(zero_copy_only=False).view(np.uint64) for c in range(k)], 1)
             for p in np.unique(parts).tolist():
                 held.setdefault(p, []).append(fresh[parts == p])
                 while sum(map(len, held[p])) >= chunk:
@@ -273,17 +345,49 @@ def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, wi
             if len(block := np.concatenate(rest)):
                 yield from out(p, block)
 
+    return rows.select("part", *columns).mapInArrow(pack, "part int, bucket long, rows binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], k: int) -> np.ndarray:
+    """The distinct rows of a bucket, (n, k), as they were packed."""
+    own = np.empty((0, k), np.uint64)
+    for b in batches:
+        own = np.concatenate([own, *(np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, k) for x in b.column(b.schema.get_field_index("rows")))])
+        own = np.unique(own[:, 0])[:, None] if k == 1 else own
+    return own
+
+
+def ball_links(fps: DataFrame, n: int, radius: int = 4, target: int = TARGET, width: int = 64, forest: bool = True, least_bits: int = 7, nearest: bool = False) -> DataFrame:
+    """Links (part, a, b) between the distinct fingerprints `fps` (part int, fp long of `width` bits) at `radius` or fewer bits within a part.
+
+    With `forest` their components are those of all such pairs; without it they are all such pairs, or with `nearest` enough of them that
+    each fingerprint which has any is in one. `n` is the number of fingerprints of a part and decides the number of buckets only: enough
+    for parallel work, and more where a bucket would hold over MOST fingerprints. `target` bounds the variants in memory at once."""
+    half = (radius + 1) // 2
+    bits = _bits(n, half, width, least_bits)
+
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, bucket = (x.as_py() for x in key)
-        own = np.empty(0, np.uint64)
-        for b in batches:
-            own = np.unique(np.concatenate([own, *(np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(b.schema.get_field_index("fps")))]))
-        for links in ([sliced_links(bits, half, width, bucket, own, radius, target)] if forest else every_link(bits, half, width, bucket, own, radius, target)):
+        own = _unpacked(batches, 1)[:, 0]
+        for links in ([sliced_links(bits, half, width, bucket, own, radius, target)] if forest else (nearest_links if nearest else every_link)(bits, half, width, bucket, own, radius, target)):
             x = links.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part), pa.int32()), pa.array(x[:, 0]), pa.array(x[:, 1])], ["part", "a", "b"])
 
-    packed = fps.select("part", "fp").mapInArrow(pack, "part int, bucket long, fps binary")
-    return packed.groupBy("part", "bucket").applyInArrow(meet, "part int, a long, b long")
+    return _packed(fps, ["fp"], bits, half, width).groupBy("part", "bucket").applyInArrow(meet, "part int, a long, b long")
+
+
+def ball_members(items: DataFrame, n: int, similarity: float, radius: int, target: int, width: int, least_bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes, repeated over parts, of different roots that collide in a part and may reach the similarity (`member_pairs`).
+    items: part int and the longs fp, node, root, size, p0 to p3, one row per node and part; `n` as in `ball_links`."""
+    half, columns = (radius + 1) // 2, ["fp", "node", "root", "size", *PARITIES]
+    bits = _bits(n, half, width, least_bits)
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pairs in member_pairs(bits, half, width, key[1].as_py(), _unpacked(batches, len(columns)), radius, target, similarity):
+            x = pairs.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    return _packed(items, columns, bits, half, width).groupBy("part", "bucket").applyInArrow(meet, "a long, b long")
 
 
 _BALLS: dict[tuple[int, int, int], Ball] = {}
@@ -315,6 +419,7 @@ def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, id_col:
 
 
 TABLES, TABLE_BITS = 12, 40
+PARITIES = ["p0", "p1", "p2", "p3"]     # whether a set has an odd number of shingles under each of 256 hashes, as words
 WORDS = 8               # 64-bit words of a sketch, of which TABLES * TABLE_BITS bits are dealt to tables
 FAR = 0.25              # share of unequal sketch bits beyond which a pair is not compared further; cosine 0.88 has 0.16 on average
 
@@ -332,9 +437,14 @@ def shingle_hashes(data: bytes, width: int, seed: int = SEED) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(text[s:e], seed) for s, e in zip(starts, (ends[width - 1:] - 1).tolist())], np.uint64)
 
 
-def sketch(data: bytes, width: int) -> np.ndarray:
-    """A SimHash of WORDS * 64 bits of the set of shingles, repeats counted once: each shingle hash is mixed anew for every word."""
-    h = np.unique(shingle_hashes(data, width))
+def parities(h: np.ndarray) -> np.ndarray:
+    """The PARITIES of a set of shingle hashes."""
+    odd = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A SimHash of WORDS * 64 bits of a set of shingle hashes: each is mixed anew for every word."""
     out = np.zeros(WORDS, np.uint64)
     for k in range(WORDS if len(h) else 0):
         counts = np.zeros(64, np.int64)
@@ -363,20 +473,22 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
     A node is a text, by its 64-bit hash. One fingerprint of 64 bits at 4 bits finds only pairs that are nearly equal, so the ball is cast in
     TABLES tables of TABLE_BITS-bit fingerprints each: a pair at Jaccard 0.8 is within 4 bits in a quarter of them, and missed by all in
     about 1 of 40. Texts collide in a table if their fingerprints are equal or within the radius. The members of each fingerprint are first
-    verified against their smallest node; then all colliding pairs that these links do not connect yet, so that a group of near copies
-    costs one pair a member and any other group all pairs. Pairs are deduplicated, dropped if their sketches differ in more than FAR of
-    the bits, and verified by their whole shingle sets."""
+    verified against their smallest node; then all colliding pairs that these links do not connect yet are compared where they meet, by
+    sizes and parities, which never rule out a pair at the similarity. Pairs that remain are deduplicated, dropped if their sketches
+    differ in more than FAR of the bits, and verified by their whole shingle sets."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _steps(batches):
-            x = np.array([sketch(t, width) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).reshape(b.num_rows, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(WORDS))], ["id", "node", *words])
+            sets = (np.unique(shingle_hashes(t, width)) for t in b.column(2).cast(pa.binary()).to_pylist())
+            x = np.array([np.concatenate((sketch(h), parities(h), [np.uint64(len(h))])) for h in sets], np.uint64).reshape(b.num_rows, len(marked)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(marked)))], ["id", "node", *marked])
 
     words = [f"s{k}" for k in range(WORDS)]
-    marks = scratch.save(src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, node long, " + ", ".join(f"{w} long" for w in words)), "sketches")
-    nodes = scratch.save(marks.groupBy("node").agg(*[F.min(w).alias(w) for w in words]), "nodes")
+    marked = [*words, *PARITIES, "size"]
+    marks = scratch.save(src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, node long, " + ", ".join(f"{w} long" for w in marked)), "sketches")
+    nodes = scratch.save(marks.groupBy("node").agg(*[F.min(w).alias(w) for w in marked]), "nodes")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,18 +521,14 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
 
     groups = scratch.save(rows.groupBy("part", "fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "groups")
     stars = verified(rows.join(groups.where("low <> high"), ["part", "fp"]).select(F.col("low").alias("a"), F.col("node").alias("b")), "star")
-    # members of a fingerprint by the component that they are in already
     rooted = rows.join(components(stars, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # in rows of about MEMBERS texts, so that no cluster of one fingerprint is a single row
-    sizes = rooted.groupBy("part", "fp", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEMBERS)
-    dealt = rooted.join(sizes, ["part", "fp", "root"], "left").withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", F.lit(1)) / MEMBERS)))
-    classes = scratch.save(dealt.groupBy("part", "fp", "root", "piece").agg(F.collect_list("node").alias("members")), "classes")
-    fp_links = ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET // 4, TABLE_BITS, forest=False, least_bits=5)
-    mixed = classes.groupBy("part", "fp").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("part", F.col("fp").alias("a"), F.col("fp").alias("b"))
-    ends = lambda c: classes.select("part", F.col("fp").alias(c), F.col("root").alias(f"r{c}"), F.col("members").alias(f"m{c}"))
-    met = fp_links.unionByName(mixed).join(ends("a"), ["part", "a"]).join(ends("b"), ["part", "b"]).where("ra < rb or ra > rb and a <> b")
-    others = verified(met.select(F.explode("ma").alias("a"), "mb").select("a", F.explode("mb").alias("b")), "other")
-    scratch.forget(rows, groups, classes)
+    # fingerprints that have another one near, or members that are not connected; only these are compared member by member
+    near = scratch.save(ball_links(groups.select("part", "fp"), nodes.count(), radius, TARGET // 4, TABLE_BITS, forest=False, least_bits=5, nearest=True), "near")
+    apart = rooted.groupBy("part", "fp").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("part", "fp")
+    wanted = scratch.save(near.select("part", F.col("a").alias("fp")).unionByName(near.select("part", F.col("b").alias("fp"))).unionByName(apart).distinct(), "near_fps")
+    items = rooted.join(small_or_shuffled(wanted), ["part", "fp"], "left_semi").join(nodes.select("node", "size", *PARITIES), "node")
+    others = verified(ball_members(items, nodes.count(), similarity, radius, TARGET // 4, TABLE_BITS, 5), "other")
+    scratch.forget(rows, groups, near, wanted)
     return marks.select("id", "node"), stars.unionByName(others)
 
 

@@ -189,6 +189,42 @@ def test_slices_do_not_hash_all_fingerprints_again(monkeypatch):
     assert {(int(a), int(b)) for a, b in forest} <= want and sum(hashed) <= 4 * 4 * len(fps)
 
 
+def test_nearest_links_name_every_fingerprint_that_has_neighbours():
+    """Of a dense group far fewer links than all pairs, all of them true, and with each fingerprint's smallest neighbour among them."""
+    rng = np.random.default_rng(14)
+    fps = np.array(sorted({int(np.bitwise_xor.reduce(1 << rng.choice(40, 3, replace=False))) for _ in range(400)} | {int(x) for x in rng.integers(0, 1 << 40, 400)}), np.uint64)
+    near = {int(a): [int(b) for b in fps[(np.bitwise_count(fps ^ a) <= 4) & (fps != a)]] for a in fps}
+    got = {tuple(map(int, p)) for k in range(8) for x in simhash_ball.nearest_links(3, 2, 40, k, fps, 4, 20_000) for p in x}
+    assert all(b in near[a] for a, b in got) and {x for p in got for x in p} == {a for a in near if near[a]}
+    assert all((min(a, min(n)), max(a, min(n))) in got for a, n in near.items() if n) and 8 * len(got) < sum(map(len, near.values()))
+
+
+def test_a_group_that_shares_little_is_not_joined_pair_by_pair(spark, monkeypatch):
+    """200 variants of one text, of which few reach the similarity, in tables where all collide: only pairs that may reach it leave the buckets."""
+    rng = np.random.default_rng(15)
+    base = [f"c{x}" for x in range(140)]
+    texts = []
+    for k in range(100):
+        words = [f"u{k}x{i}" if hit else w for i, (w, hit) in enumerate(zip(base, rng.random(140) < 0.05))]
+        texts += [" ".join(words), " ".join(words[:-1] + [f"e{k}"])]
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    own = [sets(t) for t in texts]
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+    root = groups_of(200, lambda i, j: (j, i) in want)
+    tables, met, save = simhash_ball.TABLES, {}, Scratch.save
+    monkeypatch.setattr(simhash_ball, "table_fingerprints", lambda x: np.repeat(x[:, :1] & np.uint64(3), tables, 1))
+    monkeypatch.setattr(Scratch, "save", lambda self, df, label="t": met.update({label: save(self, df, label)}) or met[label])
+    monkeypatch.setattr(Scratch, "forget", lambda *a: None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks, links = simhash_ball.similar_links(df, Scratch(spark, "t"))
+    assert met["other_pairs"].count() < 4 * len(want) < 200 * 199 / 2 / 4
+    monkeypatch.setattr(Scratch, "save", save)
+    assert sorted(r.doc_id for r in simhash_ball.near_deduplicated(df).collect()) == sorted(set(root))
+
+
 def test_near_deduplicated(spark, docs, none):
     out = simhash_ball.near_deduplicated(docs)
     assert out.columns == docs.columns
