@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,47 +12,91 @@ ROUNDS, MIN_LEFT, PAD = 3, 0.15, 2.0  # fixed values
 
 
 class _Cells:
-    """Rectilinear areas as boolean cells between the distinct edges of all boxes involved."""
+    """Rectilinear areas as sets of the cells between the distinct edges of all boxes involved: bits of one integer, row by row."""
 
     def __init__(self, boxes: list[tuple]):
-        self.xs = np.unique([v for b in boxes for v in (b[0], b[2])])
-        self.ys = np.unique([v for b in boxes for v in (b[1], b[3])])
-        self.size = np.diff(self.ys)[:, None] * np.diff(self.xs)[None, :]
-
-    def rect(self, b: tuple) -> np.ndarray:
-        x = (self.xs[:-1] >= b[0]) & (self.xs[1:] <= b[2])
-        y = (self.ys[:-1] >= b[1]) & (self.ys[1:] <= b[3])
-        return y[:, None] & x[None, :]
-
-    def area(self, m: np.ndarray) -> float:
-        return float(self.size[m].sum())
-
-    def bounds(self, m: np.ndarray) -> tuple:
-        y, x = np.nonzero(m)
-        return float(self.xs[x.min()]), float(self.ys[y.min()]), float(self.xs[x.max() + 1]), float(self.ys[y.max() + 1])
-
-    def pieces(self, m: np.ndarray) -> list[np.ndarray]:
-        """Parts connected through cell sides."""
-        left, out = m.copy(), []
-        while left.any():
-            part = np.zeros_like(m)
-            part[tuple(np.argwhere(left)[0])] = True
-            while True:
-                p = np.pad(part, 1)
-                grown = (part | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]) & left
-                if (grown == part).all():
-                    break
-                part = grown
-            out.append(part)
-            left &= ~part
+        self.xs = sorted({v for b in boxes for v in (b[0], b[2])})
+        self.ys = sorted({v for b in boxes for v in (b[1], b[3])})
+        self.col, self.row = {v: i for i, v in enumerate(self.xs)}, {v: i for i, v in enumerate(self.ys)}
+        self.w, self.h = len(self.xs) - 1, len(self.ys) - 1
+        self.line = (1 << self.w) - 1
+        self.rows = [0]                       # the first cells of the rows before each row
+        for r in range(self.h):
+            self.rows.append(self.rows[-1] | 1 << r * self.w)
+        self.inner = self.rows[-1] * (self.line & ~1)     # cells with one to their left
+        self.least = min((b - a for a, b in zip(self.xs, self.xs[1:])), default=0) * min((b - a for a, b in zip(self.ys, self.ys[1:])), default=0)
+
+    def rect(self, b: tuple) -> int:
+        x0, x1, y0, y1 = self.col[b[0]], self.col[b[2]], self.row[b[1]], self.row[b[3]]
+        return (self.rows[y1] ^ self.rows[y0]) * ((1 << x1) - (1 << x0)) if x0 < x1 and y0 < y1 else 0
+
+    def _width(self, line: int) -> float:
+        out = 0.0
+        while line:
+            low = line & -line
+            run = line & ~(line + low)        # the run of cells that begins with the first one
+            out += self.xs[run.bit_length()] - self.xs[low.bit_length() - 1]
+            line ^= run
         return out
 
-    def largest(self, m: np.ndarray) -> np.ndarray:
-        return max(self.pieces(m), key=self.area)
+    def area(self, m: int) -> float:
+        out, r, at, wide = 0.0, 0, 0, 0.0
+        while m:
+            if (line := m & self.line) != at:
+                at, wide = line, self._width(line)
+            out += wide * (self.ys[r + 1] - self.ys[r])
+            m >>= self.w
+            r += 1
+        return out
 
-    def has_hole(self, m: np.ndarray) -> bool:
-        outside = np.pad(~m, 1, constant_values=True)
-        return len(_Cells.pieces(self, outside)) > 1
+    def over(self, m: int) -> bool:
+        """Whether the area is more than one."""
+        return m != 0 and (self.least > 1.0 or self.area(m) > 1.0)
+
+    def bounds(self, m: int) -> tuple:
+        top, bottom, cols = ((m & -m).bit_length() - 1) // self.w, (m.bit_length() - 1) // self.w, 0
+        rest = m
+        while rest:
+            cols |= rest & self.line
+            rest >>= self.w
+        return float(self.xs[(cols & -cols).bit_length() - 1]), float(self.ys[top]), float(self.xs[cols.bit_length()]), float(self.ys[bottom + 1])
+
+    def grown(self, part: int, within: int) -> int:
+        """All cells of `within` connected with `part` through cell sides."""
+        while True:
+            more = (part | part << self.w | part >> self.w | (part << 1) & self.inner | (part & self.inner) >> 1) & within
+            if more == part:
+                return part
+            part = more
+
+    def largest(self, m: int) -> int:
+        """The largest part connected through cell sides, the first one on ties."""
+        best, size, left = 0, -1.0, m
+        while left:
+            part = self.grown(left & -left, left)
+            if part == m:
+                return m
+            if (own := self.area(part)) > size:
+                best, size = part, own
+            left &= ~part
+        return best
+
+    def has_hole(self, m: int) -> bool:
+        others = self.line * self.rows[-1] & ~m
+        border = self.line | self.line << (self.h - 1) * self.w | self.rows[-1] | self.rows[-1] << self.w - 1
+        return self.grown(others & border, others) != others
+
+    def boxes(self, m: int) -> list[tuple]:
+        """The cells, as runs along the rows."""
+        out = []
+        for r in range(self.h):
+            line = m >> r * self.w & self.line
+            while line:
+                x0 = (line & -line).bit_length() - 1
+                x1 = x0 + (~(line >> x0) & -~(line >> x0)).bit_length() - 1
+                out.append((self.xs[x0], self.ys[r], self.xs[x1], self.ys[r + 1]))
+                line &= -1 << x1
+        return out
 
 
 def _common(a: tuple, b: tuple) -> tuple:
@@ -73,16 +116,15 @@ def _refine(box: tuple, text: bool, members: dict, cands: list[tuple], absorbed:
             tight = _common(box, (min(b[0] for b in u) - PAD, min(b[1] for b in u) - PAD, max(b[2] for b in u) + PAD, max(b[3] for b in u) + PAD))
             box = tight if _size(tight) > 0 else box
         return tuple(float(v) for v in box), sorted(members), [], float(_size(box)), True
-    hull = [box, *members.values(), *[c[2] for c in cands]]
-    padded = [(b[0] - PAD, b[1] - PAD, b[2] + PAD, b[3] + PAD) for b in hull]
-    g = _Cells(hull + padded)
+    cands = [c for c in cands if c[0] not in members and c[0] not in absorbed]
+    g = _Cells([box, *[c[2] for c in cands]])
+    rects = [g.rect(c[2]) for c in cands]
     geom, no, erases = g.rect(box), set(), []
     for _ in range(ROUNDS):
         changed = False
-        now = [c for c in cands if c[0] not in members and c[0] not in absorbed and c[0] not in no and g.area(geom & g.rect(c[2])) > 1.0]
-        for name, c_text, b, merge, visual in now:
-            r = g.rect(b)
-            if g.area(geom & r) <= 1.0:
+        now = [(c, r) for c, r in zip(cands, rects) if c[0] not in absorbed and c[0] not in no and g.over(geom & r)]
+        for (name, c_text, b, merge, visual), r in now:
+            if changed and not g.over(geom & r):
                 continue
             if merge:
                 geom = geom | r
@@ -93,7 +135,7 @@ def _refine(box: tuple, text: bool, members: dict, cands: list[tuple], absorbed:
             no.add(name)
             if not visual:
                 rest = geom & ~r
-                if not rest.any():
+                if not rest:
                     continue
                 rest = g.largest(rest)
                 if g.has_hole(rest):
@@ -105,13 +147,23 @@ def _refine(box: tuple, text: bool, members: dict, cands: list[tuple], absorbed:
                 erases.append(name)
         if not changed:
             break
+    if not geom:
+        return tuple(float(v) for v in box), sorted(members), erases, 0.0, True
+    b = g.bounds(geom)
     if members:
         u = list(members.values())
-        tight = geom & g.rect((min(b[0] for b in u) - PAD, min(b[1] for b in u) - PAD, max(b[2] for b in u) + PAD, max(b[3] for b in u) + PAD))
-        if tight.any():
-            geom = g.largest(tight)
-    b = g.bounds(geom)
-    return b, sorted(members), erases, g.area(geom), bool((geom == g.rect(b)).all())
+        cut = (min(m[0] for m in u) - PAD, min(m[1] for m in u) - PAD, max(m[2] for m in u) + PAD, max(m[3] for m in u) + PAD)
+        if _common(b, cut) != b and _size(_common(b, cut)) > 0:
+            # only here edges other than those of the boxes matter
+            runs = [x for x in (_common(x, cut) for x in g.boxes(geom)) if _size(x) > 0]
+            if runs:
+                g = _Cells(runs)
+                geom = 0
+                for x in runs:
+                    geom |= g.rect(x)
+                geom = g.largest(geom)
+                b = g.bounds(geom)
+    return b, sorted(members), erases, g.area(geom), geom == g.rect(b)
 
 
 def refine_groups(groups: DataFrame, comps: DataFrame, decisions: DataFrame) -> DataFrame:

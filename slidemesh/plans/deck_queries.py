@@ -553,11 +553,11 @@ def stacked_text(spark, sf):
 
 @query("refined_groups")
 def refined_groups(spark, sf):
-    """Merge groups refined by verdicts that follow from the file numbers."""
+    """Groups of the first two boxes of a slide, refined by verdicts on all its other boxes; the verdicts follow from the scores."""
     from slidemesh.operators.refine import refine_groups
     c = V.components(spark, sf)
     f = c.select("slide_id", "pos", F.concat(F.lit("f"), F.col("pos")).alias("filename"), "label", "x0", "y0", "x1", "y1")
-    g = _groups(c)
+    g = _groups(c.where("pos < 2"))
     d = c.where("pos >= 2").select("slide_id", F.lit(0).alias("group_idx"), F.concat(F.lit("f"), F.col("pos")).alias("filename"),
                                    (F.col("score") % 3 == 0).alias("should_merge"), (F.col("score") % 2 == 0).alias("visually_overlaps"))
     r = refine_groups(g, f, d)

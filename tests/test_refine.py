@@ -46,3 +46,26 @@ def test_groups_without_live_candidates_need_no_cells(monkeypatch):
         b, m, erases, a, r = refine._refine(box, False, dict(members), cands, set(absorbed))
         assert (tuple(b), m, erases, a, r) == (bounds, sorted(members), [], area, rect)
     assert not made
+
+
+def test_registered_groups_heed_their_verdicts(spark):
+    """Boxes that are no members are absorbed, cut out or erased, and every slide of two or more boxes has its group."""
+    import __spark_entry__ as entry
+    sf = "/root/testdata/sf0.001"
+    rows = entry.queries()["refined_groups"](spark, sf).collect()
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert sorted(r.slide_id for r in rows) == sorted(r.l_orderkey for r in li.groupBy("l_orderkey").count().where("count >= 2").collect())
+    assert any(r.members.count(" ") > 1 for r in rows) and any(r.erases for r in rows) and any(not r.rectangular for r in rows)
+    assert all(r.members.startswith("f0 f1") and not set(r.members.split()) & set(r.erases.split()) for r in rows)
+
+
+def test_cells_of_an_area_and_its_runs():
+    """Holes, parts, bounds and runs of an area kept as bits, also where it touches the first and last cells of neighbouring rows."""
+    g = refine._Cells([(0, 0, 30, 30), (10, 10, 20, 20), (0, 10, 10, 20), (20, 0, 30, 10)])
+    ring = g.rect((0, 0, 30, 30)) & ~g.rect((10, 10, 20, 20))
+    assert g.has_hole(ring) and g.area(ring) == 800.0 and g.largest(ring) == ring
+    ends = g.rect((20, 0, 30, 10)) | g.rect((0, 10, 10, 20))    # neighbours in the numbering, not on the slide
+    assert g.largest(ends) == g.rect((20, 0, 30, 10)) and not g.has_hole(ends) and g.bounds(ends) == (0.0, 0.0, 30.0, 20.0)
+    assert g.boxes(ring) == [(0, 0, 30, 10), (0, 10, 10, 20), (20, 10, 30, 20), (0, 20, 30, 30)]
+    b, members, erases, area, rect = refine._refine((0, 0, 100, 100), False, {"a": (0, 0, 40, 40)}, [("x", False, (30, 30, 60, 60), True, True), ("y", False, (0, 0, 10, 10), False, False)], {"a"})
+    assert (b, members, erases, area, rect) == ((0.0, 0.0, 62.0, 62.0), ["a", "x"], [], 62.0 * 62 - 100, False)
