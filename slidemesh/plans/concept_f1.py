@@ -4,15 +4,22 @@ gt: image_id, gt_id, box (`ignore` rows removed by the caller); dt: image_id, dt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidemesh.functions import boxes as B
-from slidemesh.operators.assign import best_assignment
+from slidemesh.operators.assign import _by_key, _whole_batches, best_assignment, solve
 from slidemesh.operators.pairs import box_pairs
+from slidemesh.runtime import cut, key_sizes, split_hot
 
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]  # fixed values 0.50 .. 0.95
 EPS, EPS_IL = 1e-4, 1e-6                                     # fixed values
+WALK_BOXES = 280                                             # boxes of an image scored in one walk; fewer pairs than assign.HOT_PAIRS
 
 
 def exhaustive_only(dt: DataFrame, flags: list[DataFrame]) -> DataFrame:
@@ -68,13 +75,90 @@ def best_of(scorings: list[DataFrame]) -> DataFrame:
     u = parts[0]
     for q in parts[1:]:
         u = u.unionByName(q)
-    local = F.transform("tp", lambda t: f1(t, F.col("n_dt") - t, F.col("n_gt") - t))
-    mean = F.when(F.col("n_dt") == 0, 0.0).otherwise(F.aggregate(local, F.lit(0.0), lambda s, v: s + v) / len(THRESHOLDS))
-    tn = (F.col("n_gt") == 0) & (F.col("n_dt") == 0)
-    rank = F.struct(tn, mean, F.when(tn, F.col("gt_pos")).otherwise(-F.col("gt_pos")))
+    rank = F.struct(*_rank(F.col("n_gt"), F.col("n_dt"), F.col("tp"), F.col("gt_pos")))
     return u.groupBy("image_id").agg(F.max_by(F.struct("n_gt", "n_dt", "tp"), rank).alias("s")).select("image_id", "s.*")
 
 
+def _rank(n_gt: Column, n_dt: Column, tp: Column, gt_pos: Column) -> list[Column]:
+    local = F.transform(tp, lambda t: f1(t, n_dt - t, n_gt - t))
+    mean = F.when(n_dt == 0, 0.0).otherwise(F.aggregate(local, F.lit(0.0), lambda s, v: s + v) / len(THRESHOLDS))
+    tn = (n_gt == 0) & (n_dt == 0)
+    return [tn.alias("tn"), mean.alias("mean"), F.when(tn, gt_pos).otherwise(-gt_pos).alias("first")]
+
+
+def best_of_subsets(images: DataFrame, gt: DataFrame, dt: DataFrame, subsets: list[Column], min_score: float = 0.5) -> DataFrame:
+    """`best_of` over the scorings that `per_image` gives for subsets of one ground truth (conditions on its rows), one row per image.
+
+    The rows of an image are dealt once for all scorings; pairs, assignments and counts stay in the task, and only counts leave it.
+    Images with more than WALK_BOXES boxes are scored by joins."""
+    box, marks = ["x0", "y0", "x1", "y1"], reduce(lambda x, y: x + y, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(subsets)])
+    g = gt if "iscrowd" in gt.columns else gt.withColumn("iscrowd", F.lit(False))
+    dt = dt.where(F.col("score") >= min_score)
+    seen = images.select("image_id").distinct()
+    rows = (g.select("image_id", F.lit(0).alias("kind"), F.col("gt_id").cast("long").alias("id"), F.coalesce("iscrowd", F.lit(False)).alias("crowd"), marks.alias("marks"), *box)
+            .unionByName(dt.select("image_id", F.lit(1).alias("kind"), F.col("dt_id").cast("long").alias("id"), F.lit(False).alias("crowd"), F.lit(0).alias("marks"), *box))
+            .where("image_id is not null"))
+    total, most = key_sizes(rows, ["image_id"], WALK_BOXES)
+    big = None
+    if most > WALK_BOXES:
+        rows, hot = split_hot(rows, ["image_id"], WALK_BOXES)
+        hot = cut(hot.select("image_id").distinct())
+        some, seen = seen.join(hot, "image_id", "left_semi"), seen.join(hot, "image_id", "left_anti")
+        some, own, other = cut(some), cut(g.join(hot, "image_id", "left_semi").withColumn("_marks", marks)), cut(dt.join(hot, "image_id", "left_semi"))
+        big = best_of([per_image(some, own.where(F.col("_marks").bitwiseAND(1 << i) > 0), other, min_score) for i in range(len(subsets))])
+    none = {"kind": F.lit(2), "id": F.lit(0).cast("long"), "crowd": F.lit(False), "marks": F.lit(0)} | {c: F.lit(None).cast(rows.schema[c].dataType) for c in box}
+    rows = rows.unionByName(seen.withColumns(none))
+    n = len(subsets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, starts in _whole_batches(batches, ["image_id"]):
+            listed, counts = _counts(b, np.asarray(starts), n)
+            yield pa.RecordBatch.from_arrays([b.column("image_id").take(pa.array(np.asarray(starts)[:-1][listed])), pa.FixedSizeListArray.from_arrays(pa.array(counts[listed].ravel()), counts.shape[1]).cast(pa.list_(pa.int64()))], ["image_id", "counts"])
+
+    made = _by_key(rows, ["image_id"], ["kind", "id"]).mapInArrow(run, f"image_id {rows.schema['image_id'].dataType.simpleString()}, counts array<long>")
+    at = lambda i: (F.col("counts")[1 + i], F.col("counts")[0], F.slice("counts", 1 + n + i * len(THRESHOLDS) + 1, len(THRESHOLDS)))
+    parts = [F.struct(*_rank(*at(i), F.lit(i)), *[c.alias(k) for k, c in zip(("n_gt", "n_dt", "tp"), at(i))]) for i in range(n)]
+    out = made.select("image_id", F.array_max(F.array(*parts)).alias("s")).select("image_id", "s.n_gt", "s.n_dt", "s.tp")
+    return out if big is None else out.unionByName(big)
+
+
+def _counts(b: pa.RecordBatch, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole images sorted by kind (ground truth, detections, listed image) and id: whether each is listed, and its counts: detections,
+    ground truth of each of the n subsets, then true positives at all thresholds subset by subset."""
+    kind, ids, crowd, marks, x0, y0, x1, y1 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "id", "crowd", "marks", "x0", "y0", "x1", "y1"))
+    m = len(starts) - 1
+    image = np.repeat(np.arange(m), np.diff(starts))
+    code = np.cumsum(np.concatenate(([True], (image[1:] != image[:-1]) | (kind[1:] != kind[:-1]) | (ids[1:] != ids[:-1])))) if len(ids) else ids   # one per id of a side
+    g, d = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+    n_dt = np.bincount(image[d], minlength=m)
+    per = n_dt[image[g]]
+    i = np.repeat(g, per)
+    j = d[np.arange(len(i)) + np.repeat((np.cumsum(n_dt) - n_dt)[image[g]] - np.cumsum(per) + per, per)]
+    hit = (x0[i] < x1[j]) & (x0[j] < x1[i]) & (y0[i] < y1[j]) & (y0[j] < y1[i])
+    i, j = i[hit], j[hit]
+    inter = (np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j])) * (np.minimum(y1[i], y1[j]) - np.maximum(y0[i], y0[j]))
+    area = (x1 - x0) * (y1 - y0)
+    union = np.where(crowd[i], area[j], area[i] + area[j] - inter)
+    sim = np.divide(inter, union, out=np.zeros(len(i)), where=union > 0)
+    counts = np.zeros((m, 1 + n + n * len(THRESHOLDS)), np.int64)
+    counts[:, 0] = n_dt
+    for s in range(n):
+        counts[:, 1 + s] = np.bincount(image[g][(marks[g] >> s & 1) > 0], minlength=m)
+        use = np.flatnonzero((marks[i] >> s & 1 > 0) & (sim > 0))
+        r, c = code[i[use]], code[j[use]]
+        alone = (np.bincount(r, minlength=len(ids) + 1)[r] == 1) & (np.bincount(c, minlength=len(ids) + 1)[c] == 1)
+        chosen, rest = [use[alone]], np.flatnonzero(~alone)
+        of = image[i[use[rest]]]
+        cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else of
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)]):
+            part = rest[lo:hi]
+            chosen.append(use[part[solve(r[part], c[part], sim[use[part]])]])
+        picked = np.concatenate(chosen)
+        for k, t in enumerate(THRESHOLDS):
+            counts[:, 1 + n + s * len(THRESHOLDS) + k] = np.bincount(image[i[picked]][sim[picked] >= t], minlength=m)
+    return np.bincount(image[kind == 2], minlength=m) > 0, counts
+
+
 def accumulate(scored: DataFrame) -> DataFrame:
     """One row per IoU threshold with counts and metrics.
 
