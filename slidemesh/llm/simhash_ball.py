@@ -509,7 +509,7 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, wi
         """Of pairs (a, b), in any order and repeated, those at the similarity."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         pairs = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(unequal <= int(FAR * 64 * WORDS)).select("a", "b"), f"{label}_pairs")
-        wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}_wanted")
+        wanted = scratch.save(pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select("b").distinct()).distinct(), f"{label}_wanted")
         sets = src.select("node", "text").join(small_or_shuffled(wanted), "node", "left_semi").mapInArrow(shingles, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
         sets = scratch.save(sets, f"{label}_sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
